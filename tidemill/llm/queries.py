@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import packing
+from tidemill.llm import packing, quality
 from tidemill.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Query] = {
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
 }
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +17,22 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their PYTHONPATH has it."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tidemill_shipped", False):
+        return
+    out = Path(tempfile.mkdtemp()) / "tidemill.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted((root / "tidemill").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(out))
+    sc._tidemill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
