@@ -14,7 +14,6 @@ has at most 12 predecessors. A task works through its stream in blocks of about
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -24,22 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemill.llm.runtime import columns, grouped, texts
+from tidemill.llm.spans import Powers, hashes, word_spans
 
 WINDOW, END_ID = 2048, 1
 SENTENCE, BROKEN, HARD = 2, 48, 512
-BLOCK_BYTES = 6_000_000
-REMEMBERED = 800_000
+BLOCK_BYTES = 4_000_000
+REMEMBERED = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CUT = re.compile(rb"(?<=[.!?])[\x20\x09\x0b-\x0d]+|\n")
+TAIL, STOP, LETTER = (np.isin(np.arange(256), list(x)) for x in (b".,!?", b".!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
-class WordIds(dict):
-    """Token ids of words, as little-endian unsigned 32-bit bytes. The tokenizer splits at white space, so a text's ids are those of its words.
+class UnitIds:
+    """Token ids of units: words, where a last run of TAIL after an ASCII letter is a unit of its own.
 
-    A word that is letters and then marks of TAIL splits between the two, and letters alone are a single piece whose last
-    token, and no other, is a word end: such stems are encoded many at a time and told apart by that."""
-
-    TAIL = b".,!?"
+    The tokenizer splits at white space and between a letter and such marks, and lowers case itself, so a text's ids are
+    those of its lower-cased units in order. Units of letters only are single pieces whose last token, and no other, is a
+    word end: these are encoded many at a time and told apart by that."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,48 +47,72 @@ class WordIds(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[int, bytes] = {}  # by hash: little-endian unsigned 32-bit ids
+        self.powers = Powers()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.stems.clear()
-        simple, other, unknown = [], [], set()
-        for w in words:
-            if w not in self:
-                s = w.rstrip(self.TAIL)
-                u = s.decode("utf-8", "replace")
-                if u.isalpha() and (tail := w[len(s) :]) in self.tails or u.isalpha() and self.learn_tail(tail):
-                    if u.isascii():
-                        u = u.lower()
-                    simple.append((w, u, tail))
-                    if u not in self.stems:
-                        unknown.add(u)
-                else:
-                    other.append((w, w.decode("utf-8", "replace")))
-        if unknown:
-            stems = list(unknown)
-            ids = self.encode([" ".join(stems)])[0]
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(stems):
-                raw, at = ids.tobytes(), (4 * at).tolist()
-                self.stems.update(zip(stems, (raw[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
-            else:  # letters that the tokenizer sees otherwise: each alone
-                self.stems.update(zip(stems, (x.tobytes() for x in self.encode(stems)), strict=True))
-        for w, u, tail in simple:
-            self[w] = self.stems[u] + self.tails[tail]
-        for (w, _), x in zip(other, self.encode([u for _, u in other]), strict=True):
-            self[w] = x.tobytes()
-
-    def learn_tail(self, tail: bytes) -> bool:
-        if len(tail) > 8:
-            return False
-        self.tails[tail] = self.encode([tail.decode()])[0].tobytes()
-        return True
+    def learn(self, units: list[tuple[int, bytes]]) -> None:
+        words, others = [], []
+        for h, unit in units:
+            u = unit.decode("utf-8", "replace")
+            (words if u.isalpha() else others).append((h, u))
+        if words:
+            ids = self.encode([" ".join([u for _, u in words])])[0]
+            at = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(at) == len(words):
+                raw, at = ids.tobytes(), at.tolist()
+                self.known.update((h, raw[a:b]) for (h, _), a, b in zip(words, [0, *at], at, strict=False))
+            else:  # letters that the tokenizer sees otherwise
+                others += words
+        self.known.update((h, x.tobytes()) for (h, _), x in zip(others, self.encode([u for _, u in others]), strict=True))
+
+    def ids(self, bodies: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts in order, end_id after each; where texts end and where sentences end, as counts of ids."""
+        raw = b"\n".join(bodies) + b"\n"
+        buf = np.frombuffer(raw if b"<|" in raw else raw.lower(), np.uint8)
+        doc_ends = np.cumsum([len(b) + 1 for b in bodies])
+        start, end = word_spans(buf)
+        solid = np.maximum.accumulate(np.where(TAIL[buf], -1, np.arange(len(buf)))) + 1
+        stem = np.maximum(solid[end - 1], start) if len(end) else end
+        split = (stem > start) & (stem < end) & LETTER[buf[stem - 1]]
+        first = np.arange(len(start)) + np.concatenate([[0], np.cumsum(split)])[:-1]  # a word's first unit
+        begin, stop = np.empty(len(start) + int(split.sum()), np.int64), np.empty(len(start) + int(split.sum()), np.int64)
+        last = first + split
+        begin[first], stop[last] = start, end
+        begin[last[split]], stop[first[split]] = stem[split], stem[split]
+        h, one, which = np.unique(hashes(buf, begin, stop, self.powers), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        keys, view = h.tolist(), buf.tobytes()
+        new = [i for i, k in enumerate(keys) if k not in self.known]
+        spans = one[new]
+        self.learn([(keys[i], view[a:b]) for i, a, b in zip(new, begin[spans].tolist(), stop[spans].tolist(), strict=True)])
+        found = [self.known[k] for k in keys]
+        found.append(np.array([end_id], "<u4").tobytes())
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        flat, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        in_doc = np.searchsorted(begin, doc_ends)  # units before each text's end
+        which = np.insert(which, in_doc, len(keys))
+        ends = np.cumsum(sizes[which])
+        lengths = sizes[which]
+        ids = flat[np.repeat(at[which] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        lines = np.concatenate([[0], np.cumsum(buf == 10)])
+        closing = STOP[buf[end - 1]]
+        closing[:-1] |= lines[start[1:]] > lines[end[:-1]]
+        doc_of_word = np.searchsorted(doc_ends, start, side="right")
+        return ids, ends[in_doc + np.arange(len(bodies))], ends[(last + doc_of_word)[closing]]
+
+
+_KNOWN: dict[str, UnitIds] = {}
+
+
+def unit_ids(path: str) -> UnitIds:
+    """Kept for the tasks that this Python worker runs after this one."""
+    if path not in _KNOWN:
+        _KNOWN[path] = UnitIds(path)
+    return _KNOWN[path]
 
 
 def best_cuts(c: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
@@ -161,27 +184,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
     tokenizer: path of a tokenizers file, on every node. A null or empty text has the end id alone; a very long text is cut
     over several sequences; repeated rows are packed once each; an empty table gives no rows; other columns are ignored.
     sequence_id is the task's number above 40 bits of running number: unique, and the same whenever the same files are read."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, done = WordIds(tokenizer), TaskContext.get().partitionId() << 40
+        units, done = unit_ids(tokenizer), TaskContext.get().partitionId() << 40
         for group in grouped(batches, BLOCK_BYTES):
             doc_ids, bodies = columns(group, "doc_id", "text")
-            parts, lengths, doc_ends = [], [], []
-            words.learn(set().union(*(x.split() for x in bodies if x)))
-            for body in bodies:
-                body = body or b""
-                own = [b"".join(map(words.__getitem__, s.split())) for s in CUT.split(body)]
-                own.append(end)
-                parts += own
-                lengths += map(len, own)
-                doc_ends.append(len(lengths))
-            ends = np.cumsum(np.array(lengths, np.int64)) // 4
-            at = np.array(doc_ends) - 1
-            inner = np.delete(ends, at)
-            doc, *rest, seq, offset = pack_block(b"".join(parts), ends[at], np.unique(inner[inner > 0]), window)
+            ids, doc_ends, sentence_ends = units.ids([b or b"" for b in bodies], end_id)
+            doc, *rest, seq, offset = pack_block(ids.tobytes(), doc_ends, np.unique(sentence_ends), window)
             out = pa.array(doc_ids, pa.int64()).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([out, *(pa.array(x.astype(np.int64)) for x in (*rest, seq + done, offset))], names=[x.split()[0] for x in SCHEMA.split(", ")])
             done += int(seq[-1]) + 1
