@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import langid, licenses, lines, mixing, packing, quality, simhash
+from tidemill.llm import embeddings, langid, licenses, lines, mixing, packing, quality, simhash
 from tidemill.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", F.size("sentence_ids").cast("long").alias("n_known"), F.size("licenses").cast("long").alias("n_licenses"), "sentence_ids", "licenses", "rule_sizes", "starts")
@@ -57,6 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
+    "op2_embeddings": op2_embeddings,
     "op3_licenses": op3_licenses,
     "op4_lines": op4_lines,
     "op5_quality": op5_quality,
