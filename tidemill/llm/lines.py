@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.runtime import WORD
+from tidemill.llm.runtime import cut
 
 LEADING, MIN_TOKENS, MIN_DOCS = 0.7, 3, 3
 FIELD = r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
@@ -24,17 +24,22 @@ def lines(text: Column) -> Column:
 
 
 def template(line: Column) -> Column:
-    """The hash of the leaf that a line reaches; null if it has fewer than MIN_TOKENS tokens."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line)
-    tokens = F.regexp_extract_all(masked, F.lit(WORD), F.lit(0))
-    n = F.size(tokens)
-    return F.when(n >= MIN_TOKENS, F.xxhash64(n, F.slice(tokens, F.lit(1), F.ceil(n * LEADING).cast("int"))))
+    """The hash of the leaf that a line reaches; null if it has fewer than MIN_TOKENS tokens.
+
+    With one space between tokens, a leaf's leading tokens are a prefix of the line: no token needs to be cut out."""
+    untidy = F.lit(False)
+    for c in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        untidy = untidy | F.contains(line, F.lit(c))
+    tidy = F.trim(F.when(untidy, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+    masked = F.when(tidy.rlike("[0-9]"), F.regexp_replace(tidy, FIELD, "<*>")).otherwise(tidy)
+    n = F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+    return F.when(n >= MIN_TOKENS, F.xxhash64(n, F.call_function("substring_index", masked, F.lit(" "), F.ceil(n * LEADING).cast("int"))))
 
 
 def flags(docs: DataFrame) -> DataFrame:
     """d, h, keep: for each document (doc_id and hash of its text) that loses lines, which of them stay."""
     found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.posexplode(lines(F.col("text"))).alias("pos", "line"))
-    found = found.select("d", "h", "pos", template(F.col("line")).alias("leaf"))
+    found = cut(found.select("d", "h", "pos", template(F.col("line")).alias("leaf")))
     known = found.where("leaf is not null")
     recurring = known.groupBy("leaf", "d").agg(F.count("*").alias("c")).groupBy("leaf").agg(F.count("*").alias("docs"), F.min("d").alias("first")).where(F.col("docs") >= MIN_DOCS)
     # a join key of its own, so that adaptive execution can split the lines of one very common template
