@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import embeddings, langid, licenses, lines, mixing, packing, quality, simhash
+from tidemill.llm import embeddings, langid, licenses, lines, lmscore, mixing, packing, quality, simhash
 from tidemill.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "extra")
 
 
+def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lmscore.score(table(spark, sf_dir, "documents"), remainder(5) == 1)
+    bits = F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes"))
+    return found.withColumn("bits_per_byte", bits)
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_embeddings": op2_embeddings,
@@ -68,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
+    "op10_lmscore": op10_lmscore,
 }
 
 ORACLE_SQL: dict[str, str] = {
