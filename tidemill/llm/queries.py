@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import embeddings, langid, licenses, lines, lmscore, mixing, packing, quality, simhash
+from tidemill.llm import embeddings, langid, licenses, lines, lmscore, mixing, packing, quality, simhash, substrings
 from tidemill.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op4_lines": op4_lines,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op7_substrings": op7_substrings,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_lmscore": op10_lmscore,
