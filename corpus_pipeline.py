@@ -1,3 +1,91 @@
-"""From raw documents to packed token sequences, in stages that each reread what the one before wrote."""
+"""From raw documents to packed token sequences, in stages that each reread what the one before wrote.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.llm import lines, mixing, packing, quality, simhash
+from tidemill.llm.queries import tokenizer_path
+from tidemill.llm.runtime import WORD, ship, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document goes if line dedup leaves it less than this share of its words.
+LEAST_LEFT = 0.2
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _these(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id, null included, is in ids."""
+    kept = ids.select(F.col("doc_id").alias("__id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    ship(spark)
+    return _these(docs, quality.quality(docs).where("kept"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their recurring lines; one that is left hardly a word goes. n_chars follows the text."""
+    done = lines.dedup_lines(docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("__words")))
+    left = (F.col("n_dropped") == 0) | (mixing.word_count(F.col("text")) >= F.greatest(F.lit(1), LEAST_LEFT * F.col("__words")))
+    return done.where(left).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of least doc_id, once."""
+    ship(spark)
+    found = simhash.near_duplicates(docs)
+    return _these(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()).dropDuplicates(["doc_id"])
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; words beside whole copies are the first ones of the text, joined by spaces."""
+    ship(spark)
+    taken = mixing.mix(docs).where("taken > 0")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    plan = taken.select(F.col("doc_id").alias("__id"), whole.alias("__whole"), rest.alias("__rest"))
+    joined = docs.select(COLUMNS).join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
+    parts = F.concat(F.array_repeat(F.lit(0), F.col("__whole")), F.when(F.col("__rest") > 0, F.array("__rest")).otherwise(F.array().cast("array<int>")))
+    rows = joined.withColumn("__part", F.explode(parts))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("__part"), F.lit(1))), " ")
+    text = F.when(F.col("__part") > 0, part).otherwise(F.col("text"))
+    return rows.withColumn("n_chars", F.when(F.col("__part") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    ship(spark)
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", source_mixing),
+    ("packing", packing_stage),
+]
+
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written as Parquet to the shared checkpoint folder and read again."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
+    docs = table(spark, sf_dir, "documents")
+    top = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+        docs = spark.read.parquet(f"{top}/{k}")
+    return docs
