@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-FAMILIES = ("advantages", "losses")
+FAMILIES = ("advantages", "losses", "offpolicy")
 
 
 def queries() -> dict[str, Callable]:
