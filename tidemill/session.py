@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +25,17 @@ def session(name: str = "tidemill", master: str | None = None, **settings: str)
     for k, v in (SETTINGS | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their PYTHONPATH has it."""
+    root = Path(__file__).resolve().parents[1]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tidemill_shipped", False):
+        return
+    out = Path(tempfile.mkdtemp()) / "tidemill.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted((root / "tidemill").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(out))
+    sc._tidemill_shipped = True
