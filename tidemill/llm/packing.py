@@ -27,7 +27,7 @@ from tidemill.llm.spans import Powers, hashes, word_spans
 
 WINDOW, END_ID = 2048, 1
 SENTENCE, BROKEN, HARD = 2, 48, 512
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 REMEMBERED = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 TAIL, STOP, LETTER = (np.isin(np.arange(256), list(x)) for x in (b".,!?", b".!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -47,26 +47,35 @@ class UnitIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[int, bytes] = {}  # by hash: little-endian unsigned 32-bit ids
+        self.known = np.zeros(0, np.uint64)  # hashes of known units, sorted; their ids are flat[at : at + n]
+        self.at, self.n, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.powers = Powers()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, units: list[tuple[int, bytes]]) -> None:
-        words, others = [], []
-        for h, unit in units:
-            u = unit.decode("utf-8", "replace")
-            (words if u.isalpha() else others).append((h, u))
-        if words:
-            ids = self.encode([" ".join([u for _, u in words])])[0]
-            at = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(at) == len(words):
-                raw, at = ids.tobytes(), at.tolist()
-                self.known.update((h, raw[a:b]) for (h, _), a, b in zip(words, [0, *at], at, strict=False))
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, hashed: np.ndarray, units: list[bytes]) -> None:
+        """Take up new units; hashed: theirs, sorted."""
+        texts = [u.decode("utf-8", "replace") for u in units]
+        letters = np.array([u.isalpha() for u in texts], bool)
+        words, rest = np.flatnonzero(letters), np.flatnonzero(~letters)
+        n, flat = np.zeros(len(units), np.int64), []
+        if len(words):
+            ids = self.encode([" ".join([texts[i] for i in words.tolist()])])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(words):
+                n[words] = np.diff(ends, prepend=0)
+                flat.append(ids)
             else:  # letters that the tokenizer sees otherwise
-                others += words
-        self.known.update((h, x.tobytes()) for (h, _), x in zip(others, self.encode([u for _, u in others]), strict=True))
+                words, rest = words[:0], np.arange(len(units))
+        alone = self.encode([texts[i] for i in rest.tolist()])
+        n[rest] = [len(x) for x in alone]
+        order = np.concatenate([words, rest])
+        at = np.empty(len(units), np.int64)
+        at[order] = np.cumsum(n[order]) - n[order] + len(self.flat)
+        self.flat = np.concatenate([self.flat, *flat, *alone])
+        where = np.searchsorted(self.known, hashed)
+        self.known, self.at, self.n = np.insert(self.known, where, hashed), np.insert(self.at, where, at), np.insert(self.n, where, n)
 
     def ids(self, bodies: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all texts in order, end_id after each; where texts end and where sentences end, as counts of ids."""
@@ -84,17 +93,16 @@ class UnitIds:
         begin[last[split]], stop[first[split]] = stem[split], stem[split]
         h, one, which = np.unique(hashes(buf, begin, stop, self.powers), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        keys, view = h.tolist(), buf.tobytes()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        spans = one[new]
-        self.learn([(keys[i], view[a:b]) for i, a, b in zip(new, begin[spans].tolist(), stop[spans].tolist(), strict=True)])
-        found = [self.known[k] for k in keys]
-        found.append(np.array([end_id], "<u4").tobytes())
-        sizes = np.array([len(x) for x in found], np.int64) // 4
-        flat, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+            self.known, self.at, self.n, self.flat = self.known[:0], self.at[:0], self.n[:0], self.flat[:0]
+        at = np.searchsorted(self.known, h)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != h) if len(self.known) else np.arange(len(h))
+        view, spans = buf.tobytes(), one[new]
+        self.learn(h[new], [view[a:b] for a, b in zip(begin[spans].tolist(), stop[spans].tolist(), strict=True)])
+        found = np.searchsorted(self.known, h)
+        sizes, at = np.append(self.n[found], 1), np.append(self.at[found], len(self.flat))
+        flat = np.append(self.flat, np.uint32(end_id))
         in_doc = np.searchsorted(begin, doc_ends)  # units before each text's end
-        which = np.insert(which, in_doc, len(keys))
+        which = np.insert(which, in_doc, len(h))
         ends = np.cumsum(sizes[which])
         lengths = sizes[which]
         ids = flat[np.repeat(at[which] - (ends - lengths), lengths) + np.arange(ends[-1])]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.components import components
 from tidemill.llm.runtime import columns, cut, grouped, texts
 
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 1_500_000
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BUCKET, MOST_BITS = 512, 24
 PIECE = 2_000_000
