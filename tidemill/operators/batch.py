@@ -227,10 +227,10 @@ def merged(a: Mapping[str, Any], b: Mapping[str, Any]) -> dict[str, Any]:
 def concat(batches: Sequence[Batch]) -> Batch:
     """Rows of all, one after another. Metrics are gathered into lists by name; other meta must be equal."""
     rows, at, meta, metrics = None, 0, {}, []
-    for b in batches:
+    for k, b in enumerate(batches):
         moved = b.rows.withColumn(ROW, F.col(ROW) + at)
         rows = moved if rows is None else rows.unionByName(moved)
-        at += len(b) if b is not batches[-1] else 0
+        at += len(b) if k + 1 < len(batches) else 0
         own = dict(b.meta)
         found = own.pop("metrics", None)
         metrics += found if isinstance(found, list) else [found] if found else []
