@@ -1,12 +1,13 @@
 """Advantage estimators.
 
 Sequence estimators work on a row per sequence (seq_id, uid, score, length) by windows over uid, so that one exchange on uid serves
-all their statistics. Token estimators work on a row per token (seq_id, pos, mask, reward, ...), by windows over seq_id or, where a
-recursion depends on the mask, by a fold over a sequence's array. Both add columns; `spread` brings a sequence's advantage to its tokens.
+all their statistics. Token estimators work on a row per token (seq_id, pos, mask, reward, ...), by windows over seq_id; recursions are
+running sums of discounted terms. Both add columns; `spread` brings a sequence's advantage to its tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,45 +108,46 @@ def _forward() -> Window:
 
 
 def _backward() -> Window:
-    return Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the last token on: a frame that reaches to the partition's end would be summed anew for every row
+    return Window.partitionBy("seq_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _folded(tokens: DataFrame, fields: list[str], start: Column, step, out: list[str]) -> DataFrame:
-    """A fold over each sequence from its last token to its first. step(state, token) gives the next state; its array `out` holds a struct per token."""
-    rows = tokens.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("__t"))
-    folded = rows.select("seq_id", F.explode(F.aggregate(F.reverse("__t"), start, step, lambda s: s["out"])).alias("__o"))
-    return tokens.join(folded.select("seq_id", F.col("__o.pos").alias("pos"), *(F.col(f"__o.{c}").alias(c) for c in out)), ["seq_id", "pos"])
+def discounted(rows: DataFrame, keys: list[str], index: str, x: Column, rate: float, out: str) -> DataFrame:
+    """rows with `out`: the sum, over this and later rows of equal keys, of x times rate to the power of how far on in `index` they are.
+
+    Running sums of x times powers of the rate, within blocks short enough for the powers to stay in range; beyond the next block
+    they are below a double's precision. So a long sequence takes time in proportion to its length."""
+    if rate <= 0:
+        return rows.withColumn(out, x)
+    width = math.ceil(46 / -math.log(rate)) if rate < 1 else 1 << 40
+    rows = rows.withColumns({"__b": F.floor(F.col(index) / width), "__x": x * F.pow(F.lit(rate), F.col(index) % width)})
+    block = Window.partitionBy(*keys, "__b")
+    local = F.sum("__x").over(block.orderBy(F.col(index).desc(), F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"__s": local / F.pow(F.lit(rate), F.col(index) % width), "__t": F.sum("__x").over(block)})
+    after = F.max("__t").over(Window.partitionBy(*keys).orderBy("__b").rangeBetween(1, 1))
+    tail = F.coalesce(after, F.lit(0.0)) * F.pow(F.lit(rate), width - F.col(index) % width) if rate < 1 else F.lit(0.0)
+    return rows.withColumn(out, F.col("__s") + tail).drop("__b", "__x", "__s", "__t")
 
 
 @TOKEN.register("gae")
 def gae(tokens: DataFrame, gamma: float = 1.0, lam: float = 1.0, whitened: bool = True) -> DataFrame:
-    """advantage and returns by generalised advantage estimation; tokens without mask are passed over, and their neighbours follow one another."""
-    none = F.array().cast("array<struct<pos:bigint,advantage:double,returns:double>>")
-
-    def step(s: Column, t: Column) -> Column:
-        on = t["mask"] != 0
-        delta = t["reward"] + gamma * s["next"] - t["value"]
-        now = F.when(on, delta + gamma * lam * s["last"]).otherwise(s["last"])
-        new = F.struct(t["pos"].cast("bigint").alias("pos"), now.alias("advantage"), (now + t["value"]).alias("returns"))
-        return F.struct(F.when(on, t["value"]).otherwise(s["next"]).alias("next"), now.alias("last"), F.concat(s["out"], F.array(new)).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), none.alias("out"))
-    out = _folded(tokens, ["mask", "reward", "value"], start, step, ["advantage", "returns"])
+    """advantage and returns by generalised advantage estimation; tokens without mask are passed over: their neighbours follow one
+    another, and they take what comes after them."""
+    on = F.col("mask") != 0
+    w = Window.partitionBy("seq_id")
+    before, after = w.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1), w.orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = tokens.withColumns({
+        "__k": F.coalesce(F.sum(on.cast("long")).over(before), F.lit(0)), "__next": F.coalesce(F.last(F.when(on, F.col("value")), ignorenulls=True).over(after), F.lit(0.0))})
+    delta = F.when(on, F.col("reward") + gamma * F.col("__next") - F.col("value")).otherwise(0.0)
+    out = discounted(rows, ["seq_id"], "__k", delta, gamma * lam, "advantage").drop("__k", "__next").withColumn("returns", F.col("advantage") + F.col("value"))
     return whiten(out, "advantage", "mask", "advantage") if whitened else out
 
 
 @TOKEN.register("reinforce_plus_plus")
 def reinforce_plus_plus(tokens: DataFrame, gamma: float = 1.0) -> DataFrame:
     """returns: discounted rewards to come, up to a token without mask, which itself has all; advantage: those whitened, under the mask."""
-    none = F.array().cast("array<struct<pos:bigint,returns:double>>")
-
-    def step(s: Column, t: Column) -> Column:
-        now = t["reward"] + gamma * s["run"]
-        new = F.struct(t["pos"].cast("bigint").alias("pos"), now.alias("returns"))
-        return F.struct((now * t["mask"]).alias("run"), F.concat(s["out"], F.array(new)).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("run"), none.alias("out"))
-    out = _folded(tokens, ["mask", "reward"], start, step, ["returns"])
+    rows = tokens.withColumn("__z", F.sum((F.col("mask") == 0).cast("long")).over(_forward()))
+    out = discounted(rows, ["seq_id", "__z"], "pos", F.col("reward"), gamma, "returns").drop("__z")
     return whiten(out, "returns", "mask", "advantage").withColumn("advantage", F.col("advantage") * F.col("mask"))
 
 
