@@ -93,7 +93,9 @@ def mix(docs: DataFrame) -> DataFrame:
     held = rows.join(plan, (F.col("key") == F.col("k")) & (F.col("size") == F.col("z")))
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(9))
     held = held.withColumn("salt", F.when(F.col("n") <= CELL, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / CELL))).cast("long"))
-    cell = Window.partitionBy("key", "size", "salt")
+    # one column for the cell: a hot (key, size) is dealt out by salt only if the join's partitioning doesn't serve the window too
+    held = held.withColumn("cell", F.concat_ws("/", "key", "size", "salt"))
+    cell = Window.partitionBy("cell")
     share = F.floor(F.count("*").over(cell) * F.col("part") + F.pmod(F.xxhash64("key", "size", "salt"), F.lit(1024)) / 1024.0)
     held = held.withColumns({"place": F.row_number().over(cell.orderBy(order, "doc_id")), "quota": F.when(F.col("n") <= CELL, F.col("more")).otherwise(share)})
     held = cut(held.withColumn("copies", F.least(F.col("whole") + F.when(F.col("place") <= F.col("quota"), 1).otherwise(0), F.lit(CAP)).cast("long")))
