@@ -26,7 +26,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def _these(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id, null included, is in ids."""
     kept = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(COLUMNS)
+    return docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

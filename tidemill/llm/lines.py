@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.runtime import cut
+from tidemill.llm.runtime import cut, fresh
 
 LEADING, MIN_TOKENS, MIN_DOCS = 0.7, 3, 3
 FIELD = r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
@@ -54,14 +54,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A null text stays null, with 0 lines; an empty text is one empty line; rows without doc_id stay as they are and count
     nowhere; repeated rows are one document and lose the same lines; very long texts are parsed whole; an empty table gives no rows."""
-    f = flags(docs).select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("keep").alias("__keep"))
-    own = docs.join(f, (docs["doc_id"] == F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
-    parts = lines(F.col("text"))
-    kept = F.filter(parts, lambda _, i: F.get(F.col("__keep"), i))
+    d, h, keep = fresh(docs, "__d", "__h", "__keep")
+    f = flags(docs).toDF(d, h, keep)
+    own = docs.join(f, (docs["doc_id"] == F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
+    parts, known = lines(F.col("text")), F.col(keep).isNotNull()
+    kept = F.filter(parts, lambda _, i: F.get(F.col(keep), i))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    gone = F.when(F.col("__keep").isNull(), 0).otherwise(F.size(F.filter(F.col("__keep"), lambda k: ~k))).cast("long")
-    text = F.when(F.col("__keep").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return own.withColumns({"n_lines": n, "n_dropped": gone, "text": text}).drop("__d", "__h", "__keep")
+    gone = F.when(known, F.size(F.filter(F.col(keep), lambda k: ~k))).otherwise(0).cast("long")
+    text = F.when(known, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return own.withColumns({"n_lines": n, "n_dropped": gone, "text": text}).drop(d, h, keep)
 
 
 ORACLE = r"""

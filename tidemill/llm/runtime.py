@@ -65,6 +65,16 @@ def doc_crc(doc_id: int | None) -> int:
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def tasks(df: DataFrame) -> int:
     """Partitions for a shuffle of df's rows: what the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
