@@ -82,8 +82,9 @@ def grpo_passk(seqs: DataFrame, norm_by_std: bool = True) -> DataFrame:
     ranked = w.orderBy(F.col("score").desc(), "seq_id")
     second = F.nth_value("score", 2).over(ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     few = F.raise_error(F.lit("a group needs two rows or more")).cast("double")
-    lead = F.when(F.count("*").over(w) < 2, few).when(F.row_number().over(ranked) == 1, F.col("score") - second).otherwise(0.0)
-    return seqs.withColumn("advantage", lead / (F.stddev_samp("score").over(w) + STD_EPS) if norm_by_std else lead)
+    lead = F.when(F.row_number().over(ranked) == 1, F.col("score") - second).otherwise(0.0)
+    scaled = lead / (F.stddev_samp("score").over(w) + STD_EPS) if norm_by_std else lead
+    return seqs.withColumn("advantage", F.when(F.count("*").over(w) < 2, few).otherwise(scaled))
 
 
 def spread(tokens: DataFrame, seqs: DataFrame) -> DataFrame:

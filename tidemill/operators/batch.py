@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.session import cut
+
 ROW = "row_idx"
 
 
@@ -16,7 +18,8 @@ def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """df with row_idx from 0 in the order given (which must be total). Rows are numbered within ranges of the order, and ranges' sizes
     are summed up, so no task sees all rows."""
     ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    # kept as it is: ranges drawn anew, or put together otherwise, would not fit the sums
+    local = cut(ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*order))))
     sizes = local.groupBy("__part").agg(F.max("__k").alias("__n"))
     before = sizes.select(F.col("__part").alias("__p"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__b"))
     return local.join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn(ROW, (F.col("__b") + F.col("__k") - 1).cast("long")).drop("__part", "__p", "__k", "__b")
@@ -190,7 +193,7 @@ class Batch:
         rows = self.rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         if seed is None:
             return rows.withColumn("mini_batch", F.floor(F.col(ROW) / size).cast("int"))
-        order = F.xxhash64(ROW, "epoch", F.lit(seed))
+        order = F.xxhash64("__old", "epoch", F.lit(seed))
         mixed = numbered(rows.withColumnRenamed(ROW, "__old").withColumn("__h", order), "epoch", "__h", "__old")
         return mixed.withColumn("mini_batch", F.floor((F.col(ROW) - F.col("epoch") * n) / size).cast("int")).drop(ROW, "__h").withColumnRenamed("__old", ROW)
 

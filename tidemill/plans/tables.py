@@ -60,7 +60,7 @@ def repeat_each(s: SparkSession, d: str) -> DataFrame:
 put("tbl_slice", f"{B} SELECT (n - 1 - row_idx) // 3 AS row_idx, key, cust, status FROM b, n WHERE (n - 1 - row_idx) % 3 = 0 AND row_idx > 10")(lambda s, d: same(batch(s, d).slice(None, 10, -3)))
 put("tbl_chunk", f"{B} SELECT *, row_idx * 7 // n AS chunk FROM b, n".replace("SELECT *,", "SELECT row_idx, key, cust, status,"))(lambda s, d: same(batch(s, d).chunk_ids(7, even=False), "chunk"))
 put("tbl_split", f"{B} SELECT *, row_idx // 64 AS piece FROM b")(lambda s, d: same(batch(s, d).split_ids(64), "piece"))
-put("tbl_pad", f"{B} SELECT * FROM b UNION ALL SELECT row_idx + n, key, cust, status FROM b, n WHERE row_idx < (4096 - n % 4096) % 4096")(lambda s, d: same(batch(s, d).pad_to(4096)[0]))
+put("tbl_pad", f"{B} SELECT * FROM b UNION ALL SELECT row_idx + k * n, key, cust, status FROM b, n, (SELECT unnest(range(1, 4096)) AS k) WHERE k * n < (n + 4095) // 4096 * 4096 AND row_idx + k * n < (n + 4095) // 4096 * 4096")(lambda s, d: same(batch(s, d).pad_to(4096)[0]))
 put("tbl_padding", f"{B} SELECT * FROM b UNION ALL SELECT n + k, key, cust, status FROM b, n, (SELECT unnest(range(5)) AS k) WHERE row_idx = n - 1")(lambda s, d: same(batch(s, d).padding(5)))
 put("tbl_reorder", f"{B} SELECT n - 1 - row_idx AS row_idx, key, cust, status FROM b, n")(lambda s, d: same(reverse(batch(s, d))))
 
