@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.session import ship
+from tidemill.session import cut, ship
+
+__all__ = ["WORD", "columns", "cut", "doc_crc", "fresh", "grouped", "ship", "table", "tasks", "texts"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,15 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there; an own folder only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-"))
-    return df.checkpoint(eager=True)
-
-
 def texts(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text as UTF-8 and further columns of df, whatever else it holds."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
