@@ -14,6 +14,7 @@ from tidemill.session import cut, ship
 
 __all__ = ["WORD", "columns", "cut", "doc_crc", "fresh", "grouped", "ship", "table", "tasks", "texts"]
 
+BATCH_BYTES = "4m"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -23,7 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(df: DataFrame, *more: str) -> DataFrame:
-    """doc_id, the text as UTF-8 and further columns of df, whatever else it holds."""
+    """doc_id, the text as UTF-8 and further columns of df, whatever else it holds. Batches go to Python by size, since texts differ
+    in length: what a task holds of them is bounded in bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
 
 
