@@ -26,7 +26,7 @@ def remainder(n: int) -> Column:
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"), remainder(4) != 2)
-    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
