@@ -314,6 +314,12 @@ def test_lm_scores(docs, cases):
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
 
 
+def test_tree_has_a_bound(docs):
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    shallow, bounded = (rows(lmscore.score(docs, held, *a), "doc_id", "score") for a in ((2,), (4, 100)))
+    assert shallow == bounded
+
+
 def test_tree_is_a_distribution_and_its_weights_are_those_of_the_recursion():
     rng = np.random.default_rng(2)
     text = [bytes(rng.choice(list(b"abc "), 30)) for _ in range(20)]
