@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.runtime import columns, grouped, texts
+from tidemill.llm.runtime import columns, grouped, lean, texts
 
 SEGMENT, UNITS = 64, 8
 PER_LANG, WINDOW = 400, 4000
@@ -201,4 +201,4 @@ def identify(docs: DataFrame, usable: Column) -> DataFrame:
             score = np.clip(prob[np.arange(len(best)), best], 0, 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return texts(docs).mapInArrow(work, SCHEMA)
+    return texts(docs).mapInArrow(lean(work), SCHEMA)

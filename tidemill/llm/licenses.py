@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemill.llm.runtime import columns, grouped, texts
+from tidemill.llm.runtime import columns, grouped, lean, texts
 
 GAP = 2
 GROUP_BYTES = 4_000_000
@@ -210,4 +210,4 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )
 
-    return texts(docs).mapInArrow(work, SCHEMA)
+    return texts(docs).mapInArrow(lean(work), SCHEMA)

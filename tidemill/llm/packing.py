@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemill.llm.runtime import columns, grouped, texts
+from tidemill.llm.runtime import columns, grouped, lean, texts
 from tidemill.llm.spans import Powers, hashes, word_spans
 
 WINDOW, END_ID = 2048, 1
 SENTENCE, BROKEN, HARD = 2, 48, 512
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 REMEMBERED = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 TAIL, STOP, LETTER = (np.isin(np.arange(256), list(x)) for x in (b".,!?", b".!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -205,4 +205,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
             yield pa.RecordBatch.from_arrays([out, *(pa.array(x.astype(np.int64)) for x in (*rest, seq + done, offset))], names=[x.split()[0] for x in SCHEMA.split(", ")])
             done += int(seq[-1]) + 1
 
-    return texts(docs).mapInArrow(work, SCHEMA)
+    return texts(docs).mapInArrow(lean(work), SCHEMA)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
-from tidemill.llm.runtime import columns, cut, grouped, texts
+from tidemill.llm.runtime import columns, cut, grouped, lean, texts
 
 GROUP_BYTES = 1_500_000
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             hashes = np.fromiter((h for x in own for h in x), np.uint64, int(counts.sum()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(majority(hashes, counts).view(np.int64))], names=["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(work, "doc_id long, fp long")
+    return texts(docs).mapInArrow(lean(work), "doc_id long, fp long")
 
 
 def _flips(positions: list[int], most: int) -> list[tuple[np.uint64, int]]:
@@ -161,7 +161,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = bucket_links(fp, used, (fp & ~mask) | value, free, radius) if len(fp) > 1 else (fp[:0], fp[:0])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return fps.select("fp").mapInArrow(spread, "bucket long, fps binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return fps.select("fp").mapInArrow(lean(spread), "bucket long, fps binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
