@@ -9,10 +9,15 @@ import corpus_pipeline as P
 from tests.llm.test_operators import SPACE, brute_fingerprint, words
 
 
+DONE = {}
+
+
 def run(spark, docs, n):
-    for _, stage in P.STAGES[:n]:
-        docs = stage(spark, docs, "").persist()
-    return docs
+    """What the first n stages make of docs; each is run once."""
+    made = DONE.setdefault(id(docs), [docs])
+    while len(made) <= n:
+        made.append(P.STAGES[len(made) - 1][1](spark, made[-1], "").persist())
+    return made[n]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
@@ -61,6 +66,7 @@ def test_run_is_the_stages(spark):
     from tests.conftest import DATA
 
     got = P.run(spark, DATA)
-    want = run(spark, spark.read.parquet(f"{DATA}/documents.parquet"), 5)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = run(spark, docs, 5)
     count = lambda df: collections.Counter((r.doc_id, r.length) for r in df.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "length").collect())
     assert count(got) == count(want)
