@@ -320,6 +320,29 @@ def test_tree_has_a_bound(docs):
     assert shallow == bounded
 
 
+def test_tree_stays_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    held = F.lit(False)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 100), x -> left(md5(string(100 * id + x)), 9)), ' ')").alias("text"))
+    codes = lmscore.count_codes(lmscore.count_words(lmscore.deal(docs, held, 4)), lmscore.DEPTH).count()
+    sizes = []
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(DataFrame, name, lambda self, f=getattr(DataFrame, name): (got := f(self), sizes.append(len(got)))[0])
+    lmscore.score(docs, held).write.format("noop").mode("overwrite").save()
+    assert sizes and max(sizes) < codes / 2
+
+
+def test_tree_in_parts_is_the_tree():
+    rng = np.random.default_rng(3)
+    codes, _ = ctw.word_codes([bytes(rng.choice(list(b"abc"), 9)) for _ in range(300)], 4)
+    u, n = ctw.summed(codes, np.ones(len(codes), np.int64))
+    whole = ctw.Tree(u, n, 4)
+    keys, kt, own, below, level = ctw.levels(u, n, whole.by, 4, 2)
+    top = ctw.levels(*level, whole.by, 1, 0, below)
+    assert (ctw.Tree.of(whole.by, top[:3], (keys, kt, own)).slow(u) == whole.log_p).all()
+
+
 def test_tree_is_a_distribution_and_its_weights_are_those_of_the_recursion():
     rng = np.random.default_rng(2)
     text = [bytes(rng.choice(list(b"abc "), 30)) for _ in range(20)]

@@ -84,30 +84,46 @@ def up(keys: np.ndarray) -> np.ndarray:
     return ((keys >> np.uint64(16)) << np.uint64(8)) | (keys & np.uint64(255))
 
 
+def levels(codes: np.ndarray, n: np.ndarray, by: Decisions, depth: int, last: int, below: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list, list, list, tuple, tuple]:
+    """Of the depths `last` to `depth`: keys, kt and own of the nodes; then the keys one depth up and log Pw of those of `last`; and codes
+    and counts one depth up. below: the same keys and log Pw of the nodes deeper than `depth`; none at the full depth."""
+    keys, kt, own = [], [], []
+    for _ in range(depth, last - 1, -1):
+        at, zeros, ones = nodes(codes, n, by)
+        pw = pe = log_kt(zeros.astype(np.float64), ones.astype(np.float64))
+        weight = np.ones(len(at))
+        if below is not None:
+            product = np.bincount(np.searchsorted(at, below[0]), below[1], minlength=len(at))
+            weight = 1 / (1 + np.exp(np.clip(product - pe, -700, 700)))
+            pw = np.log(0.5) + np.logaddexp(pe, product)
+        keys.insert(0, at)
+        kt.insert(0, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32))
+        own.insert(0, weight.astype(np.float32))
+        below = up(at), pw
+        codes, n = summed(up(codes), n)
+    return keys, kt, own, below, (codes, n)
+
+
 class Tree:
     """keys[d], kt[d] (probability of a one) and own[d] (weight of it) of the nodes of depth d; codes and log10 probabilities of all coded bytes seen."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int):
-        self.depth = depth
         order = np.argsort(codes)
-        self.codes, n = codes[order].astype(np.uint64), n[order].astype(np.int64)
-        self.keys, self.kt, self.own = [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1)
-        self.by = Decisions(np.bincount((self.codes & np.uint64(255)).astype(np.int64), n, minlength=256))
-        level, count, below = self.codes, n, None
-        for d in range(depth, -1, -1):
-            keys, zeros, ones = nodes(level, count, self.by)
-            pe = log_kt(zeros.astype(np.float64), ones.astype(np.float64))
-            if below is None:
-                pw, own = pe, np.ones(len(keys))
-            else:
-                product = np.bincount(np.searchsorted(keys, up(below[0])), below[1], minlength=len(keys))
-                own = 1 / (1 + np.exp(np.clip(product - pe, -700, 700)))
-                pw = np.log(0.5) + np.logaddexp(pe, product)
-            self.keys[d], self.kt[d], self.own[d] = keys, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), own.astype(np.float32)
-            below = keys, pw
-            if d:
-                level, count = summed(up(level), count)
-        self.log_p = self.slow(self.codes)
+        codes, n = codes[order].astype(np.uint64), n[order].astype(np.int64)
+        by = Decisions(np.bincount((codes & np.uint64(255)).astype(np.int64), n, minlength=256))
+        self._set(by, *levels(codes, n, by, depth, 0)[:3])
+        self.codes = codes
+        self.log_p = self.slow(codes)
+
+    def _set(self, by: Decisions, keys: list, kt: list, own: list) -> None:
+        self.depth, self.by, self.keys, self.kt, self.own = len(keys) - 1, by, keys, kt, own
+
+    @classmethod
+    def of(cls, by: Decisions, *parts: tuple[list, list, list]) -> Tree:
+        """From the levels of its parts, those of the least depth first; without a table of coded bytes."""
+        tree = cls.__new__(cls)
+        tree._set(by, *(sum((list(p[k]) for p in parts), []) for k in range(3)))
+        return tree
 
     def slow(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each coded byte in its context, by its path through the tree."""

@@ -6,9 +6,13 @@ estimates of all depths. The deepest context is the whole token: a token known f
 Krichevsky-Trofimov estimate and half from the tree, any other all it gets from the tree's half.
 
 Each distinct token is counted and scored once. Tasks turn chunks of documents into (word, document, times) tables, dealt by the word's
-hash into buckets; a bucket counts its words, and when the tree is known scores them and gives sums per document, which
+hash into buckets; a bucket counts its words, and when they are scored gives sums per document, which
 are put together by chunk. A bucket's chunks are dealt on into groups of GROUP, so a word of all documents makes no group larger than
-its chunks. What reaches the driver is the counts of spelt contexts, of DEPTH + 1 bytes each, which level off as words repeat and are bounded by MOST_CODES.
+its chunks.
+
+The tree stays on the executors, dealt into parts by the TOP nearest bytes of context. A part works out its nodes of TOP bytes and
+more; the driver has the sums of the parts' weights and counts for the nodes above, of less than TOP bytes, at most 256 * 255 + 255
+at any size of input, and sends them out. A bucket asks every part for the coded bytes its words need and gets their probabilities.
 """
 
 from __future__ import annotations
@@ -20,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.ctw import Tree, summed, word_codes
+from tidemill.llm.ctw import Decisions, Tree, levels, summed, word_codes
 from tidemill.llm.runtime import columns, cut, grouped, lean, tasks, texts
 from tidemill.llm.spans import Powers, hashes, word_spans
 
 DEPTH, GROUP = 4, 512
-MOST_CODES = 1 << 24  # what contexts of 2 bytes cannot exceed
+TOP = 2
 GROUP_BYTES = 4_000_000
 END = b"\n"
 SENT = "bucket long, chunk long, words binary, sizes binary, train binary, uses binary"
@@ -102,47 +106,122 @@ def _gathered(words: list[bytes], sizes: list[bytes], powers: Powers) -> tuple[n
 
 
 def count_words(sent: DataFrame) -> DataFrame:
-    """bucket, words, sizes, counts (binary), n, v: each bucket's words of training texts, their counts, and how many tokens and words these are."""
+    """bucket, words, sizes, counts (binary), n, v: each bucket's words by their hash, their counts in training texts, and how many tokens and words these texts have."""
 
     def work(key: tuple, held: pa.Table) -> pa.Table:
         h, start, end, raw = _gathered(held.column("words").to_pylist(), held.column("sizes").to_pylist(), Powers())
         train = np.concatenate([_unpack(t) for t in held.column("train").to_pylist()])
         h, one, which = np.unique(h, return_index=True, return_inverse=True)
         n = np.bincount(which, train, minlength=len(h)).astype(np.int64)
-        keep = np.flatnonzero(n)
-        words = b"".join(raw[a:b] for a, b in zip(start[one[keep]].tolist(), end[one[keep]].tolist(), strict=True))
-        row = {"bucket": key[0].as_py(), "words": words, "sizes": _pack((end - start)[one[keep]]), "counts": n[keep].tobytes(), "n": int(n.sum()), "v": len(keep)}
+        words = b"".join(raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True))
+        row = {"bucket": key[0].as_py(), "words": words, "sizes": _pack((end - start)[one]), "counts": n.tobytes(), "n": int(n.sum()), "v": int((n > 0).sum())}
         return pa.table({k: [v] for k, v in row.items()})
 
     return sent.where("bucket >= 0").select("bucket", "words", "sizes", "train").groupBy("bucket").applyInArrow(work, "bucket long, words binary, sizes binary, counts binary, n long, v long")
 
 
-def fit(known: DataFrame, depth: int, most: int = MOST_CODES) -> Tree:
-    """The tree of the training words, each as often as it stands there. Should there be more than `most` coded bytes, contexts lose
-    their farthest byte, so that the tree has a bound for the driver and the broadcast."""
+def _codes(words: bytes, sizes: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.cumsum(_unpack(sizes)).tolist()
+    return word_codes([words[a:b] for a, b in zip([0, *at], at, strict=False)], depth)
+
+
+def _parts(sizes: int, depth: int) -> tuple[int, int]:
+    """How many parts of the tree, and the bits of a code right of the bytes that name its part."""
+    return sizes | 1, 8 * (depth + 1 - min(TOP, depth))
+
+
+def count_codes(known: DataFrame, depth: int) -> DataFrame:
+    """code, n: how often each coded byte stands in the training texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, sizes, counts in zip(*columns([batch], "words", "sizes", "counts"), strict=True):
-                at = np.cumsum(_unpack(sizes)).tolist()
-                own = [words[a:b] for a, b in zip([0, *at], at, strict=False)]
-                codes, spelt = word_codes(own, depth)
+                codes, spelt = _codes(words, sizes, depth)
                 code, n = summed(codes, np.repeat(np.frombuffer(counts, np.int64), spelt))
-                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], names=["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(code[n > 0].astype(np.int64)), pa.array(n[n > 0])], names=["code", "n"])
+
+    return known.select("words", "sizes", "counts").mapInArrow(lean(work), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
-    counts = cut(known.select("words", "sizes", "counts").mapInArrow(lean(work), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    while depth > 2 and counts.count() > most:
-        shorter = F.shiftleft(F.shiftrightunsigned("code", 16), 8).bitwiseOR(F.col("code").bitwiseAND(F.lit(255)))
-        counts, depth = cut(counts.groupBy(shorter.alias("code")).agg(F.sum("n").alias("n"))), depth - 1
-    counts = counts.toPandas()
-    return Tree(counts["code"].to_numpy(np.int64).astype(np.uint64), counts["n"].to_numpy(np.int64), depth)
 
+def _part(held: pa.Table, by: Decisions, depth: int) -> tuple[list, list, list, tuple, tuple]:
+    codes, n = held.column("code").to_numpy().astype(np.uint64), held.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(codes)
+    return levels(codes[order], n[order], by, depth, min(TOP, depth))
 
-def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, most_codes: int = MOST_CODES) -> DataFrame:
+
+def fit(counts: DataFrame, depth: int) -> tuple[Decisions, tuple[list, list, list]]:
+    """The code of the bytes, and the tree's nodes above its parts. counts: part, code, n."""
+    seen = counts.groupBy(F.col("code").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(256, np.int64)
+    for byte, n in seen:
+        total[byte] = n
+    by = Decisions(total)
+
+    def climb(key: tuple, held: pa.Table) -> pa.Table:
+        *_, (above, pw), (code, n) = _part(held, by, depth)
+        above, pw = summed(above, pw)
+        return pa.table({
+            "coded": pa.array([False] * len(above) + [True] * len(code)), "key": np.concatenate([above, code]).astype(np.int64),
+            "n": np.concatenate([np.zeros(len(above), np.int64), n]), "pw": np.concatenate([pw, np.zeros(len(code))])})
+
+    # in decimals, whose sum is the same in any order
+    sums = F.sum("n").alias("n"), F.sum(F.col("pw").cast("decimal(38,12)")).cast("double").alias("pw")
+    rows = counts.groupBy("part").applyInArrow(climb, "coded boolean, key long, n long, pw double").groupBy("coded", "key").agg(*sums).toPandas().sort_values("key")
+    coded = rows["coded"].to_numpy(bool)
+    key, n, pw = rows["key"].to_numpy(np.int64).astype(np.uint64), rows["n"].to_numpy(np.int64), rows["pw"].to_numpy(np.float64)
+    return by, levels(key[coded], n[coded], by, min(TOP, depth) - 1, 0, (key[~coded], pw[~coded]))[:3]
+
+
+def spell(known: DataFrame, counts: DataFrame, depth: int, parts: int, shift: int) -> DataFrame:
+    """known with the log10 probability (binary) that the tree gives each word's spelling."""
+    top = known.sparkSession.sparkContext.broadcast(fit(counts, depth))
+
+    def wanted(words: bytes, sizes: bytes) -> tuple[np.ndarray, ...]:
+        """Different codes in order of their parts, and the parts; where each coded byte has its own, and each word's number of them."""
+        codes, spelt = _codes(words, sizes, depth)
+        code, where = np.unique(codes, return_inverse=True)
+        part = ((code >> np.uint64(shift)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return code[order], part[order], rank[where], spelt
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, words, sizes in zip(*columns([batch], "bucket", "words", "sizes"), strict=True):
+                code, part, *_ = wanted(words, sizes)
+                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                blobs = [np.diff(x, prepend=np.uint64(0)).tobytes() for x in np.split(code, at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([bucket] * len(at), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "bucket", "codes"])
+
+    def answer(key: tuple, held: pa.Table, counted: pa.Table) -> pa.Table:
+        by, above = top.value
+        tree = Tree.of(by, above, _part(counted, by, depth)[:3])
+        asked = [np.cumsum(np.frombuffer(x, np.uint64), dtype=np.uint64) for x in held.column("codes").to_pylist()]
+        code, where = np.unique(np.concatenate([*asked, np.zeros(0, np.uint64)]), return_inverse=True)
+        found = np.split(tree.slow(code)[where], np.cumsum([len(x) for x in asked])[:-1]) if asked else []
+        return pa.table({"part": pa.array([key[0].as_py()] * len(asked), pa.int64()), "bucket": held.column("bucket"), "log_p": pa.array([x.tobytes() for x in found], pa.binary())})
+
+    def gather(key: tuple, held: pa.Table, told: pa.Table) -> pa.Table:
+        row = held.to_pylist()[0]
+        *_, where, spelt = wanted(row["words"], row["sizes"])
+        log_p = np.frombuffer(b"".join(x for _, x in sorted(zip(told.column("part").to_pylist(), told.column("log_p").to_pylist(), strict=True))), np.float32)
+        row["spelt"] = np.add.reduceat(log_p[where].astype(np.float64), np.cumsum(spelt) - spelt).tobytes()
+        return pa.table({k: pa.array([row[k]]) for k in ("bucket", "words", "sizes", "counts", "spelt")})
+
+    asked = known.select("bucket", "words", "sizes").mapInArrow(lean(ask), "part long, bucket long, codes binary")
+    told = asked.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(answer, "part long, bucket long, log_p binary")
+    return known.select("bucket", "words", "sizes", "counts").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(gather, "bucket long, words binary, sizes binary, counts binary, spelt binary")
+
+
+def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, most_codes: int | None = None) -> DataFrame:
     """SCHEMA: a row per document; documents for which held_out is true (not null) teach nothing.
 
     Null and empty texts have the end alone; repeated rows teach and are scored each; very long texts are taken whole; with nothing to
-    learn from, every estimate is that of no counts; an empty table gives no rows; other columns are ignored."""
+    learn from, every estimate is that of no counts; an empty table gives no rows; other columns are ignored.
+
+    The depth is the same at every size. Only a caller who gives most_codes has contexts lose their farthest byte while there are
+    more coded bytes than that."""
     buckets = max(8, tasks(docs))
     sent = cut(deal(docs, F.coalesce(held_out, F.lit(False)), buckets))
     known = cut(count_words(sent))
@@ -150,22 +229,22 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, most_codes: int
     chunks = sent.where("bucket = -1").count()
     salts = max(1, -(-chunks // GROUP))
     whole = n + 0.5 * (v + 1)
-    tree = docs.sparkSession.sparkContext.broadcast(fit(known, depth, most_codes))
+    counts = cut(count_codes(known, depth))
+    while most_codes is not None and depth > 2 and counts.count() > most_codes:
+        depth -= 1
+        counts = cut(count_codes(known, depth))
+    parts, shift = _parts(buckets, depth)
+    counts = counts.withColumn("part", F.pmod(F.shiftrightunsigned("code", shift), F.lit(parts).cast("long")))
+    spelled = cut(spell(known, counts, depth, parts, shift))
 
     def add(key: tuple, held: pa.Table, words: pa.Table) -> pa.Table:
         powers, out = Powers(), {"chunk": [], "sums": []}
         if held.num_rows:
-            h, start, end, raw = _gathered(held.column("words").to_pylist(), held.column("sizes").to_pylist(), powers)
-            h, one, which = np.unique(h, return_index=True, return_inverse=True)
-            count = np.zeros(len(h), np.int64)
-            if words.num_rows and words.column("counts")[0].as_py():
-                kh = _gathered(words.column("words").to_pylist(), words.column("sizes").to_pylist(), powers)[0]
-                at = np.searchsorted(h, kh)
-                there = (at < len(h)) & (h[np.minimum(at, len(h) - 1)] == kh)
-                count[at[there]] = np.frombuffer(words.column("counts")[0].as_py(), np.int64)[there]
-            spelling = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-            codes, spelt = word_codes(spelling, tree.value.depth)
-            spelt_p = np.add.reduceat(tree.value.log10(codes), np.cumsum(spelt) - spelt)
+            h = _gathered(held.column("words").to_pylist(), held.column("sizes").to_pylist(), powers)[0]
+            h, which = np.unique(h, return_inverse=True)
+            known_h = _gathered(words.column("words").to_pylist(), words.column("sizes").to_pylist(), powers)[0]
+            at = np.searchsorted(known_h, h)
+            count, spelt_p = (np.frombuffer(words.column(k)[0].as_py(), t)[at] for k, t in (("counts", np.int64), ("spelt", np.float64)))
             log_c = np.log10(count + 0.5)
             with np.errstate(divide="ignore"):
                 log_p = np.log10(0.5) + np.logaddexp(np.where(count > 0, log_c - np.log10(whole), -np.inf) * np.log(10), spelt_p * np.log(10)) / np.log(10)
@@ -198,7 +277,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, most_codes: int
 
     salt = F.pmod(F.xxhash64("chunk"), F.lit(salts))
     left = sent.where("bucket >= 0").select("bucket", salt.alias("salt"), "chunk", "words", "sizes", "uses")
-    right = known.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "words", "sizes", "counts")
+    right = spelled.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "words", "sizes", "counts", "spelt")
     kinds = "chunk long, sums binary, uses binary, ids binary, bytes binary, held binary"
     parts = left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(add, kinds)
     none = F.lit(None).cast("binary")
