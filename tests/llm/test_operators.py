@@ -333,6 +333,13 @@ def test_tree_stays_off_the_driver(spark, monkeypatch):
     assert sizes and max(sizes) < codes / 2
 
 
+def test_five_bytes_of_context_at_every_size(spark):
+    # only the fifth byte back tells what follows "zzzz"
+    docs = spark.createDataFrame([(0, "azzzzx bzzzzy " * 200, False), (1, "azzzzx", True), (2, "azzzzy", True)], "doc_id long, text string, held boolean")
+    five, four = ({r.doc_id: r.score for r in lmscore.score(docs, F.col("held"), *d).collect()} for d in ((), (4,)))
+    assert five[2] < four[2] - 1 and five[1] > four[1]
+
+
 def test_tree_in_parts_is_the_tree():
     rng = np.random.default_rng(3)
     codes, _ = ctw.word_codes([bytes(rng.choice(list(b"abc"), 9)) for _ in range(300)], 4)

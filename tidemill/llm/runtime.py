@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill.session import cut, ship
 
-__all__ = ["WORD", "columns", "cut", "doc_crc", "fresh", "grouped", "lean", "ship", "table", "tasks", "texts"]
+__all__ = ["WORD", "columns", "cut", "doc_crc", "fresh", "grouped", "lean", "release", "ship", "table", "tasks", "texts"]
 
 BATCH_BYTES = "4m"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,16 +52,21 @@ def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Re
         yield held
 
 
+def release() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Work that gives its memory back to the system when a task ends: Python workers live on, beside one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        release()
 
     return run
 
