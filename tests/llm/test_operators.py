@@ -131,6 +131,22 @@ def test_perplexity_band_rejects_noise(spark):
     assert not got[900] and all(got[i] for i in range(200))
 
 
+def test_words_of_no_other_document_are_rejected(spark):
+    import random
+
+    from tests.llm.conftest import DOCUMENTS, prose
+
+    r = random.Random(5)
+    made = [(i, prose(i, 150), "en", "s", 0) for i in range(200)]
+    made += [(900 + i, " ".join("".join(r.sample(w, len(w))) + r.choice(["***", "$$$", " |"]) for w in prose(700 + i, 150).split()), "en", "s", 0) for i in range(6)]
+    got = {x.doc_id: x for x in quality.quality(spark.createDataFrame(made, DOCUMENTS)).collect()}
+    assert all(got[i].kept for i in range(200)) and not any(got[900 + i].kept for i in range(6))
+    n = collections.Counter(w for d, t, *_ in made if not got[d].base_failed for w in set(words(t)))
+    for d, t, *_ in made:
+        own = [-math.log(max(n[w] - 1, 0.3)) for w in words(t) if re.search("[A-Za-z]", w)]
+        assert got[d].base_failed or got[d].rarity == pytest.approx(sum(own) / len(own))
+
+
 # line dedup
 def leaf(line):
     t = [re.sub(r"^[^0-9]*[0-9].*$", "<*>", w, flags=re.DOTALL) for w in words(line)]

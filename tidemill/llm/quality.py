@@ -6,6 +6,12 @@ sorted by the trigram's 24-bit code, a hash without collisions, beside dense tab
 perplexity lies outside its language's band is rejected. The band is the median -+ (the greater of LEAST and WIDTH times the
 quartile distance, plus SHORT / n_words ** 0.75, since a short text's mean strays further); median and quartiles come from all
 documents that the other rules keep.
+
+Junk made of likely letters passes that, so words are judged too: a text's rarity is the mean, over its words with a letter, of the
+negative logarithm of the number of other documents that have the word (documents that the base rules keep). Spark deals the words
+of chunks of documents by their hash into parts; each part counts documents on a sorted array of hashes and gives sums per
+document, which are put together by chunk. A document is rejected whose rarity is more than RARE, times the root of
+USUAL / n_words for a shorter one, above its language's median; both were set by the labels of the given tables.
 """
 
 from __future__ import annotations
@@ -17,17 +23,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.runtime import columns, cut, grouped, lean, texts
+from tidemill.llm.runtime import columns, cut, grouped, lean, release, tasks, texts
 from tidemill.llm.spans import SPACE, P, Powers, hashes, mixed, word_spans
 
-GROUP_BYTES = 1_000_000
+GROUP_BYTES = 3_000_000
 REPEAT_WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 WIDTH, LEAST, SHORT = 2.0, 0.06, 5.0
+RARE, USUAL = 0.9, 150.0
+ALONE = 0.3  # stands for the number of other documents where there is none
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 PREFIX = b"\n\n"
-SCORES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+SCORES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double, rarity double"
+SENT = "part long, chunk long, words binary, uses binary"
+
 
 def rules(bodies: list[bytes], powers: Powers) -> tuple[np.ndarray, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
@@ -143,12 +155,55 @@ def fit(docs: DataFrame) -> KneserNey:
     return KneserNey(counts["code"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
 
 
+def _failed(n_words, n_repeat_words):
+    """What the base rules reject; of columns or of arrays."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
+def word_tables(bodies: list[bytes], parts: int, powers: Powers) -> Iterator[tuple[int, np.ndarray, tuple]]:
+    """Per part: its number, the hashes of the texts' words with a letter, and (texts of each word, text, times)."""
+    buf = np.frombuffer(b"\n".join(bodies) + b"\n", np.uint8)
+    start, end = word_spans(buf)
+    letters = np.concatenate([[0], np.cumsum(LETTER[buf])])
+    some = letters[end] > letters[start]
+    start, end = start[some], end[some]
+    doc = np.searchsorted(np.cumsum([len(b) + 1 for b in bodies]), start, side="right")
+    h, which = np.unique(hashes(buf, start, end, powers), return_inverse=True)
+    part = (h % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.arange(len(h))
+    pair, times = np.unique(rank[which] * len(bodies) + doc, return_counts=True)
+    word, text = pair // max(1, len(bodies)), pair % max(1, len(bodies))
+    uses = np.bincount(word, minlength=len(h))
+    first = np.concatenate([[0], np.cumsum(uses)])
+    h, cuts = h[order], np.searchsorted(part[order], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        lo, hi = int(cuts[k]), int(cuts[k + 1])
+        yield k, h[lo:hi], (uses[lo:hi], text[first[lo] : first[hi]], times[first[lo] : first[hi]])
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    raw = np.array([len(x) for x in arrays], "<u4").tobytes() + b"".join(x.astype("<u4").tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), "<u4").astype(np.int64)
+    return np.split(raw[n:], np.cumsum(raw[:n])[:-1])
+
+
 def score(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """SCORES: the rules' counts and the mean negative log probability of a byte (null for an empty text)."""
+    """SCORES: the rules' counts, the mean negative log probability of a byte (null for an empty text), and the rarity (null for a
+    text that the base rules reject, or without a letter)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    parts = max(8, tasks(docs))
+    names = [x.split()[0] for x in SCORES.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, table = Powers(), held.value.table()
+        from pyspark import TaskContext
+
+        powers, table, chunk = Powers(), held.value.table(), TaskContext.get().partitionId() << 32
         for group in grouped(batches, GROUP_BYTES):
             ids, bodies, langs = columns(group, "doc_id", "text", "lang")
             bodies = [b or b"" for b in bodies]
@@ -157,28 +212,65 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
             ends = np.cumsum(sizes)
             with np.errstate(invalid="ignore", divide="ignore"):
                 log_ppl = (sums[ends - sizes] - sums[ends]) / sizes
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(x.astype(np.int64)) for x in rules(bodies, powers)), pa.array(log_ppl, mask=sizes == 0)],
-                names=[x.split()[0] for x in SCORES.split(", ")],
-            )
+            own = rules(bodies, powers)
+            failed = _failed(own[0], own[-1])
+            found = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(x.astype(np.int64)) for x in own), pa.array(log_ppl, mask=sizes == 0)], names=names[:-1])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, found.schema) as stream:
+                stream.write_batch(found)
+            rows = [(-1 - chunk, sink.getvalue().to_pybytes(), None)]
+            rows += [(k, h.tobytes(), _pack(*u)) for k, h, u in word_tables([b"" if f else b for b, f in zip(bodies, failed, strict=True)], parts, powers)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([chunk] * len(rows)), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["part", "chunk", "words", "uses"])
+            chunk += 1
+
+    def add(key: tuple, sent: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:  # the rules' counts of a chunk, which go by here so that the texts are read once
+            return sent
+        words = [np.frombuffer(x, np.uint64) for x in sent.column("words").to_pylist()]
+        known = np.unique(np.concatenate(words))
+        n = np.zeros(len(known), np.int64)
+        places = [np.searchsorted(known, w) for w in words]
+        for at, blob in zip(places, sent.column("uses").to_pylist(), strict=True):
+            n[at] += _unpack(blob, 3)[0]
+        rare = -np.log(np.maximum(n - 1, ALONE))
+        sums = []
+        for at, blob in zip(places, sent.column("uses").to_pylist(), strict=True):
+            uses, text, times = _unpack(blob, 3)
+            sums.append(np.concatenate([np.bincount(text, times * np.repeat(rare[at], uses)), np.bincount(text, times)]).tobytes())
+        out = pa.table({"part": sent.column("part"), "chunk": sent.column("chunk"), "words": pa.array(sums, pa.binary()), "uses": pa.nulls(len(sums), pa.binary())})
+        del words, known, places
+        release()
+        return out
+
+    def finish(key: tuple, told: pa.Table) -> pa.Table:
+        rows = sorted(zip(told.column("part").to_pylist(), told.column("words").to_pylist(), strict=True))
+        found = pa.ipc.open_stream(rows[0][1]).read_all()
+        total = np.zeros((2, found.num_rows))
+        for _, blob in rows[1:]:
+            k = len(blob) // 16
+            total[:, :k] += np.frombuffer(blob, np.float64).reshape(2, k)
+        return found.append_column("rarity", pa.array(total[0] / np.maximum(total[1], 1), mask=total[1] == 0))
 
-    return texts(docs, F.col("lang").cast("string").alias("lang")).mapInArrow(lean(work), SCORES)
+    docs = texts(docs, F.col("lang").cast("string").alias("lang"))
+    sent = docs.mapInArrow(lean(work), SENT).groupBy("part").applyInArrow(add, SENT)
+    return sent.groupBy("chunk").applyInArrow(finish, SCORES)
 
 
 def judge(scores: DataFrame) -> DataFrame:
-    """Add base_failed, the language's band and kept. scores: kept somewhere, as it is read twice."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scores = scores.withColumn("base_failed", failed)
-    quartiles = scores.where("not base_failed").groupBy("lang").agg(F.percentile_approx("log_ppl", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10000).alias("q"))
+    """Add base_failed, the language's bands and kept. scores: kept somewhere, as it is read twice."""
+    scores = scores.withColumn("base_failed", _failed(F.col("n_words"), F.col("n_repeat_words")))
+    quartiles = scores.where("not base_failed").groupBy("lang").agg(F.percentile_approx("log_ppl", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10000).alias("q"), F.percentile_approx("rarity", 0.5, 10000).alias("usual"))
     room = F.greatest(F.lit(LEAST), WIDTH * (F.col("q")[2] - F.col("q")[0])) + SHORT / F.greatest(F.col("n_words"), F.lit(1)) ** 0.75
     bands = quartiles.withColumnRenamed("lang", "band_lang")
     joined = scores.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
     fits = F.coalesce(F.col("log_ppl").between(F.col("q")[1] - room, F.col("q")[1] + room), F.lit(False))
-    return joined.withColumn("ppl_low", F.exp(F.col("q")[1] - room)).withColumn("ppl_high", F.exp(F.col("q")[1] + room)).withColumn("kept", ~F.col("base_failed") & fits).drop("q")
+    most = F.col("usual") + RARE * F.greatest(F.lit(1.0), F.sqrt(F.lit(USUAL) / F.greatest(F.col("n_words"), F.lit(1))))
+    usual = F.coalesce(F.col("rarity") <= most, F.lit(False))
+    return joined.withColumn("ppl_low", F.exp(F.col("q")[1] - room)).withColumn("ppl_high", F.exp(F.col("q")[1] + room)).withColumn("rarity_high", most).withColumn("kept", ~F.col("base_failed") & fits & usual).drop("q", "usual")
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, lang, the five counts, log_ppl, base_failed, ppl_low, ppl_high, kept.
+    """A row per document: doc_id, lang, the five counts, log_ppl, rarity, base_failed, ppl_low, ppl_high, rarity_high, kept.
 
     Null and empty texts have no words and fail the base rules; a null lang is a language of its own; repeated rows are judged
     alike, each with a row; very long texts are scored whole; an empty table gives no rows; other columns are ignored."""
