@@ -147,6 +147,24 @@ def test_words_of_no_other_document_are_rejected(spark):
         assert got[d].base_failed or got[d].rarity == pytest.approx(sum(own) / len(own))
 
 
+def test_named_holders_and_copyright_lines():
+    table, own = licenses.Rules(licenses.SENTENCES, licenses.RULES), licenses.SENTENCES
+    bsd = [own[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")]
+    for name in ("Acme Inc.", "the University of Somewhere", "Acme Inc. and Sons"):
+        held = [x.replace("the copyright holder", name).replace("THE COPYRIGHT HOLDERS", name.upper()) for x in bsd]
+        text = "Copyright (c) 2019, 2020 " + name + "\nAll rights reserved.\n\n" + ":\n1. ".join(held[:1] + [". ".join(held[1:]) + "."])
+        assert [x[1:] for x in table.match(text)[2]] == [("BSD-3-Clause", 5)], name
+    mit = [own[k] for k in ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")]
+    mit[3] = mit[3].replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME INC.")
+    for line in ("Copyright (c) 2020 Acme Inc", "Copyright 2020-2021 Jane Doe <j@x.org>", "(c) 2020 Acme"):
+        lines = [line, *re.sub(r"(.{50}\S*) ", r"\1\n", mit[0] + ": " + ". ".join(mit[1:]) + ".").split("\n")]
+        for sign in ("# ", " * ", "", "// "):
+            text = "\n".join(sign + x for x in lines)
+            n, _, found = table.match(text)
+            assert n == 5 and found == [(len(sign + line) + 1, "MIT", 4)], (sign, line, n, found)
+    assert table.match("Copyright (c) 2020 Acme All rights reserved")[1] == ["all-rights"]
+
+
 # line dedup
 def leaf(line):
     t = [re.sub(r"^[^0-9]*[0-9].*$", "<*>", w, flags=re.DOTALL) for w in words(line)]

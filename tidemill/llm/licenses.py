@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
 Sentences of a text are normalised (lower case, letters and digits only, white space as one space, "licence" as "license", copyright
-holders and years away) and mapped to the identifiers of known licence sentences. The identifiers, in order of the text, are
+holders and years away, named holders as those of the licence's own text) and mapped to the identifiers of known licence sentences. The identifiers, in order of the text, are
 then matched against ordered rules, those of more sentences first: a rule matches where its sentences follow one another with at
 most GAP other sentences between two of them, and takes those sentences up. What no rule takes stays known, without a licence.
 """
@@ -123,14 +123,48 @@ RULES = [
 ]
 
 SCHEMA = "doc_id long, n_sentences long, sentence_ids array<string>, licenses array<string>, rule_sizes array<int>, starts array<int>"
-# a sentence ends at a stop before white space, a colon or semicolon before white space, or an empty line
-END = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n")
-HOLDER = re.compile(r"copyright (?:c )?(?:\d{4} )*")
+# a sentence ends at a stop before white space, a colon or semicolon before white space, or an empty line; not at the stop of a
+# holder's name ("Acme Inc. nor the names of ...")
+AFTER_HOLDER = r"(?i:nor\W+the\W+names\W+of|(?:and|or)\W+(?:its\W+|the\W+|other\W+)?contributors|and\W+any\W+express|[\"'`\u201c]+as\W+is\b|disclaims?\W+all|be\W+liable\W+for)"
+SHORT = "|".join(rf"(?<=\b{x}\.)" for x in ("inc", "ltd", "llc", "co", "corp", "jr"))
+END = re.compile(rf"(?<=[.!?;:])(?!(?<=\.)[\s*#/]+{AFTER_HOLDER}|(?i:{SHORT})\s+(?:[\w&,]+\s+){{1,3}}{AFTER_HOLDER})\s+|\n\s*\n")
+# a line that names holders ends a sentence, as does the line before it
+COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright\s+(?:\(c\)|\u00a9|\d{4})|\(c\)\s*\d{4}|\u00a9)[^\n]*$", re.I | re.M)
+HOLDER = re.compile(r"^(?:copyright (?:c )?|c (?=\d{4} ))(?:\d{4} )*.*?(?=(?:\ball rights reserved)?$)")
+# normalised sentences that name a holder, and what they become
+NAMED = [(re.compile(rf"^{a} .{{1,200}}? {b}"), f"{a} {holder} {b}") for a, holder, b in (
+    ("neither the name of", "the copyright holder", "nor the names of its contributors may"),
+    ("this software is provided by", "the copyright holders and contributors", "as is and any express"),
+    ("the software is provided as is and", "the author", "disclaims all warranties with regard"),
+    ("in no event shall", "the authors or copyright holders", "be liable for any claim damages or other"),
+    ("in no event shall", "the author", "be liable for any special direct indirect or consequential"),
+)]
 
 
 def normalise(sentence: str) -> str:
     s = " ".join(re.sub(r"[^a-z0-9]+", " ", sentence.lower().replace("licence", "license")).split())
-    return re.sub(r"^(?:\d{1,2}|[a-z]) (?=\w{3})", "", s)
+    s = HOLDER.sub("", re.sub(r"^(?:\d{1,2}|[abd-z]|c(?! \d{4} )) (?=\w{3})", "", s))
+    for named, plain in NAMED:
+        s = named.sub(plain, s)
+    return s
+
+
+def sentences_of(text: str) -> Iterator[tuple[int, str]]:
+    """Places and texts of sentences."""
+    at = 0
+    for piece in END.split(text):
+        place = text.find(piece, at)
+        at = place + len(piece)
+        low = piece.lower()
+        begin = 0
+        if "copyright" in low or "(c)" in low or "\u00a9" in low:
+            for line in COPYRIGHT.finditer(piece):
+                if line.start() > begin:
+                    yield place + begin, piece[begin : line.start() - 1]
+                yield place + line.start(), line.group()
+                begin = line.end() + 1
+        if begin < len(piece) or not begin:
+            yield place + begin, piece[begin:]
 
 
 class Rules:
@@ -141,14 +175,12 @@ class Rules:
                 self.known[normalise(part)] = [*self.known.get(normalise(part), []), f"{name}" if not k else f"{name}#{k + 1}"]
         parts = {n: [f"{n}" if not k else f"{n}#{k + 1}" for k in range(sum(bool(normalise(x)) for x in END.split(s)))] for n, s in sentences.items()}
         self.rules = sorted(((name, [p for i in ids for p in parts[i]]) for name, ids in rules), key=lambda r: -len(r[1]))
-        self.starts = {k[:4] for k in self.known}
+        self.starts = {k[:4] for k in self.known} | {"copy"}
 
     def units(self, text: str) -> Iterator[tuple[int, int, str]]:
         """Number, place and normalised form of the text's sentences; one over several lines that is not known: its lines, if one of them is known."""
-        at = n = 0
-        for piece in END.split(text):
-            place = text.find(piece, at)
-            at = place + len(piece)
+        n = 0
+        for place, piece in sentences_of(text):
             whole = self.key(piece)
             if whole is None and "\n" in piece:
                 inner = place
