@@ -43,10 +43,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of least doc_id, once."""
+    """One document of each group of near-duplicates, the one of least doc_id, once. Rows are told apart by doc_id and text, so those
+    without an id, or of one id with other texts, stay unless they are near copies; of rows alike in both one stays."""
     ship(spark)
-    found = simhash.near_duplicates(docs)
-    return _these(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()).dropDuplicates(["doc_id"])
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("__key"))
+    found = simhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    groups = keyed.select("__key", "doc_id").join(found.select(F.col("doc_id").alias("__id"), "component_id").distinct(), F.col("__key") == F.col("__id"))
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("__first"))
+    return keyed.join(kept, F.col("__key") == F.col("__first"), "left_semi").dropDuplicates(["__key"]).select(COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

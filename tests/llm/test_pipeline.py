@@ -45,6 +45,15 @@ def test_one_of_each_group_stays(spark, docs):
     assert all((fp[a] ^ fp[b]).bit_count() > 4 for a in left for b in left if a < b)
 
 
+def test_rows_without_an_id_of_their_own_stay(spark):
+    from tests.llm.conftest import DOCUMENTS, prose
+
+    made = [(d, prose(900 + k, 80), "en", "s", 0) for k, d in enumerate((None, None, 7, 7))]
+    made += [(None, made[2][1], "en", "s", 0), made[0]]
+    left = [(r.doc_id, r.text) for r in P.near_dedup(spark, spark.createDataFrame(made, DOCUMENTS), "").collect()]
+    assert len(left) == 4 and set(left) == {r[:2] for r in made[:4]}
+
+
 def test_mixing_and_packing(spark, docs):
     three, four = run(spark, docs, 3).collect(), run(spark, docs, 4).collect()
     size = {r.doc_id: len(words(r.text)) for r in three}
