@@ -165,6 +165,14 @@ def test_named_holders_and_copyright_lines():
     assert table.match("Copyright (c) 2020 Acme All rights reserved")[1] == ["all-rights"]
 
 
+def test_components_go_on_until_nothing_changes(spark, monkeypatch):
+    from tidemill.llm import components
+
+    monkeypatch.setattr(components, "ROUNDS", 1, raising=False)
+    path = [(i * 37 % 64, (i + 1) * 37 % 64) for i in range(63)]
+    assert {r.component for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()} == {0}
+
+
 # line dedup
 def leaf(line):
     t = [re.sub(r"^[^0-9]*[0-9].*$", "<*>", w, flags=re.DOTALL) for w in words(line)]

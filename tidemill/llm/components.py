@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.runtime import cut
 
-ROUNDS = 60
-
 
 def _anew(c: str) -> Column:
     """The same value as an expression the planner can't see through, so that a join on it gets an exchange of its own, which adaptive execution can split where a node has very many links."""
@@ -25,11 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component: a row per node that has a link; component is the least node reachable. edges: a, b (long), in either direction, repeated or not.
 
     Each round shuffles the links a few times and ends in a checkpoint; the rounds grow with the logarithm of the longest
-    path. Only a count and a checksum reach the driver."""
+    path, and end when one changes nothing. Only a count and a checksum reach the driver."""
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
     e = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     seen = None
-    for _ in range(ROUNDS):
+    while True:
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             break
