@@ -327,51 +327,90 @@ def test_two_stage_order_is_the_suffixes():
 
 
 # language-model scores
-def test_lm_scores(docs, cases):
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    got = lmscore.score(docs, held)
-    train = collections.Counter()
-    for d, t, *_ in cases:
-        if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
-            train.update([w.encode() for w in words(lower(t or ""))] + [b"\n"])
+def brute_tree(streams, depth):
+    """log10 probability of a byte after its context, from a dictionary of nodes and the recursion, by the decisions of a Huffman code."""
+    total = collections.Counter(x for s in streams for x in s)
+    by = ctw.Decisions(np.array([total[i] for i in range(256)]))
+    path = [[(int(by.node[k, x]), bool(by.bit[k, x])) for k in range(by.steps) if by.node[k, x]] for x in range(256)]
+    counts = collections.defaultdict(lambda: [0, 0])
+    for s in streams:
+        whole = b"\n" * depth + s
+        for i in range(depth, len(whole)):
+            for d in range(depth + 1):
+                for node, bit in path[whole[i]]:
+                    counts[whole[i - d : i], node][bit] += 1
+    children = collections.defaultdict(set)
+    for c, node in counts:
+        if c:
+            children[c[1:], node].add(c)
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    pw, own = {}, {}
+    for c, node in sorted(counts, key=lambda x: -len(x[0])):
+        pe = kt(*counts[c, node])
+        if len(c) == depth:
+            pw[c, node], own[c, node] = pe, 1.0
+        else:
+            product = sum(pw[x, node] for x in children[c, node])
+            pw[c, node], own[c, node] = math.log(0.5) + float(np.logaddexp(pe, product)), 1 / (1 + math.exp(min(700, max(-700, product - pe))))
+
+    def log_p(context, x):
+        out = 0.0
+        for node, bit in path[x]:
+            p = None
+            for d in range(depth, -1, -1):
+                at = context[len(context) - d :], node
+                if at in counts:
+                    a, b = counts[at]
+                    one = (b + 0.5) / (a + b + 1)
+                    p = one if p is None else own[at] * one + (1 - own[at]) * p
+            p = 0.5 if p is None else p
+            out += math.log10(p if bit else 1 - p)
+        return out
+
+    return log_p
+
+
+@pytest.mark.parametrize(("which", "unit", "block"), [("docs", 32_000_000, 2_000_000), ("odd", 3000, 700)])
+def test_lm_scores(which, unit, block, cases, request, monkeypatch):
+    monkeypatch.setattr(lmscore, "UNIT", unit), monkeypatch.setattr(lmscore, "BLOCK", block)
+    monkeypatch.setattr(lmscore, "MOST", 10 * unit // 3)
+    df = request.getfixturevalue(which)
+    got = lmscore.score(df, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, 3)
+    spelt = [(d, [w.encode() for w in words(lower(t or ""))]) for d, t, *_ in cases]
+    teaches = lambda d: d is None or zlib.crc32(str(d).encode()) % 5 != 1
+    train = collections.Counter(x for d, w in spelt if teaches(d) for x in (*w, b"\n"))
     n, v = sum(train.values()), len(train)
-    known = list(train)
-    codes, spelt = ctw.word_codes(known, lmscore.DEPTH)
-    tree = ctw.Tree(*ctw.summed(codes, np.repeat([train[w] for w in known], spelt)), lmscore.DEPTH)
-
-    def p(w):
-        spelt_p = 10 ** float(tree.slow(ctw.word_codes([w], lmscore.DEPTH)[0]).astype(float).sum())
-        return 0.5 * spelt_p + (0.5 * (train[w] + 0.5) / (n + 0.5 * (v + 1)) if w in train else 0)
-
+    streams = [(d, b" ".join(w) + b"\n") for d, w in spelt]
+    log_p = brute_tree([s for d, s in streams if teaches(d)], 3)
     want = collections.defaultdict(list)
-    for d, t, *_ in cases:
-        w = [x.encode() for x in words(lower(t or ""))] + [b"\n"]
-        want[d].append((len(w), sum(x in train for x in w), sum(math.log10((train.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p(x)) for x in w)))
+    for (d, w), (_, s) in zip(spelt, streams, strict=True):
+        w = [*w, b"\n"]
+        run = b"\n" * 3 + s
+        want[d].append((len(w), sum(x in train for x in w), sum(math.log10((train.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(log_p(run[i - 3 : i], run[i]) for i in range(3, len(run)))))
     found = got.collect()
     assert len(found) == len(cases) and {r.train_tokens for r in found} == {n}
     for r in found:
         a = want[r.doc_id][0]
         assert (r.n_tokens, r.n_known) == a[:2]
-        assert r.base_score == pytest.approx(a[2], rel=1e-9) and r.score == pytest.approx(a[3], rel=1e-6)
-        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
+        assert r.base_score == pytest.approx(a[2], rel=1e-9) and r.score == pytest.approx(a[3], rel=1e-5)
+        assert r.held_out == (not teaches(r.doc_id))
 
 
-def test_tree_has_a_bound(docs):
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    shallow, bounded = (rows(lmscore.score(docs, held, *a), "doc_id", "score") for a in ((2,), (4, 100)))
-    assert shallow == bounded
+def test_order_of_words_counts(spark):
+    docs = spark.createDataFrame([(0, "up we go on and up we go on and " * 60, False), (1, "up we go on", True), (2, "go up on we", True)], "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in lmscore.score(docs, F.col("held")).collect()}
+    assert got[1] > got[2] + 2
 
 
 def test_tree_stays_off_the_driver(spark, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
-    held = F.lit(False)
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 100), x -> left(md5(string(100 * id + x)), 9)), ' ')").alias("text"))
-    codes = lmscore.count_codes(lmscore.count_words(lmscore.deal(docs, held, 4)), lmscore.DEPTH).count()
+    codes = 40 * 100 * 5  # at least as many different ones of 5 bytes and the next
     sizes = []
     for name in ("toPandas", "collect"):
         monkeypatch.setattr(DataFrame, name, lambda self, f=getattr(DataFrame, name): (got := f(self), sizes.append(len(got)))[0])
-    lmscore.score(docs, held).write.format("noop").mode("overwrite").save()
+    lmscore.score(docs, F.lit(False)).write.format("noop").mode("overwrite").save()
     assert sizes and max(sizes) < codes / 2
 
 
@@ -382,26 +421,29 @@ def test_five_bytes_of_context_at_every_size(spark):
     assert five[2] < four[2] - 1 and five[1] > four[1]
 
 
+def codes_of(pieces, depth):
+    buf = np.frombuffer(b"".join(b"\n" * depth + x for x in pieces), np.uint8)
+    sizes = np.array([len(x) + depth for x in pieces])
+    codes = ctw.coded(buf, np.cumsum(sizes) - sizes, sizes, depth)
+    return ctw.summed(codes, np.ones(len(codes), np.int64))
+
+
 def test_tree_in_parts_is_the_tree():
     rng = np.random.default_rng(3)
-    codes, _ = ctw.word_codes([bytes(rng.choice(list(b"abc"), 9)) for _ in range(300)], 4)
-    u, n = ctw.summed(codes, np.ones(len(codes), np.int64))
+    u, n = codes_of([bytes(rng.choice(list(b"abc"), 9)) for _ in range(300)], 4)
     whole = ctw.Tree(u, n, 4)
     keys, kt, own, below, level = ctw.levels(u, n, whole.by, 4, 2)
     top = ctw.levels(*level, whole.by, 1, 0, below)
-    assert (ctw.Tree.of(whole.by, top[:3], (keys, kt, own)).slow(u) == whole.log_p).all()
+    assert (ctw.Tree.of(whole.by, top[:3], (keys, kt, own)).slow(u) == whole.slow(u)).all()
 
 
-def test_tree_is_a_distribution_and_its_weights_are_those_of_the_recursion():
+def test_tree_is_a_distribution():
     rng = np.random.default_rng(2)
-    text = [bytes(rng.choice(list(b"abc "), 30)) for _ in range(20)]
-    codes, _ = ctw.word_codes(text, 2)
-    u, n = ctw.summed(codes, np.ones(len(codes), np.int64))
+    u, n = codes_of([bytes(rng.choice(list(b"abc "), 30)) for _ in range(20)], 2)
     tree = ctw.Tree(u, n, 2)
     for context in np.unique(u >> np.uint64(8))[:10]:
         every = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
         assert (10 ** tree.slow(every).astype(float)).sum() == pytest.approx(1, abs=1e-4)
-    # the root's weight, from block probabilities worked out by sequential updates
     kt = lambda bits: math.exp(sum(math.log((bits[:i].count(b) + 0.5) / (i + 1)) for i, b in enumerate(bits)))
     assert math.exp(ctw.log_kt(np.array([3.0]), np.array([2.0]))[0]) == pytest.approx(kt([0, 0, 1, 0, 1]))
     assert ctw.log_gamma(np.array([0.5, 5.0, 100.5])) == pytest.approx([math.lgamma(0.5), math.lgamma(5), math.lgamma(100.5)])

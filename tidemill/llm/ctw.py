@@ -105,15 +105,13 @@ def levels(codes: np.ndarray, n: np.ndarray, by: Decisions, depth: int, last: in
 
 
 class Tree:
-    """keys[d], kt[d] (probability of a one) and own[d] (weight of it) of the nodes of depth d; codes and log10 probabilities of all coded bytes seen."""
+    """keys[d], kt[d] (probability of a one) and own[d] (weight of it) of the nodes of depth d."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int):
         order = np.argsort(codes)
         codes, n = codes[order].astype(np.uint64), n[order].astype(np.int64)
         by = Decisions(np.bincount((codes & np.uint64(255)).astype(np.int64), n, minlength=256))
         self._set(by, *levels(codes, n, by, depth, 0)[:3])
-        self.codes = codes
-        self.log_p = self.slow(codes)
 
     def _set(self, by: Decisions, keys: list, kt: list, own: list) -> None:
         self.depth, self.by, self.keys, self.kt, self.own = len(keys) - 1, by, keys, kt, own
@@ -145,25 +143,15 @@ class Tree:
             out[on] += np.log10(np.where(bit, p, 1 - p))
         return out.astype(np.float32)
 
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each coded byte; those that were seen from the table."""
-        if not len(self.codes):
-            return self.slow(codes)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        out, new = self.log_p[at].astype(np.float64), self.codes[at] != codes
-        if new.any():
-            unseen, where = np.unique(codes[new], return_inverse=True)
-            out[new] = self.slow(unseen)[where]
-        return out
-
-
-def word_codes(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coded bytes of the words, each with a closing space, in contexts of its own bytes and spaces before them; and each word's number of them."""
-    sizes = np.array([len(w) for w in words], np.int64) + 1
-    buf = np.frombuffer(b" " * depth + b"".join(w + b" " for w in words), np.uint8).astype(np.uint64)
-    place = np.arange(len(buf) - depth) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # in its word
-    codes = np.zeros(len(buf) - depth, np.uint64)
+
+def coded(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
+    """The coded bytes of pieces of buf, each led by `depth` bytes that are context only."""
+    wide = buf.astype(np.uint64)
+    codes = wide[depth:].copy()
     for d in range(1, depth + 1):
-        before = np.where(place >= d, buf[depth - d : len(buf) - d], np.uint64(0x20))
-        codes |= before << np.uint64(8 * (depth - d + 1))
-    return codes | buf[depth:], sizes
+        codes |= wide[depth - d : len(buf) - d] << np.uint64(8 * (depth - d + 1))
+    keep = np.ones(len(codes), bool)  # by the place of the byte, less depth
+    if depth:
+        lead = (starts[1:, None] + np.arange(depth) - depth).reshape(-1)
+        keep[lead] = False
+    return codes[keep]

@@ -1,18 +1,15 @@
-"""Language-model scores of whole documents: context-tree weighting, beside a word-count base.
-
-A text is a sequence of tokens: its words, lower-cased in ASCII, then one end. A token is spelt in bytes, a word with a closing space,
-each predicted from up to DEPTH bytes before it in the token (spaces before the first); the tree of contexts (ctw.py) mixes the
-estimates of all depths. The deepest context is the whole token: a token known from training has half its probability from its own
-Krichevsky-Trofimov estimate and half from the tree, any other all it gets from the tree's half.
-
-Each distinct token is counted and scored once. Tasks turn chunks of documents into (word, document, times) tables, dealt by the word's
-hash into buckets; a bucket counts its words, and when they are scored gives sums per document, which
-are put together by chunk. A bucket's chunks are dealt on into groups of GROUP, so a word of all documents makes no group larger than
-its chunks.
-
-The tree stays on the executors, dealt into parts by the TOP nearest bytes of context. A part works out its nodes of TOP bytes and
-more; the driver has the sums of the parts' weights and counts for the nodes above, of less than TOP bytes, at most 256 * 255 + 255
-at any size of input, and sends them out. A bucket asks every part for the coded bytes its words need and gets their probabilities.
+"""Language-model scores of whole documents: context-tree weighting over running bytes, beside a word-count base.
+
+A text is a sequence of tokens: its words, lower-cased in ASCII, then one end. Its bytes are the words with one space between two and
+a line feed at the end, and each byte is predicted from the DEPTH bytes before it, whatever words they are of (line feeds before
+the first). The tree of contexts (ctw.py) mixes the Krichevsky-Trofimov estimates of all depths, 0 to DEPTH, by their evidence.
+
+Tasks put texts into units of about UNIT bytes. A unit sends its different coded bytes (context and byte) and its different words once
+each, with their counts in training texts: coded bytes to the part of the tree that the TOP nearest bytes name, words to a bucket
+by their hash. What a part gets is dealt out further by unit where it is more than MOST bytes, so a frequent context makes no group
+large. A part's counts make its nodes of TOP bytes and more; the driver has the nodes above, of less than TOP bytes, at most
+256 * 255 + 255 at any size of input, and sends them out. Then each unit gets back what its coded bytes and words are worth, and
+adds that up by document.
 """
 
 from __future__ import annotations
@@ -24,275 +21,295 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.ctw import Decisions, Tree, levels, summed, word_codes
+from tidemill.llm.ctw import Decisions, Tree, coded, levels, summed
 from tidemill.llm.runtime import columns, cut, grouped, lean, release, tasks, texts
 from tidemill.llm.spans import Powers, hashes, word_spans
 
-DEPTH, GROUP = 5, 512
-TOP = 2
-WORDS = 1 << 16
-GROUP_BYTES = 4_000_000
+DEPTH, TOP = 5, 2
+UNIT, BLOCK, MOST = 32_000_000, 2_000_000, 16_000_000
+CODES, WORDS, TEXTS = 0, 1, 2
 END = b"\n"
-SENT = "bucket long, chunk long, words binary, sizes binary, train binary, uses binary"
+SENT = "kind int, bucket long, unit long, keys binary, counts binary, ids binary, sizes binary"
+COUNTED = "kind int, bucket long, keys binary, counts binary, n long, v long"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, train_tokens long, base_score double, score double"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(x.astype("<u4").tobytes() for x in arrays)
+def _press(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), "<u4").astype(np.int64)
+def _pressed(blob: bytes) -> bytes:
+    n = int.from_bytes(blob[:8], "little")
+    return pa.Codec("zstd").decompress(blob[8:], n, asbytes=True) if n else b""
 
 
-def chunk_tables(bodies: list[bytes], trained: np.ndarray, buckets: int, powers: Powers) -> tuple[np.ndarray, Iterator[tuple]]:
-    """Tokens of each text; and per bucket: number, words, their sizes, their counts in training texts, and (texts of each word, text, times)."""
-    raw = b"\n".join(b.lower() for b in bodies) + b"\n"
-    buf = np.frombuffer(raw, np.uint8)
-    doc_ends = np.cumsum([len(b) + 1 for b in bodies])
+def _pack(x: np.ndarray) -> bytes:
+    """Of whole numbers of 64 bits, as steps from one to the next, byte by byte, so that the high bytes vanish in compression."""
+    steps = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
+    return _press(np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    steps = np.frombuffer(_pressed(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def stream(body: bytes) -> bytes:
+    """The text's bytes as the model has them."""
+    return b" ".join(body.lower().split()) + END
+
+
+def blocks(streams: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buffers of about BLOCK bytes; the sizes of the pieces there, each led by the `depth` bytes before it; the text each is of.
+    A text longer than a block is cut after a space."""
+    held, sizes, whose, size = [], [], [], 0
+    for i, s in enumerate(streams):
+        at = 0
+        while at < len(s):
+            stop = len(s) if len(s) - at <= BLOCK else (s.find(b" ", at + BLOCK - 1) + 1 or len(s))
+            if size and (size + stop - at > BLOCK or len(sizes) == 65535):
+                yield np.frombuffer(b"".join(held), np.uint8), np.array(sizes), np.array(whose)
+                held, sizes, whose, size = [], [], [], 0
+            held += [(END * depth + s[max(0, at - depth) : at])[-depth:] if depth else b"", s[at:stop]]
+            sizes.append(depth + stop - at)
+            whose.append(i)
+            size += stop - at
+            at = stop
+    if held:
+        yield np.frombuffer(b"".join(held), np.uint8), np.array(sizes), np.array(whose)
+
+
+def code_pairs(buf: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different coded bytes of a block, in order; and the pairs of one and a piece: where each coded byte's pairs begin, piece, times."""
+    ends = np.cumsum(sizes)
+    piece = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes - depth)
+    key = coded(buf, ends - sizes, sizes, depth)
+    if depth <= 5:  # code and piece fit 64 bits
+        key = np.sort((key << np.uint64(16)) | piece)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        pair = key[first]
+        code, piece = pair >> np.uint64(16), (pair & np.uint64(65535)).astype(np.int64)
+    else:
+        order = np.lexsort([piece, key])
+        key, piece = key[order], piece[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])]))
+        code, piece = key[first], piece[first].astype(np.int64)
+    times = np.diff(np.concatenate([first, [len(key)]]))
+    begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[begin], begin, piece, times
+
+
+def word_hashes(buf: np.ndarray, sizes: np.ndarray, depth: int, whole: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and piece of every token in a block; whole: whether a piece has its text's end."""
+    ends = np.cumsum(sizes)
     start, end = word_spans(buf)
-    doc = np.searchsorted(doc_ends, start, side="right")
-    # a line feed, which is in no word, is the end token; the one after each text stands for it
-    start, end, doc = np.concatenate([start, doc_ends - 1]), np.concatenate([end, doc_ends]), np.concatenate([doc, np.arange(len(bodies))])
-    h, one, which = np.unique(hashes(buf, start, end, powers), return_index=True, return_inverse=True)
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(h), np.int64)
-    rank[order] = np.arange(len(h))
-    pair, times = np.unique(rank[which] * len(bodies) + doc, return_counts=True)
-    word, text = pair // len(bodies), pair % len(bodies)
-    uses = np.bincount(word, minlength=len(h))
-    train = np.bincount(word, times * trained[text], minlength=len(h)).astype(np.int64)
-    first = np.cumsum(uses) - uses
-    begin, stop = start[one[order]], end[one[order]]
+    piece = np.searchsorted(ends, start, side="right")
+    own = start >= (ends - sizes)[piece] + depth  # not of the bytes before a piece
+    last = np.flatnonzero(whole)
+    start, end, piece = np.concatenate([start[own], ends[last] - 1]), np.concatenate([end[own], ends[last]]), np.concatenate([piece[own], last])
+    return hashes(buf, start, end, powers), piece
 
-    def parts() -> Iterator[tuple]:
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            lo, hi = int(cuts[b]), int(cuts[b + 1])
-            p, q = int(first[lo]), int(first[hi - 1] + uses[hi - 1])
-            yield b, b"".join(raw[x:y] for x, y in zip(begin[lo:hi].tolist(), stop[lo:hi].tolist(), strict=True)), stop[lo:hi] - begin[lo:hi], train[lo:hi], (uses[lo:hi], text[p:q], times[p:q])
 
-    return np.bincount(doc, minlength=len(bodies)), parts()
+def _ending(buf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return buf[np.cumsum(sizes) - 1] == END[0]
 
 
-def deal(docs: DataFrame, held_out: Column, buckets: int) -> DataFrame:
-    """SENT: a row per chunk and bucket, and one per chunk with bucket -1 that has its documents (ids, tokens, bytes, held out)."""
+def _split(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Keys and counts of each bucket, in order of keys."""
+    order = np.argsort(bucket, kind="stable")
+    keys, counts, bucket = keys[order], counts[order], bucket[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(bucket[a]), keys[a:b], counts[a:b]
+
+
+def deal(docs: DataFrame, held_out: Column, depth: int, buckets: int) -> DataFrame:
+    """SENT: of each unit its coded bytes by part, its words by bucket, and its texts (bucket -1)."""
+    parts, shift = _parts(buckets, depth)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        powers, chunk = Powers(), TaskContext.get().partitionId() << 32
-        for group in grouped(batches, GROUP_BYTES):
+        powers, unit = Powers(), TaskContext.get().partitionId() << 32
+        row = lambda kind, bucket, keys, counts, ids=None, sizes=None: pa.RecordBatch.from_arrays(
+            [pa.array([kind], pa.int32()), pa.array([bucket], pa.int64()), pa.array([unit], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys, counts, ids, sizes))], names=[x.split()[0] for x in SENT.split(", ")])
+        for group in grouped(batches, UNIT):
             ids, bodies, held = columns(group, "doc_id", "text", "held")
-            bodies = [b or b"" for b in bodies]
-            trained = ~np.array(held, bool)
-            tokens, parts = chunk_tables(bodies, trained, buckets, powers)
-            null = np.array([i is None for i in ids])
-            rows = [(-1, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([len(b) for b in bodies], np.int64).tobytes(), (2 * null + ~trained).astype(np.uint8).tobytes(), _pack(tokens))]
-            rows += [(b, w, _pack(s), _pack(t), _pack(*u)) for b, w, s, t, u in parts]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([chunk] * len(rows)), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3, 4))], names=[x.split()[0] for x in SENT.split(", ")])
-            chunk += 1
+            trained = (~np.array(held, bool)).astype(np.int64)
+            length = np.array([len(b or b"") for b in bodies], np.int64)
+            streams = [stream(b or b"") for b in bodies]
+            del bodies, group
+            code, n, word, m = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for buf, sizes, whose in blocks(streams, depth):
+                c, begin, piece, times = code_pairs(buf, sizes, depth)
+                k = np.add.reduceat(times * trained[whose[piece]], begin)
+                code, n = summed(np.concatenate([code, c]), np.concatenate([n, k]))
+                h, piece = word_hashes(buf, sizes, depth, _ending(buf, sizes), powers)
+                h, which = np.unique(h, return_inverse=True)
+                k = np.bincount(which, trained[whose[piece]], minlength=len(h)).astype(np.int64)
+                word, m = summed(np.concatenate([word, h]), np.concatenate([m, k]))
+            for b, keys, counts in _split(code, n, ((code >> np.uint64(shift)) % np.uint64(parts)).astype(np.int64)):
+                yield row(CODES, b, _pack(keys), _press(counts.astype("<u4").tobytes()))
+            for b, keys, counts in _split(word, m, (word % np.uint64(buckets)).astype(np.int64)):
+                yield row(WORDS, b, _pack(keys), _press(counts.astype("<u4").tobytes()))
+            flags = 2 * np.array([i is None for i in ids]) + 1 - trained
+            sizes = np.array([len(s) for s in streams], np.int64)
+            yield row(TEXTS, -1, _press(b"".join(streams)), flags.astype(np.uint8).tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), sizes.tobytes() + length.tobytes())
+            del streams, code, n, word, m, c, begin, piece, times, h, which, k, buf
+            release()
+            unit += 1
 
     return texts(docs, held_out.alias("held")).mapInArrow(lean(work), SENT)
 
 
-def _gathered(words: list[bytes], sizes: list[bytes], powers: Powers) -> tuple[np.ndarray, ...]:
-    """Of the words of several rows: their hashes; and where each stands in all their bytes, which come last. Hashed WORDS at a time,
-    since that takes many times the words' bytes."""
-    raw = b"".join(words)
-    n = np.concatenate([_unpack(s) for s in sizes])
-    end = np.cumsum(n)
-    start, buf, h = end - n, np.frombuffer(raw, np.uint8), np.empty(len(n), np.uint64)
-    for k in range(0, len(n), WORDS):
-        a, b = start[k : k + WORDS], end[k : k + WORDS]
-        h[k : k + WORDS] = hashes(buf[a[0] : b[-1]], a - a[0], b - a[0], powers)
-    return h, start, end, raw
-
-
-def count_words(sent: DataFrame) -> DataFrame:
-    """bucket, words, sizes, counts (binary), n, v: each bucket's words by their hash, their counts in training texts, and how many tokens and words these texts have."""
-
-    def work(key: tuple, held: pa.Table) -> pa.Table:
-        h, start, end, raw = _gathered(held.column("words").to_pylist(), held.column("sizes").to_pylist(), Powers())
-        train = np.concatenate([_unpack(t) for t in held.column("train").to_pylist()])
-        h, one, which = np.unique(h, return_index=True, return_inverse=True)
-        n = np.bincount(which, train, minlength=len(h)).astype(np.int64)
-        words = b"".join(raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True))
-        row = {"bucket": key[0].as_py(), "words": words, "sizes": _pack((end - start)[one]), "counts": n.tobytes(), "n": int(n.sum()), "v": int((n > 0).sum())}
-        del h, start, end, raw, train, which
-        release()
-        return pa.table({k: [v] for k, v in row.items()})
+def _parts(buckets: int, depth: int) -> tuple[int, int]:
+    """How many parts of the tree, and the bits of a code right of the bytes that name its part."""
+    return buckets | 1, 8 * (depth + 1 - min(TOP, depth))
 
-    return sent.where("bucket >= 0").select("bucket", "words", "sizes", "train").groupBy("bucket").applyInArrow(work, "bucket long, words binary, sizes binary, counts binary, n long, v long")
 
+def _counts(blobs: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(_pressed(x), "<u4").astype(np.int64) for x in blobs]
 
-def _codes(words: bytes, sizes: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.cumsum(_unpack(sizes)).tolist()
-    return word_codes([words[a:b] for a, b in zip([0, *at], at, strict=False)], depth)
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    while len(keys) > 1:  # pairwise: sorted runs merge in linear time
+        two = [summed(np.concatenate(keys[i : i + 2]), np.concatenate(counts[i : i + 2])) for i in range(0, len(keys), 2)]
+        keys, counts = [a for a, _ in two], [b for _, b in two]
+    return keys[0], counts[0]
 
-def _parts(sizes: int, depth: int) -> tuple[int, int]:
-    """How many parts of the tree, and the bits of a code right of the bytes that name its part."""
-    return sizes | 1, 8 * (depth + 1 - min(TOP, depth))
 
+def gather(sent: DataFrame, salts: DataFrame) -> DataFrame:
+    """COUNTED: a row per part and bucket, of all its keys, their counts in training texts (of 64 bits), their sum, and how many are not 0."""
+
+    def merge(key: tuple, held: pa.Table) -> pa.Table:
+        kind, bucket = key[0].as_py(), key[1].as_py()
+        first = "n" not in held.column_names
+        counts = held.column("counts").to_pylist()
+        keys, n = _merged([_unpack(x) for x in held.column("keys").to_pylist()], _counts(counts) if first else [np.frombuffer(x, np.int64) for x in counts])
+        out = {"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int64()), "keys": pa.array([_pack(keys)], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "n": pa.array([int(n.sum())], pa.int64()), "v": pa.array([int((n > 0).sum())], pa.int64())}
+        del keys, n, counts
+        release()
+        return pa.table(out)
 
-def count_codes(known: DataFrame, depth: int) -> DataFrame:
-    """code, n: how often each coded byte stands in the training texts."""
+    some = salted(sent, salts).select("kind", "bucket", "salt", "keys", "counts").groupBy("kind", "bucket", "salt").applyInArrow(merge, COUNTED)
+    return some.groupBy("kind", "bucket").applyInArrow(merge, COUNTED)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, sizes, counts in zip(*columns([batch], "words", "sizes", "counts"), strict=True):
-                codes, spelt = _codes(words, sizes, depth)
-                code, n = summed(codes, np.repeat(np.frombuffer(counts, np.int64), spelt))
-                yield pa.RecordBatch.from_arrays([pa.array(code[n > 0].astype(np.int64)), pa.array(n[n > 0])], names=["code", "n"])
 
-    return known.select("words", "sizes", "counts").mapInArrow(lean(work), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def salted(sent: DataFrame, salts: DataFrame) -> DataFrame:
+    """Rows of parts and buckets with their salt; salts: k, b, salts, a row for each, which are bounded in number."""
+    rows = sent.where(F.col("kind") != TEXTS).join(F.broadcast(salts), (F.col("kind") == F.col("k")) & (F.col("bucket") == F.col("b")))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("unit"), F.col("salts")))
+
 
+def _part(keys: bytes, counts: bytes, by: Decisions, depth: int) -> tuple[list, list, list, tuple, tuple]:
+    codes, n = _unpack(keys), np.frombuffer(counts, np.int64)
+    return levels(codes[n > 0], n[n > 0], by, depth, min(TOP, depth))
 
-def _part(held: pa.Table, by: Decisions, depth: int) -> tuple[list, list, list, tuple, tuple]:
-    codes, n = held.column("code").to_numpy().astype(np.uint64), held.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(codes)
-    return levels(codes[order], n[order], by, depth, min(TOP, depth))
 
+def fit(counted: DataFrame, depth: int) -> tuple[Decisions, tuple[list, list, list]]:
+    """The code of the bytes, and the tree's nodes above its parts."""
 
-def fit(counts: DataFrame, depth: int) -> tuple[Decisions, tuple[list, list, list]]:
-    """The code of the bytes, and the tree's nodes above its parts. counts: part, code, n."""
-    seen = counts.groupBy(F.col("code").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).collect()
+    def by_byte(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(*columns([batch], "keys", "counts"), strict=True):
+                n = np.bincount((_unpack(keys) & np.uint64(255)).astype(np.int64), np.frombuffer(counts, np.int64), minlength=256)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(n.astype(np.int64))], names=["byte", "n"])
+
+    codes = counted.where(F.col("kind") == CODES).select("keys", "counts")
     total = np.zeros(256, np.int64)
-    for byte, n in seen:
+    for byte, n in codes.mapInArrow(lean(by_byte), "byte long, n long").groupBy("byte").agg(F.sum("n")).collect():
         total[byte] = n
     by = Decisions(total)
 
-    def climb(key: tuple, held: pa.Table) -> pa.Table:
-        *_, (above, pw), (code, n) = _part(held, by, depth)
-        above, pw = summed(above, pw)
-        return pa.table({
-            "coded": pa.array([False] * len(above) + [True] * len(code)), "key": np.concatenate([above, code]).astype(np.int64),
-            "n": np.concatenate([np.zeros(len(above), np.int64), n]), "pw": np.concatenate([pw, np.zeros(len(code))])})
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(*columns([batch], "keys", "counts"), strict=True):
+                *_, (above, pw), (code, n) = _part(keys, counts, by, depth)
+                above, pw = summed(above, pw)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([False] * len(above) + [True] * len(code)), pa.array(np.concatenate([above, code]).astype(np.int64)),
+                    pa.array(np.concatenate([np.zeros(len(above), np.int64), n])), pa.array(np.concatenate([pw, np.zeros(len(code))]))], names=["coded", "key", "n", "pw"])
 
     # in decimals, whose sum is the same in any order
     sums = F.sum("n").alias("n"), F.sum(F.col("pw").cast("decimal(38,12)")).cast("double").alias("pw")
-    rows = counts.groupBy("part").applyInArrow(climb, "coded boolean, key long, n long, pw double").groupBy("coded", "key").agg(*sums).toPandas().sort_values("key")
-    coded = rows["coded"].to_numpy(bool)
+    rows = codes.mapInArrow(lean(climb), "coded boolean, key long, n long, pw double").groupBy("coded", "key").agg(*sums).toPandas().sort_values("key")
+    deep = rows["coded"].to_numpy(bool)
     key, n, pw = rows["key"].to_numpy(np.int64).astype(np.uint64), rows["n"].to_numpy(np.int64), rows["pw"].to_numpy(np.float64)
-    return by, levels(key[coded], n[coded], by, min(TOP, depth) - 1, 0, (key[~coded], pw[~coded]))[:3]
-
-
-def spell(known: DataFrame, counts: DataFrame, depth: int, parts: int, shift: int) -> DataFrame:
-    """known with the log10 probability (binary) that the tree gives each word's spelling."""
-    top = known.sparkSession.sparkContext.broadcast(fit(counts, depth))
-
-    def wanted(words: bytes, sizes: bytes) -> tuple[np.ndarray, ...]:
-        """Different codes in order of their parts, and the parts; where each coded byte has its own, and each word's number of them."""
-        codes, spelt = _codes(words, sizes, depth)
-        code, where = np.unique(codes, return_inverse=True)
-        part = ((code >> np.uint64(shift)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return code[order], part[order], rank[where], spelt
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, words, sizes in zip(*columns([batch], "bucket", "words", "sizes"), strict=True):
-                code, part, *_ = wanted(words, sizes)
-                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                blobs = [np.diff(x, prepend=np.uint64(0)).tobytes() for x in np.split(code, at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([bucket] * len(at), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "bucket", "codes"])
-
-    def answer(key: tuple, held: pa.Table, counted: pa.Table) -> pa.Table:
-        by, above = top.value
-        tree = Tree.of(by, above, _part(counted, by, depth)[:3])
-        asked = [np.cumsum(np.frombuffer(x, np.uint64), dtype=np.uint64) for x in held.column("codes").to_pylist()]
-        code, where = np.unique(np.concatenate([*asked, np.zeros(0, np.uint64)]), return_inverse=True)
-        found = np.split(tree.slow(code)[where], np.cumsum([len(x) for x in asked])[:-1]) if asked else []
-        del tree, code, where
+    return by, levels(key[deep], n[deep], by, min(TOP, depth) - 1, 0, (key[~deep], pw[~deep]))[:3]
+
+
+def answers(sent: DataFrame, counted: DataFrame, salts: DataFrame, depth: int) -> DataFrame:
+    """unit, kind, keys, found: a row for each of sent's, with the log10 probabilities of coded bytes (of 32 bits), or the counts of words (of 64)."""
+    top = sent.sparkSession.sparkContext.broadcast(fit(counted, depth))
+
+    def answer(key: tuple, held: pa.Table, known: pa.Table) -> pa.Table:
+        kind, keys = key[0].as_py(), held.column("keys").to_pylist()
+        asked = [_unpack(x) for x in keys]
+        row = known.to_pylist()[0]
+        if kind == WORDS:
+            every, value = _unpack(row["keys"]), np.frombuffer(row["counts"], np.int64)
+        else:
+            by, above = top.value
+            every = asked[0] if len(asked) == 1 else np.unique(np.concatenate(asked))
+            value = Tree.of(by, above, _part(row["keys"], row["counts"], by, depth)[:3]).slow(every)
+        found = [_press(value[np.searchsorted(every, x)].tobytes()) for x in asked]
+        del every, value, asked, row
         release()
-        return pa.table({"part": pa.array([key[0].as_py()] * len(asked), pa.int64()), "bucket": held.column("bucket"), "log_p": pa.array([x.tobytes() for x in found], pa.binary())})
-
-    def gather(key: tuple, held: pa.Table, told: pa.Table) -> pa.Table:
-        row = held.to_pylist()[0]
-        *_, where, spelt = wanted(row["words"], row["sizes"])
-        log_p = np.frombuffer(b"".join(x for _, x in sorted(zip(told.column("part").to_pylist(), told.column("log_p").to_pylist(), strict=True))), np.float32)
-        row["spelt"] = np.add.reduceat(log_p[where].astype(np.float64), np.cumsum(spelt) - spelt).tobytes()
-        del where, log_p
-        release()
-        return pa.table({k: pa.array([row[k]]) for k in ("bucket", "words", "sizes", "counts", "spelt")})
+        return pa.table({"unit": held.column("unit"), "kind": held.column("kind"), "keys": held.column("keys"), "found": pa.array(found, pa.binary())})
 
-    asked = known.select("bucket", "words", "sizes").mapInArrow(lean(ask), "part long, bucket long, codes binary")
-    told = asked.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(answer, "part long, bucket long, log_p binary")
-    return known.select("bucket", "words", "sizes", "counts").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(gather, "bucket long, words binary, sizes binary, counts binary, spelt binary")
+    wanted = salted(sent, salts).select("kind", "bucket", "salt", "unit", "keys")
+    each = counted.join(F.broadcast(salts), (F.col("kind") == F.col("k")) & (F.col("bucket") == F.col("b")))
+    each = each.select("kind", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "keys", "counts")
+    by = ("kind", "bucket", "salt")
+    return wanted.groupBy(*by).cogroup(each.groupBy(*by)).applyInArrow(answer, "unit long, kind int, keys binary, found binary")
 
 
-def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, most_codes: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     """SCHEMA: a row per document; documents for which held_out is true (not null) teach nothing.
 
     Null and empty texts have the end alone; repeated rows teach and are scored each; very long texts are taken whole; with nothing to
-    learn from, every estimate is that of no counts; an empty table gives no rows; other columns are ignored.
-
-    The depth is the same at every size. Only a caller who gives most_codes has contexts lose their farthest byte while there are
-    more coded bytes than that."""
+    learn from, every estimate is that of no counts; an empty table gives no rows; other columns are ignored. depth: 7 at most; it is
+    the same at every size of input."""
     buckets = max(8, tasks(docs))
-    sent = cut(deal(docs, F.coalesce(held_out, F.lit(False)), buckets))
-    known = cut(count_words(sent))
-    n, v = (x or 0 for x in known.agg(F.sum("n"), F.sum("v")).first())
-    chunks = sent.where("bucket = -1").count()
-    salts = max(1, -(-chunks // GROUP))
+    sent = cut(deal(docs, F.coalesce(held_out, F.lit(False)), depth, buckets))
+    size = F.sum(F.length("keys") + F.length("counts"))
+    salts = cut(sent.where(F.col("kind") != TEXTS).groupBy(F.col("kind").alias("k"), F.col("bucket").alias("b")).agg(F.greatest(F.ceil(size / MOST), F.lit(1)).cast("long").alias("salts")))
+    counted = cut(gather(sent, salts))
+    n, v = (x or 0 for x in counted.where(F.col("kind") == WORDS).agg(F.sum("n"), F.sum("v")).first())
     whole = n + 0.5 * (v + 1)
-    counts = cut(count_codes(known, depth))
-    while most_codes is not None and depth > 2 and counts.count() > most_codes:
-        depth -= 1
-        counts = cut(count_codes(known, depth))
-    parts, shift = _parts(buckets, depth)
-    counts = counts.withColumn("part", F.pmod(F.shiftrightunsigned("code", shift), F.lit(parts).cast("long")))
-    spelled = cut(spell(known, counts, depth, parts, shift))
-
-    def add(key: tuple, held: pa.Table, words: pa.Table) -> pa.Table:
-        powers, out = Powers(), {"chunk": [], "sums": []}
-        if held.num_rows:
-            h = _gathered(held.column("words").to_pylist(), held.column("sizes").to_pylist(), powers)[0]
-            h, which = np.unique(h, return_inverse=True)
-            known_h = _gathered(words.column("words").to_pylist(), words.column("sizes").to_pylist(), powers)[0]
-            at = np.searchsorted(known_h, h)
-            count, spelt_p = (np.frombuffer(words.column(k)[0].as_py(), t)[at] for k, t in (("counts", np.int64), ("spelt", np.float64)))
-            log_c = np.log10(count + 0.5)
-            with np.errstate(divide="ignore"):
-                log_p = np.log10(0.5) + np.logaddexp(np.where(count > 0, log_c - np.log10(whole), -np.inf) * np.log(10), spelt_p * np.log(10)) / np.log(10)
-            row = 0
-            for chunk, uses in zip(*(held.column(k).to_pylist() for k in ("chunk", "uses")), strict=True):
-                u = _unpack(uses)
-                # u: texts of each word, then as many texts and times; the words' number follows from the sums
-                m = int(np.searchsorted(np.cumsum(u) * 2 + np.arange(1, len(u) + 1), len(u)) + 1)
-                pairs = (len(u) - m) // 2
-                word, text, times = np.repeat(which[row : row + m], u[:m]), u[m : m + pairs], u[m + pairs :]
-                row += m
-                size = int(text.max()) + 1
-                sums = [np.bincount(text, times * x[word], minlength=size) for x in (log_c, log_p, count > 0)]
-                out["chunk"].append(chunk)
-                out["sums"].append(np.concatenate(sums[:2]).tobytes() + sums[2].astype("<u4").tobytes())
+    told = answers(sent, counted, salts, depth)
+
+    def finish(key: tuple, unit: pa.Table, told: pa.Table) -> pa.Table:
+        row, powers = unit.to_pylist()[0], Powers()
+        sizes, length = np.frombuffer(row["sizes"], np.int64).reshape(2, -1)
+        flags, raw = np.frombuffer(row["counts"], np.uint8), _pressed(row["keys"])
+        ends = np.cumsum(sizes)
+        streams = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        del raw
+
+        def table(kind: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+            on = [(k, x) for w, k, x in zip(*(told.column(c).to_pylist() for c in ("kind", "keys", "found")), strict=True) if w == kind]
+            keys, found = np.concatenate([_unpack(k) for k, _ in on]), np.concatenate([np.frombuffer(_pressed(x), dtype) for _, x in on])
+            order = np.argsort(keys, kind="stable")
+            return keys[order], found[order]
+
+        (code, log_p), (word, count) = table(CODES, np.float32), table(WORDS, np.int64)
+        log_c, known = np.log10(count + 0.5), count > 0
+        sums = np.zeros((4, len(streams)))
+        for buf, size, whose in blocks(streams, depth):
+            c, begin, piece, times = code_pairs(buf, size, depth)
+            value = np.repeat(log_p[np.searchsorted(code, c)].astype(np.float64), np.diff(np.concatenate([begin, [len(piece)]])))
+            np.add.at(sums[0], whose, np.bincount(piece, times * value, minlength=len(whose)))
+            h, piece = word_hashes(buf, size, depth, _ending(buf, size), powers)
+            at = np.searchsorted(word, h)
+            for k, x in enumerate((log_c[at], known[at], None)):
+                np.add.at(sums[k + 1], whose, np.bincount(piece, x, minlength=len(whose)))
+        tokens = sums[3].astype(np.int64)
+        out = pa.table({
+            "doc_id": pa.array(np.frombuffer(row["ids"], np.int64), mask=(flags & 2) > 0), "held_out": pa.array((flags & 1) > 0), "n_tokens": tokens, "n_known": sums[2].astype(np.int64), "n_bytes": length,
+            "train_tokens": np.full(len(tokens), n, np.int64), "base_score": sums[1] - tokens * np.log10(whole), "score": sums[0]})
+        del streams, code, log_p, word, count, log_c, known
         release()
-        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "sums": pa.array(out["sums"], pa.binary()), "uses": pa.nulls(len(out["chunk"]), pa.binary()), "ids": pa.nulls(len(out["chunk"]), pa.binary()), "bytes": pa.nulls(len(out["chunk"]), pa.binary()), "held": pa.nulls(len(out["chunk"]), pa.binary())})
-
-    def finish(key: tuple, held: pa.Table) -> pa.Table:
-        ids, sizes, flags, tokens = next(x for x in zip(*(held.column(k).to_pylist() for k in ("ids", "bytes", "held", "uses")), strict=True) if x[0] is not None)
-        ids, sizes, flags, tokens = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(flags, np.uint8), _unpack(tokens)
-        total = np.zeros((3, len(ids)))
-        for blob in held.column("sums").to_pylist():
-            if blob is not None:
-                k = len(blob) // 20
-                total[:2, :k] += np.frombuffer(blob, np.float64, 2 * k).reshape(2, k)
-                total[2, :k] += np.frombuffer(blob, "<u4", k, 16 * k)
-        return pa.table({
-            "doc_id": pa.array(ids, mask=(flags & 2) > 0), "held_out": pa.array((flags & 1) > 0), "n_tokens": tokens, "n_known": total[2].astype(np.int64), "n_bytes": sizes,
-            "train_tokens": np.full(len(ids), n, np.int64), "base_score": total[0] - tokens * np.log10(whole), "score": total[1]})
-
-    salt = F.pmod(F.xxhash64("chunk"), F.lit(salts))
-    left = sent.where("bucket >= 0").select("bucket", salt.alias("salt"), "chunk", "words", "sizes", "uses")
-    right = spelled.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "words", "sizes", "counts", "spelt")
-    kinds = "chunk long, sums binary, uses binary, ids binary, bytes binary, held binary"
-    parts = left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(add, kinds)
-    none = F.lit(None).cast("binary")
-    info = sent.where("bucket = -1").select("chunk", none.alias("sums"), "uses", F.col("words").alias("ids"), F.col("sizes").alias("bytes"), F.col("train").alias("held"))
-    return parts.unionByName(info).groupBy("chunk").applyInArrow(finish, SCHEMA)
+        return out
+
+    return sent.where(F.col("kind") == TEXTS).groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(finish, SCHEMA)
