@@ -484,6 +484,41 @@ def test_mixing_again_is_equal(docs):
     assert a == b
 
 
+def test_one_rule_for_all_sizes_of_cells(spark):
+    """Cells of more than CELL documents, a third of all in one; and the rates are the solution of the dual, found by halving."""
+    made = spark.range(9000).selectExpr("id as doc_id", "repeat('w ', cast(if(id % 3 = 0, 7, 5 + id % 40) as int)) as text", "'en' as lang", "concat('s', id % 4) as source", "0L as n_chars")
+    got = mixing.mix(made).collect()
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        sizes, target = np.array([r.size for r in own], float), own[0].target
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            rate = np.exp(np.minimum(tilt * sizes / sizes.mean(), math.log(3)))
+            low, high = (tilt, high) if (rate * sizes).sum() < target else (low, tilt)
+        assert sum(r.taken for r in own) == pytest.approx(target, abs=1)
+        want, have = collections.Counter(), collections.Counter()
+        for r, x in zip(own, rate, strict=True):
+            want[r.size] += x
+            have[r.size] += r.copies
+        assert all(abs(want[z] - have[z]) <= 1.01 for z in want)
+
+
+def test_targets_of_many_sources(spark):
+    sizes = [(f"s{i:04d}", f"{i:04d}", 1 + (i * 7919) % 1000) for i in range(500)] + [("n", None, 77)]
+    got = {r.key: r.target for r in mixing.targets(spark.createDataFrame(sizes, "key string, source string, source_size long")).collect()}
+    order = [k for k, *_ in sizes]
+    weight, size = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}, {k: n for k, _, n in sizes}
+    left, free = sum(size.values()), set(order)
+    while over := [k for k in free if left * weight[k] / sum(weight[x] for x in free) > 3 * size[k]]:
+        for k in over:
+            assert got[k] == pytest.approx(3 * size[k])
+            left -= 3 * size[k]
+            free.discard(k)
+    total = sum(weight[k] for k in free)
+    assert all(got[k] == pytest.approx(left * weight[k] / total) for k in free)
+
+
 def test_rates_are_tilted(spark):
     from tests.llm.conftest import DOCUMENTS, prose
 

@@ -4,9 +4,10 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tests.llm.test_operators import SPACE, brute_fingerprint, words
+from tests.llm.test_operators import SPACE, brute_components, lower, words
 
 
 DONE = {}
@@ -35,23 +36,77 @@ def test_quality_and_lines(spark, docs, cases):
         assert set(r.text.split("\n")) <= set(one[d].split("\n")) and r.n_chars == len(r.text)
 
 
+def shingled(text):
+    w = words(lower(text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset([()])
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def test_one_of_each_group_stays(spark, docs):
     two, three = run(spark, docs, 2).collect(), run(spark, docs, 3).collect()
-    fp = {r.doc_id: brute_fingerprint(r.text) for r in two}
+    sets = {r.doc_id: shingled(r.text) for r in two}
     left = sorted(r.doc_id for r in three)
     assert len(left) == len(set(left)) and 55 not in left and 54 in left
-    for d in set(fp) - set(left):
-        assert any((fp[d] ^ fp[k]).bit_count() <= 4 for k in fp if k != d)
-    assert all((fp[a] ^ fp[b]).bit_count() > 4 for a in left for b in left if a < b)
+    for d in set(sets) - set(left):
+        assert any(alike(sets[d], sets[k]) for k in sets if k != d)
+    assert not any(alike(sets[a], sets[b]) for a in left for b in left if a < b)
+
+
+def test_near_copies_are_found(spark):
+    """Edited copies of 0.8 and more against brute force, in a group of many; one edit in 45 words is the limit."""
+    import random
+
+    from tests.llm.conftest import DOCUMENTS, prose
+    from tidemill.llm import nearcopies
+
+    r, made = random.Random(4), []
+    for i in range(60):
+        base = [w + str(r.randrange(50)) for w in prose(2000 + i, 120 + 5 * i).split()]
+        for k in range(6 if i else 200):
+            w = list(base)
+            for _ in range(r.randrange(1 + len(w) // 40)):
+                w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+            made.append((len(made), " ".join(w), "en", "s", 0))
+    got = {x.doc_id: x.component_id for x in nearcopies.near_copies(spark.createDataFrame(made, DOCUMENTS).repartition(7)).collect()}
+    sets = [shingled(m[1]) for m in made]
+    want = brute_components(list(range(len(made))), sets, alike)
+    assert sum(got[i] != c for i, c in enumerate(want)) <= 0.05 * len(made)
+    assert all(want[got[i]] == c for i, c in enumerate(want))  # nothing is put together that is not linked
+
+
+def odd_rows():
+    from tests.llm.conftest import prose
+
+    made = [(d, prose(900 + k, 80), "en", "s", 0) for k, d in enumerate((None, None, None, 7, 7, 8))]
+    return made, [*made, (None, made[3][1], "en", "s", 0), made[0], (9, None, "en", "s", None), (9, "", "en", "s", 0), (8, made[5][1], "de", None, 0)]
 
 
 def test_rows_without_an_id_of_their_own_stay(spark):
+    from tests.llm.conftest import DOCUMENTS
+
+    made, given = odd_rows()
+    docs = spark.createDataFrame(given, DOCUMENTS)
+    left = [(r.doc_id, r.text) for r in P.near_dedup(spark, docs, "").collect()]
+    assert len(left) == 7 and set(left) - {(9, None), (9, "")} == {r[:2] for r in made}
+    # one source: every row with words as often as it is there
+    mixed = [(r.doc_id, r.text) for r in P.source_mixing(spark, docs.withColumn("source", F.lit("s")), "").collect()]
+    assert collections.Counter(mixed) == collections.Counter(r[:2] for r in given if r[1])
+    same = lambda rows: collections.Counter((r[0], r[1], r[2]) for r in rows)
+    assert same(P.quality_rules(spark, docs, "").collect()) <= same(given)
+    assert same(P.line_dedup(spark, docs, "").collect()) <= same(given)
+
+
+def test_quality_is_a_matter_of_rows(spark):
+    """Rows of one id, or none, stay or go by their own text."""
     from tests.llm.conftest import DOCUMENTS, prose
 
-    made = [(d, prose(900 + k, 80), "en", "s", 0) for k, d in enumerate((None, None, 7, 7))]
-    made += [(None, made[2][1], "en", "s", 0), made[0]]
-    left = [(r.doc_id, r.text) for r in P.near_dedup(spark, spark.createDataFrame(made, DOCUMENTS), "").collect()]
-    assert len(left) == 4 and set(left) == {r[:2] for r in made[:4]}
+    good, bad = [prose(700 + i, 120) for i in range(60)], "too short"
+    given = [(None if i % 2 else 5, t, "en", "s", 0) for i, t in enumerate(good)] + [(None, bad, "en", "s", 0), (5, bad, "en", "s", 0)]
+    got = collections.Counter((r.doc_id, r.text) for r in P.quality_rules(spark, spark.createDataFrame(given, DOCUMENTS), "").collect())
+    assert got == collections.Counter(r[:2] for r in given[:60])
 
 
 def test_mixing_and_packing(spark, docs):
