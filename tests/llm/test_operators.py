@@ -559,12 +559,99 @@ def test_vectors(spark):
         embeddings.CELL = keep
 
 
+def test_vectors_in_doubles_and_with_shared_ids(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 10))
+    v = np.concatenate([x, x[:15] + rng.normal(size=(15, 10)) * 0.02, x[:5] * 1e-170, x[:5] * 1e160, x[:3]])
+    made = [(i % 30 if i % 4 else None if i == 8 else i, [float(a) for a in row]) for i, row in enumerate(v)]
+    made += [(200, [1e-60, 0.0]), (201, [1e-60, 0.0]), (202, [1e60, 0.0]), (203, [1.0, 0.0]), (1, [1.0, math.sqrt(1 / 0.95**2 - 1) * (1 + 1e-9)])]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "vector": F.lit(2), "m": F.lit(3), "root": F.lit(4)})
+
+    def linked(a, b):
+        (i, a), (j, b) = a, b
+        if i is None or j is None or len(a) != len(b):
+            return False
+        a, b = (np.array(z) / np.abs(z).max() for z in (a, b))
+        return a @ b / math.sqrt((a @ a) * (b @ b)) >= 0.95
+
+    comp = brute_components([m[0] for m in made], made, linked)
+    want = [(m[0], sum(linked(m, q) for j, q in enumerate(made) if j != k), c, m[0] == c) for k, (m, c) in enumerate(zip(made, comp, strict=True))]
+    want = [w if w[0] is not None else (None, 0, None, True) for w in want]
+    same(rows(embeddings.near_vectors(df), "vec_id", "n_links", "component_id", "kept"), want)
+    assert {w[1] for w in want if w[0] in (200, 201, 202, 203)} == {3}
+
+
 # licences
 def test_licences(docs, cases):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert len(licenses.scan(docs).collect()) == len(cases) and not any(r.licenses for r in got.values())
 
 
+def test_notices_and_full_texts():
+    table = licenses.Rules(licenses.SENTENCES, licenses.RULES)
+    found = lambda t: [x[1] for x in table.match(t)[2]]
+    assert all(table.match(s)[1] for s in licenses.SENTENCES.values())
+    for text, want in {
+        "This file is released under the MIT License.": ["MIT"], "The code is licensed under the Apache License, Version 2.0.": ["Apache-2.0"], "Everything else here is prose. These tables are made available under the terms of the GNU GPL v3.": ["GPL-3.0-only"],
+        "All of the code in this project is distributed under the Boost Software License 1.0": ["BSL-1.0"], "SPDX-License-Identifier: MIT": ["MIT"], "mit": [], "We like the MIT License.": [], "It is licensed under terms that nobody knows.": [],
+        licenses.SENTENCES["mit-grant"] + " " * 1800: ["MIT"], " " * 5000 + licenses.SENTENCES["mit-grant"].replace(" ", " " * 20): ["MIT"],
+        "        GNU GENERAL PUBLIC LICENSE\n          Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n      Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n": ["GPL-3.0-only"],
+    }.items():
+        assert found(text) == want, text[:60]
+
+
+def brute_licences(text):
+    """Every rule at every place, longest rules first, by plain recursion over the sentences."""
+    table = licenses.Rules(licenses.SENTENCES, licenses.RULES)
+    units = [(i, place, table.known.get(s, [])) for i, place, s in table.units(text)]
+    known = [u for u in units if u[2]]
+    free, out = [True] * len(known), []
+
+    def follow(ids, k, chain):
+        if len(chain) == len(ids):
+            return chain
+        if k == len(known) or chain and known[k][0] - known[chain[-1]][0] > licenses.GAP + 1:
+            return None
+        if free[k] and ids[len(chain)] in known[k][2]:
+            return follow(ids, k + 1, [*chain, k])
+        return follow(ids, k + 1, chain) if chain else None
+
+    for name, ids in table.rules:
+        for k in range(len(known)):
+            chain = follow(ids, k, [])
+            if chain:
+                for c in chain:
+                    free[c] = False
+                out.append((known[k][1], name, len(ids)))
+    return len(units), [u[2][0] for u in known], sorted(out)
+
+
+def test_licence_rules_against_brute_force(spark):
+    import random
+
+    from tests.llm.conftest import DOCUMENTS, prose
+
+    r, pool = random.Random(1), [*licenses.SENTENCES.values()]
+    made = []
+    for i in range(60):
+        parts = [r.choice(pool) if r.random() < 0.7 else prose(i + k, 6) for k in range(12)]
+        for _, ids in r.sample(licenses.RULES, 2):
+            at = r.randrange(12)
+            parts[at:at] = [x for k in ids for x in (licenses.SENTENCES[k], *([prose(len(k), 5)] * (r.random() < 0.3)))]
+        made.append((i, ". ".join(parts) + ".", "en", "s", 0))
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(made, DOCUMENTS)).collect()}
+    for i, text, *_ in made:
+        n, known, hits = brute_licences(text)
+        assert (got[i].n_sentences, got[i].sentence_ids) == (n, known)
+        assert list(zip(got[i].starts, got[i].licenses, got[i].rule_sizes, strict=True)) == hits
+    assert sum(len(x.licenses) for x in got.values()) > 100
+
+
+def test_licence_columns(odd, cases):
+    got = licenses.scan(odd).collect()
+    assert len(got) == len(cases) and not any(x.licenses for x in got) and {x.doc_id: x.n_sentences for x in got}[51] == 0
+
+
 def test_licence_rules(spark, cases):
     from tests.llm.conftest import DOCUMENTS
 
@@ -596,6 +683,46 @@ def test_language_gradients():
         assert (up - down) / (2 * eps) == pytest.approx(grad[k].flat[g], rel=2e-2, abs=1e-4), k
 
 
+def test_language_probabilities_are_those_of_plain_steps():
+    """Byte by byte, unit by unit, against the network's definition; segments start anew, texts of several segments too."""
+    rng = np.random.default_rng(5)
+    p = langid.initial(3, rng)
+    bodies = [b"", b"short", bytes(rng.integers(1, 255, langid.SPAN + 300).astype(np.uint8)), b"another text, a little longer"]
+    got = langid.document_probabilities(p, bodies)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    q = {k: v.astype(float).tolist() for k, v in p.items()}
+
+    def states(text, d):
+        h, out = [0.0] * langid.UNITS, []
+        for x in text:
+            dot = lambda g: [sum(h[i] * q[f"{d}u{g}"][i][j] for i in range(langid.UNITS)) for j in range(langid.UNITS)]  # noqa: B023, E731
+            r, z, m = ([sig(a + b) for a, b in zip(q[f"{d}e{g}"][x], dot(g), strict=True)] if g != "n" else dot("n") for g in "rzn")
+            n = [math.tanh(a + b * c) for a, b, c in zip(q[f"{d}en"][x], r, m, strict=True)]
+            h = [b + c * (a - b) for a, b, c in zip(h, n, z, strict=True)]
+            out.append(h)
+        return out
+
+    for i, b in enumerate(bodies):
+        total = np.zeros(3)
+        for at in range(0, len(b), langid.SPAN):
+            part = b[at : at + langid.SPAN]
+            for f, g in zip(states(part, "f"), states(part[::-1], "b")[::-1], strict=True):
+                e = np.exp(np.array(f) @ p["fw"] + np.array(g) @ p["bw"] + p["b"])
+                total += e / e.sum()
+        assert got[i] == pytest.approx(total / max(1, len(b)), abs=1e-4)
+
+
+def test_training_sample_is_of_whole_texts_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANG", 300)
+    monkeypatch.setattr(langid, "LANGS", 4)
+    text = "".join(chr(97 + i // 1000) for i in range(20000))
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.when(F.col("id") < 40, F.concat(F.lit("l"), (F.col("id") % 2).cast("string"))).otherwise(F.concat(F.lit("m"), F.col("id").cast("string"))).alias("lang"))
+    bodies, labels = langid.sample(docs, F.lit(True))
+    n = collections.Counter(labels)
+    assert {"l0", "l1"} <= set(n) and len(n) <= 4 and all(200 < n[k] < 420 for k in ("l0", "l1"))
+    assert {b[:1] for b in bodies} == {bytes([97 + i]) for i in range(20)}
+
+
 def test_language_held_out(spark):
     from tests.conftest import DATA
 

@@ -33,8 +33,13 @@ STRIP = 2048
 ROUNDING = 1e-6
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each, which is exact, so that their squares stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def rotated(x: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Rows of unit length, zero-filled to a power of two of coordinates, after random signs and a Walsh-Hadamard transform."""
+    """Rows (as `scaled` gives them) of unit length, zero-filled to a power of two of coordinates, after random signs and a Walsh-Hadamard transform."""
     n, d = x.shape
     size = 1 << max(0, (d - 1).bit_length())
     y = np.zeros((n, size))
@@ -69,7 +74,8 @@ def cells(y: np.ndarray, block: slice, radius: float) -> Iterator[tuple[np.ndarr
 
 
 def linked(host: np.ndarray, other: np.ndarray, block: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked hosts and others, for pairs whose first block within budget is `block`. Rows: the vectors as they came, in double precision."""
+    """Places of linked hosts and others, for pairs whose first block within budget is `block`. Rows: the vectors in double precision."""
+    host, other = scaled(host), scaled(other)
     a, b = rotated(host), rotated(other)
     parts = blocks(a.shape[1])
     budget = (2 - 2 * least + ROUNDING) / len(parts)
@@ -99,13 +105,15 @@ def linked(host: np.ndarray, other: np.ndarray, block: int, least: float) -> tup
 def vector_links(classes: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """id, links, root: partial counts of vectors linked to id, and a tie of id to root (long), each to be gathered over rows. classes: id, m (how many it stands for), vector, all finite and none zero."""
 
+    kind = np.float32 if classes.schema["vector"].dataType.elementType.typeName() == "float" else np.float64  # what the vectors are
+
     def places(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool, np.ndarray]]:
         col = batch.column("vector")
         dims = np.asarray(col.value_lengths())
         for d in np.unique(dims):
             rows = np.flatnonzero(dims == d)
             x = np.array(col.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), d)
-            y = rotated(x)
+            y = rotated(scaled(x))
             parts = blocks(y.shape[1])
             radius = math.sqrt((2 - 2 * least + ROUNDING) / len(parts))
             for b, block in enumerate(parts):
@@ -141,7 +149,7 @@ def vector_links(classes: DataFrame, least: float = THRESHOLD) -> DataFrame:
                         for t in range(side) if len(own) else ():
                             for role, where in ((1, s * side + t), (0, t * side + s)) if host else ((0, t * side + s),):
                                 out["d"].append(d), out["b"].append(b), out["cell"].append(k), out["side"].append(where), out["host"].append(role)
-                                out["ids"].append(ids[rows[own]].tobytes()), out["ms"].append(m[rows[own]].tobytes()), out["vectors"].append(x[own].astype(np.float32).tobytes())
+                                out["ids"].append(ids[rows[own]].tobytes()), out["ms"].append(m[rows[own]].tobytes()), out["vectors"].append(x[own].astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("d", "b", "cell", "side", "host")), *(pa.array(out[k], pa.binary()) for k in ("ids", "ms", "vectors"))], names=list(out))
 
     def meet(key: tuple, held: pa.Table) -> pa.Table:
@@ -150,7 +158,7 @@ def vector_links(classes: DataFrame, least: float = THRESHOLD) -> DataFrame:
 
         def side(at: np.ndarray) -> tuple[np.ndarray, ...]:
             t = held.filter(pa.array(at))
-            i, m, x = (np.frombuffer(b"".join(t.column(k).to_pylist()), kind) for k, kind in (("ids", np.int64), ("ms", np.int64), ("vectors", np.float32)))
+            i, m, x = (np.frombuffer(b"".join(t.column(k).to_pylist()), of) for k, of in (("ids", np.int64), ("ms", np.int64), ("vectors", kind)))
             return i, m, x.astype(np.float64).reshape(-1, d)
 
         (hi, _, hx), (oi, om, ox) = side(host), side(~host)
@@ -173,18 +181,25 @@ def vector_links(classes: DataFrame, least: float = THRESHOLD) -> DataFrame:
 def near_vectors(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row per vector.
 
-    Null and zero vectors, and those with null or non-finite components, link with nothing; vectors link only with those of as many
-    components; equal vectors, and repeated rows, are compared once and count each; an empty table gives no rows; other columns are ignored."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    Null and zero vectors, and those with null or non-finite components, link with nothing, and so do those without vec_id; vectors link
+    only with those of as many components; equal vectors, and repeated rows, are compared once and count each; different vectors that
+    share a vec_id are vectors of their own, and one links with the other; vectors are compared in the precision they have, cosines
+    worked out in doubles; an empty table gives no rows; other columns are ignored."""
+    fine = vectors.schema["embedding"].dataType.elementType.typeName() not in ("float", "byte", "short")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if fine else "array<float>").alias("vector"))
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.coalesce(F.forall("vector", sound) & F.exists("vector", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     good = v.where(usable)
-    classes = cut(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")))
+    same = good.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
+    classes = cut(same.withColumn("id", F.monotonically_increasing_id()))
     found = cut(vector_links(classes, least))
     tied = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "own")
     named = classes.join(counts, F.col("id") == F.col("own"), "left").join(tied, F.col("id") == F.col("node"), "left")
-    labels = named.select(F.col("vector").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    named = cut(named.select("vector", "least", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("root")))
+    first = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "top")
+    # a key of its own, so that adaptive execution can split a component with very many vectors
+    labels = named.join(first, F.shiftleft("root", 0) == F.col("top")).select(F.col("vector").alias("same"), "n_links", "component_id")
     out = good.join(labels, F.col("vector") == F.col("same")).select("vec_id", "n_links", "component_id")
     rest = v.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

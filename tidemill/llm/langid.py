@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are read whole, as segments of SEGMENT bytes; in each, one network of gated recurrent units runs forwards and one
+Texts are read whole, as stretches of SPAN bytes; in each, one network of gated recurrent units runs forwards and one
 backwards, and both states label every byte with a distribution over languages. A document's distribution is the mean of its
-bytes'. The networks are trained in numpy by backpropagation through time, with Adam, on a sample of at most about PER_LANG
-documents a language (chosen by a hash of doc_id) and WINDOW characters of each, from a place in the text that the hash gives.
+bytes'. The networks are trained in numpy by backpropagation through time, with Adam, on segments of SEGMENT bytes. The sample has two
+bounds, which are parameters: about PER_LANG segments a language, drawn by a hash from all places of all its texts, and the LANGS
+most frequent languages.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.runtime import columns, grouped, lean, texts
 
-SEGMENT, UNITS = 64, 8
-PER_LANG, WINDOW = 400, 4000
+SEGMENT, SPAN, UNITS = 64, 512, 8
+PER_LANG, LANGS = 20_000, 200
 STEPS, BATCH, RATE = 350, 256, 0.02
 GROUP_BYTES = 1_000_000
 UNKNOWN = "und"
@@ -35,20 +36,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def segments(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(bodies: list[bytes], size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes by time and segment, zero beyond a text's end; the bytes that each segment has; the text it is of."""
     sizes = np.array([len(b) for b in bodies], np.int64)
-    counts = -(-sizes // SEGMENT)
-    flat = np.zeros((int(counts.sum()), SEGMENT), np.uint8)
-    offsets = (np.cumsum(counts) - counts) * SEGMENT
+    counts = -(-sizes // size)
+    flat = np.zeros((int(counts.sum()), size), np.uint8)
+    offsets = (np.cumsum(counts) - counts) * size
     raw = flat.reshape(-1)
     for b, n, at in zip(bodies, sizes.tolist(), offsets.tolist(), strict=True):
         if n:
             raw[at : at + n] = np.frombuffer(b, np.uint8)
     doc = np.repeat(np.arange(len(bodies)), counts)
-    filled = np.full(len(doc), SEGMENT)
+    filled = np.full(len(doc), size)
     last = np.cumsum(counts)[counts > 0] - 1
-    filled[last] = sizes[counts > 0] - (counts[counts > 0] - 1) * SEGMENT
+    filled[last] = sizes[counts > 0] - (counts[counts > 0] - 1) * size
     return np.ascontiguousarray(flat.T), filled, doc
 
 
@@ -83,11 +84,12 @@ def gradients(p: dict, x: np.ndarray, filled: np.ndarray, y: np.ndarray) -> tupl
     """Mean cross-entropy of the bytes' labels and its gradient, by backpropagation through time."""
     steps, n = x.shape
     logits, tape = np.zeros((steps, n, len(p["b"])), np.float32) + p["b"], {}
+    on = (np.arange(steps)[:, None] < filled).astype(np.float32)[..., None]
     for d, times in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
         h = np.zeros((n, UNITS), np.float32)
         for t in times:
             tape[d, t] = (h, *(got := _step(p, d, x[t], h)))
-            h = got[-1]
+            h = got[-1] if d == "f" else got[-1] * on[t]  # backwards, the state is 0 until the text begins
             logits[t] += h @ p[f"{d}w"]
     prob = _softmax(logits.reshape(steps * n, -1)).reshape(logits.shape)
     valid = (np.arange(steps)[:, None] < filled).astype(np.float32) / filled.sum()
@@ -101,7 +103,7 @@ def gradients(p: dict, x: np.ndarray, filled: np.ndarray, y: np.ndarray) -> tupl
         inputs = {g: np.zeros((steps, n, UNITS), np.float32) for g in GATES}
         for t in times:
             h, r, z, m, c, new = tape[d, t]
-            back = back + prob[t] @ p[f"{d}w"].T
+            back = back + prob[t] @ p[f"{d}w"].T if d == "f" else (back + prob[t] @ p[f"{d}w"].T) * on[t]
             grad[f"{d}w"] += new.T @ prob[t]
             a_n = back * (1 - z) * (1 - c * c)
             a_z = back * (h - c) * z * (1 - z)
@@ -142,7 +144,7 @@ def train(bodies: list[bytes], labels: list[str]) -> tuple[list[str], dict[str,
 
 def document_probabilities(p: dict, bodies: list[bytes]) -> np.ndarray:
     """The mean distribution over each text's bytes; zeros for an empty text."""
-    x, filled, doc = segments(bodies)
+    x, filled, doc = segments(bodies, SPAN)
     steps, n = x.shape
     out = np.zeros((len(bodies), len(p["b"])))
     if not n:
@@ -155,9 +157,10 @@ def document_probabilities(p: dict, bodies: list[bytes]) -> np.ndarray:
     h = np.zeros((n, UNITS), np.float32)
     total = np.zeros((n, len(p["b"])), np.float32)
     for t in range(steps - 1, -1, -1):
-        h = _step(p, "b", x[t], h)[-1]
+        on = (t < filled)[:, None]
+        h = _step(p, "b", x[t], h)[-1] * on  # 0 until the text begins
         prob = _softmax(logits[t] + h @ p["bw"] + p["b"])
-        total += prob * (t < filled)[:, None]
+        total += prob * on
     np.add.at(out, doc, total)
     return out / np.maximum(np.array([len(b) for b in bodies]), 1)[:, None]
 
@@ -167,18 +170,18 @@ def has_letter(body: bytes) -> bool:
 
 
 def sample(docs: DataFrame, usable: Column) -> tuple[list[bytes], list[str]]:
-    """The training sample, in order of doc_id and text."""
-    key = F.col("doc_id").cast("string")
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(F.col("lang").cast("string")).count().collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, PER_LANG / n)).otherwise(share)
-    drawn = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20) < share
-    start = 1 + F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
-    rows = known.where(drawn).select("doc_id", F.col("lang").cast("string"), F.col("text").substr(start.cast("int"), F.lit(WINDOW))).collect()
-    rows = sorted((r[0] is None, r[0] or 0, r[2], r[1]) for r in rows)
-    return [r[2].encode() for r in rows], [r[3] for r in rows]
+    """Training segments and their languages, in order of language, doc_id, place and text; a segment is SEGMENT characters."""
+    known = docs.where(usable & F.col("lang").isNotNull() & (F.length("text") > 0))
+    known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.ceil(F.length("text") / SEGMENT).alias("n"))
+    most = known.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(LANGS)
+    share = most.select(F.col("lang").alias("known"), F.least(F.lit(1.0), F.lit(float(PER_LANG)) / F.col("all")).alias("share"))
+    chance = lambda i: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), i, F.col("n")), F.lit(1 << 30)) / float(1 << 30)
+    held = known.join(F.broadcast(share), F.col("lang") == F.col("known"))
+    places = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: chance(i) < F.col("share"))
+    cut = F.col("text").substr((F.col("i") * SEGMENT + 1).cast("int"), F.lit(SEGMENT))
+    rows = held.withColumn("i", F.explode(places)).select("lang", "doc_id", "i", cut).collect()
+    rows = sorted((r[0], r[1] is None, r[1] or 0, r[2], r[3]) for r in rows)
+    return [r[4].encode() for r in rows], [r[0] for r in rows]
 
 
 def identify(docs: DataFrame, usable: Column) -> DataFrame:

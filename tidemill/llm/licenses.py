@@ -81,6 +81,32 @@ SENTENCES = {
     "cc-by-nd-named": "Licensed under CC BY-ND 4.0",
     "cc0-named": "Released under CC0 1.0",
     "all-rights": "All rights reserved",
+    "apache-text-title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "apache-text-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "apache-text-license": '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document',
+    "apache-text-licensor": '"Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License',
+    "apache-text-you": '"You" (or "Your") shall mean an individual or Legal Entity exercising permissions granted by this License',
+    "apache-text-end": "END OF TERMS AND CONDITIONS",
+    "gnu-text-copy": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "gpl-text-title": "GNU GENERAL PUBLIC LICENSE",
+    "gpl3-text-date": "Version 3, 29 June 2007",
+    "gpl2-text-date": "Version 2, June 1991",
+    "gpl3-text-free": "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+    "gpl2-text-most": "The licenses for most software are designed to take away your freedom to share and change it",
+    "lgpl-text-title": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "lgpl3-text-this": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    "agpl-text-title": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "agpl3-text-date": "Version 3, 19 November 2007",
+    "agpl3-text-free": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software",
+    "mpl2-text-title": "Mozilla Public License Version 2.0",
+    "mpl2-text-contributor": '"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software',
+    "mpl2-text-version": '"Contributor Version" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor\'s Contribution',
+    "cc-by-text-title": "Creative Commons Attribution 4.0 International Public License",
+    "cc-by-sa-text-title": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "cc-by-nc-text-title": "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "cc-by-text-accept": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License",
+    "cc-by-sa-text-accept": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "cc-by-nc-text-accept": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License",
 }
 # fixed values: licences and the sentences, in order, by which they are recognised
 RULES = [
@@ -98,6 +124,20 @@ RULES = [
     ("Apache-2.0", ["apache-notice", "apache-may"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-see"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-see"]),
+    ("Apache-2.0", ["apache-text-terms", "apache-text-license", "apache-text-licensor"]),
+    ("Apache-2.0", ["apache-text-license", "apache-text-licensor"]),
+    ("GPL-3.0-only", ["gpl-text-title", "gpl3-text-date", "gnu-text-copy", "gpl3-text-free"]),
+    ("GPL-3.0-only", ["gnu-text-copy", "gpl3-text-free"]),
+    ("GPL-2.0-only", ["gpl-text-title", "gpl2-text-date", "gnu-text-copy", "gpl2-text-most"]),
+    ("GPL-2.0-only", ["gnu-text-copy", "gpl2-text-most"]),
+    ("LGPL-3.0-only", ["lgpl-text-title", "gpl3-text-date", "gnu-text-copy", "lgpl3-text-this"]),
+    ("LGPL-3.0-only", ["gnu-text-copy", "lgpl3-text-this"]),
+    ("AGPL-3.0-only", ["agpl-text-title", "agpl3-text-date", "gnu-text-copy", "agpl3-text-free"]),
+    ("AGPL-3.0-only", ["gnu-text-copy", "agpl3-text-free"]),
+    ("MPL-2.0", ["mpl2-text-contributor", "mpl2-text-version"]),
+    ("CC-BY-4.0", ["cc-by-text-title", "cc-by-text-accept"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-text-title", "cc-by-sa-text-accept"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-text-title", "cc-by-nc-text-accept"]),
     ("MPL-2.0", ["mpl2-form", "mpl2-copy"]),
     ("MPL-2.0", ["mpl2-form", "mpl2-copy-2"]),
     *((name, [s]) for name, own in (
@@ -127,7 +167,7 @@ SCHEMA = "doc_id long, n_sentences long, sentence_ids array<string>, licenses ar
 # holder's name ("Acme Inc. nor the names of ...")
 AFTER_HOLDER = r"(?i:nor\W+the\W+names\W+of|(?:and|or)\W+(?:its\W+|the\W+|other\W+)?contributors|and\W+any\W+express|[\"'`\u201c]+as\W+is\b|disclaims?\W+all|be\W+liable\W+for)"
 SHORT = "|".join(rf"(?<=\b{x}\.)" for x in ("inc", "ltd", "llc", "co", "corp", "jr"))
-END = re.compile(rf"(?<=[.!?;:])(?!(?<=\.)[\s*#/]+{AFTER_HOLDER}|(?i:{SHORT})\s+(?:[\w&,]+\s+){{1,3}}{AFTER_HOLDER})\s+|\n\s*\n")
+END = re.compile(rf"(?<=[.!?;:])(?<!(?i:identifier):)(?!(?<=\.)[\s*#/]+{AFTER_HOLDER}|(?i:{SHORT})\s+(?:[\w&,]+\s+){{1,3}}{AFTER_HOLDER})\s+|\n\s*\n")
 # a line that names holders ends a sentence, as does the line before it
 COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright\s+(?:\(c\)|\u00a9|\d{4})|\(c\)\s*\d{4}|\u00a9)[^\n]*$", re.I | re.M)
 HOLDER = re.compile(r"^(?:copyright (?:c )?|c (?=\d{4} ))(?:\d{4} )*.*?(?=(?:\ball rights reserved)?$)")
@@ -140,31 +180,75 @@ NAMED = [(re.compile(rf"^{a} .{{1,200}}? {b}"), f"{a} {holder} {b}") for a, hold
     ("in no event shall", "the author", "be liable for any special direct indirect or consequential"),
 )]
 
+# a notice: what is licensed, and by which words; then the licence's name, which is one of NAMES
+NOTICE = re.compile(r"^(?:(?:this|the|these|all|our|its)(?: \w+){1,9}? (?:is|are|may be used|has been|have been) |(?:it|they|and) (?:is|are) )?(?:now |also |dual |free software )?(?:released|licensed|distributed|available|made available|provided|published|offered|shared|open sourced|covered|governed) (?:to you )?(?:under|by|according to|subject to) (?:the )?(?:terms (?:and conditions )?of )?")
+HINT = re.compile(r"(?:licen[sc]ed|released|distributed|available|provided|published|offered|shared|sourced|covered|governed)\W+(?:to\W+you\W+)?(?:under|by|according|subject)\b", re.I)
+ARTICLE = re.compile(r"^(?:the |a |an )|(?: license)?(?: (?:agreement|for details|see license|see the license file))?$")
+# fixed values: names of licences, normalised, and the one under which each is known
+NAMES = {
+    name: one
+    for one, names in {
+        "mit": ("mit", "expat", "x11 mit"),
+        "isc": ("isc",),
+        "bsd 2 clause": ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"),
+        "bsd 3 clause": ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"),
+        "apache 2 0": ("apache license version 2 0", "apache license 2 0", "apache 2 0", "apache 2", "apache v2", "apache version 2 0", "apache software license version 2 0", "apache license v2 0"),
+        "gpl 2": ("gnu general public license version 2", "gnu general public license v2", "gnu gpl version 2", "gnu gpl v2", "gplv2", "gpl v2", "gpl 2", "gpl 2 0", "gpl version 2"),
+        "gpl 3": ("gnu general public license version 3", "gnu general public license v3", "gnu general public license v3 0", "gnu gpl version 3", "gnu gpl v3", "gplv3", "gpl v3", "gpl 3", "gpl 3 0", "gpl version 3"),
+        "lgpl 2 1": ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl v2 1", "lgplv2 1", "lgpl v2 1", "lgpl 2 1"),
+        "lgpl 3": ("gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lgpl v3", "lgplv3", "lgpl v3", "lgpl 3", "lgpl 3 0"),
+        "agpl 3": ("gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl v3", "agplv3", "agpl v3", "agpl 3", "agpl 3 0"),
+        "mpl 2": ("mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0", "mpl 2 0", "mpl v2", "mplv2"),
+        "epl 2": ("eclipse public license version 2 0", "eclipse public license v 2 0", "eclipse public license 2 0", "epl 2 0"),
+        "cc by 4": ("cc by 4 0", "creative commons attribution 4 0", "creative commons attribution 4 0 international"),
+        "cc by sa 4": ("cc by sa 4 0", "creative commons attribution sharealike 4 0", "creative commons attribution sharealike 4 0 international"),
+        "cc by nc 4": ("cc by nc 4 0", "creative commons attribution noncommercial 4 0", "creative commons attribution noncommercial 4 0 international"),
+        "cc by nd 4": ("cc by nd 4 0", "creative commons attribution noderivatives 4 0", "creative commons attribution noderivatives 4 0 international"),
+        "cc0": ("cc0 1 0", "cc0", "cc0 1 0 universal", "creative commons zero v1 0 universal"),
+        "unlicense": ("unlicense",),
+        "boost 1": ("boost software license version 1 0", "boost software license 1 0", "bsl 1 0"),
+        "zlib": ("zlib",),
+        "wtfpl": ("wtfpl", "do what the fuck you want to public license"),
+    }.items()
+    for name in names
+}
+NAMED_LICENSES = {
+    "mit": "MIT", "isc": "ISC", "bsd 2 clause": "BSD-2-Clause", "bsd 3 clause": "BSD-3-Clause", "apache 2 0": "Apache-2.0", "gpl 2": "GPL-2.0-only", "gpl 3": "GPL-3.0-only", "lgpl 2 1": "LGPL-2.1-only", "lgpl 3": "LGPL-3.0-only", "agpl 3": "AGPL-3.0-only", "mpl 2": "MPL-2.0",
+    "epl 2": "EPL-2.0", "cc by 4": "CC-BY-4.0", "cc by sa 4": "CC-BY-SA-4.0", "cc by nc 4": "CC-BY-NC-4.0", "cc by nd 4": "CC-BY-ND-4.0", "cc0": "CC0-1.0", "unlicense": "Unlicense", "boost 1": "BSL-1.0", "zlib": "Zlib", "wtfpl": "WTFPL",
+}
+SENTENCES |= {f"{one.replace(' ', '-')}-notice-of": f"Licensed under {one}" for one in NAMED_LICENSES}
+RULES += [(name, [f"{one.replace(' ', '-')}-notice-of"]) for one, name in NAMED_LICENSES.items()]
+NAMES |= {one: one for one in NAMED_LICENSES}
+
 
 def normalise(sentence: str) -> str:
     s = " ".join(re.sub(r"[^a-z0-9]+", " ", sentence.lower().replace("licence", "license")).split())
     s = HOLDER.sub("", re.sub(r"^(?:\d{1,2}|[abd-z]|c(?! \d{4} )) (?=\w{3})", "", s))
     for named, plain in NAMED:
         s = named.sub(plain, s)
+    if m := NOTICE.match(s):
+        name = ARTICLE.sub("", s[m.end() :])
+        s = "licensed under " + NAMES.get(name, name) if name in NAMES else s
     return s
 
 
 def sentences_of(text: str) -> Iterator[tuple[int, str]]:
     """Places and texts of sentences."""
-    at = 0
-    for piece in END.split(text):
-        place = text.find(piece, at)
-        at = place + len(piece)
-        low = piece.lower()
-        begin = 0
-        if "copyright" in low or "(c)" in low or "\u00a9" in low:
-            for line in COPYRIGHT.finditer(piece):
-                if line.start() > begin:
-                    yield place + begin, piece[begin : line.start() - 1]
-                yield place + line.start(), line.group()
-                begin = line.end() + 1
-        if begin < len(piece) or not begin:
-            yield place + begin, piece[begin:]
+    low = text.lower()
+    lines = [m.span() for m in COPYRIGHT.finditer(text)] if "copyright" in low or "(c)" in low or "\u00a9" in low else []
+    begin = 0
+    for start, stop in [*lines, (len(text) + 1, len(text) + 1)]:
+        if start > begin:
+            at = 0
+            part = text[begin : start - 1]
+            for piece in END.split(part):
+                place = part.find(piece, at)
+                at = place + len(piece)
+                if piece or not lines:
+                    yield begin + place, piece
+        if stop <= len(text):
+            yield start, text[start:stop]
+        begin = stop + 1
 
 
 class Rules:
@@ -194,8 +278,8 @@ class Rules:
 
     def key(self, piece: str) -> str | None:
         """The normalised form of a known sentence."""
-        head = piece[:60].lstrip(" \t\r\n*#/\"'-(.0123456789)>").lower().replace("licence", "license")[:4]
-        if len(piece) > 2000 or not (head and re.sub(r"[^a-z0-9]+", " ", head) in self.starts or len(head) < 4 or not head.isalnum()):
+        head = piece.lstrip(" \t\r\n*#/\"'-(.0123456789)>")[:8].lower().replace("licence", "license")[:4]
+        if not (head and re.sub(r"[^a-z0-9]+", " ", head) in self.starts or len(head) < 4 or not head.isalnum() or HINT.search(piece)):
             return None
         s = normalise(piece)
         return s if s in self.known else None

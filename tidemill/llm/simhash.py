@@ -175,5 +175,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     tied = cut(components(near_links(fps, radius)))
     named = fps.join(tied, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("own"), F.coalesce("component", "fp").alias("root"), "least")
     first = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("top"), "component_id")
-    labels = named.join(first, F.col("root") == F.col("top")).select(F.shiftleft("own", 0).alias("own"), "component_id")
+    # keys of their own, so that adaptive execution can split a component, or a fingerprint, with very many rows
+    labels = named.join(first, F.shiftleft("root", 0) == F.col("top")).select(F.shiftleft("own", 0).alias("own"), "component_id")
     return held.join(labels, F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
