@@ -117,10 +117,62 @@ def test_quality_rules(which, cases, request):
 def test_kneser_ney_sums_to_one():
     code, _ = quality.trigrams([b"the cat sat on the mat, the hat and the bat", b"another cat"])
     c, n = np.unique(code, return_counts=True)
-    table = quality.KneserNey(c.astype(np.int64), n).table()
-    seen = np.unique(c >> 8)
-    assert np.allclose(np.exp(table.reshape(65536, 256)[seen].astype(float)).sum(1), 1, atol=1e-3)
-    assert np.allclose(np.exp(table.reshape(65536, 256)[:5].astype(float)).sum(1), 1, atol=1e-3)
+    model = quality.KneserNey(c.astype(np.int64), n)
+    for context in [*np.unique(c >> 8)[:20].tolist(), 0, 1, 65535]:
+        assert np.exp(model.log_prob(context * 256 + np.arange(256))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def brute_surprise(bodies):
+    """Modified Kneser-Ney over byte trigrams from dictionaries of counts."""
+    three, two, one = collections.Counter(), collections.Counter(), collections.Counter()
+    for b in bodies:
+        b = b"\n\n" + b
+        three.update(b[i - 2 : i + 1] for i in range(2, len(b)))
+    two.update(g[1:] for g in three)
+    one.update(g[1:] for g in two)
+
+    def discounts(counts):
+        k = collections.Counter(counts.values())
+        y = k[1] / (k[1] + 2 * k[2])
+        d = [min(max(i - (i + 1) * y * k[i + 1] / k[i], 0.05 * i), 0.95 * i) if k[i] and k[i + 1] else 0.5 * i for i in (1, 2, 3)]
+        return lambda c: d[min(c, 3) - 1] if c else 0.0
+
+    d1, d2, d3 = discounts(one), discounts(two), discounts(three)
+
+    def p(g):
+        n1 = sum(one.values())
+        p1 = (one[g[2:]] - d1(one[g[2:]])) / n1 + sum(map(d1, one.values())) / n1 / 256
+        row = {k: c for k, c in two.items() if k[:1] == g[1:2]}
+        n2 = sum(row.values())
+        p2 = (two[g[1:]] - d2(two[g[1:]])) / n2 + sum(map(d2, row.values())) / n2 * p1 if n2 else p1
+        row = {k: c for k, c in three.items() if k[:2] == g[:2]}
+        n3 = sum(row.values())
+        return (three[g] - d3(three[g])) / n3 + sum(map(d3, row.values())) / n3 * p2 if n3 else p2
+
+    known = {}
+    for b in bodies:
+        b = b"\n\n" + b
+        yield sum(-math.log(known.setdefault(b[i - 2 : i + 1], p(b[i - 2 : i + 1]))) for i in range(2, len(b))) / (len(b) - 2) if len(b) > 2 else None
+
+
+def test_perplexities_bands_and_verdicts(spark):
+    """Against dictionaries: every text's perplexity, and from those the bands of its language and what is kept."""
+    from tests.llm.conftest import DOCUMENTS, prose
+
+    made = [(i, prose(i, 30 + i), "en" if i % 3 else None, "s", 0) for i in range(60)]
+    made += [(100 + i, " ".join(chr(65 + (i * 31 + j * j * 7) % 60) * 4 + "qzx" * (j % 3) for j in range(40)), "en", "s", 0) for i in range(3)] + [(200, None, "en", "s", 0), (201, "", None, "s", 0)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(made, DOCUMENTS)).collect()}
+    want = dict(zip([m[0] for m in made], brute_surprise([(m[1] or "").encode() for m in made]), strict=True))
+    for d, x in want.items():
+        assert got[d].log_ppl == (pytest.approx(x, rel=1e-5) if x is not None else None)
+    for lang in ("en", None):
+        own = [r for r in got.values() if r.lang == lang and not r.base_failed]
+        q, rare = ([sorted(x)[math.ceil(len(x) * s) - 1] for s in (0.25, 0.5, 0.75)] for x in ([r.log_ppl for r in own], [r.rarity for r in own if r.rarity is not None]))
+        for r in (r for r in got.values() if r.lang == lang):
+            room = max(0.06, 2 * (q[2] - q[0])) + 5 / max(1, r.n_words) ** 0.75
+            most = rare[1] + 0.9 * max(1, math.sqrt(150 / max(1, r.n_words)))
+            assert r.ppl_low == pytest.approx(math.exp(q[1] - room)) and r.ppl_high == pytest.approx(math.exp(q[1] + room)) and r.rarity_high == pytest.approx(most)
+            assert r.kept == (not r.base_failed and q[1] - room <= r.log_ppl <= q[1] + room and r.rarity is not None and r.rarity <= most)
 
 
 def test_perplexity_band_rejects_noise(spark):

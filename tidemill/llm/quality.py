@@ -2,7 +2,8 @@
 
 The model is a byte trigram with modified Kneser-Ney smoothing. Spark counts the trigrams of all texts (two line feeds before
 each); there are at most 2^24, so what reaches the driver and goes out by broadcast has a proven bound. It is stored as arrays
-sorted by the trigram's 24-bit code, a hash without collisions, beside dense tables for the lower orders. A document whose log
+sorted by the trigram's 24-bit code, a hash without collisions, beside dense tables for the lower orders; a text's trigrams are sorted
+too, and each different one is looked up once. A document whose log
 perplexity lies outside its language's band is rejected. The band is the median -+ (the greater of LEAST and WIDTH times the
 quartile distance, plus SHORT / n_words ** 0.75, since a short text's mean strays further); median and quartiles come from all
 documents that the other rules keep.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.runtime import columns, cut, grouped, lean, release, tasks, texts
 from tidemill.llm.spans import SPACE, P, Powers, hashes, mixed, word_spans
 
-GROUP_BYTES = 3_000_000
+GROUP_BYTES, SLICE = 3_000_000, 1_000_000
 REPEAT_WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 WIDTH, LEAST, SHORT = 2.0, 0.06, 5.0
@@ -97,9 +98,10 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
         code, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for group in grouped(batches, GROUP_BYTES):
             (bodies,) = columns(group, "text")
-            c, k = np.unique(trigrams([b or b"" for b in bodies])[0], return_counts=True)
-            code, where = np.unique(np.concatenate([code, c]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([n, k]), minlength=len(code)).astype(np.int64)
+            for some in slices([b or b"" for b in bodies]):
+                c, k = np.unique(trigrams(some)[0], return_counts=True)
+                code, where = np.unique(np.concatenate([code, c]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([n, k]), minlength=len(code)).astype(np.int64)
         if len(code):
             yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], names=["code", "n"])
 
@@ -138,17 +140,40 @@ class KneserNey:
         self.gamma = np.where(mass > 0, lost / np.maximum(mass, 1), 1.0)
         self.log_p = np.log((n - taken) / mass[context] + self.gamma[context] * self.bigram[v, w]).astype(np.float32)
 
-    def table(self) -> np.ndarray:
-        """The log probability of every trigram, by its code."""
-        out = np.empty((256, 65536), np.float32)
-        with np.errstate(divide="ignore"):
-            log_bigram, log_gamma = np.log(self.bigram), np.log(np.maximum(self.gamma, 1e-12)).reshape(256, 256, 1)
-        for u in range(256):
-            out[u] = (log_gamma[u] + log_bigram).reshape(-1)
-        out = out.reshape(-1)
-        out[self.codes] = self.log_p
+    def log_prob(self, codes: np.ndarray) -> np.ndarray:
+        """The natural log probability of trigrams by their codes: that of the array, or what backing off leaves."""
+        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        known = self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), bool)
+        out = np.log(np.maximum(self.gamma[codes >> 8], 1e-12)) + np.log(self.bigram[(codes >> 8) & 255, codes & 255])
+        out[known] = self.log_p[at[known]]
         return out
 
+    def surprise(self, bodies: list[bytes]) -> np.ndarray:
+        """The mean negative log probability of each text's bytes; 0 for an empty text."""
+        code, sizes = trigrams(bodies)
+        if not len(code):
+            return np.zeros(len(bodies))
+        pair = np.sort((code.astype(np.uint64) << np.uint64(32)) | np.repeat(np.arange(len(bodies), dtype=np.uint64), sizes))
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        times = np.diff(np.concatenate([first, [len(pair)]]))
+        code, text = pair[first] >> np.uint64(32), (pair[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        turn = np.concatenate([[True], code[1:] != code[:-1]])
+        log_p = self.log_prob(code[turn].astype(np.int64))[np.cumsum(turn) - 1]
+        return -np.bincount(text, times * log_p, minlength=len(bodies)) / np.maximum(sizes, 1)
+
+
+def slices(bodies: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in runs of about SLICE bytes, since work on one takes many times its bytes."""
+    held, size = [], 0
+    for b in bodies:
+        if held and size + len(b) > SLICE:
+            yield held
+            held, size = [], 0
+        held.append(b)
+        size += len(b)
+    if held:
+        yield held
+
 
 def fit(docs: DataFrame) -> KneserNey:
     counts = count_trigrams(docs).toPandas()
@@ -162,13 +187,18 @@ def _failed(n_words, n_repeat_words):
 
 def word_tables(bodies: list[bytes], parts: int, powers: Powers) -> Iterator[tuple[int, np.ndarray, tuple]]:
     """Per part: its number, the hashes of the texts' words with a letter, and (texts of each word, text, times)."""
-    buf = np.frombuffer(b"\n".join(bodies) + b"\n", np.uint8)
-    start, end = word_spans(buf)
-    letters = np.concatenate([[0], np.cumsum(LETTER[buf])])
-    some = letters[end] > letters[start]
-    start, end = start[some], end[some]
-    doc = np.searchsorted(np.cumsum([len(b) + 1 for b in bodies]), start, side="right")
-    h, which = np.unique(hashes(buf, start, end, powers), return_inverse=True)
+    found, docs, before = [], [], 0
+    for some in slices(bodies):
+        buf = np.frombuffer(b"\n".join(some) + b"\n", np.uint8)
+        start, end = word_spans(buf)
+        letters = np.concatenate([[0], np.cumsum(LETTER[buf])])
+        on = letters[end] > letters[start]
+        found.append(hashes(buf, start[on], end[on], powers))
+        docs.append(before + np.searchsorted(np.cumsum([len(b) + 1 for b in some]), start[on], side="right"))
+        before += len(some)
+    h, which = np.unique(np.concatenate(found), return_inverse=True)
+    doc = np.concatenate(docs)
+    del found, docs
     part = (h % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     rank = np.empty(len(h), np.int64)
@@ -203,18 +233,14 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        powers, table, chunk = Powers(), held.value.table(), TaskContext.get().partitionId() << 32
+        powers, model, chunk = Powers(), held.value, TaskContext.get().partitionId() << 32
         for group in grouped(batches, GROUP_BYTES):
             ids, bodies, langs = columns(group, "doc_id", "text", "lang")
             bodies = [b or b"" for b in bodies]
-            code, sizes = trigrams(bodies)
-            sums = np.concatenate([[0.0], np.cumsum(table[code], dtype=np.float64)])
-            ends = np.cumsum(sizes)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                log_ppl = (sums[ends - sizes] - sums[ends]) / sizes
-            own = rules(bodies, powers)
+            log_ppl = np.concatenate([model.surprise(x) for x in slices(bodies)])
+            own = [np.concatenate(x) for x in zip(*(rules(x, powers) for x in slices(bodies)), strict=True)]
             failed = _failed(own[0], own[-1])
-            found = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(x.astype(np.int64)) for x in own), pa.array(log_ppl, mask=sizes == 0)], names=names[:-1])
+            found = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(x.astype(np.int64)) for x in own), pa.array(log_ppl, mask=np.array([not b for b in bodies]))], names=names[:-1])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, found.schema) as stream:
                 stream.write_batch(found)
@@ -222,6 +248,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
             rows += [(k, h.tobytes(), _pack(*u)) for k, h, u in word_tables([b"" if f else b for b, f in zip(bodies, failed, strict=True)], parts, powers)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([chunk] * len(rows)), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["part", "chunk", "words", "uses"])
             chunk += 1
+            release()
 
     def add(key: tuple, sent: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:  # the rules' counts of a chunk, which go by here so that the texts are read once
