@@ -221,7 +221,7 @@ def test_answers(spark):
         assert S.math_normal(a) == b, a
     assert S.math_score("it is \\boxed{\\dfrac{1}{2}}", "1/2") == 1.0 and S.math_score(None, "1") == 0.0
     matrix = lambda k: rf"\begin{{{k}matrix}}1&2\\3&4\end{{{k}matrix}}"
-    assert S.math_equal(matrix("b"), matrix("p")) and S.math_equal("50\\%", "0.5") and S.math_equal("(1, 2)", "[1,2.0]") and not S.math_equal("(1,2)", "(1,3)")
+    assert S.math_equal(matrix("b"), matrix("p")) and S.math_equal("50\\%", "0.5") and S.math_equal("(1, 2)", "(1,2.0)") and not S.math_equal("(1, 2)", "[1,2.0]") and not S.math_equal("(1,2)", "(1,3)")
     assert S.geo3k("<think>x</think> so \\boxed{3}", "3") == pytest.approx(1.0) and S.geo3k("\\boxed{3}", "3") == pytest.approx(0.9)
     assert one(spark, S.passed(F.array(*[F.lit(i < 9) for i in range(11)]), continuous=True)) == pytest.approx(0.9)
 

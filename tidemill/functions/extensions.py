@@ -7,6 +7,7 @@ import inspect
 import json
 import threading
 import typing
+import uuid
 from collections.abc import Callable
 from functools import partial, wraps
 from pathlib import Path
@@ -118,6 +119,21 @@ def dapo(rows: DataFrame, width: int, most: int, buffer: int, factor: float = 1.
     return rows.withColumns({"overlong_reward": penalty, "overlong": penalty < 0, "token_level_scores": placed(score + penalty, "response_length", width)})
 
 
+@MANAGERS.register("gdpo")
+def gdpo(rows: DataFrame, width: int, keys: list[str]) -> DataFrame:
+    """As naive; each score component that the estimator asks for must be there, beside the score."""
+    rows, score = _number(rows)
+    if missing := [k for k in keys if k not in rows.columns]:
+        raise ValueError(f"no score components {missing}; there are {rows.columns}")
+    return rows.withColumn("token_level_scores", placed(score, "response_length", width))
+
+
+def last_outputs(rows: DataFrame, key: str = "sample_id", order: str = "turn") -> DataFrame:
+    """Of a sample's several outputs the last one, which is scored for all."""
+    last = rows.groupBy(F.col(key).alias("__k")).agg(F.max(order).alias("__o"))
+    return rows.join(last, (F.col(key) == F.col("__k")) & (F.col(order) == F.col("__o")), "left_semi")
+
+
 # tools
 def _kind(hint: Any) -> dict[str, Any]:
     origin, args = typing.get_origin(hint), typing.get_args(hint)
@@ -156,6 +172,29 @@ class FunctionTool:
         return text if isinstance(text, str) else json.dumps(text), float(reward or 0.0), dict(metrics or {})
 
 
+class Tool:
+    """A tool with a state of its own for each instance: create, execute as often as wanted, release."""
+
+    schema: dict[str, Any] = {}
+
+    def __init__(self) -> None:
+        self.held: dict[str, dict[str, Any]] = {}
+
+    def create(self, instance: str | None = None, **given: Any) -> str:
+        name = instance or uuid.uuid4().hex
+        self.held[name] = dict(given)
+        return name
+
+    def execute(self, instance: str, arguments: dict[str, Any]) -> tuple[str, float, dict[str, Any]]:
+        raise TypeError(f"{type(self).__name__} does not say what it does")
+
+    def reward(self, instance: str) -> float:
+        return 0.0
+
+    def release(self, instance: str) -> None:
+        self.held.pop(instance, None)
+
+
 def tool(f: Callable[..., Any]) -> FunctionTool:
     """Register a function as a tool under its name."""
     made = FunctionTool(f)

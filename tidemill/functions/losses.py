@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.masked import EPS, clip, masked_mean, masked_sum, scalar_join
 from tidemill.functions.registry import Registry
+from tidemill.operators.batch import ROW, numbered
 
 POLICY = Registry("policy loss")
 MODES = ("token-mean", "seq-mean-token-sum", "seq-mean-token-sum-norm", "seq-mean-token-mean")
@@ -148,6 +149,21 @@ def _covariance(rows: DataFrame, out: str) -> DataFrame:
     return scalar_join(rows, means).withColumn(out, (F.col("advantage") - F.col("__a")) * (F.col("new_lp") - F.col("__l")))
 
 
+def _with_first(rows: DataFrame, able: DataFrame, ratio: float) -> DataFrame:
+    """rows with __s and __p, set in those of `able` with the greatest __by (ties by place): `ratio` times __n of them, 1 at least.
+
+    Most of `able` goes by an approximate quantile, whose error is far below the share; what is left is numbered in ranges."""
+    share = F.greatest((F.col("__n") * ratio).cast("long"), F.lit(1))
+    accuracy = 1_000_000
+    counted = able.agg(F.count("*").alias("__all"), F.max("__n").alias("__n"), F.percentile_approx("__by", F.lit([1 - min(1.0, 4 * ratio + 4 / accuracy), 0.0]), accuracy).alias("__q"))
+    # of few rows, or more than the quantile is for, all stay
+    low = F.when(share < 4 * ratio * F.col("__all"), F.col("__q")[0]).otherwise(F.col("__q")[1])
+    near = scalar_join(able, counted.select(low.alias("__low"), share.alias("__share"))).where(F.col("__by") >= F.col("__low"))
+    first = numbered(near.select("seq_id", "pos", "__by", "__share"), F.col("__by").desc(), "seq_id", "pos").where(F.col(ROW) < F.col("__share"))
+    top = first.select(F.col("seq_id").alias("__s"), F.col("pos").alias("__p"))
+    return rows.join(top, (F.col("seq_id") == F.col("__s")) & (F.col("pos") == F.col("__p")), "left")
+
+
 @POLICY.register("clip_cov")
 def clip_cov(rows: DataFrame, low: float = 0.2, high: float = 0.2, ratio: float = 0.0002, least: float = 1.0, most: float = 5.0, seed: int = 0) -> Built:
     """A few tokens of high covariance, drawn by a hash of place and seed, get no loss."""
@@ -156,10 +172,8 @@ def clip_cov(rows: DataFrame, low: float = 0.2, high: float = 0.2, ratio: float
     plain, cut = -a * r, -a * clip(r, 1 - low, 1 + high)
     rows = _covariance(rows, "__cov").withColumn("__id", F.xxhash64("seq_id", "pos", F.lit(seed)))
     able = (F.col("mask") > 0) & ~(cut > plain) & (F.col("__cov") > least) & (F.col("__cov") < most)
-    n = rows.select(F.greatest((F.col("__n") * ratio).cast("long"), F.lit(1)).alias("k")).first()
-    drawn = rows.where(able).select(F.col("__id").alias("__hit")).orderBy("__hit").limit(int(n[0]) if n else 0)
-    rows = rows.join(drawn, F.col("__id") == F.col("__hit"), "left")
-    hit = F.col("__hit").isNotNull()
+    rows = _with_first(rows, rows.where(able).withColumn("__by", -F.col("__id").cast("double")), ratio)
+    hit = F.col("__s").isNotNull()
     return Built(rows.withColumn("loss", F.when(hit, 0.0).otherwise(F.greatest(plain, cut))), {"clipfrac": masked_mean(F.when(hit, 1.0).otherwise(0.0), "mask"), "kl": masked_mean(-_step(None), "mask")})
 
 
@@ -167,9 +181,7 @@ def clip_cov(rows: DataFrame, low: float = 0.2, high: float = 0.2, ratio: float
 def kl_cov(rows: DataFrame, ratio: float = 0.0002, coef: float = 1.0) -> Built:
     """The tokens of greatest covariance (ties by place) pay for the size of their step."""
     rows = _covariance(rows, "__cov")
-    n = rows.agg(F.sum("mask")).first()[0] or 0
-    top = rows.where("mask > 0").orderBy(F.col("__cov").desc(), "seq_id", "pos").limit(max(1, int(n * ratio))).select(F.col("seq_id").alias("__s"), F.col("pos").alias("__p"))
-    rows = rows.join(top, (F.col("seq_id") == F.col("__s")) & (F.col("pos") == F.col("__p")), "left")
+    rows = _with_first(rows, rows.where("mask > 0").withColumn("__by", F.col("__cov")), ratio)
     plain = -F.col("advantage") * F.exp(_step(None))
     return Built(rows.withColumn("loss", F.when(F.col("__s").isNotNull(), plain + coef * F.abs(_step(None))).otherwise(plain)), {"kl": masked_mean(F.abs(_step(None)), "mask")})
 
@@ -188,6 +200,19 @@ def geo_mean(rows: DataFrame, low: float = 0.2, high: float = 0.2) -> Built:
     return built
 
 
+@POLICY.register("bypass_mode")
+def bypass_mode(rows: DataFrame, loss: str = "ppo_clip", level: str | None = None, threshold: float | str = 2.0, normalise: bool = False, options: str | None = None, rejection: float | str | None = None, **more) -> Built:
+    """Rollout log probabilities stand for old ones (column old_lp): the mask loses what rejection leaves out, and then a clipped loss, or the
+    plain gradient with importance weights of the current policy."""
+    from tidemill.operators.offpolicy import correct
+
+    if loss not in ("reinforce", "ppo_clip"):
+        raise ValueError(f"no such loss in bypass mode: {loss!r}")
+    moved = rows.withColumns({"__old": F.col("old_lp"), "rollout_lp": F.col("old_lp"), "old_lp": F.col("new_lp")})
+    fixed = correct(moved, level, threshold, options, rejection, normalise).withColumn("old_lp", F.col("__old")).drop("__old")
+    return vanilla(fixed, **more) if loss == "ppo_clip" else reinforce(fixed, "weight" if level else None, **more)
+
+
 def policy_loss(name: str, rows: DataFrame, mode: str = "token-mean", **options) -> DataFrame:
     """One row: the loss by its name, and its metrics."""
     return POLICY[name](rows, **options).result(mode)
@@ -217,6 +242,11 @@ def kl_penalty(new: Column, ref: Column, kind: str) -> Column:
     raise NotImplementedError(f"no KL estimate {kind!r}")
 
 
+def entropy_loss(rows: DataFrame, entropy: str = "entropy", mode: str = "token-mean", **options) -> DataFrame:
+    """One row: the entropy of tokens, aggregated as a loss is."""
+    return agg_loss(rows, entropy, mode, **options)
+
+
 def sft_loss(rows: DataFrame, log_prob: str = "new_lp", mask: str = "mask", batch_tokens: float | None = None) -> DataFrame:
     """One row: minus the log probabilities that predict a token with loss (its mask stands one place further on), over the tokens with loss."""
     after = F.coalesce(F.lead(mask).over(Window.partitionBy("seq_id").orderBy("pos")), F.lit(0))
@@ -237,6 +267,18 @@ def forward_kl_topk(teacher: str, student: str) -> dict[str, Column]:
     return {"loss": F.greatest(add(product), F.lit(0.0)), "teacher_mass": mass(teacher), "student_mass": mass(student)}
 
 
+DISTILLATION = Registry("distillation loss")
+
+
+@DISTILLATION.register("forward_kl_topk")
+def _topk(teacher: str = "teacher_lps", student: str = "student_lps") -> Column:
+    return forward_kl_topk(teacher, student)["loss"]
+
+
+for _kind in ("kl", "k1", "abs", "mse", "k2", "low_var_kl", "k3"):
+    DISTILLATION.register(_kind)(lambda teacher="ref_lp", student="new_lp", kind=_kind: kl_penalty(F.col(student), F.col(teacher), kind))
+
+
 def overlap(teacher_ids: str, student_ids: str) -> Column:
     """How many of the top tokens both have."""
     return F.size(F.array_intersect(teacher_ids, student_ids)).cast("long")

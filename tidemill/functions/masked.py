@@ -28,20 +28,19 @@ def masked_mean(x: Column | str, m: Column | str) -> Column:
 
 
 def scalar_join(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """df with the columns of a table of a single row."""
+    """df with the columns of a table of a single row, which an aggregate without groups is."""
     return df.crossJoin(F.broadcast(one_row))
 
 
 def masked_moments(df: DataFrame, x: Column | str, m: Column | str, by: Sequence[str] = (), unbiased: bool = True) -> DataFrame:
-    """by, n, mean, var: variance around the masked mean, in a second pass. A group with n of 0 or 1 fails if unbiased."""
-    first = df.groupBy(*by).agg(F.sum(col(m)).alias("n"), masked_mean(x, m).alias("mean"))
-    joined = df.join(first, list(by)) if by else scalar_join(df, first)
-    var = masked_mean((col(x) - F.col("mean")) ** 2, m)
-    out = joined.groupBy(*by).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), var.alias("var"))
+    """by, n, mean, var: the variance around the masked mean, from the moments of one pass. The mask is 0 or 1. A group with n of 0 or 1 fails if unbiased."""
+    v = F.when(col(m) != 0, col(x))
+    out = df.groupBy(*by).agg(F.sum(col(m)).alias("n"), masked_mean(x, m).alias("mean"), F.avg(v).alias("__avg"), F.var_pop(v).alias("__var"))
+    var = F.coalesce((F.col("__var") + (F.col("__avg") - F.col("mean")) ** 2) * F.col("n"), F.lit(0.0)) / (F.col("n") + EPS)
     if unbiased:
         few = F.raise_error(F.lit("masked variance needs two values or more")).cast("double")
-        out = out.withColumn("var", F.when(F.col("n") < 2, few).otherwise(F.col("var") * F.col("n") / (F.col("n") - 1)))
-    return out
+        var = F.when(F.col("n") < 2, few).otherwise(var * F.col("n") / (F.col("n") - 1))
+    return out.select(*by, "n", "mean", var.alias("var"))
 
 
 def whiten(df: DataFrame, x: str, m: str, out: str, shift_mean: bool = True) -> DataFrame:
@@ -127,7 +126,17 @@ def probability_gap(old: str, rollout: str, m: str) -> list[Column]:
 
 
 def dense_index(df: DataFrame, label: str, out: str = "group_index") -> DataFrame:
-    """Groups numbered from 0 in order of their labels; only the distinct labels are put in one order."""
-    labels = df.select(label).distinct()
-    numbered = labels.withColumn(out, F.row_number().over(Window.orderBy(label)) - 1)
-    return df.join(numbered, label)
+    """Groups numbered from 0 in order of their labels; labels that are all whole numbers keep their values. Only the distinct labels
+    are put in order, in ranges."""
+    from tidemill.operators.batch import ROW, numbered
+
+    if dict(df.dtypes)[label] in ("tinyint", "smallint", "int", "bigint"):
+        return df.withColumn(out, F.col(label).cast("long"))
+    labels = numbered(df.select(F.col(label).alias("__label")).distinct(), "__label").withColumnRenamed(ROW, out)
+    return df.join(labels, F.col(label).eqNullSafe(F.col("__label"))).drop("__label")
+
+
+def across_workers(df: DataFrame, x: str, m: str | None = None) -> DataFrame:
+    """One row over all rows, wherever they are: mean, max, min and sample deviation of x, and its masked mean."""
+    mean = masked_mean(x, m) if m else F.avg(x)
+    return df.agg(F.avg(x).alias("mean"), F.max(x).alias("max"), F.min(x).alias("min"), F.stddev_samp(x).alias("std"), mean.alias("masked_mean"))

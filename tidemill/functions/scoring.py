@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -51,7 +52,7 @@ def gsm8k(text: Column, truth: Column, flexible: bool = False, format_score: flo
 
 
 def final_answer(answer: Column) -> Column:
-    """A quantitative answer in a plain form: what follows its last =, without words, units and markup."""
+    """A quantitative answer in a plain form: what follows its last =, without words, units and markup. The patterns are fixed values."""
     x = _last(F.split(answer, "="))
     for old, new in SUBSTITUTIONS:
         x = F.replace(x, F.lit(old), F.lit(new))
@@ -159,22 +160,145 @@ def number(s: str) -> float | None:
         return None
 
 
+def formula(s: str) -> float | None:
+    """The value of a formula of numbers, pi, e, fractions, roots, powers, signs and brackets, read by descent; None for anything else, or
+    one longer than 200 characters. Nothing is evaluated but what the grammar has."""
+    text = re.sub(r"\\(?:cdot|times)", "*", re.sub(r"\\(?:left|right|,|;|!)", "", s)).replace("\\pi", "p").replace("\u03c0", "p").replace("pi", "p").replace("**", "^").replace("{", "(").replace("}", ")").replace("\\div", "/").replace(" ", "")
+    if not text or len(text) > 200:
+        return None
+    at = 0
+
+    def peek(token: str) -> bool:
+        nonlocal at
+        if text.startswith(token, at):
+            at += len(token)
+            return True
+        return False
+
+    def total() -> float:
+        out = product()
+        while True:
+            if peek("+"):
+                out += product()
+            elif peek("-"):
+                out -= product()
+            else:
+                return out
+
+    def product() -> float:
+        out = signed()
+        while True:
+            if peek("*"):
+                out *= signed()
+            elif peek("/"):
+                out /= signed()
+            elif at < len(text) and (text[at] in "(pe\\" or text[at].isdigit()):
+                out *= power()
+            else:
+                return out
+
+    def signed() -> float:
+        if peek("-"):
+            return -signed()
+        return signed() if peek("+") else power()
+
+    def power() -> float:
+        base = atom()
+        if not peek("^"):
+            return base
+        exponent = signed()
+        if abs(exponent) > 1000:
+            raise ValueError("too great a power")
+        out = base**exponent
+        if isinstance(out, complex):
+            raise ValueError("not real")
+        return out
+
+    def bracket() -> float:
+        if not peek("("):
+            raise ValueError("no bracket")
+        out = total()
+        if not peek(")"):
+            raise ValueError("no closing bracket")
+        return out
+
+    def atom() -> float:
+        nonlocal at
+        if peek("\\frac"):
+            return bracket() / bracket()
+        if peek("\\sqrt") or peek("sqrt"):
+            return math.sqrt(bracket())
+        if peek("p"):
+            return math.pi
+        if peek("e"):
+            return math.e
+        if at < len(text) and text[at] == "(":
+            return bracket()
+        if m := re.compile(r"\d+(?:\.\d+)?|\.\d+").match(text, at):
+            at = m.end()
+            return float(m[0])
+        raise ValueError("not a formula")
+
+    try:
+        out = total()
+    except (ValueError, ZeroDivisionError, OverflowError, RecursionError):
+        return None
+    return out if at == len(text) and math.isfinite(out) else None
+
+
 def math_equal(a: str, b: str, rel: float = 1e-4) -> bool:
-    """Equal as text or as numbers (also as per cent of one another), or element by element between brackets. Formulas are not worked out."""
+    """Equal as text (brackets aside), as numbers (also as per cent of one another) or by the value of their formulas, without the base a
+    number is in (`12_8` is `12`); or element by element between brackets of one kind, of matrices too. An interval's open and closed ends differ."""
     try:
-        a, b = math_normal(a), math_normal(b)
+        a, b = (re.sub(r"_\{?\d+\}?$", "", math_normal(x)) if re.fullmatch(r"\w+_\{?\d+\}?", math_normal(x)) else math_normal(x) for x in (a, b))
     except ValueError:
         return False
     if a.lower() == b.lower():
         return True
-    x, y = number(a), number(b)
+    x, y = (number(v) if number(v) is not None else formula(v) for v in (a, b))
     if x is not None and y is not None:
         return any(abs(x - v) <= rel * max(abs(v), 1e-12) for v in (y, y / 100, y * 100))
-    inner = lambda s: re.fullmatch(r"[\[(]?(?:\\begin\{[pbv]?matrix\})?(.*?)(?:\\end\{[pbv]?matrix\})?[\])]?", s)[1]
-    p, q = (re.split(r",|&|\\(?![a-z])", inner(s)) for s in (a, b))
+    matrix = re.compile(r"\\begin\{[pbv]?matrix\}(.*)\\end\{[pbv]?matrix\}")
+    if (m := matrix.fullmatch(a)) and (n := matrix.fullmatch(b)):
+        p, q = ([row.split("&") for row in re.split(r"\\(?![a-z])", t[1])] for t in (m, n))
+        return [len(r) for r in p] == [len(r) for r in q] and all(math_equal(u, v, rel) for r, s in zip(p, q, strict=True) for u, v in zip(r, s, strict=True))
+    ends = lambda t: (t[0], t[-1]) if len(t) > 1 and t[0] in "([" and t[-1] in ")]" else ("", "")
+    if ends(a) != ends(b) and "" not in (ends(a)[0], ends(b)[0]):
+        return False
+    p, q = (re.split(r",", t[1:-1] if ends(t)[0] else t) for t in (a, b))
     return len(p) == len(q) > 1 and all(math_equal(u, v, rel) for u, v in zip(p, q, strict=True))
 
 
+def answer_match(text: str | None, truth: str | None) -> float:
+    """1 if the last boxed answer, or else the whole text, equals the truth as math_equal has it."""
+    if text is None or truth is None:
+        return 0.0
+    boxed = last_boxed(text)
+    return float(math_equal(boxed if boxed is not None else text.strip(), truth))
+
+
+def strict_box(text: Column, truth: Column) -> Column:
+    """A struct of score (1 or -1), acc and pred: the boxed answer within the last 100 characters, exactly as the truth is written."""
+
+    @F.pandas_udf("string")
+    def boxed(tails: pd.Series) -> pd.Series:
+        return tails.map(lambda t: last_boxed(t) if t is not None else None)
+
+    pred = boxed(ending(text, 100))
+    right = F.coalesce(pred == truth, F.lit(False))
+    return F.struct(F.when(right, 1.0).otherwise(-1.0).alias("score"), right.alias("acc"), pred.alias("pred"))
+
+
+def fenced_code(text: Column) -> Column:
+    """The code of the last fenced block, its language's name off; null without one."""
+    return _last(_all(text, r"(?s)```(?:\w+\n)?(.*?)```", 1))
+
+
+def code_score(text: Column, results: Column, continuous: bool = True) -> Column:
+    """Of test results of a response's code; a response without a fenced block has no code, and scores 0."""
+    return F.when(fenced_code(text).isNull(), 0.0).otherwise(passed(results, continuous))
+
+
 # tool calls
 def overlap_score(a: list, b: list) -> float:
     """Common elements, each as often as in both, over all of either list; equal lists: 1."""
@@ -257,18 +381,45 @@ def as_udf(f: Callable[..., float], kind: str = "double") -> Callable[..., Colum
     return run
 
 
-SCORERS.register("openai/gsm8k")(gsm8k)
-for _name in ("lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval", "HuggingFaceH4/MATH-500"):
-    SCORERS.register(_name)(lambda text, truth: as_udf(math_score)(text, truth))
-for _name in ("math_dapo", "math"):
-    SCORERS.register(_name)(lambda text, truth: answer_line(text, truth)["score"])
-SCORERS.register("hiyouga/geometry3k")(lambda text, truth: as_udf(geo3k)(text, truth))
-SCORERS.register("searchR1_nq")(lambda text, truth: qa_score(text, F.array(truth)))
+# fixed values: sources, by the scorer each has
+SOURCES = {
+    "gsm8k": ["openai/gsm8k"],
+    "math": ["lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval", "HuggingFaceH4/MATH-500"],
+    "line": ["math_dapo", "math", "math_dapo_reasoning"],
+    "match": ["numina_aops_forum", "numina_synthetic_math", "numina_amc_aime", "numina_synthetic_amc", "numina_cn_k12", "numina_olympiads"],
+    "code": ["codecontests", "apps", "codeforces", "taco"],
+    "geometry": ["hiyouga/geometry3k"],
+    "search": ["searchR1_nq", "searchR1_triviaqa", "searchR1_popqa", "searchR1_hotpotqa", "searchR1_2wikimultihopqa", "searchR1_musique", "searchR1_bamboogle"],
+}
+
+
+def _results(text: Column, truth: Column) -> Column:
+    """truth: the results of the tests as a JSON array, since code is not run here."""
+    return code_score(text, F.from_json(truth, "array<boolean>"))
+
+
+RULES: dict[str, Callable[[Column, Column], Column]] = {
+    "gsm8k": gsm8k, "math": lambda text, truth: as_udf(math_score)(text, truth), "line": lambda text, truth: answer_line(text, truth)["score"], "match": lambda text, truth: as_udf(answer_match)(text, truth),
+    "code": _results, "geometry": lambda text, truth: as_udf(geo3k)(text, truth), "search": lambda text, truth: qa_score(text, F.array(truth))}
+for _rule, _names in SOURCES.items():
+    for _name in _names:
+        SCORERS.register(_name)(RULES[_rule])
+
+
+def scorer(source: str) -> Callable[[Column, Column], Column]:
+    """The scorer of a source; sources whose names begin with aime have that of answer lines."""
+    return RULES["line"] if source.startswith("aime") else SCORERS[source]
 
 
-def route(source: Column, text: Column, truth: Column, sources: list[str]) -> Column:
-    """The score by each row's source, of those named; a row of another source fails."""
-    out = F.raise_error(F.concat(F.lit("no scorer for "), source)).cast("double")
-    for name in sources:
-        out = F.when(source == name, SCORERS[name](text, truth)).otherwise(out)
+def route(source: Column, text: Column, truth: Column, sources: list[str] | None = None) -> Column:
+    """The score by each row's source, of those named, else of all that there are; a row of another source fails. A null text scores as an empty one."""
+    text = F.coalesce(text, F.lit(""))
+    out = F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce(source, F.lit("null")))).cast("double")
+    by_rule: dict[int, tuple[Callable[[Column, Column], Column], list[str]]] = {}
+    for name in sources if sources is not None else SCORERS.entries:
+        by_rule.setdefault(id(scorer(name)), (scorer(name), []))[1].append(name)
+    if sources is None:
+        out = F.when(F.startswith(source, F.lit("aime")), RULES["line"](text, truth)).otherwise(out)
+    for f, names in by_rule.values():
+        out = F.when(source.isin(*names), f(text, truth)).otherwise(out)
     return out

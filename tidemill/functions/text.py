@@ -106,6 +106,26 @@ def with_media(parts: Column, images: Column) -> Column:
     return F.when(n == F.size(images), filled).otherwise(wrong)
 
 
+def with_all_media(parts: Column, **media: Column) -> Column:
+    """Struct<type, text, item> with each kind's items (image, video, audio) put in for its marks, in order; too few or too many of a kind fail."""
+    kinds = ("image", "video", "audio")
+    of = lambda kind, some: F.size(F.filter(some, lambda p: p["type"] == kind))
+    upto = lambda i: F.slice(parts, F.lit(1), i + 1)
+
+    def item(p: Column, i: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k in kinds:
+            out = F.when(p["type"] == k, F.try_element_at(media[k], of(k, upto(i)))).otherwise(out) if k in media else out
+        return out
+
+    filled = F.transform(parts, lambda p, i: F.struct(p["type"].alias("type"), p["text"].alias("text"), item(p, i).alias("item")))
+    right = F.lit(True)
+    for k in kinds:
+        right = right & (of(k, parts) == (F.size(media[k]) if k in media else F.lit(0)))
+    wrong = F.filter(filled, lambda _: F.raise_error(F.lit("marks and media differ in number")).cast("boolean"))
+    return F.when(right, filled).otherwise(wrong)
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """conv_id, messages array<struct<role, content>> in order of turn. turns: conv_id, turn, role, text."""
     item = F.struct("turn", F.col("role"), F.col("text").alias("content"))
@@ -122,6 +142,12 @@ def sft_rows(turns: DataFrame, tokens: Column, system: int = 0, lead: int = 0) -
     return got.select("conv_id", F.flatten(F.transform("t", lambda x: x["ids"])).alias("input_ids"), F.flatten(F.transform("t", lambda x: x["mask"])).alias("loss_mask"))
 
 
+def preference_tokens(ids: Column | str, length: int, fill: int, end: int | None = None) -> Column:
+    """An answer's token ids with the end token (if there is one), cut on the right and filled up to a length."""
+    whole = F.concat(_c(ids), F.array(F.lit(end))) if end is not None else _c(ids)
+    return pad(truncate(whole, length, "right"), length, fill)
+
+
 def preference_rows(pairs: DataFrame) -> DataFrame:
     """Two rows of a pair: text (prompt and answer), chosen or not."""
     both = F.explode(F.array(F.struct(F.concat("prompt", "chosen").alias("text"), F.lit(True).alias("is_chosen")), F.struct(F.concat("prompt", "rejected").alias("text"), F.lit(False).alias("is_chosen"))))
@@ -150,6 +176,71 @@ def gsm8k_prompt(question: Column, answer: Column, index: Column, split: str = "
         F.struct(F.lit("rule").alias("style"), truth.alias("ground_truth")).alias("reward_model"), F.struct(F.lit(split).alias("split"), index.alias("index"), answer.alias("answer"), question.alias("question")).alias("extra_info")]
 
 
+def _prompt(source: Column | str, messages: list[tuple[str, Column]], ability: str, style: str, truth: Column, index: Column, split: str, **extra: Column) -> list[Column]:
+    """The columns of a prompt table."""
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    chat = F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in messages))
+    return [
+        lit(source).alias("data_source"), chat.alias("prompt"), F.lit(ability).alias("ability"), F.struct(F.lit(style).alias("style"), truth.alias("ground_truth")).alias("reward_model"),
+        F.struct(F.lit(split).alias("split"), index.alias("index"), *(c.alias(k) for k, c in extra.items())).alias("extra_info")]
+
+
+def math_prompt(problem: Column, solution: Column, index: Column, split: str = "train") -> list[Column]:
+    """From a problem and its worked solution, whose last boxed answer is the truth."""
+    from tidemill.functions.scoring import last_boxed
+
+    @F.pandas_udf("string")
+    def boxed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: last_boxed(t) if t is not None else None)
+
+    # fixed value: what the model is asked
+    ask = F.concat(problem, F.lit(" Let's think step by step and output the final answer within \\boxed{}."))
+    return _prompt("DigitalLearningGmbH/MATH-lighteval", [("user", ask)], "math", "rule", boxed(solution), index, split)
+
+
+def choice_prompt(rows: DataFrame, split: str = "train") -> DataFrame:
+    """Prompts for sentences with several endings. rows: row_idx, activity_label, ctx_a, ctx_b, endings, label (empty: the row goes)."""
+    second = F.concat(F.upper(F.left("ctx_b", F.lit(1))), F.lower(F.substring("ctx_b", 2, 1 << 30)))
+    query = clean_choices(F.concat(F.col("activity_label"), F.lit(": "), F.col("ctx_a"), F.lit(" "), second))
+    rows = rows.where(F.length("label") > 0)
+    cols = _prompt("Rowan/hellaswag", [("user", query)], "nlp", "model", F.col("label").cast("int"), F.col("row_idx"), split)
+    return rows.select(*cols, F.transform("endings", clean_choices).alias("choices"))
+
+
+def search_prompt(question: Column, truth: Column, source: Column, index: Column, system: str, lead: str, split: str = "train") -> list[Column]:
+    """From a question for search, with the lead before it and the arguments that the search tool takes."""
+    tagged = F.concat(F.lit("searchR1_"), source)
+    args = F.struct(F.struct(F.struct(truth.alias("ground_truth"), question.alias("question"), tagged.alias("data_source")).alias("create_kwargs")).alias("search"))
+    return _prompt(tagged, [("system", F.lit(system)), ("user", F.concat(F.lit(lead.rstrip("\n")), question))], "fact-reasoning", "rule", truth, index, split, need_tools_kwargs=F.lit(True), question=question, tools_kwargs=args)
+
+
+def preferred_sft(pairs: DataFrame) -> DataFrame:
+    """prompt, response: two rows of a pair, the chosen answer and the rejected one."""
+    return pairs.select("prompt", F.explode(F.array("chosen", "rejected")).alias("response"))
+
+
+def preferred_split(pairs: DataFrame, order: str = "row_idx", share: float = 0.75) -> DataFrame:
+    """pairs with split: the first `share` of rows (rounded) train, the last rest test. order: row numbers from 0."""
+    from tidemill.functions.masked import scalar_join
+
+    n = pairs.agg(F.count("*").alias("__n"))
+    return scalar_join(pairs, n).withColumn("split", F.when(F.col(order) < F.round(F.col("__n") * share), "train").otherwise("test")).drop("__n")
+
+
+def multiturn_rows(turns: DataFrame) -> DataFrame:
+    """messages, and the tools and thinking switch beside them, a row per conversation. turns: conv_id, turn, role, text."""
+    return conversations(turns).select("conv_id", "messages", F.lit(None).cast("string").alias("tools"), F.lit(False).alias("enable_thinking"))
+
+
+def agent_rows(steps: DataFrame, width: int) -> DataFrame:
+    """seq_id, response_ids, response_mask: what an agent and its tools wrote, in order, 1 for the agent's tokens and 0 for observations, cut
+    to `width`. steps: seq_id, turn, role (assistant or tool), ids."""
+    mask = F.transform("ids", lambda _: F.when(F.col("role") == "assistant", 1).otherwise(0))
+    held = steps.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("turn", "ids", mask.alias("mask")))).alias("t"))
+    part = lambda name: F.slice(F.flatten(F.transform("t", lambda x: x[name])), F.lit(1), F.lit(width))
+    return held.select("seq_id", part("ids").alias("response_ids"), part("mask").alias("response_mask"))
+
+
 # tool calls
 def hermes_calls(text: Column) -> Column:
     """array<struct<name, arguments>> of the JSON calls between tags (arguments as JSON text); unreadable ones are left out."""

@@ -218,15 +218,26 @@ def resample_weights(score: Column, how: str, power: float = 2.0, extremes: tupl
 
 
 def resample(seqs: DataFrame, how: str = "pow", power: float = 2.0, seed: int = 0) -> DataFrame:
-    """As many rows as seqs, drawn with replacement in proportion to the weights: row by row, each is taken as often as
-    systematic draws fall on its share, so that no range join and no order of draws is needed. Draws follow a hash of seq_id and seed."""
+    """Exactly as many rows as seqs, drawn with replacement in proportion to the weights, with `draw`, the draw's number.
+
+    Rows stand for intervals of whole numbers, one after another in order of seq_id; draw i is a hash of i and the seed. Draws and
+    intervals meet in cells about as many as rows, and an interval stands in all cells it covers, so one heavy row is no hot key."""
+    from tidemill.operators.batch import ROW, numbered, running
+
     stats = seqs.agg(F.min("score").alias("__low"), F.max("score").alias("__high"))
-    weighed = scalar_join(seqs, stats).withColumn("__w", resample_weights(F.col("score"), how, power, (F.col("__low"), F.col("__high"))))
-    total = weighed.agg((F.sum("__w") / F.count("*")).alias("__unit"))
-    expected = F.col("__w") / F.col("__unit")
-    uniform = F.pmod(F.xxhash64("seq_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    times = (F.floor(expected) + (uniform < expected - F.floor(expected)).cast("int")).cast("int")
-    return scalar_join(weighed, total).withColumn("draw", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).drop("__low", "__high", "__w", "__unit")
+    weighed = scalar_join(seqs, stats).withColumn("__w", resample_weights(F.col("score"), how, power, (F.col("__low"), F.col("__high")))).drop("__low", "__high")
+    total = weighed.agg(F.sum("__w").alias("__total"))
+    whole = scalar_join(numbered(weighed, "seq_id"), total).withColumn("__w", F.ceil(F.col("__w") / F.col("__total") * float(1 << 44))).drop("__total")
+    held = running(whole, "__w")
+    size = held.agg(F.max("__end").alias("__size"), F.count("*").alias("__n"))
+    n = held.count()
+    cell = lambda x: F.floor(x / F.ceil(F.col("__size") / F.col("__n")))
+    covers = F.sequence(cell(F.col("__end") - F.col("__w")), cell(F.col("__end") - 1))
+    rows = scalar_join(held, size).withColumn("__cell", F.explode(covers)).drop("__size", "__n")
+    draws = scalar_join(seqs.sparkSession.range(n).select(F.col("id").alias("draw")), size).withColumn("__at", F.pmod(F.xxhash64("draw", F.lit(seed)), F.col("__size")))
+    draws = draws.withColumn("__in", cell(F.col("__at"))).drop("__size", "__n")
+    got = rows.join(draws, (F.col("__cell") == F.col("__in")) & (F.col("__at") >= F.col("__end") - F.col("__w")) & (F.col("__at") < F.col("__end")))
+    return got.select(*seqs.columns, "draw")
 
 
 def last_of_session_baseline(rows: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -250,8 +261,21 @@ class KLController:
         return self.beta
 
 
-def advantage(name: str, seqs: DataFrame, tokens: DataFrame | None = None, **options) -> DataFrame:
-    """By an estimator's name: of sequences, or of tokens if it is one of tokens."""
-    if name in TOKEN:
-        return TOKEN[name](tokens, **options)
-    return SEQUENCE[name](seqs, **options)
+def advantage(name: str, seqs: DataFrame, tokens: DataFrame | None = None, resampled: str | None = None, **options) -> DataFrame:
+    """By an estimator's name: of sequences, or of tokens if it is one of tokens. Tokens without a mask count all. resampled: after token
+    advantages, sequences (with score) are drawn anew by that rule, and come with their tokens, as many times as drawn (`draw`)."""
+    if name not in TOKEN:
+        return SEQUENCE[name](seqs, **options)
+    if "mask" not in tokens.columns:
+        tokens = tokens.withColumn("mask", F.lit(1))
+    out = TOKEN[name](tokens, **options)
+    return out.join(resample(seqs, resampled).select("seq_id", "draw"), "seq_id") if resampled else out
+
+
+def kl_step(tokens: DataFrame, penalty: Column, controller: KLController, steps: int) -> tuple[DataFrame, float]:
+    """kl_rewards with the controller's weight, and the batch's KL (the mean over sequences of their masked means), by which the weight then moves."""
+    out = kl_rewards(tokens, penalty, controller.beta)
+    by_seq = out.groupBy("seq_id").agg((F.sum("kl") / (F.sum("mask") + EPS)).alias("k"))
+    current = float(by_seq.agg(F.avg("k")).first()[0] or 0.0)
+    controller.update(current, steps)
+    return out, current

@@ -115,13 +115,14 @@ def required_multiple(workers: int, *mini_batches: int) -> int:
     return math.lcm(workers, *mini_batches)
 
 
-def assigned(rows: DataFrame, by: str, k: int, length: str = "seqlen", key: str = "row_idx", group: str | None = None, equal_size: bool = False) -> DataFrame:
-    """by, key, part, place: each batch's rows dealt to k parts; `place` orders a part's rows."""
+def assigned(rows: DataFrame, by: str, k: int, length: str = "seqlen", key: str = "row_idx", group: str | None = None, equal_size: bool = False, how: str = "differencing") -> DataFrame:
+    """by, key, part, place: each batch's rows dealt to k parts, by largest differences or (greedy) one after another; `place` orders a part's rows."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
         lengths = pdf[length].tolist()
-        sets = group_partitions(lengths, pdf[group].tolist(), k) if group else partitions([workload(v) for v in lengths], k, equal_size)
+        loads = [workload(v) for v in lengths]
+        sets = group_partitions(lengths, pdf[group].tolist(), k) if group else greedy(loads, k, equal_size) if how == "greedy" else partitions(loads, k, equal_size)
         pairs = [(i, p, n) for p, s in enumerate(sets) for n, i in enumerate(inside_rank(s, lengths))]
         at = [i for i, _, _ in pairs]
         return pd.DataFrame({by: pdf[by].iloc[at].to_numpy(), key: pdf[key].iloc[at].to_numpy(), "part": [p for _, p, _ in pairs], "place": [n for _, _, n in pairs]})
@@ -144,6 +145,43 @@ def micro_assigned(rows: DataFrame, by: str, most_tokens: int, length: str = "se
     return rows.select(by, key, length, *([group] if group else [])).groupBy(by).applyInPandas(one, f"{by} {kinds[by]}, {key} {kinds[key]}, micro_batch long")
 
 
+def in_rank_order(rows: DataFrame, by: str, k: int, mode: str = "batch", mini: int | None = None, length: str = "seqlen", key: str = "row_idx", group: str | None = None) -> DataFrame:
+    """by, key, part, place of each batch's rows, dealt to k ranks of as many rows: all at once; `mini`: mini-batch by mini-batch (of `mini`
+    rows, in order of key), so that each spreads over all ranks; `group`: whole groups, in order of key within a rank, as many groups to each."""
+    if mode == "batch":
+        return assigned(rows, by, k, length, key, equal_size=True)
+    if mode == "mini":
+        if not mini:
+            raise ValueError("mini-batches need their size")
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(key).reset_index(drop=True)
+            lengths, ranks = pdf[length].tolist(), [[] for _ in range(k)]
+            for start in range(0, len(lengths) // mini * mini, mini):
+                for r, s in enumerate(partitions([workload(v) for v in lengths[start : start + mini]], k, True)):
+                    ranks[r] += [start + i for i in s]
+            pairs = [(i, r, n) for r, s in enumerate(ranks) for n, i in enumerate(inside_rank(s, lengths))]
+            at = [i for i, _, _ in pairs]
+            return pd.DataFrame({by: pdf[by].iloc[at].to_numpy(), key: pdf[key].iloc[at].to_numpy(), "part": [r for _, r, _ in pairs], "place": [n for _, _, n in pairs]})
+
+        kinds = dict(rows.dtypes)
+        return rows.select(by, key, length).groupBy(by).applyInPandas(one, f"{by} {kinds[by]}, {key} {kinds[key]}, part long, place long")
+    if mode != "group" or not group:
+        raise ValueError(f"no such balance: {mode!r}")
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key).reset_index(drop=True)
+        if len(runs(pdf[group].tolist())) % k:
+            raise ValueError("the number of groups is no multiple of the number of ranks")
+        sets = group_partitions(pdf[length].tolist(), pdf[group].tolist(), k)
+        pairs = [(i, p, n) for p, s in enumerate(sets) for n, i in enumerate(s)]
+        at = [i for i, _, _ in pairs]
+        return pd.DataFrame({by: pdf[by].iloc[at].to_numpy(), key: pdf[key].iloc[at].to_numpy(), "part": [p for _, p, _ in pairs], "place": [n for _, _, n in pairs]})
+
+    kinds = dict(rows.dtypes)
+    return rows.select(by, key, length, group).groupBy(by).applyInPandas(whole, f"{by} {kinds[by]}, {key} {kinds[key]}, part long, place long")
+
+
 def inverse(table: DataFrame, old: str, new: str) -> DataFrame:
     """The permutation that undoes a permutation."""
     return table.select(F.col(new).alias(old), F.col(old).alias(new))

@@ -253,3 +253,29 @@ def generation_view(b: Batch, keep: Sequence[str] = ("data_source", "reward_mode
     """What goes to generation (all columns), and what the table keeps of its own for the reward."""
     kept = [c for c in keep if c in b.columns]
     return b, b.select(kept)
+
+
+def prefixed(metrics: Mapping[str, Any], prefix: str) -> dict[str, Any]:
+    return {f"{prefix}{k}": v for k, v in metrics.items()}
+
+
+def appended(lists: Mapping[str, list], values: Mapping[str, Any], prefix: str = "") -> dict[str, list]:
+    """lists with each value at the end of its name's list."""
+    out = {k: list(v) for k, v in lists.items()}
+    for k, v in values.items():
+        out.setdefault(f"{prefix}{k}", []).append(v)
+    return out
+
+
+def for_generation(sample: Batch, n: int, agent: str | None = None) -> Batch:
+    """A sample's rows n times each, one after another; `agent` names who answers, in rows that do not say."""
+    rows = sample.rows
+    if agent is not None:
+        rows = rows.withColumn("agent_name", F.coalesce(F.col("agent_name"), F.lit(agent)) if "agent_name" in rows.columns else F.lit(agent))
+    return Batch(rows, sample.meta).repeat(n)
+
+
+def varied_groups(rows: DataFrame, group: str = "uid", metric: str = "score") -> DataFrame:
+    """Rows of groups whose metric is not the same throughout; one row alone stays."""
+    stats = rows.groupBy(F.col(group).alias("__g")).agg(F.min(metric).alias("__lo"), F.max(metric).alias("__hi"), F.count("*").alias("__n")).where("__lo <> __hi or __n = 1")
+    return rows.join(stats.select("__g"), F.col(group).eqNullSafe(F.col("__g")), "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,8 +16,10 @@ MODES = Registry("dispatch mode")
 
 
 @MODES.register("one_to_all")
-def one_to_all(rows: DataFrame, work: Callable[[Iterator[pd.DataFrame], Any], Iterator[pd.DataFrame]], schema: str, shared: Any = None) -> DataFrame:
-    """Every task gets the same value beside its rows."""
+def one_to_all(rows: DataFrame, work: Callable[[Iterator[pd.DataFrame], Any], Iterator[pd.DataFrame]], schema: str, shared: Any = None, most: int = 64_000_000) -> DataFrame:
+    """Every task gets the same value beside its rows; one of more than `most` bytes must come as a table and a join."""
+    if (size := len(pickle.dumps(shared))) > most:
+        raise ValueError(f"a value of {size} bytes is more than goes to every task ({most})")
     held = rows.sparkSession.sparkContext.broadcast(shared)
     return rows.mapInPandas(lambda batches: work(batches, held.value), schema)
 
@@ -55,5 +58,10 @@ def by_group(rows: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[
     return rows.repartitionByRange(groups, F.col(key)).mapInPandas(work, schema)
 
 
+def collected(rows: DataFrame, ranks: list[int], rank: str = "rank") -> DataFrame:
+    """Of results that several ranks made alike, those of the ranks that are asked to give them."""
+    return rows.where(F.col(rank).isin(*ranks))
+
+
 def run(mode: str, *args: Any, **options: Any) -> Any:
     return MODES[mode](*args, **options)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -219,6 +219,46 @@ def aggregate_steps(rows: DataFrame, explicit: Mapping[str, str] | None = None)
     return sums.select("name", pick.alias("value"))
 
 
+def specials(metrics: DataFrame, devices: int) -> DataFrame:
+    """name, value: metrics over steps, with those anew that follow from others: the spread of sequence lengths, the throughput, and the
+    share of a step that generation takes (each only if what it needs is there)."""
+    one = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
+    needed = {"hi": "global_seqlen/max", "lo": "global_seqlen/min", "diff": "global_seqlen/minmax_diff", "rate": "perf/throughput", "tokens": "perf/total_num_tokens", "time": "perf/time_per_step", "gen": "timing_s/gen", "step": "timing_s/step"}
+    row = metrics.agg(*(one(n).alias(k) for k, n in needed.items()))
+    made = {
+        needed["diff"]: F.when(F.col("diff").isNotNull(), F.col("hi") - F.col("lo")),
+        needed["rate"]: F.when(F.col("rate").isNotNull(), F.col("tokens") / (F.col("time") * devices)),
+        "fully_async/trainer/idle_ratio": F.col("gen") / F.col("step"),
+    }
+    new = row.select(F.explode(F.create_map(*(x for n, c in made.items() for x in (F.lit(n), c)))).alias("name", "value")).where("value is not null")
+    return metrics.join(new.select("name"), "name", "left_anti").select("name", "value").unionByName(new)
+
+
+def merged_validation(*runs: DataFrame | None) -> DataFrame:
+    """The rows of several validation runs, to be reduced as one; a run that did not take place is passed over, columns that one lacks are null."""
+    given = [r for r in runs if r is not None]
+    if not given:
+        raise ValueError("there is no validation run")
+    out = given[0]
+    for r in given[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out
+
+
+def component_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """key, mean, std (of all rows, not a sample), max, min of each score component that rows have."""
+    have = [k for k in keys if k in rows.columns]
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("v")) for k in have))).alias("x")).select("x.*")
+    return long.groupBy("key").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.max("v").alias("max"), F.min("v").alias("min"))
+
+
+def response_info(rows: DataFrame, mask: str = "attention_mask", width: int = 0) -> DataFrame:
+    """rows with prompt_length and response_length, from an attention mask whose last `width` places are the response."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, v: x + v)
+    n = F.size(mask) - width
+    return rows.withColumns({"prompt_length": total(F.slice(mask, F.lit(1), n)), "response_length": total(F.slice(mask, n + 1, F.lit(width)))})
+
+
 def spread_stats(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """by, mean, max, min, p50, p95, p99 (linear between values)."""
     p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
@@ -244,12 +284,50 @@ def imbalance(rows: DataFrame, parts: int) -> DataFrame:
     return out
 
 
+def dense_parameters(c: Mapping[str, float]) -> tuple[float, float]:
+    """Of a decoder by its configuration: parameters that each token meets, and the factor of squared lengths."""
+    head = c.get("head_dim", c["hidden_size"] // c["heads"])
+    attention = c["hidden_size"] * head * 2 * (c["heads"] + c["kv_heads"])
+    return (3 * c["hidden_size"] * c["intermediate_size"] + attention) * c["layers"] + 2 * c["vocab_size"] * c["hidden_size"], head * c["heads"] * c["layers"]
+
+
+def expert_parameters(c: Mapping[str, float]) -> tuple[float, float]:
+    """As dense, each token meeting a router and the few experts it chooses."""
+    head = c.get("head_dim", c["hidden_size"] // c["heads"])
+    attention = c["hidden_size"] * head * 2 * (c["heads"] + c["kv_heads"])
+    experts = c["hidden_size"] * c["experts"] + 3 * c["hidden_size"] * c["expert_size"] * c["chosen"]
+    return (experts + attention) * c["layers"] + 2 * c["vocab_size"] * c["hidden_size"], head * c["heads"] * c["layers"]
+
+
+def latent_parameters(c: Mapping[str, float]) -> tuple[float, float]:
+    """Latent attention, dense layers first, then layers of shared and chosen experts."""
+    h, q_head, layers = c["hidden_size"], c["nope_dim"] + c["rope_dim"], c["layers"]
+    query = h * c["heads"] * q_head if not c.get("q_rank") else h * c["q_rank"] + c["heads"] * q_head * c["q_rank"]
+    attention = query + h * (c["kv_rank"] + c["rope_dim"]) + c["heads"] * (q_head - c["rope_dim"] + c["v_dim"]) * c["kv_rank"] + c["heads"] * c["v_dim"] * h
+    experts = h * c["experts"] + 3 * h * c["expert_size"] * (c["chosen"] + c["shared"])
+    total = experts * (layers - c["dense_layers"]) + 3 * h * c["intermediate_size"] * c["dense_layers"] + attention * layers + 2 * c["vocab_size"] * h
+    return total, layers * (q_head + c["v_dim"]) * c["heads"] / 2  # half, since the square's factor is 3 here and 6 elsewhere
+
+
+ARCHITECTURES: Mapping[str, Callable[[Mapping[str, float]], tuple[float, float]]] = {
+    **dict.fromkeys(("qwen2", "llama", "mistral", "qwen3", "minicpm"), dense_parameters), **dict.fromkeys(("qwen2_moe", "qwen3_moe"), expert_parameters), "deepseek_v3": latent_parameters}
+
+
 def flops(rows: DataFrame, parameters: float, head_dim: int, heads: int, layers: int, seconds: float) -> DataFrame:
     """One row: teraflops a second of training a dense transformer on sequences of `seqlen`."""
     work = 6 * parameters * F.sum("seqlen") + 6.0 * F.sum(F.col("seqlen") * F.col("seqlen")) * head_dim * heads * layers
     return rows.agg((work / seconds / 1e12).alias("tflops"))
 
 
+def flops_of(rows: DataFrame, kind: str, config: Mapping[str, float], seconds: float) -> DataFrame:
+    """One row: teraflops a second by a model's kind and configuration; 0 for a kind that is not known."""
+    if kind not in ARCHITECTURES:
+        return rows.agg(F.max(F.lit(0.0)).alias("tflops"))
+    parameters, square = ARCHITECTURES[kind](config)
+    work = F.lit(6.0 * parameters) * F.sum("seqlen") + F.lit(6.0 * square) * F.sum(F.col("seqlen").cast("double") * F.col("seqlen"))
+    return rows.agg((work / seconds / 1e12).alias("tflops"))
+
+
 def sanitised(key: Column) -> Column:
     """A metric's name as a tracking server takes it."""
     return F.regexp_replace(F.regexp_replace(F.replace(key, F.lit("@"), F.lit("_at_")), "/+", "/"), r"[^/\w.\- :]", "_")

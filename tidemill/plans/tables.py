@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from tidemill.operators import balance as L
 from tidemill.operators.batch import ROW, Batch, concat, numbered
 from tidemill.plans.advantages import r6, rounded
 from tidemill.plans.views import VIEWS, scored, table
+from tidemill.session import shared_folder
 from tidemill.sources import tables as R
 from tidemill.streaming import events as E
 from tidemill.streaming import samples as Q
@@ -276,8 +276,7 @@ def score_overlong(s: SparkSession, d: str) -> DataFrame:
 
 # streams
 def folder(s: SparkSession) -> str:
-    top = s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
-    return f"{top}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
 
 
 def stream(s: SparkSession, d: str) -> DataFrame:
@@ -313,7 +312,7 @@ def count_batches(s: SparkSession, d: str) -> DataFrame:
 @put("stream_queue", "WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, CAST(least(any_value(n), 32) AS BIGINT) AS size, any_value(n) AS produced, CAST(greatest(any_value(n) - 32, 0) AS BIGINT) AS dropped, min(event_id) AS oldest, max(event_id) AS newest FROM e WHERE k <= 32 GROUP BY user_id")
 def queue(s: SparkSession, d: str) -> DataFrame:
     """The bounded queue of each user's events, as the stream's last micro-batch leaves it."""
-    out = E.run_to_table(Q.queue_counts(stream(s, d), "user_id", "event_id", 32), folder(s), "update")
+    out = E.run_to_table(Q.queue_counts(stream(s, d), "user_id", "event_id", 32), folder(s), "update", ["user_id"])
     return out.select("user_id", "size", "produced", "dropped", "oldest", "newest")
 
 

@@ -18,15 +18,33 @@ READERS.register("jsonl")(lambda spark, path: spark.read.json(path))
 
 
 def read_tables(spark: SparkSession, files: str | Sequence[str]) -> DataFrame:
-    """Files one after another, with row_idx; by their extension, else a ValueError."""
+    """Files one after another, with row_idx, in the order of the rows within them (of a folder: by the names of its files); by their
+    extension, else a ValueError."""
     out = None
     for k, path in enumerate([files] if isinstance(files, str) else files):
         kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
         if kind not in READERS:
             raise ValueError(f"no reader for {path!r}; there are {sorted(READERS.entries)}")
-        df = READERS[kind](spark, path).withColumns({"__file": F.lit(k), "__at": F.monotonically_increasing_id()})
+        df = READERS[kind](spark, path)
+        if _has(df, "_metadata.file_path"):  # splits are not read in the order of files
+            inside = "row_index" if _has(df, "_metadata.row_index") else "file_block_start"
+            df = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col(f"_metadata.{inside}").alias("__block"))
+        else:
+            df = df.withColumns({"__path": F.lit(""), "__block": F.lit(0).cast("long")})
+        df = df.withColumns({"__file": F.lit(k), "__at": F.monotonically_increasing_id()})
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return numbered(out, "__file", "__at").drop("__file", "__at")
+    order = ("__file", "__path", "__block", "__at")
+    return numbered(out, *order).drop(*order)
+
+
+def _has(df: DataFrame, column: str) -> bool:
+    from pyspark.errors import AnalysisException
+
+    try:
+        df.select(column).schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
 
 
 def sampled(rows: DataFrame, most: int, shuffle: bool = False, seed: int = 0) -> DataFrame:

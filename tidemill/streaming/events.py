@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def read_events(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
@@ -33,16 +36,30 @@ def once(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFr
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run over all that is there, then stop; the result as a table. mode: complete (the last result stands) or append."""
-    out = f"{folder}/out"
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Run over all that is there, then stop; the result as a table. mode: complete (the last result stands), append, or update, in which
+    the last row of each of `keys` stands: micro-batches are written beside one another, each once however often it is run, and
+    put together when read."""
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
+    spark, out = stream.sparkSession, f"{folder}/out"
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).outputMode("append").start()
+    elif mode == "update":
+        query = writer.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/__batch={k}")).outputMode(mode).start()
     else:
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).outputMode(mode).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    fields = stream.schema.names
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    written = spark.read.schema(StructType([*stream.schema.fields, StructField("__batch", LongType())])).parquet(out)
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*fields), "__batch").alias("x"))
+    return last.select(*(F.col(f"x.{c}").alias(c) for c in fields))
 
 
 def flagged(value: Column, low: float, high: float) -> Column:

@@ -108,6 +108,59 @@ class Admission:
         self.stale = active + queued
 
 
+class SideQueue:
+    """First in, first out, without a bound: validation results, apart from the samples."""
+
+    def __init__(self) -> None:
+        self.items: deque = deque()
+
+    def put(self, item: Any) -> None:
+        self.items.append(item)
+
+    def get(self) -> Any:
+        return self.items.popleft() if self.items else None
+
+
+def sample_ids(prompts: DataFrame, total: int, epoch_rows: int, order: str = "row_idx") -> DataFrame:
+    """A row per sample, `total` of them: the prompts epoch after epoch, with sample_id `sample_<epoch>_<step>`; steps count on over epochs."""
+    epochs = F.sequence(F.lit(0).cast("long"), F.lit((total - 1) // epoch_rows).cast("long"))
+    step = F.col("epoch") * epoch_rows + F.col(order)
+    made = prompts.withColumn("epoch", F.explode(epochs)).withColumn("step", step).where(F.col("step") < total)
+    return made.withColumn("sample_id", F.concat_ws("_", F.lit("sample"), F.col("epoch").cast("string"), F.col("step").cast("string")))
+
+
+def idle_ratio(waiting: float, step: float) -> float:
+    """The share of a step that was spent waiting for samples."""
+    return waiting / step if step > 0 else 0.0
+
+
+def overlapped(batches: Iterable[Any], generate: Any, train: Any) -> list[Any]:
+    """The results of training on each batch's generation, while the next one is generated: one step ahead, in order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    out, waiting = [], None
+    with ThreadPoolExecutor(1) as ahead:
+        for b in batches:
+            coming = ahead.submit(generate, b)
+            if waiting is not None:
+                out.append(train(waiting.result()))
+            waiting = coming
+        if waiting is not None:
+            out.append(train(waiting.result()))
+    return out
+
+
+def assembled(samples: DataFrame, size: int, parts: int, order: str = "sample", length: str = "seqlen") -> DataFrame:
+    """samples with batch, part and place: batches of `size` samples in order (one that is not full waits), each balanced over `parts`."""
+    from tidemill.operators.balance import assigned
+    from tidemill.operators.batch import ROW, numbered
+
+    rows = numbered(samples, order).withColumn("batch", F.floor(F.col(ROW) / size))
+    n = rows.groupBy("batch").count().where(F.col("count") == size).select("batch")
+    full = rows.join(n, "batch", "left_semi")
+    return full.join(assigned(full, "batch", parts, length, equal_size=size % parts == 0), ["batch", ROW]).drop(ROW)
+
+
 def stale(rows: DataFrame, version: Column, current: Column) -> DataFrame:
     """rows with `behind`: versions behind the current one. Late samples are counted and kept."""
     return rows.withColumn("behind", F.greatest(current - version, F.lit(0)))
@@ -119,13 +172,35 @@ def replay_state(events: DataFrame) -> DataFrame:
     return latest.where("x.op <> 'remove'").select("partition_id", "key", "x.status", "x.step")
 
 
-def replay_sample(events: DataFrame) -> DataFrame:
-    """Keys that succeeded, of steps in which nothing runs any more."""
-    state = replay_state(events)
+def replay_stream(events: DataFrame) -> DataFrame:
+    """In update mode: partition_id, key, status, step, removed as the stream leaves them: the state of a key is its latest tags, and a
+    later `at` wins over an earlier one whichever comes first."""
+
+    def step(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.get if state.exists else (-1, "", "", -1)
+        for pdf in chunks:
+            for at, op, status, number in zip(pdf["at"], pdf["op"], pdf["status"], pdf["step"], strict=True):
+                if at >= seen[0]:
+                    seen = (int(at), op, status, int(number))
+        state.update(seen)
+        yield pd.DataFrame({"partition_id": [k[0]], "key": [k[1]], "status": [seen[2]], "step": [seen[3]], "removed": [seen[1] == "remove"]})
+
+    kind = events.schema["key"].dataType.simpleString()
+    return events.select("at", "partition_id", "key", "op", "status", "step").groupBy("partition_id", "key").applyInPandasWithState(
+        step, f"partition_id string, key {kind}, status string, step long, removed boolean", "at long, op string, status string, step long", "update", GroupStateTimeout.NoTimeout)
+
+
+def ready(state: DataFrame) -> DataFrame:
+    """Of a replay state (columns status, step): what succeeded, of steps in which nothing runs any more."""
     running = state.where("status = 'running'").select("step").distinct()
     return state.where("status = 'success'").join(running, "step", "left_anti")
 
 
+def replay_sample(events: DataFrame) -> DataFrame:
+    """Keys that succeeded, of steps in which nothing runs any more."""
+    return ready(replay_state(events))
+
+
 @dataclass
 class TokenBucket:
     """Tokens come at a rate, up to a capacity; a request for more than there are waits, one for more than fit leaves a debt."""
