@@ -3,8 +3,9 @@
 Texts are linked that have LEAST of their five-word shingles (as sets) in common, of all that either has. Candidates come from FAMILIES
 fingerprints of WIDTH bits each, independent of one another, over two-word shingles, since an edit touches fewer of those: at a
 similarity of 0.8 about a tenth of the bits differ, and of four fingerprints one is within 4 bits in about 19 of 20 cases, more often
-above. Each fingerprint stands for all its variants within half the radius (simhash.py); on a variant that several texts share,
-each meets the least of them and its neighbours in order of id, so candidates grow with the texts and not with their pairs.
+above. Each fingerprint stands for all its variants within half the radius (simhash.py). Of the texts that share a variant with it,
+each meets the one of least id, and the last one before it in order of id, by each family: up to 8 candidates a text, however large a
+group is. A text of a group so meets what stays of it, and one of a row of versions the version before.
 
 Candidates are checked on whole texts: each text with its least partner first, and then every candidate pair that these links leave
 apart. Equal texts are one.
@@ -138,15 +139,26 @@ def candidates(classes: DataFrame) -> DataFrame:
         mask, value = np.uint64(sum(1 << i for i in chosen[k])), np.uint64(sum(((int(bucket) >> j) & 1) << i for j, i in enumerate(chosen[k])))
         used = np.bitwise_count(prefix(fp, k) ^ bucket).astype(np.int64)
         free = [i for i in range(WIDTH) if i not in chosen[k]]
-        pairs = np.zeros(0, np.int64)
+        low, high = np.arange(len(fp)), np.full(len(fp), -1)  # by place, in order of id
         for variant, i in _variants((fp & ~mask) | value, used, free, half) if len(fp) > 1 else ():
             order = np.lexsort([i, variant])
             variant, i = variant[order], i[order]
             edge = np.concatenate([[True], variant[1:] != variant[:-1]])
             least = i[np.flatnonzero(edge)][np.cumsum(edge) - 1]
             on = np.flatnonzero(~edge)
-            pairs = np.unique(np.concatenate([pairs, least[on] * len(ids) + i[on], i[on - 1] * len(ids) + i[on]]))
-        a, b = ids[pairs // len(ids)], ids[pairs % len(ids)]
+            np.minimum.at(low, i[on], least[on])
+            np.maximum.at(high, i[on], i[on - 1])
+        b = np.flatnonzero(high >= 0)
+        a, b = np.concatenate([low[b], high[b]]), np.concatenate([b, b])
+        # a pair is told in one bucket: the first text's, with as many of the differing bits turned as the second can't turn itself
+        own = prefix(fp, k)
+        apart, told = own[a] ^ own[b], own[a].copy()
+        differ = np.bitwise_count(apart)
+        for turned in range(half):
+            bit = np.where(differ > half + turned, apart & (~apart + np.uint64(1)), np.uint64(0))
+            told, apart = told ^ bit, apart ^ bit
+        here = told == bucket
+        a, b = ids[a[here]], ids[b[here]]
         release()
         return pa.table({"a": a, "b": b})
 
