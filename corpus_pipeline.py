@@ -1,7 +1,7 @@
 """From raw documents to packed token sequences, in stages that each reread what the one before wrote.
 
 A stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the columns of `documents`. Rows are told
-apart by a number that each stage gives them, never by doc_id: null ids, ids of several texts and repeated rows are rows of their own.
+apart by their text or by a number that the stage gives them, never by doc_id: null ids, ids of several texts and repeated rows are rows of their own.
 """
 
 from __future__ import annotations
@@ -35,9 +35,12 @@ def _these(rows: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep. Null and empty texts have no words and go; repeated rows stay or go alike; a null lang is one of its own."""
+    """Rows that the quality rules keep. Null and empty texts have no words and go; repeated rows stay or go alike; a null lang is one of its own.
+
+    The verdict follows from text and lang, so rows are known by a hash of both, and nothing need be written for it: should two texts
+    have one hash (of 64 bits), both stay if either does."""
     ship(spark)
-    rows = _rows(docs)
+    rows = docs.select(*COLUMNS, F.xxhash64("text", "lang").alias("__row"))
     return _these(rows, quality.quality(rows.select(F.col("__row").alias("doc_id"), "text", "lang")).where("kept").select("doc_id"))
 
 
