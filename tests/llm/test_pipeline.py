@@ -77,6 +77,31 @@ def test_near_copies_are_found(spark):
     assert all(want[got[i]] == c for i, c in enumerate(want))  # nothing is put together that is not linked
 
 
+def test_rest_leaves_no_link_between_components(spark):
+    """Sets of all sizes, many around one, against all pairs; with nothing linked before, and with some of the links known."""
+    import random
+
+    from tidemill.llm import nearcopies
+
+    r, sets = random.Random(5), []
+    for k in range(12):
+        base = [r.randrange(10**9) for _ in range(r.choice([1, 2, 5, 9, 10, 35, 120]))]
+        for _ in range(60 if k == 0 else 9):
+            sets.append(sorted({x if r.random() > r.choice([0, 0.05, 0.12, 0.3]) else r.randrange(10**9) for x in base}))
+    sets += [sets[0], sets[70], []]
+    held = spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<long>").repartition(5)
+    near = lambda a, b: bool(a or b) and alike(set(a), set(b))
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if near(sets[a], sets[b])}
+    assert len(links) > 100
+    for known in (set(), set(sorted(links)[::3])):
+        label = nearcopies.components(spark.createDataFrame(sorted(known), "a long, b long"))
+        of = {x.node: x.component for x in label.collect()}
+        got = {(x.a, x.b) for x in nearcopies.rest(held, label, 0.8).collect()}
+        left = {(a, b) for a, b in links if of.get(a, a) != of.get(b, b)}
+        assert left <= got and all(a < b and of.get(a, a) != of.get(b, b) for a, b in got)
+        assert {(x.a, x.b) for x in nearcopies.checked(nearcopies.rest(held, label, 0.8), held, 0.8).collect()} == left
+
+
 def odd_rows():
     from tests.llm.conftest import prose
 

@@ -7,8 +7,10 @@ above. Each fingerprint stands for all its variants within half the radius (simh
 each meets the one of least id, and the last one before it in order of id, by each family: up to 8 candidates a text, however large a
 group is. A text of a group so meets what stays of it, and one of a row of versions the version before.
 
-Candidates are checked on whole texts: each text with its least partner first, and then every candidate pair that these links leave
-apart. Equal texts are one.
+Candidates are checked on whole texts: each text with its least partner first, and then the rest. For the rest nothing is capped: of
+all texts that have a candidate, those that links leave apart are joined by the rarest of their shingles, so many of them that two
+texts with LEAST in common must share one, and only pairs that can still have that much in common are checked. What a large group's
+texts share is not rare, and what an edit makes is in one text only, so few pairs are left to check. Equal texts are one.
 """
 
 from __future__ import annotations
@@ -190,6 +192,29 @@ def checked(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return both.where((common >= least * (F.size("x") + F.size("y") - common))).select("a", "b")
 
 
+def rest(held: DataFrame, label: DataFrame, least: float) -> DataFrame:
+    """a, b (a < b): of the texts in held (id, shingles), all pairs of different components that can have `least` in common. label: node, component; a text that is not there is one of its own.
+
+    Shingles are taken in one order for all texts, rarest first. Two texts with that much in common share one of the first
+    n - ceil(least * n) + 1 shingles of either, and have no more in common than what follows the first that they share."""
+    one = held.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = one.groupBy("s").agg(F.count("*").alias("times")).where("times > 1").select(F.col("s").alias("shared"), "times")
+    own = lambda c: F.shiftleft(F.col(c), 0)  # noqa: E731  keys of their own, so that adaptive execution can split what many texts share
+    order = F.array_sort(F.collect_list(F.struct("times", "s"))).alias("order")
+    texts_ = one.join(often, own("s") == F.col("shared")).groupBy("id", "n").agg(order).withColumn("alone", F.col("n") - F.size("order"))
+    need = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1 - F.col("alone")
+    lead = texts_.where(need > 0).select("id", "n", "alone", F.posexplode(F.slice("order", 1, need.cast("int"))))
+    lead = lead.join(label, F.col("id") == F.col("node"), "left").select("id", (F.col("n") - F.col("alone") - F.col("pos")).alias("left"), "n", F.col("col.s").alias("s"), F.coalesce("component", "id").alias("of"))
+    lead = cut(lead)
+    mixed_ = lead.groupBy("s", "of").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("of", F.struct("c", "of")).alias("main"), F.count("*").alias("many")).where("many > 1").select(F.col("s").alias("key"), "main")
+    lead = lead.join(mixed_, own("s") == F.col("key")).drop("key")
+    x = lead.where("of <> main").select(*(F.col(c).alias(f"x_{c}") for c in ("id", "left", "n", "s", "of")))
+    can = F.least("left", "x_left") * (1 + least) >= least * (F.col("n") + F.col("x_n")) - 1e-9
+    once = (F.col("of") == F.col("main")) | (F.col("x_id") < F.col("id"))
+    met = x.join(lead, (own("x_s") == own("s")) & (F.col("x_of") != F.col("of")) & once & can)
+    return met.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """doc_id, component_id: a row per document, whose doc_id must be its own; component_id is the least doc_id that links reach.
 
@@ -202,8 +227,6 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> D
     shingled = cut(sets(docs.select("doc_id", "text").join(meant, "doc_id", "left_semi"), size))
     links = cut(checked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), shingled, least))
     label = cut(components(links))
-    node, mark = F.col("node"), lambda c: F.coalesce(F.col("component"), F.col(c)).alias(f"of_{c}")
-    apart = pairs.join(label, F.col("a") == node, "left").select("a", "b", mark("a")).join(label, F.col("b") == node, "left").select("a", "b", "of_a", mark("b")).where("of_a <> of_b").select("a", "b")
-    label = cut(components(links.unionByName(checked(apart, shingled, least))))
-    named = classes.join(label, F.col("id") == node, "left").select(F.col("same").alias("like"), F.coalesce("component", "id").alias("component_id"))
+    label = cut(components(links.unionByName(checked(rest(shingled, label, least), shingled, least))))
+    named = classes.join(label, F.col("id") == F.col("node"), "left").select(F.col("same").alias("like"), F.coalesce("component", "id").alias("component_id"))
     return held.join(named, F.col("same") == F.col("like")).select("doc_id", "component_id")
