@@ -17,7 +17,11 @@ COLUMNS = {
     "op8_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op9_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op10_lmscore": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op11_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op12_clusters": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
+    "op13_tokens": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
 }
+KEYS = {"op2_embeddings": ("embeddings", "vec_id"), "op11_search": ("benchmark", "item_id"), "op12_clusters": ("embeddings", "vec_id")}
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -25,10 +29,10 @@ def test_query(name, spark):
     df = QUERIES[name](spark, DATA)
     kinds = dict(df.dtypes)
     assert all(kinds[c] == k for c, k in COLUMNS[name].items())
-    key = "vec_id" if name == "op2_embeddings" else "doc_id"
-    want = sorted(r[0] for r in spark.read.parquet(f"{DATA}/{'embeddings' if key == 'vec_id' else 'documents'}.parquet").select(key).collect())
+    of, key = KEYS.get(name, ("documents", "doc_id"))
+    want = sorted(r[0] for r in spark.read.parquet(f"{DATA}/{of}.parquet").select(key).collect())
     got = [r[0] for r in df.select(key).collect()]
-    assert sorted(set(got) if name == "op6_packing" else got) == want
+    assert sorted(set(got) if name in ("op6_packing", "op11_search") else got) == want
     if name == "op8_simhash":
         assert all(len(r.fingerprint) == 16 and int(r.fingerprint, 16) >= 0 and r.fingerprint == r.fingerprint.lower() for r in df.collect())
 
@@ -36,7 +40,8 @@ def test_query(name, spark):
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_equals_sql(name, spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df, want = QUERIES[name](spark, DATA), con.sql(ORACLE_SQL[name])
     cols = sorted(df.columns)
     at = [want.columns.index(c) for c in cols]

@@ -8,16 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import embeddings, langid, licenses, lines, lmscore, mixing, packing, quality, simhash, substrings
+from tidemill.llm import clusters, embeddings, langid, licenses, lines, lmscore, mixing, packing, quality, search, simhash, substrings, tokencount
 from tidemill.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def remainder(n: int) -> Column:
@@ -70,6 +70,18 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("bits_per_byte", bits)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_embeddings": op2_embeddings,
@@ -81,8 +93,13 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_lmscore": op10_lmscore,
+    "op11_search": op11_search,
+    "op12_clusters": op12_clusters,
+    "op13_tokens": op13_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_lines": lines.ORACLE,
+    "op11_search": search.ORACLE,
+    "op12_clusters": clusters.oracle(),
 }
