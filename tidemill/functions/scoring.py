@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -12,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemill.functions.formulas import formula, identical
 from tidemill.functions.registry import Registry
 
 SCORERS = Registry("scorer")
@@ -160,95 +160,11 @@ def number(s: str) -> float | None:
         return None
 
 
-def formula(s: str) -> float | None:
-    """The value of a formula of numbers, pi, e, fractions, roots, powers, signs and brackets, read by descent; None for anything else, or
-    one longer than 200 characters. Nothing is evaluated but what the grammar has."""
-    text = re.sub(r"\\(?:cdot|times)", "*", re.sub(r"\\(?:left|right|,|;|!)", "", s)).replace("\\pi", "p").replace("\u03c0", "p").replace("pi", "p").replace("**", "^").replace("{", "(").replace("}", ")").replace("\\div", "/").replace(" ", "")
-    if not text or len(text) > 200:
-        return None
-    at = 0
-
-    def peek(token: str) -> bool:
-        nonlocal at
-        if text.startswith(token, at):
-            at += len(token)
-            return True
-        return False
-
-    def total() -> float:
-        out = product()
-        while True:
-            if peek("+"):
-                out += product()
-            elif peek("-"):
-                out -= product()
-            else:
-                return out
-
-    def product() -> float:
-        out = signed()
-        while True:
-            if peek("*"):
-                out *= signed()
-            elif peek("/"):
-                out /= signed()
-            elif at < len(text) and (text[at] in "(pe\\" or text[at].isdigit()):
-                out *= power()
-            else:
-                return out
-
-    def signed() -> float:
-        if peek("-"):
-            return -signed()
-        return signed() if peek("+") else power()
-
-    def power() -> float:
-        base = atom()
-        if not peek("^"):
-            return base
-        exponent = signed()
-        if abs(exponent) > 1000:
-            raise ValueError("too great a power")
-        out = base**exponent
-        if isinstance(out, complex):
-            raise ValueError("not real")
-        return out
-
-    def bracket() -> float:
-        if not peek("("):
-            raise ValueError("no bracket")
-        out = total()
-        if not peek(")"):
-            raise ValueError("no closing bracket")
-        return out
-
-    def atom() -> float:
-        nonlocal at
-        if peek("\\frac"):
-            return bracket() / bracket()
-        if peek("\\sqrt") or peek("sqrt"):
-            return math.sqrt(bracket())
-        if peek("p"):
-            return math.pi
-        if peek("e"):
-            return math.e
-        if at < len(text) and text[at] == "(":
-            return bracket()
-        if m := re.compile(r"\d+(?:\.\d+)?|\.\d+").match(text, at):
-            at = m.end()
-            return float(m[0])
-        raise ValueError("not a formula")
-
-    try:
-        out = total()
-    except (ValueError, ZeroDivisionError, OverflowError, RecursionError):
-        return None
-    return out if at == len(text) and math.isfinite(out) else None
-
-
 def math_equal(a: str, b: str, rel: float = 1e-4) -> bool:
-    """Equal as text (brackets aside), as numbers (also as per cent of one another) or by the value of their formulas, without the base a
-    number is in (`12_8` is `12`); or element by element between brackets of one kind, of matrices too. An interval's open and closed ends differ."""
+    """Equal as text (brackets aside), as numbers (also as per cent of one another), by the value of their formulas or as functions of their
+    unknowns (`x^2-1` is `(x+1)(x-1)`), without the base a number is in (`12_8` is `12`); or element by element between brackets of one
+    kind, of matrices too. An interval's open and closed ends differ."""
+    whole = [re.sub(r"^[^=]{0,2}=([^=]*)$", r"\1", x.strip()) for x in (a, b)]
     try:
         a, b = (re.sub(r"_\{?\d+\}?$", "", math_normal(x)) if re.fullmatch(r"\w+_\{?\d+\}?", math_normal(x)) else math_normal(x) for x in (a, b))
     except ValueError:
@@ -258,9 +174,12 @@ def math_equal(a: str, b: str, rel: float = 1e-4) -> bool:
     x, y = (number(v) if number(v) is not None else formula(v) for v in (a, b))
     if x is not None and y is not None:
         return any(abs(x - v) <= rel * max(abs(v), 1e-12) for v in (y, y / 100, y * 100))
-    matrix = re.compile(r"\\begin\{[pbv]?matrix\}(.*)\\end\{[pbv]?matrix\}")
+    if identical(*whole):
+        return True
+    a, b = (re.sub(r"\\(?:left|right)(?![a-z])|\$", "", w).strip() for w in whole)
+    matrix = re.compile(r"(?s)\\begin\{[pbv]?matrix\}(.*)\\end\{[pbv]?matrix\}")
     if (m := matrix.fullmatch(a)) and (n := matrix.fullmatch(b)):
-        p, q = ([row.split("&") for row in re.split(r"\\(?![a-z])", t[1])] for t in (m, n))
+        p, q = ([row.split("&") for row in re.split(r"\\\\|\\(?![a-zA-Z])", t[1])] for t in (m, n))
         return [len(r) for r in p] == [len(r) for r in q] and all(math_equal(u, v, rel) for r, s in zip(p, q, strict=True) for u, v in zip(r, s, strict=True))
     ends = lambda t: (t[0], t[-1]) if len(t) > 1 and t[0] in "([" and t[-1] in ")]" else ("", "")
     if ends(a) != ends(b) and "" not in (ends(a)[0], ends(b)[0]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-FAMILIES = ("advantages", "losses", "offpolicy", "metrics", "tables", "breadth")
+FAMILIES = ("advantages", "losses", "offpolicy", "metrics", "tables", "breadth", "depth")
 
 
 def queries() -> dict[str, Callable]:
