@@ -47,3 +47,100 @@ def test_reading_is_linear_and_sound():
     began = time.perf_counter()
     assert identical("+".join(["\\sqrt[3]{x}\\sin^2 x"] * 4000), "4000\\sin^2(x)\\sqrt[3]{x}") and read("(" * 50000) is None
     assert time.perf_counter() - began < 10
+
+
+# datasets
+CHAT = "id bigint, role string, score double, tags array<string>, extra struct<a:bigint,b:string>, absent string"
+
+
+@pytest.fixture(scope="module")
+def chat(spark, tmp_path_factory):
+    rows = [(i, ["user", "assistant", "tool", None][i % 4], None if i % 7 == 0 else i / 4 if i % 11 else float("nan"), [f"t{i % 3}"] * (i % 3), {"a": i, "b": f"é {i}"}) for i in range(500)]
+    df = spark.createDataFrame(rows, CHAT.removesuffix(", absent string"))
+    folder = tmp_path_factory.mktemp("chat")
+    df.repartition(3, "id").write.option("parquet.block.size", "1024").parquet(str(folder / "p.parquet"))
+    df.where("score IS NULL OR NOT isnan(score)").repartition(3, "id").write.json(str(folder / "l.jsonl"))
+    return df, folder
+
+
+@pytest.mark.parametrize("split", [1 << 20, 777, 50])
+def test_rows_in_parts(spark, chat, split):
+    from tidemill.sources.datasets import read_dataset
+
+    df, folder = chat
+    got = read_dataset(spark, path=f"{folder}/p.parquet", schema=CHAT, splitBytes=split)
+    assert got.rdd.getNumPartitions() >= (3 if split > 1000 else 6)
+    assert sorted(map(repr, got.drop("absent").collect())) == sorted(map(repr, df.collect())) and got.where("absent IS NOT NULL").count() == 0
+    lines = read_dataset(spark, path=f"{folder}/l.jsonl/part-*".replace("/part-*", ""), schema=CHAT, splitBytes=split)
+    assert sorted(map(repr, lines.drop("absent").collect())) == sorted(map(repr, df.where("score IS NULL OR NOT isnan(score)").collect()))
+    assert dict(read_dataset(spark, path=f"{folder}/p.parquet").dtypes) == dict(df.dtypes)
+
+
+@pytest.mark.parametrize("rule", ["id = 7", "id > 100 AND role IN ('user', 'tool')", "role IS NULL", "role IS NOT NULL AND NOT role = 'tool'", "role LIKE 'us%'", "score > 20", "score <= 3 AND id < 90", "extra.a = 5", "id % 2 = 0", "id = 3 OR role = 'tool'", "role <=> NULL", "role NOT IN ('user', 'tool')", "role > 'b'"])
+def test_filters_mean_the_same(spark, chat, rule):
+    from tidemill.sources.datasets import read_dataset
+
+    df, folder = chat
+    got = read_dataset(spark, path=f"{folder}/p.parquet", schema=CHAT, splitBytes=900).where(rule).select("id")
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in df.where(rule).select("id").collect())
+
+
+def test_filters_go_down(spark, chat):
+    from pyspark.sql import datasource as D
+
+    from tidemill.sources import datasets as R
+
+    _, folder = chat
+    df = R.read_dataset(spark, path=f"{folder}/p.parquet", schema=CHAT).where("id = 7 AND score > 1")
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed, rest = plan.split("PushedFilters: ")[1].split("\n")[0], plan.split("Condition : ")[1].split("\n")[0]
+    assert "EqualTo(id,7)" in pushed and "GreaterThan(score" not in pushed and "score" in rest and "id#" not in rest
+    reader = R.RowReader({"path": f"{folder}/p.parquet"}, R.T.StructType.fromDDL(CHAT))
+    own = [D.EqualTo(("id",), 7), D.GreaterThan(("score",), 1.5), D.EqualTo(("extra", "a"), 1)]
+    assert list(reader.pushFilters(own)) == own[1:]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 1
+
+
+def test_a_dataset_of_ones_own(spark, tmp_path):
+    from tidemill.sources.datasets import dataset_class, read_dataset
+
+    (tmp_path / "own.py").write_text("""
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+class Reader(DataSourceReader):
+    def __init__(self, n): self.n = n
+    def partitions(self): return [InputPartition(k) for k in range(self.n)]
+    def read(self, p): yield (p.value, f"prompt {p.value}")
+
+class Prompts(DataSource):
+    @classmethod
+    def name(cls): return "own_prompts"
+    def schema(self): return "id bigint, prompt string"
+    def reader(self, schema): return Reader(int(self.options["n"]))
+
+class Other: pass
+""")
+    got = read_dataset(spark, "Prompts", file=str(tmp_path / "own.py"), n=4)
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == [(k, f"prompt {k}") for k in range(4)]
+    with pytest.raises(TypeError):
+        dataset_class("Other", str(tmp_path / "own.py"))
+    with pytest.raises(ValueError):
+        dataset_class("unheard of")
+
+
+def test_rows_as_they_come(spark, chat, tmp_path):
+    from tidemill.sources.datasets import read_dataset
+    from tidemill.streaming.events import run_to_table
+
+    path, out = tmp_path / "dumps", f"{tmp_path}/out"
+    path.mkdir()
+    run = lambda: run_to_table(read_dataset(spark, path=str(path), schema="id bigint, role string", stream=True, splitBytes=30), out)
+    assert run().count() == 0
+    for k in range(3):
+        (path / f"{k:03d}.jsonl").write_text("".join(f'{{"id": {10 * k + i}, "role": "r{i}", "more": [1]}}\n' for i in range(5)))
+        (path / "_hidden.jsonl").write_text('{"id": -1}\n')
+        got = sorted(r["id"] for r in run().collect())
+        assert got == [10 * j + i for j in range(k + 1) for i in range(5)]
+    assert run().count() == 15
+    (path / "009.jsonl").write_text('{"id": 99, "role": null}')  # no line end
+    assert run().where("id = 99 AND role IS NULL").count() == 1

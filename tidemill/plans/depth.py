@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import scoring as S
+from tidemill.plans.breadth import folder
 from tidemill.plans.views import table
+from tidemill.sources.datasets import read_dataset
+from tidemill.streaming.events import run_to_table
 
 QUERIES, SQL = {}, {}
 
@@ -48,3 +51,35 @@ def symbolic(s: SparkSession, d: str) -> DataFrame:
     said, _ = _forms(kind, text(a + wrong), text(b), x)
     _, truth = _forms(kind, text(a), text(b), x)
     return docs.select("doc_id", S.as_udf(S.answer_match)(F.concat(F.coalesce("text", F.lit("")), F.lit(" \\boxed{"), said, F.lit("}")), truth).alias("score"))
+
+
+# datasets
+_TURNS = "conv_id bigint, turn bigint, role string, text string"
+
+
+@put("src_dataset", "SELECT role, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(conv_id) AS BIGINT) AS ids FROM conversations WHERE role <> 'user' AND turn >= 1 AND turn < 6 AND text IS NOT NULL GROUP BY role")
+def dataset(s: SparkSession, d: str) -> DataFrame:
+    """The conversations through the rows dataset, in parts, filters pushed down to row groups."""
+    turns = read_dataset(s, path=f"{d}/conversations.parquet", schema=_TURNS, splitBytes=65536)
+    kept = turns.where("role <> 'user' AND turn >= 1 AND turn < 6 AND text IS NOT NULL")
+    return kept.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum("conv_id").alias("ids"))
+
+
+@put("src_dataset_lines", "SELECT conv_id, turn, role, text FROM conversations WHERE turn IN (0, 2)")
+def dataset_lines(s: SparkSession, d: str) -> DataFrame:
+    """The same as JSON lines, written and read in parts that cut lines anywhere."""
+    path = folder(s, "lines")
+    table(s, d, "conversations").repartitionByRange(3, "conv_id", "turn").write.json(path)
+    return read_dataset(s, path=path, schema=_TURNS, splitBytes=4001).where("turn IN (0, 2)")
+
+
+@put("src_dataset_stream", "SELECT turn, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(count(DISTINCT conv_id) AS BIGINT) AS convs FROM conversations GROUP BY turn")
+def dataset_stream(s: SparkSession, d: str) -> DataFrame:
+    """The dataset as a stream: a first run over the files that are there, a second over those that came since, each file once."""
+    path, out = folder(s, "rollouts"), folder(s, "stream")
+    turns = table(s, d, "conversations")
+    for k in range(3):
+        turns.where(F.col("conv_id") % 3 == k).write.json(f"{path}/step={k:09d}")
+        if k != 1:
+            found = run_to_table(read_dataset(s, path=path, schema=_TURNS, stream=True, splitBytes=65536), out)
+    return found.groupBy("turn").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("conv_id").alias("convs"))
