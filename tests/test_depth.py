@@ -144,3 +144,57 @@ def test_rows_as_they_come(spark, chat, tmp_path):
     assert run().count() == 15
     (path / "009.jsonl").write_text('{"id": 99, "role": null}')  # no line end
     assert run().where("id = 99 AND role IS NULL").count() == 1
+
+
+# state by element
+def stream_of(spark, folder, schema, *batches):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def at(hours):
+    import datetime
+
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hours)
+
+
+def test_replay_waits_for_steps(spark, tmp_path):
+    from tidemill.streaming.events import run_to_table
+    from tidemill.streaming.state import released
+
+    schema = "at timestamp, partition_id string, key string, step int, status string, extra int"
+    row = lambda h, key, step, status, part="train": (at(h), part, key, step, status, 0)
+    out = run_to_table(released(stream_of(
+        spark, tmp_path, schema,
+        # tags out of order: b's running comes after its success, c is removed before it succeeds late
+        [row(2, "b", 1, "success"), row(1, "b", 1, "running"), row(1, "a", 1, "running"), row(4, "c", 1, "removed"), row(3, "c", 1, "success"), row(1, "x", 2, "running"), row(1, "v", 1, "success", "val"), (None, "train", "n", 1, "success", 0), row(1, None, 1, "success"), row(1, "odd", 1, "paused")],
+        # step 1 of train still runs when the watermark passes; step 1 of val goes
+        [row(11, "y", 3, "running")],
+        [row(12, "a", 1, "success"), row(12, "d", 1, "failure"), row(13, "y", 3, "success"), row(13, "y", 3, "success")],
+        # late: behind the watermark, so it is dropped; x never ends
+        [row(5, "late", 1, "success"), row(24, "z", 4, "running")],
+        # step 1 begins anew after its release; a stays, and 24 + 6 hours pass for z
+        [row(25, "e", 1, "success"), row(26, "z", 4, "success")],
+        [row(60, "w", 9, "running")],
+    )), f"{tmp_path}/out")
+    got = sorted(map(tuple, out.collect()))
+    assert got == [("train", 1, "a"), ("train", 1, "b"), ("train", 1, "e"), ("train", 3, "y"), ("train", 4, "z"), ("val", 1, "v")]
+
+
+def test_queues_and_batches_by_element(spark, tmp_path):
+    from tidemill.streaming.events import run_to_table
+    from tidemill.streaming.state import full_batches, queues
+
+    schema = "k string, item long, n int"
+    batches = [[("a", 3, 0), ("a", 1, 0), ("b", 9, 0)], [("a", 2, 0), (None, 4, 0), ("b", None, 0)], [("a", i, 0) for i in range(10, 30)], [("a", 40, 0), ("b", 5, 0), (None, 6, 0)]]
+    got = run_to_table(queues(stream_of(spark, tmp_path / "q", schema, *batches), "k", "item", 4), f"{tmp_path}/q/out", "update", ["k"])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 4, 24, 20, 27, 40), ("b", 2, 2, 0, 9, 5), (None, 2, 2, 0, 4, 6)], key=repr)
+    one = run_to_table(queues(stream_of(spark, tmp_path / "q1", schema, *batches), "k", "item", 1), f"{tmp_path}/q1/out", "update", ["k"])
+    assert {(r.k, r.size, r.oldest, r.newest) for r in one.collect()} == {("a", 1, 40, 40), ("b", 1, 5, 5), (None, 1, 6, 6)}
+    full = run_to_table(full_batches(stream_of(spark, tmp_path / "b", schema, *batches), "k", "item", 3), f"{tmp_path}/b/out")
+    rows = sorted((r.k, r.batch, r.item) for r in full.collect())
+    assert [x[2] for x in rows] == [1, 2, 3, *range(10, 30), 40][:24] and [x[1] for x in rows] == [i // 3 for i in range(24)] and {x[0] for x in rows} == {"a"}
+    for make in (queues, full_batches):
+        with pytest.raises(ValueError):
+            make(spark.readStream.format("rate").load().selectExpr("value AS k", "value AS item"), "k", "item", 0)

@@ -9,7 +9,8 @@ from tidemill.functions import scoring as S
 from tidemill.plans.breadth import folder
 from tidemill.plans.views import table
 from tidemill.sources.datasets import read_dataset
-from tidemill.streaming.events import run_to_table
+from tidemill.streaming.events import read_events, run_to_table
+from tidemill.streaming.state import full_batches, queues, released
 
 QUERIES, SQL = {}, {}
 
@@ -83,3 +84,55 @@ def dataset_stream(s: SparkSession, d: str) -> DataFrame:
         if k != 1:
             found = run_to_table(read_dataset(s, path=path, schema=_TURNS, stream=True, splitBytes=65536), out)
     return found.groupBy("turn").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("conv_id").alias("convs"))
+
+
+# state by element
+def tag_stream(s: SparkSession, d: str) -> DataFrame:
+    """Tags of events as a stream of five files by time: an event runs, then ends after up to half an hour, unless it is one that never does; some are removed."""
+    e = table(s, d, "events").select("event_id", F.col("event_type").alias("partition_id"), F.col("ts").cast("timestamp").alias("ts"))
+    e = e.withColumn("step", F.floor(F.unix_seconds("ts") / 86400))
+    after = lambda minutes: F.col("ts") + F.make_dt_interval(mins=minutes)
+    ends = (F.col("event_id") % 30).cast("int")
+    tag = lambda at, status: F.struct(at.alias("at"), status.alias("status"))
+    end = F.when(F.col("event_id") % 997 != 5, tag(after(ends), F.when(F.col("event_id") % 11 == 0, "failure").otherwise("success")))
+    gone = F.when((F.col("event_id") % 997 != 5) & (F.col("event_id") % 13 == 0), tag(after(ends + 5), F.lit("removed")))
+    tags = e.select("partition_id", "step", F.col("event_id").alias("key"), F.explode(F.filter(F.array(tag(F.col("ts"), F.lit("running")), end, gone), lambda x: x.isNotNull())).alias("t")).select("partition_id", "step", "key", "t.*")
+    path, days = folder(s, "tags"), e.agg(F.min("step"), F.max("step")).first()
+    for k in range(5):
+        low, high = (F.timestamp_seconds(F.lit((days[0] + (days[1] - days[0] + 1) * j // 5) * 86400)) for j in (k, k + 1))
+        part = (F.col("at") < high) if k == 0 else (F.col("at") >= low) if k == 4 else (F.col("at") >= low) & (F.col("at") < high)
+        tags.where(part).coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(tags.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_TAGS = """WITH e AS (SELECT event_id, event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS step, event_id % 997 = 5 AS stuck, ts + to_minutes(CAST(CASE WHEN event_id % 997 = 5 THEN 0 ELSE event_id % 30 + CASE WHEN event_id % 13 = 0 THEN 5 ELSE 0 END END AS BIGINT)) AS last FROM events),
+w AS (SELECT max(last) - INTERVAL 1 HOUR AS w FROM e),
+r AS (SELECT event_type, step FROM e, w GROUP BY event_type, step, w HAVING NOT bool_or(stuck) AND max(last) + INTERVAL 6 HOUR <= w)"""
+
+
+@put("stream_replay_ready", f"{_TAGS} SELECT event_type AS partition_id, step, event_id AS key FROM e JOIN r USING (event_type, step) WHERE event_id % 11 <> 0 AND event_id % 13 <> 0")
+def replay_ready(s: SparkSession, d: str) -> DataFrame:
+    """What the replay buffer releases as tags come in five micro-batches: steps in which nothing runs and nothing came for six hours."""
+    return run_to_table(released(tag_stream(s, d)), folder(s, "stream"))
+
+
+@put("stream_queue_elements", "WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, CAST(least(any_value(n), 32) AS BIGINT) AS size, any_value(n) AS produced, CAST(greatest(any_value(n) - 32, 0) AS BIGINT) AS dropped, min(event_id) FILTER (WHERE k > n - 32) AS oldest, max(event_id) AS newest FROM e GROUP BY user_id")
+def queue_elements(s: SparkSession, d: str) -> DataFrame:
+    """Bounded queues kept place by place, over files that come by id."""
+    return run_to_table(queues(id_stream(s, d), "user_id", "event_id", 32), folder(s, "stream"), "update", ["user_id"])
+
+
+@put("stream_batch_elements", "WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, CAST(k // 16 AS BIGINT) AS batch, event_id FROM e WHERE k < n - n % 16")
+def batch_elements(s: SparkSession, d: str) -> DataFrame:
+    """Batches of 16 from lists that grow at their end, over files that come by id."""
+    return run_to_table(full_batches(id_stream(s, d), "user_id", "event_id", 16), folder(s, "stream"))
+
+
+def id_stream(s: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of four files, by id."""
+    path, e = folder(s, "events"), table(s, d, "events")
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    for k in range(4):
+        cut = [low + (high + 1 - low) * j // 4 for j in (k, k + 1)]
+        e.where((F.col("event_id") >= cut[0]) & (F.col("event_id") < cut[1])).coalesce(1).write.mode("append").parquet(path)
+    return read_events(s, path)
