@@ -117,6 +117,13 @@ def test_clusters_of_few(spark):
     assert clusters.clusters(df.withColumn("vec_id", F.lit(None).cast("long")), dims=2).count() == 0
 
 
+def test_clusters_of_many_components(spark):
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 9) for _ in range(70)]) for i in range(30)]
+    df = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], VECTORS)
+    assert sorted(map(tuple, clusters.clusters(df, k=3, dims=70).collect()), key=repr) == lloyd(rows, 3, 10, 70)
+
+
 def test_limbs_add_up():
     for v in (0, 1, -1, 1 << 40, -(1 << 200) + 17, (1 << 80) - 1):
         assert sum(d << (clusters.LIMB * i) for i, d in enumerate(clusters.limbs(v))) == v

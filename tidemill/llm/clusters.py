@@ -4,7 +4,7 @@ The vectors are written once, bucketed by a row key; assignments (key, cluster,
 alike, so that joining the two moves no vector. The sums and sizes of all clusters are kept from round to round. A round compares a
 vector whose own centroid stayed with the centroids that changed only, since all others are where they lost before; a vector whose
 own centroid changed is compared with all. Each task adds up signed transfers, what each cluster gained and lost, which are written
-beside its assignments and summed by Spark: at most a row for each cluster and component reaches the driver. When a round changes no
+beside its assignments and summed by Spark: at most a row for each cluster and block of components reaches the driver. When a round changes no
 centroid, later ones would change nothing and are left out.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import product
 from uuid import uuid4
 
 import numpy as np
@@ -29,7 +30,8 @@ BUCKET_ROWS = 250_000
 NARROW = 1 << 27  # below this, squared distances of 64 components fit 64 bits
 LIMB = 40
 MOST = (1 << 63) - 1
-STATE = "key long, cluster int, distance long, n long, limb int, sums array<long>"
+BLOCK = 64
+STATE = "key long, cluster int, distance long, n long, limb int, block int, sums array<long>"
 
 
 def whole(x: np.ndarray) -> np.ndarray:
@@ -70,7 +72,7 @@ def limbs(value: int) -> list[int]:
 
 
 def round_of(joined: DataFrame, centroids: list[list[int]], changed: list[bool]) -> DataFrame:
-    """STATE rows: assignments (n null) of the rows of joined (key, vector, cluster, distance), and transfers (n, limb, sums)."""
+    """STATE rows: assignments (n null) of the rows of joined (key, vector, cluster, distance), and transfers (n, limb, block, sums)."""
     spark = joined.sparkSession
     sent = spark.sparkContext.broadcast((centroids, changed))
     schema = T.StructType.fromDDL(STATE)
@@ -98,15 +100,16 @@ def round_of(joined: DataFrame, centroids: list[list[int]], changed: list[bool])
                     counts[j] += int(plus.sum()) - int(minus.sum())
             key, n = batch.column("key")[0].as_py(), len(batch)
             distance = np.minimum(distance, MOST).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(now, pa.int32()), pa.array(distance), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(now, pa.int32()), pa.array(distance), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
         rows = []
         for j in range(len(held)):
             digits = [limbs(int(v)) for v in sums[j]]
             if counts[j] or any(v for d in digits for v in d):
-                for limb in range(max(map(len, digits))):
-                    rows.append((key, j, None, 0 if limb else counts[j], limb, [d[limb] if limb < len(d) else 0 for d in digits]))
+                for limb, block in product(range(max(map(len, digits))), range(0, len(digits), BLOCK)):
+                    own = [d[limb] if limb < len(d) else 0 for d in digits[block : block + BLOCK]]
+                    rows.append((key, j, None, 0 if limb or block else counts[j], limb, block, own))
         if rows:  # under a key of this task, so in its own bucket
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), kinds)], names=names)
 
     return joined.select("key", "vector", "cluster", "distance").mapInArrow(lean(work), schema)
@@ -168,10 +171,11 @@ def clusters(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dims: int = D
             tables.drop(f"round{r - 1}")
         if r == rounds:
             break
-        moves = state.where("n IS NOT NULL").select("cluster", "n", "limb", F.posexplode("sums").alias("at", "x"))
-        for m in moves.groupBy("cluster", "limb", "at").agg(F.sum("n").alias("n"), F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect():  # a row a cluster and component
-            sums[m["cluster"]][m["at"]] += int(m["x"]) << (LIMB * m["limb"])
-            sizes[m["cluster"]] += m["n"] if not m["at"] else 0
+        parts = [F.sum(F.get("sums", F.lit(i)).cast("decimal(38,0)")).alias(f"x{i}") for i in range(min(BLOCK, dims))]
+        for m in state.where("n IS NOT NULL").groupBy("cluster", "limb", "block").agg(F.sum("n").alias("n"), *parts).collect():  # a row for each cluster and block of components
+            sizes[m["cluster"]] += m["n"]
+            for i in range(min(BLOCK, dims - m["block"])):
+                sums[m["cluster"]][m["block"] + i] += int(m[f"x{i}"]) << (LIMB * m["limb"])
         new = [[s // n for s in own] if n else old for own, n, old in zip(sums, sizes, centroids)]
         changed = [a != b for a, b in zip(centroids, new)]
         centroids = new
