@@ -198,3 +198,56 @@ def test_queues_and_batches_by_element(spark, tmp_path):
     for make in (queues, full_batches):
         with pytest.raises(ValueError):
             make(spark.readStream.format("rate").load().selectExpr("value AS k", "value AS item"), "k", "item", 0)
+
+
+# shared prefixes
+def brute_forest(seqs):
+    """kind, group, tokens, n, length, parent_length from every prefix of every sequence."""
+    from collections import Counter, defaultdict
+
+    count = Counter((g, tuple(t or ())) for g, t in seqs)
+    after = defaultdict(Counter)
+    for (g, t), n in count.items():
+        for k in range(1, len(t) + 1):
+            after[g, t[:k]][("end", 0) if k == len(t) else ("next", t[k])] += n if k == len(t) else 0
+    nodes = {p for p, c in after.items() if sum(max(1, n) if kind == "end" else 1 for (kind, _), n in c.items()) >= 2}
+    parent = lambda g, t, most: max((k for k in range(1, most + 1) if (g, t[:k]) in nodes), default=0)
+    out = [("sequence", g, list(t), n, len(t), parent(g, t, len(t))) for (g, t), n in count.items()]
+    return sorted(out + [("prefix", g, list(t), 0, len(t), parent(g, t, len(t) - 1)) for g, t in nodes], key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_prefix_forest(spark, parts):
+    import random
+
+    from tidemill.operators.prefixes import prefix_forest, prefix_savings
+
+    r = random.Random(parts)
+    stems = [[r.randrange(3) for _ in range(r.randint(0, 9))] for _ in range(12)]
+    seqs = [(r.choice(["a", "b", None]), r.choice(stems) + [r.choice([0, 1, 2, None]) for _ in range(r.randint(0, 4))]) for _ in range(400)]
+    seqs += [("a", None), ("a", []), ("b", []), ("c", [1] * 300), ("c", [1] * 301), ("c", [1] * 301), ("hot", [5, 6, 7])] + [("hot", [5, 6, 7, 8])] * 50
+    df = spark.createDataFrame([(g, t, 0, "x") for g, t in seqs], "part string, ids array<int>, shared int, g string").repartition(3)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        forest = prefix_forest(df, "ids", ["part"]).collect()
+        saved = {x.part: (x.n, x.tokens, x.kept, x.saved) for x in prefix_savings(prefix_forest(df, "ids", ["part"]), ["part"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, forest), key=repr) == brute_forest(seqs)
+    for g in ("a", "b", "c", "hot", None):
+        own = [tuple(t or ()) for h, t in seqs if h == g]
+        kept = len({t[:k] for t in own for k in range(1, len(t) + 1)})
+        assert saved[g] == (len(own), sum(map(len, own)), kept, sum(map(len, own)) - kept)
+
+
+def test_prefix_forest_of_texts_and_nothing(spark):
+    from tidemill.operators.prefixes import prefix_forest
+
+    df = spark.createDataFrame([(["a", "b"],), (["a", "c"],), ([],)], "words array<string>")
+    assert sorted(map(tuple, prefix_forest(df, "words").collect())) == sorted([("sequence", [], 1, 0, 0), ("sequence", ["a", "b"], 1, 2, 1), ("sequence", ["a", "c"], 1, 2, 1), ("prefix", ["a"], 0, 1, 0)])
+    assert prefix_forest(df.limit(0), "words").count() == 0
+
+

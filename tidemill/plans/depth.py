@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import scoring as S
+from tidemill.operators.prefixes import prefix_forest, prefix_savings
 from tidemill.plans.breadth import folder
 from tidemill.plans.views import table
 from tidemill.sources.datasets import read_dataset
@@ -136,3 +137,34 @@ def id_stream(s: SparkSession, d: str) -> DataFrame:
         cut = [low + (high + 1 - low) * j // 4 for j in (k, k + 1)]
         e.where((F.col("event_id") >= cut[0]) & (F.col("event_id") < cut[1])).coalesce(1).write.mode("append").parquet(path)
     return read_events(s, path)
+
+
+# shared prefixes
+def histories(s: SparkSession, d: str) -> DataFrame:
+    """part, words: for each turn of a conversation the words of all turns up to it; repeated as often as the turn's number is a multiple of 3."""
+    c = table(s, d, "conversations").withColumn("own", F.split(F.coalesce("text", F.lit("")), " "))
+    upto = F.flatten(F.collect_list("own").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
+    again = F.explode(F.when(F.col("turn") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return c.select("turn", (F.col("conv_id") % 4).alias("part"), upto.alias("words")).select("part", "words", again.alias("k"))
+
+
+_HISTORY = """WITH c AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS own FROM conversations),
+h AS (SELECT conv_id % 4 AS part, flatten(list(own) OVER (PARTITION BY conv_id ORDER BY turn)) AS words, turn FROM c),
+s AS MATERIALIZED (SELECT part, words, count(*) AS n FROM (SELECT part, words FROM h UNION ALL SELECT part, words FROM h WHERE turn % 3 = 0) GROUP BY ALL),
+p AS MATERIALIZED (SELECT part, k, md5(array_to_string(words[1:k], ' ')) AS id, words[k + 1] AS next, len(words) = k AS ends, n, md5(array_to_string(words, ' ')) AS seq, len(words) AS length FROM s, unnest(range(1, len(words) + 1)) t(k)),
+f AS MATERIALIZED (SELECT part, k, id FROM p GROUP BY ALL HAVING count(DISTINCT CASE WHEN ends THEN NULL ELSE next END) + coalesce(sum(n) FILTER (WHERE ends), 0) >= 2),
+q AS (SELECT p.part, p.seq AS id, any_value(p.length) AS length, any_value(p.n) AS n, coalesce(max(f.k), 0) AS parent_length FROM p LEFT JOIN f ON p.part = f.part AND p.k = f.k AND p.id = f.id GROUP BY 1, 2),
+g AS (SELECT DISTINCT f.part, f.id, f.k AS length, p.seq FROM f JOIN p ON p.part = f.part AND p.k = f.k AND p.id = f.id),
+o AS (SELECT g.part, g.id, g.length, max(f.k) AS parent FROM (SELECT part, id, length, min(seq) AS seq FROM g GROUP BY ALL) g JOIN p ON p.part = g.part AND p.seq = g.seq AND p.k < g.length JOIN f ON f.part = p.part AND f.k = p.k AND f.id = p.id GROUP BY ALL)"""
+
+
+@put("balance_prefix_forest", f"{_HISTORY} SELECT 'sequence' AS kind, part, id, CAST(n AS BIGINT) AS n, CAST(length AS BIGINT) AS length, CAST(parent_length AS BIGINT) AS parent_length FROM q UNION ALL SELECT 'prefix', f.part, f.id, 0, CAST(f.k AS BIGINT), CAST(coalesce(o.parent, 0) AS BIGINT) FROM f LEFT JOIN o ON f.part = o.part AND f.id = o.id AND f.k = o.length")
+def forest(s: SparkSession, d: str) -> DataFrame:
+    """The prefixes that conversations' histories share, and what each row has of its own."""
+    return prefix_forest(histories(s, d), "words", ["part"]).select("kind", "part", F.md5(F.array_join("tokens", " ")).alias("id"), "n", "length", "parent_length")
+
+
+@put("balance_prefix_savings", f"{_HISTORY} SELECT s.part, CAST(sum(s.n) AS BIGINT) AS n, CAST(sum(s.n * len(s.words)) AS BIGINT) AS tokens, any_value(t.kept) AS kept, CAST(sum(s.n * len(s.words)) AS BIGINT) - any_value(t.kept) AS saved FROM s JOIN (SELECT part, CAST(count(DISTINCT (k, id)) AS BIGINT) AS kept FROM p GROUP BY part) t USING (part) GROUP BY s.part")
+def savings(s: SparkSession, d: str) -> DataFrame:
+    """Tokens that are kept when each prefix is kept once: as many as there are different prefixes of any length."""
+    return prefix_savings(prefix_forest(histories(s, d), "words", ["part"]), ["part"])
