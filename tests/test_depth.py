@@ -251,3 +251,86 @@ def test_prefix_forest_of_texts_and_nothing(spark):
     assert prefix_forest(df.limit(0), "words").count() == 0
 
 
+
+
+# deals of large steps
+def parts_of(df, spread_of="load"):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.step, {}).setdefault(r.part, []).append((r.key, r.load))
+    return out
+
+
+def test_differencing_breaks_ties_by_the_heaviest_set():
+    from tidemill.operators.balance import differencing
+
+    assert [sum([8, 7, 6, 5, 4][i] for i in s) for s in differencing([8, 7, 6, 5, 4], 2)] == [16, 14]
+    a, b = [[(5, 1, (0,)), (5, 1, (1,))], [(9, 1, (2,)), (9, 1, (3,))]]
+    from tidemill.operators.balance import joined, state
+
+    assert joined([state(a, 2), state(b, 2)])[0][2] == (3, 0)  # the state of nines comes first
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_large_steps_are_dealt_within_the_bound(spark, equal):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemill.operators.balance import differencing
+    from tidemill.operators.deal import dealt
+
+    r = random.Random(4)
+    rows = [(0, i, r.randint(1, 10**6)) for i in range(2100)] + [(1, i, r.choice([1, 1000])) for i in range(35)] + [(None, i, i + 1) for i in range(700)] + [(3, i, 10**9 if i == 0 else 1) for i in range(350)]
+    df = spark.createDataFrame([(s, k, w, 0, 0) for s, k, w in rows], "step int, key long, w long, part int, bucket int").repartition(5)
+    got = parts_of(dealt(df, "step", 7, load=F.col("w"), key="key", equal_size=equal, bucket=100, fan=4))
+    for s in (0, 1, None, 3):
+        own = {k: w for t, k, w in rows if t == s}
+        sums = [sum(w for _, w in p) for _, p in sorted(got[s].items())]
+        assert sorted(k for p in got[s].values() for k, _ in p) == sorted(own) and sorted(got[s]) == list(range(7))
+        assert sums == sorted(sums, reverse=True) and sums[0] - sums[-1] <= max(own.values())
+        if equal:
+            assert {len(p) for p in got[s].values()} == {len(own) // 7}
+    assert [sorted(k for k, _ in got[1][p]) for p in range(7)] == differencing([w for t, _, w in rows if t == 1], 7, equal)
+    big = sorted(sum(w for _, w in p) for p in got[0].values())
+    assert (big[-1] - big[0]) * (10 if equal else 100) < 10**6  # far better than the bound
+
+
+def test_deals_that_cannot_be(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.operators.deal import dealt, micro_dealt
+
+    df = spark.createDataFrame([(0, i, 10) for i in range(9)], "step int, row_idx long, seqlen long")
+    for k, equal in ((10, False), (4, True)):
+        with pytest.raises(ValueError):
+            dealt(df, "step", k, equal_size=equal)
+    assert dealt(df.limit(0), "step", 4).count() == 0 and micro_dealt(df.limit(0), "step", 100).count() == 0
+    with pytest.raises(ValueError):
+        micro_dealt(df, "step", 9)
+    floats = dealt(df.withColumn("seqlen", F.col("seqlen") / 4), "step", 3, load=F.col("seqlen"))
+    assert [r[0] for r in floats.groupBy("part").agg(F.sum("load")).select("sum(load)").collect()] == [7.5] * 3
+
+
+def test_micro_batches_of_large_steps(spark):
+    import random
+
+    from tidemill.operators.balance import workload
+    from tidemill.operators.deal import micro_dealt
+
+    r = random.Random(6)
+    rows = [(s, 1000 * s + i, r.randint(1, 500), None if i < 3 else i // 3) for s in range(2) for i in range(900)]
+    df = spark.createDataFrame(rows, "step int, row_idx long, seqlen long, uid int")
+    got = micro_dealt(df, "step", 2048, group="uid", bucket=200).join(df, ["step", "row_idx"]).collect()
+    assert len(got) == len(rows)
+    shards, batches, homes = {}, {}, {}
+    for x in got:
+        shards[x.step, x.shard] = shards.get((x.step, x.shard), 0) + workload(x.seqlen)
+        batches[x.step, x.shard, x.micro_batch] = batches.get((x.step, x.shard, x.micro_batch), 0) + x.seqlen
+        homes.setdefault((x.step, x.uid), set()).add((x.shard, x.micro_batch))
+    assert all(len(h) == 1 for h in homes.values()) and len(shards) == 10
+    heaviest = max(sum(workload(n) for s, _, n, u in rows if (s, u) == g) for g in homes)
+    for s in range(2):
+        own = [w for (t, _), w in shards.items() if t == s]
+        assert max(own) - min(own) <= heaviest
+    assert max(batches.values()) <= 2048 + 1500 and sum(v <= 2048 for v in batches.values()) > 0.5 * len(batches)

@@ -26,24 +26,44 @@ def round_up(a: int, b: int) -> int:
     return ceil_div(a, b) * b
 
 
+class _Uneven:
+    """Order of states: the most uneven first; of those, the one with the greater heaviest set."""
+
+    def __init__(self, sets: list[tuple]):
+        self.sets, self.rank = sets, (sets[0][0] - sets[-1][0], sets[0])
+
+    def __lt__(self, other: _Uneven) -> bool:
+        return self.rank > other.rank
+
+
+def state(sets: list[tuple], k: int) -> list[tuple]:
+    """k sets (sum, number of items, items), the heaviest first; those that are not given are empty."""
+    return sorted([*sets, *[(0, 0, ())] * (k - len(sets))], reverse=True)
+
+
+def joined(states: Sequence[list[tuple]]) -> list[tuple]:
+    """One state: the two most uneven are joined, the heaviest set of one with the lightest of the other and so on, until one is left."""
+    heap = [_Uneven(s) for s in states]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, _Uneven(sorted(((x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in zip(a.sets, reversed(b.sets), strict=True)), reverse=True)))
+    return heap[0].sets
+
+
+def start(loads: Sequence[float], k: int, equal_size: bool) -> list[list[tuple]]:
+    """States of one item, or with equal_size of k items that follow one another in order of load."""
+    order = sorted(range(len(loads)), key=lambda i: (loads[i], i))
+    size = k if equal_size else 1
+    return [state([(loads[i], 1, (i,)) for i in order[at : at + size]], k) for at in range(0, len(order), size)]
+
+
 def differencing(loads: Sequence[float], k: int, equal_size: bool = False) -> list[list[int]]:
-    """Largest-differencing: states of k sets are joined, the two most uneven first, the heaviest set of one to the lightest of the other."""
+    """Largest differencing: items make states of k sets, which are joined to one."""
     if equal_size and len(loads) % k:
         raise ValueError(f"{len(loads)} items do not make {k} equal sets")
-    order = sorted(range(len(loads)), key=lambda i: (loads[i], i))
-    starts = [order[i : i + k] for i in range(0, len(order), k)] if equal_size else [[i] for i in order]
-    heap = []
-    for n, items in enumerate(starts):
-        sets = sorted(([(loads[i], 1, (i,)) for i in items] + [(0, 0, ())] * (k - len(items))), reverse=True)
-        heapq.heappush(heap, (sets[-1][0] - sets[0][0], n, sets))
-    n = len(starts)
-    while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        sets = sorted(((x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in zip(a, reversed(b), strict=True)), reverse=True)
-        n += 1
-        heapq.heappush(heap, (sets[-1][0] - sets[0][0], n, sets))
-    return [sorted(s[2]) for s in heap[0][2]] if heap else [[] for _ in range(k)]
+    states = start(loads, k, equal_size)
+    return [sorted(s[2]) for s in joined(states)] if states else [[] for _ in range(k)]
 
 
 def greedy(loads: Sequence[float], k: int, equal_size: bool = False) -> list[list[int]]:
@@ -188,7 +208,8 @@ def inverse(table: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def shared_prefixes(rows: DataFrame, group: str = "uid", length: str = "prompt_length") -> DataFrame:
-    """group, n, prefix_tokens, saved_tokens: what keeping a group's prompt once saves."""
+    """group, n, prefix_tokens, saved_tokens: what keeping a group's prompt once saves, from lengths alone, if the rows of a group have one prompt
+    (`prefixes.prefix_forest` compares the tokens)."""
     n = F.count("*")
     return rows.groupBy(group).agg(n.alias("n"), F.max(length).alias("prefix_tokens"), (F.max(length) * (n - 1)).alias("saved_tokens"))
 

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import scoring as S
+from tidemill.operators import balance as L
+from tidemill.operators.deal import dealt, micro_dealt
 from tidemill.operators.prefixes import prefix_forest, prefix_savings
 from tidemill.plans.breadth import folder
-from tidemill.plans.views import table
+from tidemill.plans.tables import _LEN, lengths
+from tidemill.plans.views import VIEWS, table
 from tidemill.sources.datasets import read_dataset
 from tidemill.streaming.events import read_events, run_to_table
 from tidemill.streaming.state import full_batches, queues, released
@@ -168,3 +171,43 @@ def forest(s: SparkSession, d: str) -> DataFrame:
 def savings(s: SparkSession, d: str) -> DataFrame:
     """Tokens that are kept when each prefix is kept once: as many as there are different prefixes of any length."""
     return prefix_savings(prefix_forest(histories(s, d), "words", ["part"]), ["part"])
+
+
+# deals of large steps
+def copies(s: SparkSession, d: str, n: int) -> DataFrame:
+    """One step of all orders, each n times."""
+    rows = lengths(s, d).select("row_idx", "seqlen", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("copy"))
+    return rows.select(F.lit(1).alias("step"), (F.col("row_idx") * n + F.col("copy")).alias("row_idx"), "seqlen")
+
+
+_WORK = "24576 * seqlen + seqlen * seqlen"
+
+
+@put("balance_large", f"{_LEN} SELECT CAST(part AS BIGINT) AS part, count(*) AS n, CAST(sum({_WORK}) AS BIGINT) AS work, CAST(sum(seqlen) AS BIGINT) AS tokens FROM ln, range(8) t(part) GROUP BY part")
+def balance_large(s: SparkSession, d: str) -> DataFrame:
+    """One step of all orders, eight times each, dealt to 8 parts in a tree of buckets: each part gets as many rows and the same work."""
+    rows = copies(s, d, 8)
+    out = dealt(rows, "step", 8, equal_size=True, bucket=512, fan=8).join(rows, ["step", "row_idx"])
+    return out.groupBy("part").agg(F.count("*").alias("n"), F.sum("load").cast("long").alias("work"), F.sum("seqlen").cast("long").alias("tokens"))
+
+
+@put("balance_halves")
+def balance_halves(s: SparkSession, d: str) -> DataFrame:
+    """The work of the two parts that largest differencing makes of each step."""
+    out = L.assigned(lengths(s, d), "step", 2).join(lengths(s, d), ["step", "row_idx"]).groupBy("step", "part").agg(F.sum(L.workload(F.col("seqlen"))).cast("long").alias("w"))
+    return out.groupBy("step").agg(F.max("w").alias("heavy"), F.min("w").alias("light"))
+
+
+# two parts: the two largest of a list give way to their difference, until one is left
+SQL["balance_halves"] = VIEWS.replace("WITH", "WITH RECURSIVE", 1) + f""", ln AS (SELECT uid % 20 AS step, n_tokens * 37 + seq_id % 50 + 1 AS seqlen FROM sc),
+t AS (SELECT step, CAST(sum({_WORK}) AS BIGINT) AS total, list_reverse_sort(list(CAST({_WORK} AS BIGINT))) AS l FROM ln GROUP BY step),
+r AS (SELECT step, l FROM t UNION ALL SELECT step, list_reverse_sort(list_prepend(l[1] - l[2], l[3:])) FROM r WHERE len(l) > 1)
+SELECT step, CAST((total + r.l[1]) // 2 AS BIGINT) AS heavy, CAST((total - r.l[1]) // 2 AS BIGINT) AS light FROM r JOIN t USING (step) WHERE len(r.l) = 1"""
+
+
+@put("balance_micro_shards", f"{_LEN}, g AS (SELECT uid, sum({_WORK}) AS work, count(*) AS n FROM ln GROUP BY uid), k AS (SELECT CAST(ceil(sum(n) / 256.0) AS BIGINT) AS shards FROM g), o AS (SELECT g.*, row_number() OVER (ORDER BY work DESC, uid) - 1 AS i FROM g), p AS (SELECT o.uid, CASE WHEN (i // shards) % 2 = 0 THEN i % shards ELSE shards - 1 - i % shards END AS shard FROM o, k) SELECT CAST(shard AS BIGINT) AS shard, CAST(least(count(DISTINCT ln.uid), ceil(sum(seqlen) / 4096.0)) AS BIGINT) AS batches, count(*) AS n, CAST(sum(seqlen) AS BIGINT) AS tokens, CAST(count(DISTINCT ln.uid) AS BIGINT) AS pieces FROM ln JOIN p USING (uid) GROUP BY shard")
+def micro_shards(s: SparkSession, d: str) -> DataFrame:
+    """One step of all orders in shards and micro-batches that keep a customer's orders together: pieces counts a customer for each micro-batch that has one of its rows."""
+    rows = lengths(s, d).withColumn("step", F.lit(1))
+    out = micro_dealt(rows, "step", 4096, group="uid", bucket=256).join(rows, ["step", "row_idx"])
+    return out.groupBy("shard").agg(F.countDistinct("micro_batch").alias("batches"), F.count("*").alias("n"), F.sum("seqlen").cast("long").alias("tokens"), F.countDistinct("micro_batch", "uid").alias("pieces"))
