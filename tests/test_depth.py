@@ -334,3 +334,67 @@ def test_micro_batches_of_large_steps(spark):
         own = [w for (t, _), w in shards.items() if t == s]
         assert max(own) - min(own) <= heaviest
     assert max(batches.values()) <= 2048 + 1500 and sum(v <= 2048 for v in batches.values()) > 0.5 * len(batches)
+
+
+# resampled metrics
+def test_draws_are_the_same_everywhere(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemill.operators import resampling as R
+
+    got = spark.range(20).select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long")), lambda j: R.place(F.col("id"), j, F.lit(13).cast("long"), 5)).alias("at")).collect()
+    want = R.places(13, 7, 20, 5)
+    assert np.array_equal(np.array([r.at for r in got]), want) and 0 <= want.min() and want.max() < 13
+    many = R.places(4, 4, 3000, 1)
+    assert abs(np.bincount(many.ravel(), minlength=4) / many.size - 0.25).max() < 0.01
+
+
+def test_majority_by_places_is_the_rule():
+    import random
+
+    import numpy as np
+
+    from tidemill.operators.metrics import majority
+    from tidemill.operators.resampling import majority_values
+
+    r = random.Random(8)
+    for _ in range(50):
+        n, k = r.randint(1, 9), r.randint(1, 9)
+        votes, values = [r.randrange(3) for _ in range(n)], [r.random() for _ in range(n)]
+        at = np.array([[r.randrange(n) for _ in range(k)] for _ in range(20)])
+        want = [majority([votes[i] for i in row], [values[i] for i in row]) for row in at.tolist()]
+        assert majority_values(np.array(values), np.array(votes), at).tolist() == want
+
+
+def test_validation_draws(spark):
+    import math
+    import random
+
+    from tidemill.operators import metrics as M
+
+    r = random.Random(2)
+    rows = [(s, f"{s}{u}", i, None if i == 9 and u == 0 else r.choice([0.0, 0.5, 1.0, r.random()]), r.choice(["A", "B", None])) for s in "xy" for u in range(4) for i in range([10, 1, 2, 7][u])]
+    df = spark.createDataFrame(rows, "data_source string, uid string, order int, acc double, pred string")
+    run = lambda **k: {(x.data_source, x.metric): x.value for x in M.validation_metrics(df, ["acc"], "pred", **k).collect()}
+    sampled, exact, old = run(times=800), run(draws="exact", times=800), run(draws="numpy")
+    want = {}
+    for s in "xy":
+        for u in range(4):
+            own = [(v, p) for t, uid, _, v, p in rows if uid == f"{s}{u}" and v is not None]
+            for m, v in M.group_metrics([v for v, _ in own], [p for _, p in own]).items():
+                want.setdefault((s, m), []).append(v)
+    assert old == {k: pytest.approx(sum(v) / len(v)) for k, v in want.items()}
+    assert sampled.keys() == exact.keys() == old.keys() and ("x", "maj@4/std") in old and ("x", "best@9/mean") in old
+    for k, v in exact.items():  # means within five standard errors of the expectation
+        if k[1].endswith("/mean") and not k[1].startswith("maj"):
+            error = 5 * exact[k[0], k[1].replace("/mean", "/std")] / math.sqrt(800) + 1e-9
+            assert abs(sampled[k] - v) < error and abs(old[k] - v) < error
+        elif not k[1].startswith("maj"):
+            assert abs(sampled[k] - v) < 0.05 and abs(old[k] - v) < 0.05
+        else:
+            assert abs(sampled[k] - old[k]) < 0.06
+    assert run(times=0) == {k: v for k, v in exact.items() if k[1].startswith(("mean", "std"))}
+    assert M.validation_metrics(df.limit(0), ["acc"], "pred").count() == 0
+    with pytest.raises(ValueError):
+        M.validation_metrics(df, ["acc"], draws="dice")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import lru_cache
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.masked import EPS, masked_mean, masked_sum, scalar_join
+from tidemill.operators.resampling import exact_extremes, extremes, majorities, majority_values, sizes
 
 RULES = ("mean", "sum", "min", "max")
 
@@ -115,12 +115,6 @@ def bootstrap(values: list, subset: int, reducers: Iterable, times: int = 1000,
     return out
 
 
-def sizes(n: int) -> list[int]:
-    """2, 4, 8, ... below n, and n."""
-    out = [2**k for k in range(1, max(1, math.ceil(math.log2(n)))) if 2**k < n] if n > 1 else []
-    return [*out, n] if n > 1 else out
-
-
 def group_metrics(values: list[float], votes: list | None = None, times: int = 1000, seed: int = 42) -> dict[str, float]:
     """Of one prompt's values: mean@n, and for n > 1 std@n and, for each size, best, worst and (with votes) majority by bootstrap."""
     x, n = np.asarray(values, float), len(values)
@@ -133,33 +127,61 @@ def group_metrics(values: list[float], votes: list | None = None, times: int = 1
         for name, got in (("best", x[at].max(1)), ("worst", x[at].min(1))):
             out[f"{name}@{k}/mean"], out[f"{name}@{k}/std"] = float(got.mean()), float(got.std())
         if votes is not None:
-            got = np.array([majority([votes[i] for i in row], [values[i] for i in row]) for row in at.tolist()])
+            got = majority_values(x, pd.factorize(pd.Series(list(votes), dtype=object), use_na_sentinel=False)[0], at)
             out[f"maj@{k}/mean"], out[f"maj@{k}/std"] = float(got.mean()), float(got.std())
     return out
 
 
-def validation_metrics(rows: DataFrame, variables: list[str], vote: str | None = None, times: int = 1000, seed: int = 42) -> DataFrame:
-    """data_source, variable, metric, value: each prompt's group_metrics, then their mean over prompts. rows: data_source, uid, order, the variables (numbers; null ones are passed over)."""
-    long = rows.select("data_source", "uid", "order", *([F.col(vote).cast("string").alias("vote")] if vote else []), F.explode(F.create_map(*(x for v in variables for x in (F.lit(v), F.col(v).cast("double"))))).alias("variable", "value"))
-    with_vote = bool(vote)
-
+def validation_metrics(rows: DataFrame, variables: list[str], vote: str | None = None, times: int = 1000, seed: int = 42, draws: str = "counter") -> DataFrame:
+    """data_source, variable, metric, value: of each prompt mean@n, and for n > 1 std@n and, for each subset size, best, worst and (with votes) majority
+    over subsets drawn with replacement; then their mean over prompts. rows: data_source, uid, order, the variables (numbers; null ones are
+    passed over).
+
+    draws: `counter`, in which best and worst are weighted sums (see resampling); `exact`, their expectations, and majorities by counter; or
+    `numpy`, a seeded generator's, prompt by prompt. times 0: means and deviations only."""
+    if draws not in ("counter", "exact", "numpy"):
+        raise ValueError(f"no such draws: {draws!r}")
+    long = rows.select("data_source", "uid", "order", *([F.col(vote).cast("string").alias("vote")] if vote else []), F.explode(F.create_map(*(x for v in variables for x in (F.lit(v), F.col(v).cast("double"))))).alias("variable", "value")).where("value is not null")
+    by = ("data_source", "uid", "variable")
+    named = lambda name, n: F.concat(F.lit(f"{name}@"), n.cast("string"))
+    moments = long.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    plain = F.array(F.struct(named("mean", F.col("n")).alias("metric"), F.col("mean").alias("value")), F.struct(named("std", F.col("n")).alias("metric"), F.when(F.col("n") > 1, F.col("std")).alias("value")))
+    out = moments.select(*by, F.inline(plain)).where("value is not null")
+    if times:
+        # a prompt's values, in order: as many as it has samples
+        item = F.struct("order", "value", *(["vote"] if vote else []))
+        grouped = long.groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(item)).alias("xs")).where("n > 1")
+        if draws == "numpy":
+            out = out.unionByName(_numpy_draws(grouped, bool(vote), times, seed))
+        else:
+            prompts = grouped.select(*by, "n", F.array_sort("xs.value").alias("xs"))
+            found = exact_extremes(prompts) if draws == "exact" else extremes(prompts, times, seed)
+            out = out.unionByName(_tall(found, by, ("best", "worst")))
+            if vote:
+                own = grouped.select(*by, "n", F.col("xs.value").alias("xs"), F.col("xs.vote").alias("votes"))
+                out = out.unionByName(_tall(majorities(own, times, seed), by, ("maj",)))
+    return out.groupBy("data_source", "variable", "metric").agg(F.avg("value").alias("value"))
+
+
+def _tall(found: DataFrame, by: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
+    """by, metric, value from columns <name>_mean and <name>_std of subset sizes k."""
+    rows = [F.struct(F.concat(F.lit(f"{x}@"), F.col("k").cast("string"), F.lit(f"/{of}")).alias("metric"), F.col(f"{x}_{of}").alias("value")) for x in names for of in ("mean", "std")]
+    return found.select(*by, F.inline(F.array(*rows)))
+
+
+def _numpy_draws(grouped: DataFrame, vote: bool, times: int, seed: int) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: dict[str, list] = {k: [] for k in ("data_source", "variable", "metric", "value")}
-            for source, variable, values, votes in zip(pdf["data_source"], pdf["variable"], pdf["xs"], pdf["votes"], strict=True):
-                got = group_metrics(list(values), list(votes) if with_vote else None, times, seed)
-                out["data_source"] += [source] * len(got)
-                out["variable"] += [variable] * len(got)
-                out["metric"] += got.keys()
-                out["value"] += got.values()
-            yield pd.DataFrame(out)
-
-    # a prompt's values, in order: as many as it has samples
-    item = F.struct("order", "value", *(["vote"] if vote else []))
-    prompts = long.where("value is not null").groupBy("data_source", "uid", "variable").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    arrays = prompts.select("data_source", "variable", F.col("xs.value").alias("xs"), (F.col("xs.vote") if vote else F.lit(None).cast("array<string>")).alias("votes"))
-    per_prompt = arrays.mapInPandas(work, "data_source string, variable string, metric string, value double")
-    return per_prompt.groupBy("data_source", "variable", "metric").agg(F.avg("value").alias("value"))
+            rows = []
+            for row, (xs, votes) in enumerate(zip(pdf["xs"], pdf["votes"], strict=True)):
+                got = group_metrics(list(xs), list(votes) if vote else None, times, seed)
+                rows += [(row, m, v) for m, v in got.items() if not m.startswith(("mean@", "std@"))]
+            out = pdf[["data_source", "uid", "variable"]].iloc[[r[0] for r in rows]].reset_index(drop=True)
+            yield out.assign(metric=[r[1] for r in rows], value=[r[2] for r in rows])
+
+    kinds = dict(grouped.dtypes)
+    arrays = grouped.select("data_source", "uid", "variable", F.col("xs.value").alias("xs"), (F.col("xs.vote") if vote else F.lit(None).cast("array<string>")).alias("votes"))
+    return arrays.mapInPandas(work, f"data_source {kinds['data_source']}, uid {kinds['uid']}, variable string, metric string, value double")
 
 
 def validation_names(metrics: DataFrame) -> DataFrame:

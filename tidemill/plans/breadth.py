@@ -242,7 +242,7 @@ x AS (SELECT *, max(n) OVER (PARTITION BY data_source) AS top FROM a)
 SELECT data_source, variable, metric, CASE WHEN variable = 'acc' AND metric LIKE 'mean%' AND n = top THEN 'val-core' ELSE 'val-aux' END || '/' || data_source || '/' || variable || '/' || metric AS name, {r6('v', 'value')} FROM x""")
 def merged(s: SparkSession, d: str) -> DataFrame:
     """Two runs as one, of which one lacks a variable; what is drawn at random is left out."""
-    out = M.validation_metrics(M.merged_validation(*two_runs(s, d), None), ["acc", "size"], times=1).where("metric rlike '^(mean|std)@'")
+    out = M.validation_metrics(M.merged_validation(*two_runs(s, d), None), ["acc", "size"], times=0)
     return rounded(M.validation_names(out), "data_source", "variable", "metric", "name", value="value")
 
 

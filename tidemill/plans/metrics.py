@@ -88,11 +88,45 @@ def eval_validation(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["eval_validation"] = eval_validation
 
+# resampled metrics: a prompt's values xs in ascending order, os and vs (values and votes) in order of its samples
+_PROMPTS = f"""{VIEWS}, s AS (SELECT data_source, uid, seq_id, length AS pred, unnest(['reward', 'acc']) AS variable, unnest([score, CASE WHEN length >= 3 THEN 1.0 ELSE 0.0 END]::DOUBLE[]) AS v FROM sc),
+g AS MATERIALIZED (SELECT data_source, uid, variable, count(*) AS n, list(v ORDER BY v) AS xs, list(v ORDER BY seq_id) AS os, list(pred ORDER BY seq_id) AS vs, avg(v) AS m, stddev_pop(v) AS sd FROM s GROUP BY data_source, uid, variable),
+k AS (SELECT n, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024], lambda p: p < n), n)) AS k FROM (SELECT DISTINCT n FROM g WHERE n > 1)),
+plain AS (SELECT data_source, uid, variable, 'mean@' || n AS metric, m AS v FROM g UNION ALL SELECT data_source, uid, variable, 'std@' || n, sd FROM g WHERE n > 1)"""
+_NAMED = f"""a AS (SELECT data_source, variable, metric, avg(v) AS v FROM l GROUP BY ALL),
+x AS (SELECT *, CAST(regexp_extract(metric, '@([0-9]+)', 1) AS INTEGER) AS n, max(CAST(regexp_extract(metric, '@([0-9]+)', 1) AS INTEGER)) OVER (PARTITION BY data_source) AS top FROM a)
+SELECT data_source, variable, metric, CASE WHEN variable = 'acc' AND regexp_matches(metric, '^(mean|maj|best)') AND n = top AND NOT metric LIKE '%/std' THEN 'val-core' ELSE 'val-aux' END || '/' || data_source || '/' || variable || '/' || metric AS name, {r6('v', 'value')} FROM x"""
+SQL["eval_validation"] = f"""{_PROMPTS},
+u AS (SELECT b, j, CAST('0x' || substr(md5('42:' || b || ':' || j), 1, 8) AS BIGINT) AS u FROM range(200) t(b), range(1024) r(j) WHERE j < (SELECT max(n) FROM g)),
+d AS MATERIALIZED (SELECT n, k, b, j, (u * n) >> 32 AS i FROM k JOIN u ON j < k),
+e AS MATERIALIZED (SELECT n, k, b, max(i) AS hi, min(i) AS lo FROM d GROUP BY n, k, b),
+ex AS (SELECT data_source, uid, variable, k, avg(xs[hi + 1]) AS bm, stddev_pop(xs[hi + 1]) AS bs, avg(xs[lo + 1]) AS wm, stddev_pop(xs[lo + 1]) AS ws FROM g JOIN e USING (n) GROUP BY ALL),
+c AS (SELECT data_source, uid, variable, k, b, vs[i + 1] AS vote, count(*) AS c, min(j) AS first, arg_min(os[i + 1], j) AS v FROM g JOIN d USING (n) GROUP BY ALL),
+mj AS (SELECT data_source, uid, variable, k, avg(v) AS m, stddev_pop(v) AS s FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY data_source, uid, variable, k, b ORDER BY c DESC, first) = 1) GROUP BY ALL),
+l AS (FROM plain UNION ALL SELECT data_source, uid, variable, 'best@' || k || '/mean', bm FROM ex UNION ALL SELECT data_source, uid, variable, 'best@' || k || '/std', bs FROM ex UNION ALL SELECT data_source, uid, variable, 'worst@' || k || '/mean', wm FROM ex UNION ALL SELECT data_source, uid, variable, 'worst@' || k || '/std', ws FROM ex UNION ALL SELECT data_source, uid, variable, 'maj@' || k || '/mean', m FROM mj UNION ALL SELECT data_source, uid, variable, 'maj@' || k || '/std', s FROM mj),
+{_NAMED}"""
+
+
+def eval_validation_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Best and worst as their expectations over all draws, by order statistics."""
+    s = scored(spark, d).select("data_source", "uid", F.col("seq_id").alias("order"), F.col("score").alias("reward"), (F.col("length") >= 3).cast("double").alias("acc"))
+    return rounded(M.validation_names(M.validation_metrics(s, ["reward", "acc"], draws="exact")), "data_source", "variable", "metric", "name", value="value")
+
+
+QUERIES["eval_validation_exact"] = eval_validation_exact
+SQL["eval_validation_exact"] = f"""{_PROMPTS},
+o AS (SELECT data_source, uid, variable, k, unnest(xs) AS x, unnest(range(1, n + 1)) AS i, n FROM g JOIN k USING (n)),
+w AS (SELECT *, pow(i / n, k) - pow((i - 1) / n, k) AS b, pow((n - i + 1) / n, k) - pow((n - i) / n, k) AS w FROM o),
+f AS (SELECT data_source, uid, variable, k, sum(x * b) AS bm, sum(x * w) AS wm FROM w GROUP BY ALL),
+h AS (SELECT data_source, uid, variable, k, any_value(bm) AS bm, any_value(wm) AS wm, sqrt(greatest(0, sum(b * (x - bm) * (x - bm)))) AS bs, sqrt(greatest(0, sum(w * (x - wm) * (x - wm)))) AS ws FROM w JOIN f USING (data_source, uid, variable, k) GROUP BY ALL),
+l AS (FROM plain UNION ALL SELECT data_source, uid, variable, 'best@' || k || '/mean', bm FROM h UNION ALL SELECT data_source, uid, variable, 'best@' || k || '/std', bs FROM h UNION ALL SELECT data_source, uid, variable, 'worst@' || k || '/mean', wm FROM h UNION ALL SELECT data_source, uid, variable, 'worst@' || k || '/std', ws FROM h),
+{_NAMED}"""
+
 
 def eval_validation_mean(spark: SparkSession, d: str) -> DataFrame:
     """The part of the validation metrics that draws nothing: means and deviations."""
     s = scored(spark, d).select("data_source", "uid", F.col("seq_id").alias("order"), F.col("score").alias("reward"))
-    return rounded(M.validation_metrics(s, ["reward"], times=1).where("metric rlike '^(mean|std)@'"), "data_source", "variable", "metric", value="value")
+    return rounded(M.validation_metrics(s, ["reward"], times=0), "data_source", "variable", "metric", value="value")
 
 
 QUERIES["eval_validation_mean"] = eval_validation_mean
