@@ -398,3 +398,51 @@ def test_validation_draws(spark):
     assert M.validation_metrics(df.limit(0), ["acc"], "pred").count() == 0
     with pytest.raises(ValueError):
         M.validation_metrics(df, ["acc"], draws="dice")
+
+
+# conversations as tokens
+def test_sft_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemill.functions.chat import TEMPLATES, decoded, sft_tokens
+
+    path, special = public_tokenizers.path("byte_bpe_50k.json"), ["<|im_start|>", "<|im_end|>"]
+    chats = [[("system", "be kind"), ("user", "Hello there, 漢字 😀"), ("assistant", "Hi!\n\nHow  are you?"), ("tool", None), ("assistant", "")], [("assistant", " leading space")], [], None, [("user", "x" * 20000), ("assistant", "<|im_end|> inside")]]
+    rows = [(i, None if c is None else [{"role": r, "content": t} for r, t in c], 7) for i, c in enumerate(chats)]
+    df = spark.createDataFrame(rows, "id int, messages array<struct<role:string,content:string>>, loss_mask int")
+    got = {r.id: r for r in sft_tokens(df, TEMPLATES["chatml"], path, special=special).collect()}
+    t = Tokenizer.from_file(path)
+    t.add_special_tokens(special)
+    for i, c in enumerate(chats):
+        if c is None:
+            assert got[i].input_ids is None and got[i].loss_mask is None
+            continue
+        texts = [f"<|im_start|>{r}\n{x or ''}<|im_end|>\n" for r, x in c]
+        assert got[i].input_ids == [x for m in texts for x in t.encode(m, add_special_tokens=False).ids] and len(got[i].loss_mask) == len(got[i].input_ids)
+        said = t.decode([x for x, m in zip(got[i].input_ids, got[i].loss_mask) if m], skip_special_tokens=False)
+        assert said == "".join(f"{x or ''}<|im_end|>\n" for r, x in c if r == "assistant")
+    back = sft_tokens(df, TEMPLATES["chatml"], path, special=special).select("id", decoded("input_ids", path, special).alias("t")).collect()
+    assert {r.id: r.t for r in back}[3] is None and {r.id: r.t for r in back}[1] == "<|im_start|>assistant\n leading space<|im_end|>\n"
+    with pytest.raises(Exception, match="no role"):
+        sft_tokens(df, __import__("dataclasses").replace(TEMPLATES["chatml"], before={"user": "u"}), path).collect()
+
+
+def test_templates_are_told_from_renderings(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.functions.chat import TEMPLATES, template_of
+
+    def render(messages, ask):
+        return "<s>" + "".join(f"[{m['role'].upper()}] {m['content']} [/]\n" for m in messages) + ("[ASSISTANT] " if ask else "")
+
+    t = template_of(render, ("user", "assistant", "system"))
+    assert (t.start, t.before["user"], t.after["user"], t.ask) == ("<s>", "[USER] ", " [/]\n", "[ASSISTANT] ")
+    chat = [{"role": "system", "content": "a"}, {"role": "user", "content": "b"}]
+    df = spark.createDataFrame([(chat,)], "m array<struct<role:string,content:string>>")
+    assert df.select(t.rendered(F.col("m"), True)).first()[0] == render(chat, True)
+    known = df.select(*(x.rendered(F.col("m"), True) for x in TEMPLATES.entries.values())).first()
+    assert known[3] == "<bos><start_of_turn>system\na<end_of_turn>\n<start_of_turn>user\nb<end_of_turn>\n<start_of_turn>model\n"
+    for bad in (lambda m, a: "".join(f"{i}{x['content']}" for i, x in enumerate(m)), lambda m, a: m[-1]["content"], lambda m, a: "|".join(x["content"] for x in m)):
+        with pytest.raises(ValueError):
+            template_of(bad)

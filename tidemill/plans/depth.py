@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import scoring as S
+from tidemill.functions import text as T
+from tidemill.functions.chat import TEMPLATES, decoded, sft_tokens
 from tidemill.operators import balance as L
 from tidemill.operators.deal import dealt, micro_dealt
 from tidemill.operators.prefixes import prefix_forest, prefix_savings
@@ -211,3 +215,34 @@ def micro_shards(s: SparkSession, d: str) -> DataFrame:
     rows = lengths(s, d).withColumn("step", F.lit(1))
     out = micro_dealt(rows, "step", 4096, group="uid", bucket=256).join(rows, ["step", "row_idx"])
     return out.groupBy("shard").agg(F.countDistinct("micro_batch").alias("batches"), F.count("*").alias("n"), F.sum("seqlen").cast("long").alias("tokens"), F.countDistinct("micro_batch", "uid").alias("pieces"))
+
+
+# conversations as tokens
+def _said(of: str) -> str:
+    return f"md5(coalesce(string_agg({of}, '' ORDER BY turn), ''))"
+
+
+_TURN = "'<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)"
+
+
+@put("text_sft_tokens", f"SELECT conv_id, {_said(_TURN)} AS text_md5, md5(coalesce(string_agg(coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS trained_md5, CAST(count(*) AS BIGINT) AS n_starts FROM conversations GROUP BY conv_id")
+def sft(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as tokens: all of them say the rendered text, those with loss what assistants say and the ends of their turns; a start of turn is one token."""
+    path, special = tokenizer_path("byte_bpe_50k.json"), ("<|im_start|>", "<|im_end|>")
+    rows = sft_tokens(T.conversations(table(s, d, "conversations")), TEMPLATES["chatml"], path, special=special)
+    trained = F.transform(F.filter(F.arrays_zip("input_ids", "loss_mask"), lambda x: x["loss_mask"] == 1), lambda x: x["input_ids"])
+    starts = F.size(F.filter("input_ids", lambda i: i == 50257)).cast("long")
+    return rows.select("conv_id", F.md5(decoded(F.col("input_ids"), path, special)).alias("text_md5"), F.md5(decoded(trained, path, special)).alias("trained_md5"), starts.alias("n_starts"))
+
+
+@put("text_rendered", "SELECT conv_id, md5('<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || coalesce(text, '') || '<|eot_id|>', '' ORDER BY turn) || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)) AS text_md5 FROM (SELECT conv_id, -1 AS turn, 'system' AS role, 'Be brief.' AS text FROM conversations GROUP BY conv_id HAVING arg_min(role, turn) <> 'system' UNION ALL SELECT conv_id, turn, role, text FROM conversations) GROUP BY conv_id")
+def rendered_chats(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as text that asks for an answer, with a system message before those that lack one."""
+    t = replace(TEMPLATES["headers"], system="Be brief.")
+    return T.conversations(table(s, d, "conversations")).select("conv_id", F.md5(t.rendered(F.col("messages"), ask=True)).alias("text_md5"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
