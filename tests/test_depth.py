@@ -446,3 +446,52 @@ def test_templates_are_told_from_renderings(spark):
     for bad in (lambda m, a: "".join(f"{i}{x['content']}" for i, x in enumerate(m)), lambda m, a: m[-1]["content"], lambda m, a: "|".join(x["content"] for x in m)):
         with pytest.raises(ValueError):
             template_of(bad)
+
+
+# tools
+def test_tools_that_give_rows(spark):
+    from pyspark.sql import types as T
+
+    from tidemill.functions.tables import called, register, rows_function
+
+    def split(sep, text, stop=None):
+        for i, w in enumerate(text.split(sep)):
+            if w == stop:
+                raise KeyError(w)
+            yield {"word": w, "size": len(w)} if i % 2 else (w, len(w))
+
+    f = rows_function(split, "word string, size int")
+    calls = spark.createDataFrame([(1, '{"text": "a-bb-c"}', 0), (2, '{"text": "a-b-c", "stop": "b"}', 0), (3, "{", 0), (4, None, 0), (5, '{"none": 1}', 0), (6, "[1]", 0), (7, '{"text": "x"}', 0)], "id int, args string, nth int").withColumnRenamed("nth", "own")
+    got = sorted(((r.id, r.nth, r.word, r.size, r.error.split(":")[0] if r.error else None) for r in called(calls, f, "args", "-").collect()), key=repr)
+    assert got == sorted([(1, 0, "a", 1, None), (1, 1, "bb", 2, None), (1, 2, "c", 1, None), (2, 0, "a", 1, None), (2, 1, None, None, "KeyError"), (3, 0, None, None, "JSONDecodeError"), (5, 0, None, None, "TypeError"), (6, 0, None, None, "TypeError"), (7, 0, "x", 1, None)], key=repr)
+    # the schema may depend on constant options
+    wide = rows_function(lambda n, text: [tuple(text[i : i + 1] for i in range(n))], lambda n: T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)]))
+    register(spark, "letters", wide)
+    calls.where("id = 1").createOrReplaceTempView("some_calls")
+    assert spark.sql("""SELECT c.id, r.* FROM some_calls c, LATERAL letters('{"text": "xyz"}', 3) r""").collect()[0].asDict() == {"id": 1, "nth": 0, "c0": "x", "c1": "y", "c2": "z", "error": None}
+    with pytest.raises(Exception, match="constants"):
+        spark.sql("SELECT * FROM some_calls c, LATERAL letters('{}', c.id)").collect()
+
+
+def test_sessions_of_tools(spark):
+    from tidemill.functions.extensions import Tool
+    from tidemill.functions.tables import sessions
+
+    class Sum(Tool):
+        def execute(self, instance, arguments):
+            self.held[instance]["n"] = self.held[instance].get("n", 0) + arguments["x"]
+            return str(self.held[instance]["n"]), arguments["x"] / 2, {}
+
+        def reward(self, instance):
+            return 10.0 / (self.held[instance].get("n", 0) - 3)
+
+        def release(self, instance):
+            super().release(instance)
+            assert not self.held
+
+    rows = [("a", 2, '{"x": 2}', 0), ("a", 1, '{"x": 4}', 0), ("a", 3, "no", 0), ("b", 1, '{"x": 3}', 0), (None, 1, '{"x": 5}', 0)]
+    df = spark.createDataFrame(rows, "key string, at int, arguments string, more int").repartition(3)
+    got = [(r.key, r["at"], r.response, r.reward, r.error.split(":")[0] if r.error else None) for r in sessions(df, Sum, "key", "at").collect()]
+    want = [("a", 1, "4", 2.0, None), ("a", 2, "6", 1.0, None), ("a", 3, None, 0.0, "JSONDecodeError"), ("a", None, None, 10 / 3, None), ("b", 1, "3", 1.5, None), ("b", None, None, 0.0, "ZeroDivisionError"), (None, 1, "5", 2.5, None), (None, None, None, 5.0, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sessions(df.limit(0), Sum, "key", "at").count() == 0

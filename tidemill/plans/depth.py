@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemill.functions import scoring as S
 from tidemill.functions import text as T
 from tidemill.functions.chat import TEMPLATES, decoded, sft_tokens
+from tidemill.functions.extensions import Tool
+from tidemill.functions.tables import called, rows_function, sessions
 from tidemill.operators import balance as L
 from tidemill.operators.deal import dealt, micro_dealt
 from tidemill.operators.prefixes import prefix_forest, prefix_savings
@@ -246,3 +248,45 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+# tools
+def long_words(least: int, text: str):
+    """Of a text the words of at least so many characters."""
+    for at, word in enumerate(text.split(" ")):
+        if len(word) >= least:
+            yield {"place": at, "word": word}
+
+
+_CALLS = "SELECT conv_id, turn, text, turn % 5 = 3 AS broken FROM conversations"
+
+
+@put("tools_rows", f"WITH c AS ({_CALLS}), w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM c WHERE NOT broken) SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS INTEGER) AS nth, CAST(i AS INTEGER) AS place, word, false AS failed FROM w WHERE length(word) >= 9 UNION ALL SELECT conv_id, turn, 0, NULL, NULL, true FROM c WHERE broken")
+def tools_rows(s: SparkSession, d: str) -> DataFrame:
+    """A tool that gives several rows a call, over what conversations say; calls with broken arguments are rows that say so."""
+    text = F.to_json(F.struct("text"), {"ignoreNullFields": "false"})
+    calls = table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 5 == 3, F.concat(F.lit("{"), text)).otherwise(text).alias("arguments"))
+    out = called(calls, rows_function(long_words, "place int, word string"), "arguments", 9)
+    return out.select("conv_id", "turn", "nth", "place", "word", F.col("error").isNotNull().alias("failed"))
+
+
+class WordCount(Tool):
+    """Counts words over an instance's calls; its reward is the mean of them."""
+
+    def execute(self, instance: str, arguments: dict) -> tuple[str, float, dict]:
+        state = self.held[instance]
+        state["n"] = state.get("n", 0) + len(arguments["text"].split(" "))
+        state["calls"] = state.get("calls", 0) + 1
+        return str(state["n"]), 0.5, {}
+
+    def reward(self, instance: str) -> float:
+        state = self.held[instance]
+        return state.get("n", 0) / max(1, state.get("calls", 0))
+
+
+@put("tools_sessions", "WITH c AS (SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL ELSE len(string_split(text, ' ')) END AS n FROM conversations) SELECT conv_id, turn, CASE WHEN n IS NOT NULL THEN CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR) END AS response, CASE WHEN n IS NULL THEN CAST(0 AS DOUBLE) ELSE 0.5 END::DOUBLE AS reward, n IS NULL AS failed FROM c UNION ALL SELECT conv_id, NULL, NULL, coalesce(sum(n), 0) / greatest(1, count(n))::DOUBLE, false FROM c GROUP BY conv_id")
+def tools_sessions(s: SparkSession, d: str) -> DataFrame:
+    """A tool with a state for each conversation: created, called turn by turn, rewarded and released."""
+    calls = table(s, d, "conversations").select("conv_id", "turn", F.to_json(F.struct("text")).alias("arguments"))
+    out = sessions(calls, WordCount, "conv_id", "turn")
+    return out.select("conv_id", "turn", "response", "reward", F.col("error").isNotNull().alias("failed"))
