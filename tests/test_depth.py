@@ -495,3 +495,63 @@ def test_sessions_of_tools(spark):
     want = [("a", 1, "4", 2.0, None), ("a", 2, "6", 1.0, None), ("a", 3, None, 0.0, "JSONDecodeError"), ("a", None, None, 10 / 3, None), ("b", 1, "3", 1.5, None), ("b", None, None, 0.0, "ZeroDivisionError"), (None, 1, "5", 2.5, None), (None, None, None, 5.0, None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert sessions(df.limit(0), Sum, "key", "at").count() == 0
+
+
+# objects
+def test_objects_of_mixed_types(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.operators import objects as O
+
+    a = spark.createDataFrame([(0, 7, 1.5), (1, None, float("nan"))], "row_idx long, truth int, score double")
+    b = spark.createDataFrame([(2, '{"x": [1, 2]}')], "row_idx long, truth string")
+    c = spark.createDataFrame([(3, 9)], "row_idx long, truth long")
+    both = O.united(a, b, c)
+    assert dict(both.dtypes)["truth"] == "variant" and dict(both.dtypes)["score"] == "double"
+    assert [(r[0], r[1]) for r in both.orderBy("row_idx").select(O.kind_of("truth"), F.to_json("truth")).collect()] == [("BIGINT", "7"), (None, None), ("STRING", '"{\\"x\\": [1, 2]}"'), ("BIGINT", "9")]
+    assert dict(O.united(a, c).dtypes)["truth"] == "bigint"  # whole numbers don't differ
+    assert dict(O.narrowed(O.united(a, c).withColumn("truth", F.col("truth").cast("variant"))).dtypes)["truth"] == "bigint"
+    assert dict(O.narrowed(both).dtypes)["truth"] == "variant"
+    assert [r[0] for r in O.narrowed(both.where("row_idx <> 2")).orderBy("row_idx").select("truth").collect()] == [7, None, 9]
+
+
+def test_equality_of_objects(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.operators.objects import same
+
+    texts = ["1", "1.0", '"1"', "true", "null", None, '{"a": 1, "b": [1, {"c": null}]}', '{"b": [1.0, {"c": null}], "a": 1.00}', '{"a": 1}', "[]", "{}", '"NaN"', "1e0"]
+    equal = [{0, 1}, {6, 7}]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("v", F.parse_json("t"))
+    pairs = rows.alias("a").join(rows.alias("b")).select(F.col("a.i"), F.col("b.i"), same(F.col("a.v"), F.col("b.v"))).collect()
+    for i, j, x in pairs:
+        assert x == (i == j or {i, j} in equal), (texts[i], texts[j])
+    nan = F.lit(float("nan")).cast("variant")
+    assert spark.range(1).select(same(nan, nan), same(nan, F.lit("NaN").cast("variant")), same(nan, F.lit(None).cast("variant"))).first() == (True, False, False)
+
+
+def test_records_both_ways(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.operators import objects as O
+
+    rows = spark.createDataFrame([(0, "a'b", 1, [1, 2], '{"k": 1}'), (1, None, 2, None, "3"), (2, "c", None, [], "null")], "row_idx long, `it's` string, n int, xs array<int>, j string").withColumn("j", F.parse_json("j"))
+    records = O.to_records(rows)
+    assert records.dtypes == [("row_idx", "bigint"), ("record", "string")]
+    back = O.from_records(records, ["it's", "n", "xs", "j", "absent"])
+    assert dict(back.dtypes) == {"row_idx": "bigint", "it's": "string", "n": "bigint", "xs": "array<bigint>", "j": "variant", "absent": "variant"}
+    got = back.orderBy("row_idx").select("`it's`", "n", "xs", F.to_json("j"), "absent").collect()
+    assert [tuple(r) for r in got] == [("a'b", 1, [1, 2], '{"k":1}', None), (None, 2, None, "3", None), ("c", None, [], None, None)]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        O.from_records(spark.createDataFrame([("{",)], "record string"), ["a"]).collect()
+
+
+def test_collation(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.operators.objects import collated, variant
+
+    rows = spark.range(10).select(F.col("id").alias("row_idx"), F.when(F.col("id") % 2 == 0, F.col("id").cast("variant")).otherwise(variant(F.struct("id"), spark.range(1).select(F.struct("id").alias("s")).schema["s"].dataType)).alias("x"), F.array("id").alias("ids")).repartition(4)
+    got = collated(rows, 4).orderBy("batch_id").select("batch_id", "row_idx", F.to_json("x").alias("x"), "ids").collect()
+    assert [len(r.row_idx) for r in got] == [4, 4, 2] and got[1].row_idx == [4, 5, 6, 7] and got[2].x == '[8,{"id":9}]' and got[0].ids == [[0], [1], [2], [3]]
+    assert collated(rows.limit(0), 4).count() == 0

@@ -13,7 +13,9 @@ from tidemill.functions.chat import TEMPLATES, decoded, sft_tokens
 from tidemill.functions.extensions import Tool
 from tidemill.functions.tables import called, rows_function, sessions
 from tidemill.operators import balance as L
+from tidemill.operators.batch import Batch, concat, numbered
 from tidemill.operators.deal import dealt, micro_dealt
+from tidemill.operators.objects import alike, collated, from_records, kind_of, same, to_records, united
 from tidemill.operators.prefixes import prefix_forest, prefix_savings
 from tidemill.plans.breadth import folder
 from tidemill.plans.tables import _LEN, lengths
@@ -290,3 +292,52 @@ def tools_sessions(s: SparkSession, d: str) -> DataFrame:
     calls = table(s, d, "conversations").select("conv_id", "turn", F.to_json(F.struct("text")).alias("arguments"))
     out = sessions(calls, WordCount, "conv_id", "turn")
     return out.select("conv_id", "turn", "response", "reward", F.col("error").isNotNull().alias("failed"))
+
+
+# objects
+def truths(s: SparkSession, d: str) -> list[DataFrame]:
+    """Ground truths that are whole numbers in one table, structs in another, texts in a third, doubles in a fourth."""
+    orders = table(s, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderkey")).alias("truth"))
+    lines = table(s, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("l"), F.col("l_orderkey")).alias("id"), F.struct(F.col("l_returnflag").alias("flag"), F.array(F.col("l_linenumber"), F.col("l_orderkey")).alias("at")).alias("truth"))
+    docs = table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.col("lang").alias("truth"))
+    odd = table(s, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("c_custkey") + 0.5).alias("truth"))
+    return [orders, lines, docs, odd]
+
+
+@put("tbl_objects", """SELECT 'o' || o_orderkey AS id, CASE WHEN o_orderkey % 7 > 0 THEN 'BIGINT' END AS kind, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey AS VARCHAR) END AS said, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey END AS number FROM orders
+UNION ALL SELECT 'l' || l_orderkey, 'OBJECT<at: ARRAY<BIGINT>, flag: STRING>', '{"at":[1,' || l_orderkey || '],"flag":"' || l_returnflag || '"}', NULL FROM lineitem WHERE l_linenumber = 1
+UNION ALL SELECT 'd' || doc_id, CASE WHEN lang IS NOT NULL THEN 'STRING' END, '"' || lang || '"', NULL FROM documents
+UNION ALL SELECT 'c' || c_custkey, 'DOUBLE', CASE WHEN c_custkey % 2 = 0 THEN '"NaN"' ELSE c_custkey || '.5' END, NULL FROM customer""")
+def objects(s: SparkSession, d: str) -> DataFrame:
+    """Tables whose ground truths differ in type, one after another as rows of objects."""
+    whole = concat([Batch(numbered(t, "id")) for t in alike(*truths(s, d))]).rows
+    number = F.when(kind_of("truth") == "BIGINT", F.variant_get("truth", "$", "bigint"))
+    return whole.select("id", kind_of("truth").alias("kind"), F.to_json("truth").alias("said"), number.alias("number"))
+
+
+@put("tbl_object_equality", "WITH o AS (SELECT o_orderkey AS k FROM orders) SELECT k, k % 5 <> 0 AS alike FROM o")
+def object_equality(s: SparkSession, d: str) -> DataFrame:
+    """Objects against others written otherwise: keys in another order, whole numbers and decimals, NaN and NaN; and against texts of the same look."""
+    k = F.col("o_orderkey")
+    a = F.when(k % 5 == 1, F.parse_json(F.format_string('{"x": %d, "y": [1, null]}', k))).when(k % 5 == 2, k.cast("variant")).when(k % 5 == 3, F.lit(float("nan")).cast("variant")).when(k % 5 == 0, k.cast("variant"))
+    b = F.when(k % 5 == 1, F.parse_json(F.format_string('{"y":[1,null],"x":%d.0}', k))).when(k % 5 == 2, F.parse_json(F.format_string("%d.00", k))).when(k % 5 == 3, F.lit(float("nan")).cast("variant")).when(k % 5 == 0, k.cast("string").cast("variant"))
+    return table(s, d, "orders").select(k.alias("k"), same(a, b).alias("alike"))
+
+
+@put("tbl_collated", """WITH r AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, * FROM conversations) SELECT CAST(i // 32 AS BIGINT) AS batch_id, count(*) AS n, CAST(min(conv_id) AS BIGINT) AS first, md5('[' || string_agg(CASE WHEN turn % 2 = 0 THEN '{"conv":' || conv_id || ',"role":"' || role || '"}' ELSE CAST(turn AS VARCHAR) END, ',' ORDER BY i) || ']') AS objects_md5 FROM r GROUP BY 1""")
+def collated_turns(s: SparkSession, d: str) -> DataFrame:
+    """Turns in batches of 32, with a column of objects that are structs or numbers."""
+    c = table(s, d, "conversations")
+    even, odd = c.where("turn % 2 = 0").withColumn("x", F.struct("role", F.col("conv_id").alias("conv"))), c.where("turn % 2 = 1").withColumn("x", F.col("turn"))
+    rows = numbered(united(even, odd).select("conv_id", "turn", "x"), "conv_id", "turn")
+    out = collated(rows, 32)
+    return out.select("batch_id", F.size("conv_id").cast("long").alias("n"), F.try_element_at("conv_id", F.lit(1)).alias("first"), F.md5(F.to_json("x")).alias("objects_md5"))
+
+
+@put("tbl_records", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority, [CAST(o_orderkey AS BIGINT), CAST(o_custkey AS BIGINT)] AS ids, md5(CASE WHEN o_orderkey % 2 = 0 THEN '\"even\"' ELSE CAST(o_orderkey AS VARCHAR) END) AS mixed_md5 FROM orders")
+def records(s: SparkSession, d: str) -> DataFrame:
+    """Rows to JSON records and back: columns of one type come back as that, one of several as objects."""
+    o = table(s, d, "orders")
+    rows = o.select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("priority"), F.array("o_orderkey", "o_custkey").alias("ids"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("even").cast("variant")).otherwise(F.col("o_orderkey").cast("variant")).alias("mixed"))
+    back = from_records(to_records(numbered(rows, "key")), ["key", "priority", "ids", "mixed"])
+    return back.select("key", "priority", "ids", F.md5(F.to_json("mixed")).alias("mixed_md5"))
