@@ -555,3 +555,62 @@ def test_collation(spark):
     got = collated(rows, 4).orderBy("batch_id").select("batch_id", "row_idx", F.to_json("x").alias("x"), "ids").collect()
     assert [len(r.row_idx) for r in got] == [4, 4, 2] and got[1].row_idx == [4, 5, 6, 7] and got[2].x == '[8,{"id":9}]' and got[0].ids == [[0], [1], [2], [3]]
     assert collated(rows.limit(0), 4).count() == 0
+
+
+# sinks, listeners, cubes
+def test_sinks_have_each_batch_once(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from tidemill.streaming.sinks import SINKS, read_sink, write_once
+
+    schema = "step long, name string, value double"
+    stream = stream_of(spark, tmp_path, schema, *[[(k, f"m{i}", k + i / 2) for i in range(3)] for k in range(4)])
+    sinks, tries = {"csv": f"{tmp_path}/csv", "json": f"{tmp_path}/json", "shaky": f"{tmp_path}/shaky"}, []
+
+    def shaky(df, folder):
+        tries.append(folder)
+        SINKS["parquet"](df, folder)
+        if len(tries) in (2, 4):  # after it has written, twice
+            raise OSError("gone")
+
+    run = lambda: write_once(stream, "a", sinks, f"{tmp_path}/state", {"shaky": shaky}).awaitTermination()
+    for _ in range(2):
+        with pytest.raises(StreamingQueryException):
+            run()
+    run()
+    run()  # nothing new
+    want = sorted((k, f"m{i}", k + i / 2, "a", k) for k in range(4) for i in range(3))
+    for kind, path in sinks.items():
+        got = read_sink(spark, "parquet" if kind == "shaky" else kind, path, stream.schema)
+        assert sorted(map(tuple, got.collect())) == want, kind
+    assert [t.rsplit("=", 1)[1] for t in tries] == ["0", "1", "1", "2", "2", "3"] or len(tries) == 6
+    assert read_sink(spark, "json", f"{tmp_path}/none", stream.schema).count() == 0
+    with pytest.raises(ValueError):
+        write_once(stream, "a", {"carrier pigeon": "x"}, f"{tmp_path}/s2")
+
+
+def test_a_listener_adds_up_queues(spark, tmp_path):
+    from tidemill.streaming.sinks import Observed, observed_queues, queue_stats
+    from tidemill.streaming.state import queues
+
+    batches = [[("a", i) for i in range(5)] + [("b", 1)], [("a", 9)], [("b", i) for i in range(10, 14)]]
+    told = Observed()
+    spark.streams.addListener(told)
+    try:
+        stream = observed_queues(queues(stream_of(spark, tmp_path, "k string, item long", *batches), "k", "item", 3))
+        for _ in range(2):  # the second run has nothing to do, and adds nothing
+            told.wait(stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).outputMode("update").format("noop").start())
+    finally:
+        spark.streams.removeListener(told)
+    assert queue_stats(told, 3) == {"size": 6, "produced": 11, "dropped": 5, "most": 3}
+    assert told.sums("queue")["touched"] == 4 and told.sums("other") == {}
+
+
+def test_metric_cube(spark):
+    from tidemill.operators.metrics import metric_cube
+
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), (None, "x", 5.0), ("a", "x", None)], "s string, v string, value double")
+    got = {(r.s, r.v, r.grouping_id): (r.n, r["mean"], r.least, r.most) for r in metric_cube(df, ["s", "v"], "value").collect()}
+    assert got == {("a", "x", 0): (1, 1.0, 1.0, 1.0), ("a", "y", 0): (1, 3.0, 3.0, 3.0), (None, "x", 0): (1, 5.0, 5.0, 5.0), ("a", None, 1): (2, 2.0, 1.0, 3.0), (None, None, 1): (1, 5.0, 5.0, 5.0), (None, "x", 2): (2, 3.0, 1.0, 5.0), (None, "y", 2): (1, 3.0, 3.0, 3.0), (None, None, 3): (3, 3.0, 1.0, 5.0)}
+    with pytest.raises(ValueError):
+        metric_cube(df, ["s"], "value", [["v"]])

@@ -184,6 +184,19 @@ def _numpy_draws(grouped: DataFrame, vote: bool, times: int, seed: int) -> DataF
     return arrays.mapInPandas(work, f"data_source {kinds['data_source']}, uid {kinds['uid']}, variable string, metric string, value double")
 
 
+def metric_cube(rows: DataFrame, dims: list[str], value: str, sets: list[list[str]] | None = None) -> DataFrame:
+    """dims (null where a set leaves them out), grouping_id, n, mean, std (of all rows, not a sample), least and most of value, for each of several sets of dims (else all
+    there are) in one aggregate. grouping_id has a bit for each dim, the first the highest, which is 1 where it is left out, so that a null of the
+    rows is told from it. Null values are not counted."""
+    every = sets if sets is not None else [[d for k, d in enumerate(dims) if not mask >> k & 1] for mask in range(1 << len(dims))]
+    if wrong := [d for s in every for d in s if d not in dims]:
+        raise ValueError(f"no such dimensions: {wrong}")
+    named = rows.select(*dims, F.col(value).alias("__v"))
+    v = F.col("__v")
+    got = named.groupingSets([[F.col(d) for d in s] for s in every], *dims).agg(F.grouping_id().alias("grouping_id"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
+    return got.select(*dims, "grouping_id", "n", "mean", "std", "least", "most")
+
+
 def validation_names(metrics: DataFrame) -> DataFrame:
     """metrics with `name`: val-core for the core variable's (acc, else reward) mean, majority and best at the greatest n, val-aux for the rest."""
     n = F.regexp_extract("metric", r"@(\d+)", 1).cast("int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +16,16 @@ from tidemill.functions.tables import called, rows_function, sessions
 from tidemill.operators import balance as L
 from tidemill.operators.batch import Batch, concat, numbered
 from tidemill.operators.deal import dealt, micro_dealt
+from tidemill.operators.metrics import metric_cube
 from tidemill.operators.objects import alike, collated, from_records, kind_of, same, to_records, united
 from tidemill.operators.prefixes import prefix_forest, prefix_savings
+from tidemill.plans.advantages import r6, rounded
 from tidemill.plans.breadth import folder
 from tidemill.plans.tables import _LEN, lengths
-from tidemill.plans.views import VIEWS, table
+from tidemill.plans.views import VIEWS, scored, table
 from tidemill.sources.datasets import read_dataset
 from tidemill.streaming.events import read_events, run_to_table
+from tidemill.streaming.sinks import SINKS, Observed, observed_queues, queue_stats, read_sink, write_once
 from tidemill.streaming.state import full_batches, queues, released
 
 QUERIES, SQL = {}, {}
@@ -131,7 +135,8 @@ def replay_ready(s: SparkSession, d: str) -> DataFrame:
 @put("stream_queue_elements", "WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, CAST(least(any_value(n), 32) AS BIGINT) AS size, any_value(n) AS produced, CAST(greatest(any_value(n) - 32, 0) AS BIGINT) AS dropped, min(event_id) FILTER (WHERE k > n - 32) AS oldest, max(event_id) AS newest FROM e GROUP BY user_id")
 def queue_elements(s: SparkSession, d: str) -> DataFrame:
     """Bounded queues kept place by place, over files that come by id."""
-    return run_to_table(queues(id_stream(s, d), "user_id", "event_id", 32), folder(s, "stream"), "update", ["user_id"])
+    out = run_to_table(queues(id_stream(s, d), "user_id", "event_id", 32), folder(s, "stream"), "update", ["user_id"])
+    return out.drop("came", "went")
 
 
 @put("stream_batch_elements", "WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, CAST(k // 16 AS BIGINT) AS batch, event_id FROM e WHERE k < n - n % 16")
@@ -341,3 +346,55 @@ def records(s: SparkSession, d: str) -> DataFrame:
     rows = o.select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("priority"), F.array("o_orderkey", "o_custkey").alias("ids"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("even").cast("variant")).otherwise(F.col("o_orderkey").cast("variant")).alias("mixed"))
     back = from_records(to_records(numbered(rows, "key")), ["key", "priority", "ids", "mixed"])
     return back.select("key", "priority", "ids", F.md5(F.to_json("mixed")).alias("mixed_md5"))
+
+
+# sinks and listeners
+@put("stream_queue_stats", "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT CAST(sum(least(n, 32)) AS BIGINT) AS size, CAST(sum(n) AS BIGINT) AS produced, CAST(sum(greatest(n - 32, 0)) AS BIGINT) AS dropped, CAST(32 AS BIGINT) AS most FROM n")
+def stats_of_queues(s: SparkSession, d: str) -> DataFrame:
+    """Statistics of all queues, told by a listener from what the micro-batches observe."""
+    told = Observed()
+    s.streams.addListener(told)
+    try:
+        stream = observed_queues(queues(id_stream(s, d), "user_id", "event_id", 32))
+        query = stream.writeStream.option("checkpointLocation", folder(s, "state")).trigger(availableNow=True).outputMode("update").format("noop").start()
+        told.wait(query)
+    finally:
+        s.streams.removeListener(told)
+    return s.createDataFrame([queue_stats(told, 32)], "size long, produced long, dropped long, most long")
+
+
+@put("stream_metric_sinks", "SELECT sink, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS step, event_type || '/' || event_id AS metric, value, CAST(1 AS BIGINT) AS times FROM events, (SELECT unnest(['json', 'parquet']) AS sink)")
+def metric_sinks(s: SparkSession, d: str) -> DataFrame:
+    """Metrics of a stream in two sinks, of which the second fails in the third batch; after a restart each metric is in both, once."""
+    events = id_stream(s, d).select(F.floor(F.unix_seconds("ts") / 86400).alias("step"), F.concat_ws("/", "event_type", "event_id").alias("metric"), "value")
+    base, failed = folder(s, "metrics"), []
+
+    def fails_once(df: DataFrame, to: str) -> None:
+        df.limit(1).write.mode("overwrite").parquet(to)  # a part of the batch is there already
+        if to.endswith("batch=2") and not failed:
+            failed.append(to)
+            raise OSError("the sink is gone")
+        SINKS["parquet"](df, to)
+
+    sinks = {"json": f"{base}/json", "parquet": f"{base}/parquet"}
+    for _ in range(2):
+        query = write_once(events, "rollouts", sinks, f"{base}/state", custom={"parquet": fails_once})
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            continue
+    both = [read_sink(s, k, p, events.schema).withColumn("sink", F.lit(k)) for k, p in sinks.items()]
+    return both[0].unionByName(both[1]).groupBy("sink", "step", "metric", "value").agg(F.count("*").alias("times"))
+
+
+# metric cubes
+@put("eval_cube", f"""{VIEWS}, p AS (SELECT data_source, uid, variable, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM (SELECT data_source, uid, unnest(['reward', 'tokens']) AS variable, unnest([score, CAST(n_tokens AS DOUBLE)]) AS v FROM sc) GROUP BY ALL),
+l AS (SELECT data_source, variable, 'mean' AS metric, mean AS value FROM p UNION ALL SELECT data_source, variable, 'std', std FROM p WHERE n > 1)
+SELECT data_source, variable, metric, CAST(GROUPING_ID(data_source, variable, metric) AS BIGINT) AS grouping_id, count(*) AS n, {r6('avg(value)', 'mean')}, {r6('stddev_pop(value)', 'std')}, {r6('min(value)', 'least')}, {r6('max(value)', 'most')} FROM l GROUP BY GROUPING SETS ((data_source, variable, metric), (variable, metric), (data_source, metric), (metric))""")
+def cube(s: SparkSession, d: str) -> DataFrame:
+    """Prompts' means and deviations by source, variable and metric, and over sources, variables and both, in one aggregate."""
+    rows = scored(s, d).select("data_source", "uid", F.explode(F.create_map(F.lit("reward"), F.col("score"), F.lit("tokens"), F.col("n_tokens").cast("double"))).alias("variable", "v"))
+    p = rows.groupBy("data_source", "uid", "variable").agg(F.avg("v").alias("mean"), F.when(F.count("*") > 1, F.stddev_pop("v")).alias("std"))
+    tall = p.select("data_source", "variable", F.explode(F.create_map(F.lit("mean"), F.col("mean"), F.lit("std"), F.col("std"))).alias("metric", "value")).where("value IS NOT NULL")
+    out = metric_cube(tall, ["data_source", "variable", "metric"], "value", [["data_source", "variable", "metric"], ["variable", "metric"], ["data_source", "metric"], ["metric"]])
+    return rounded(out, "data_source", "variable", "metric", "grouping_id", "n", mean="mean", std="std", least="least", most="most")

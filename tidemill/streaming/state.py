@@ -102,6 +102,7 @@ class Queue(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         head, tail = self.ends.get() if self.ends.exists() else (0, 0)
+        before = head
         items = sorted(int(x) for pdf in rows for x in pdf[self.item].tolist())
         kept = items[-self.most :]
         for place in range(head, min(tail, max(head, tail + len(items) - self.most))):
@@ -113,7 +114,7 @@ class Queue(StatefulProcessor):
         self.ends.update((head, tail))
         first = self.places.getValue((head,))[0] if tail > head else None
         newest = self.places.getValue((tail - 1,))[0] if tail > head else None
-        yield pd.DataFrame({self.key: [key[0]], "size": [tail - head], "produced": [tail], "dropped": [head], "oldest": [first], "newest": [newest]})
+        yield pd.DataFrame({self.key: [key[0]], "size": [tail - head], "produced": [tail], "dropped": [head], "oldest": [first], "newest": [newest], "came": [len(items)], "went": [head - before]})
 
     def close(self) -> None:
         pass
@@ -121,12 +122,12 @@ class Queue(StatefulProcessor):
 
 def queues(stream: DataFrame, key: str, item: str, most: int) -> DataFrame:
     """In update mode: key, size, produced, dropped, oldest, newest of each key's queue of `most` items (more than none), to which a micro-batch's items
-    come in ascending order; rows without an item are left out."""
+    come in ascending order, and how many came and went in it; rows without an item are left out."""
     if most < 1:
         raise ValueError("a queue needs room for an item")
     stored(stream.sparkSession)
     kind = stream.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, size long, produced long, dropped long, oldest long, newest long"
+    out = f"{key} {kind}, size long, produced long, dropped long, oldest long, newest long, came long, went long"
     return stream.select(key, F.col(item).cast("long").alias(item)).na.drop(subset=[item]).groupBy(key).transformWithStateInPandas(Queue(most, key, item), out, "update", "none")
 
 
