@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.draws import word
 from tidemill.functions.masked import EPS, clip, masked_mean, masked_sum, scalar_join
 from tidemill.functions.registry import Registry
 from tidemill.operators.batch import ROW, numbered
@@ -170,7 +171,7 @@ def clip_cov(rows: DataFrame, low: float = 0.2, high: float = 0.2, ratio: float
     _, _, a = _cols()
     r = F.exp(_step(None))
     plain, cut = -a * r, -a * clip(r, 1 - low, 1 + high)
-    rows = _covariance(rows, "__cov").withColumn("__id", F.xxhash64("seq_id", "pos", F.lit(seed)))
+    rows = _covariance(rows, "__cov").withColumn("__id", word("seq_id", "pos", seed))
     able = (F.col("mask") > 0) & ~(cut > plain) & (F.col("__cov") > least) & (F.col("__cov") < most)
     rows = _with_first(rows, rows.where(able).withColumn("__by", -F.col("__id").cast("double")), ratio)
     hit = F.col("__s").isNotNull()

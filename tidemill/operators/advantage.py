@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.draws import word
 from tidemill.functions.masked import EPS, masked, scalar_join, whiten
 from tidemill.functions.registry import Registry
 
@@ -234,7 +235,7 @@ def resample(seqs: DataFrame, how: str = "pow", power: float = 2.0, seed: int =
     cell = lambda x: F.floor(x / F.ceil(F.col("__size") / F.col("__n")))
     covers = F.sequence(cell(F.col("__end") - F.col("__w")), cell(F.col("__end") - 1))
     rows = scalar_join(held, size).withColumn("__cell", F.explode(covers)).drop("__size", "__n")
-    draws = scalar_join(seqs.sparkSession.range(n).select(F.col("id").alias("draw")), size).withColumn("__at", F.pmod(F.xxhash64("draw", F.lit(seed)), F.col("__size")))
+    draws = scalar_join(seqs.sparkSession.range(n).select(F.col("id").alias("draw")), size).withColumn("__at", F.pmod(word("draw", seed), F.col("__size")))
     draws = draws.withColumn("__in", cell(F.col("__at"))).drop("__size", "__n")
     got = rows.join(draws, (F.col("__cell") == F.col("__in")) & (F.col("__at") >= F.col("__end") - F.col("__w")) & (F.col("__at") < F.col("__end")))
     return got.select(*seqs.columns, "draw")

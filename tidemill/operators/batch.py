@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.draws import word
 from tidemill.session import cut
 
 ROW = "row_idx"
@@ -193,7 +194,7 @@ class Batch:
         rows = self.rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         if seed is None:
             return rows.withColumn("mini_batch", F.floor(F.col(ROW) / size).cast("int"))
-        order = F.xxhash64("__old", "epoch", F.lit(seed))
+        order = word("__old", "epoch", seed)
         mixed = numbered(rows.withColumnRenamed(ROW, "__old").withColumn("__h", order), "epoch", "__h", "__old")
         return mixed.withColumn("mini_batch", F.floor((F.col(ROW) - F.col("epoch") * n) / size).cast("int")).drop(ROW, "__h").withColumnRenamed("__old", ROW)
 

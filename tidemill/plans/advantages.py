@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.draws import word_sql
 from tidemill.functions.masked import group_mean_std, masked_mean, masked_moments, masked_sum, whiten
 from tidemill.operators import advantage as A
 from tidemill.plans.views import VIEWS, grouped_tokens, scored, tokens
@@ -167,6 +168,12 @@ def adv_baseline_join(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["adv_baseline_join"] = adv_baseline_join
 SQL["adv_baseline_join"] = f"{VIEWS} SELECT seq_id, uid, {r6('first_value(score) OVER (PARTITION BY uid ORDER BY seq_id DESC)', 'baseline')} FROM sc"
 
+# rows are intervals of whole numbers in order of seq_id, draws are places in them
+SQL["adv_resample"] = f"""{VIEWS}, w AS (SELECT seq_id, uid, score * score + CAST(1e-8 AS DOUBLE) AS w FROM sc), t AS (SELECT sum(w) AS t FROM w),
+i AS (SELECT seq_id, uid, CAST(sum(CAST(ceil(w / t * CAST(17592186044416 AS DOUBLE)) AS BIGINT)) OVER (ORDER BY seq_id) AS BIGINT) AS e, CAST(ceil(w / t * CAST(17592186044416 AS DOUBLE)) AS BIGINT) AS n FROM w, t),
+s AS (SELECT seq_id, uid, e - n AS b FROM i), z AS (SELECT max(e) AS size, count(*) AS n FROM i),
+d AS (SELECT draw, {word_sql('draw', 0)} % size AS p FROM z, (SELECT seq_id - 1 AS draw FROM (SELECT row_number() OVER () AS seq_id FROM sc)) r)
+SELECT seq_id, uid, CAST(draw AS BIGINT) AS draw FROM d ASOF JOIN s ON d.p >= s.b"""
 QUERIES["adv_resample"] = lambda spark, d: A.resample(scored(spark, d)).select("seq_id", "uid", F.col("draw").cast("long").alias("draw"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.draws import word_sql
 from tidemill.functions import losses as L
 from tidemill.functions import masked as M
 from tidemill.operators import advantage as A
@@ -96,6 +97,12 @@ SQL["loss_kl_cov"] = f"""{ROWS}, m AS (SELECT {mean('a')} AS ma, {mean('new_lp')
 c AS (SELECT x.*, (a - ma) * (new_lp - ml) AS cov, k FROM x, m), t AS (SELECT *, CASE WHEN mask > 0 THEN row_number() OVER (PARTITION BY mask ORDER BY cov DESC, seq_id, pos) END AS rk FROM c),
 y AS (SELECT *, -a * exp(d) + CASE WHEN rk <= greatest(1, CAST(floor(k * {n(0.01)}) AS BIGINT)) THEN abs(d) ELSE 0 END AS loss FROM t) SELECT {r6(TOKEN_MEAN, 'loss')}, {r6(mean('abs(d)'), 'kl')} FROM y"""
 QUERIES["loss_clip_cov"] = loss_query("clip_cov", ("loss", "clipfrac", "kl"), ratio=0.01, least=0.01, most=5.0)
+_CUT = f"-a * least(greatest(exp(d), {n(0.8)}), {n(1.2)})"
+SQL["loss_clip_cov"] = f"""{ROWS}, m AS (SELECT {mean('a')} AS ma, {mean('new_lp')} AS ml, sum(mask) AS k FROM x),
+c AS (SELECT x.*, (a - ma) * (new_lp - ml) AS cov, k, -a * exp(d) AS plain, {_CUT} AS cut, {word_sql('seq_id', 'pos', 0)} AS id FROM x, m),
+t AS (SELECT *, mask > 0 AND NOT cut > plain AND cov > {n(0.01)} AND cov < 5 AS able FROM c),
+r AS (SELECT *, able AND row_number() OVER (PARTITION BY able ORDER BY CAST(id AS DOUBLE), seq_id, pos) <= greatest(1, CAST(floor(k * {n(0.01)}) AS BIGINT)) AS hit FROM t),
+y AS (SELECT *, CASE WHEN hit THEN 0 ELSE greatest(plain, cut) END AS loss FROM r) SELECT {r6(TOKEN_MEAN, 'loss')}, {r6(frac('hit'), 'clipfrac')}, {r6(mean('-d'), 'kl')} FROM y"""
 
 
 def loss_value(spark: SparkSession, d: str) -> DataFrame:

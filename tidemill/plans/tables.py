@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.draws import word_sql
 from tidemill.functions import scoring as S
 from tidemill.functions import text as T
 from tidemill.operators import balance as L
@@ -95,7 +96,7 @@ def unfold(s: SparkSession, d: str) -> DataFrame:
     return rounded(b.rows, ROW, "vec_id", F.col("label").cast("long").alias("label"), part_sum=F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, v: a + v))
 
 
-put("tbl_mini_batches")(lambda s, d: same(batch(s, d).mini_batches(5, 2, seed=1), "epoch", "mini_batch"))
+put("tbl_mini_batches", f"{B}, o AS (SELECT b.*, e, row_number() OVER (PARTITION BY e ORDER BY {word_sql('row_idx', 'e', 1)}, row_idx) - 1 AS k FROM b, (SELECT unnest([0, 1]) AS e)) SELECT row_idx, key, cust, status, CAST(e AS INTEGER) AS epoch, CAST(k // 5 AS INTEGER) AS mini_batch FROM o")(lambda s, d: same(batch(s, d).mini_batches(5, 2, seed=1), "epoch", "mini_batch"))
 
 
 @put("src_loader", f"{B} SELECT row_idx, key, cust, status, row_idx // 128 AS batch_id FROM b, n WHERE row_idx // 128 < n // 128")
@@ -113,7 +114,7 @@ def split(s: SparkSession, d: str) -> DataFrame:
     return same(R.split(batch(s, d).rows, 7), "part")
 
 
-put("src_sampled")(lambda s, d: same(R.sampled(batch(s, d).rows, 100, shuffle=True, seed=3)))
+put("src_sampled", f"{B} SELECT row_idx, key, cust, status FROM b ORDER BY {word_sql(3, 'row_idx')}, row_idx LIMIT 100")(lambda s, d: same(R.sampled(batch(s, d).rows, 100, shuffle=True, seed=3)))
 
 
 # sharing out

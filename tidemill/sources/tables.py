@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.draws import word
 from tidemill.functions.registry import Registry
 from tidemill.operators.batch import ROW, numbered
 
@@ -51,13 +52,13 @@ def sampled(rows: DataFrame, most: int, shuffle: bool = False, seed: int = 0) ->
     """At most so many rows: by a hash of row number and seed, without replacement, or the first ones. Negative: all."""
     if most <= 0:
         return rows
-    order = (F.xxhash64(F.lit(seed), ROW), ROW) if shuffle else (ROW,)
+    order = (word(seed, ROW), ROW) if shuffle else (ROW,)
     return rows.orderBy(*order).limit(most)
 
 
 def ordered(rows: DataFrame, shuffle: bool, seed: int = 0) -> DataFrame:
     """rows with row_idx in a seeded order, or as they were."""
-    return numbered(rows.withColumnRenamed(ROW, "__old").withColumn("__h", F.xxhash64(F.lit(seed), "__old")), "__h", "__old").drop("__old", "__h") if shuffle else rows
+    return numbered(rows.withColumnRenamed(ROW, "__old").withColumn("__h", word(seed, "__old")), "__h", "__old").drop("__old", "__h") if shuffle else rows
 
 
 def batches(rows: DataFrame, size: int, drop_last: bool = True) -> DataFrame:
@@ -143,7 +144,7 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 def validation_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows of input, output and score in an order that depends on the input and a seed only."""
-    return rows.orderBy(F.xxhash64("input", F.lit(seed)), "input").limit(n)
+    return rows.orderBy(word("input", seed), "input").limit(n)
 
 
 def newest(names: Sequence[str], keep: int | None = None) -> tuple[str | None, list[str]]:
