@@ -14,6 +14,7 @@ from tidemill.functions import losses as P
 from tidemill.functions import masked as K
 from tidemill.functions import scoring as S
 from tidemill.functions import text as T
+from tidemill.functions.draws import word_sql
 from tidemill.operators import advantage as A
 from tidemill.operators import balance as L
 from tidemill.operators import dispatch as D
@@ -98,7 +99,10 @@ def gae_masked(s: SparkSession, d: str) -> DataFrame:
     return rounded(A.gae(tokens(s, d), gamma=0.9, lam=0.8, whitened=False), "seq_id", "pos", advantage="advantage", returns="returns")
 
 
-@put("adv_gae_whitened", f"""{VIEWS}, {_RAW}, st AS (SELECT sum(mask) AS n, sum(adv * mask) / (sum(mask) + {E8}) AS mu FROM g),
+_ONCE = f"{VIEWS}, {_RAW}".replace("tok AS (", "tok AS MATERIALIZED (").replace("dl AS (", "dl AS MATERIALIZED (").replace("g AS (SELECT p.", "g AS MATERIALIZED (SELECT p.")
+
+
+@put("adv_gae_whitened", f"""{_ONCE}, st AS (SELECT sum(mask) AS n, sum(adv * mask) / (sum(mask) + {E8}) AS mu FROM g),
 vr AS (SELECT sum((adv - mu) * (adv - mu) * mask) / (max(n) + {E8}) * max(n) / (max(n) - 1) AS va, max(mu) AS mu FROM g, st) SELECT seq_id, pos, {r6(f'(adv - mu) / sqrt(va + {E8})', 'advantage')}, {r6('adv + value', 'returns')} FROM g, vr""")
 def gae_whitened(s: SparkSession, d: str) -> DataFrame:
     return rounded(A.gae(tokens(s, d), gamma=0.9, lam=0.8), "seq_id", "pos", advantage="advantage", returns="returns")
@@ -325,6 +329,26 @@ def browse(s: SparkSession, d: str) -> DataFrame:
     return R.browse(table(s, d, "documents").withColumn("score", F.col("n_chars")), "1", fields=["doc_id", "source"])
 
 
+@put("src_browse_order", "(SELECT 'most' AS which, doc_id, n_chars * 1000000 + doc_id AS score FROM documents ORDER BY 3 DESC LIMIT 30) UNION ALL (SELECT 'least', doc_id, n_chars * 1000000 + doc_id FROM documents WHERE contains(text, 'th') ORDER BY 3 LIMIT 30) UNION ALL SELECT 'request', doc_id, n_chars * 1000000 + doc_id FROM documents WHERE doc_id % 50 = 7")
+def browse_order(s: SparkSession, d: str) -> DataFrame:
+    """The first rows by score either way, and those of one request, its id written with and without hyphens."""
+    request = F.concat_ws("-", F.lit("ab12"), (F.col("doc_id") % 50).cast("string"), F.lit("ff"))
+    dump = table(s, d, "documents").select("doc_id", "text", (F.col("n_chars") * 1000000 + F.col("doc_id")).alias("score"), F.when(F.col("doc_id") % 2 == 0, request).otherwise(F.replace(request, F.lit("-"), F.lit(""))).alias("request_id"))
+    named = lambda rows, which: rows.select(F.lit(which).alias("which"), "doc_id", "score")
+    most, least = R.browse(dump).limit(30), R.browse(dump, "th", descending=False).limit(30)
+    return named(most, "most").unionByName(named(least, "least")).unionByName(named(R.browse(dump, request="ab127-f-f"), "request"))
+
+
+@put("src_ordered", f"{B} SELECT CAST(row_number() OVER (ORDER BY {word_sql(11, 'row_idx')}, row_idx) - 1 AS BIGINT) AS row_idx, key, cust, status FROM b")
+def in_drawn_order(s: SparkSession, d: str) -> DataFrame:
+    return same(R.ordered(batch(s, d).rows, True, seed=11))
+
+
+@put("src_validation_sample", f"SELECT text_md5, n FROM (SELECT md5(text) AS text_md5, length(text) AS n, text FROM documents GROUP BY text) ORDER BY {word_sql('text', 42)}, text LIMIT 25")
+def validation_sample(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "documents").select(F.col("text").alias("input")).distinct()
+    return R.validation_sample(rows, 25).select(F.md5("input").alias("text_md5"), F.length("input").cast("long").alias("n"))
+
 @put("src_responses", f"{VIEWS} SELECT uid, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(seq_id AS VARCHAR), ',' ORDER BY seq_id) AS responses FROM seq GROUP BY uid")
 def responses(s: SparkSession, d: str) -> DataFrame:
     """Prompts with their responses in order, written and read."""
