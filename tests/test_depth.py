@@ -614,3 +614,17 @@ def test_metric_cube(spark):
     assert got == {("a", "x", 0): (1, 1.0, 1.0, 1.0), ("a", "y", 0): (1, 3.0, 3.0, 3.0), (None, "x", 0): (1, 5.0, 5.0, 5.0), ("a", None, 1): (2, 2.0, 1.0, 3.0), (None, None, 1): (1, 5.0, 5.0, 5.0), (None, "x", 2): (2, 3.0, 1.0, 5.0), (None, "y", 2): (1, 3.0, 3.0, 3.0), (None, None, 3): (3, 3.0, 1.0, 5.0)}
     with pytest.raises(ValueError):
         metric_cube(df, ["s"], "value", [["v"]])
+
+
+def test_running_sums_in_runs_of_runs(spark):
+    from itertools import accumulate
+
+    from pyspark.sql import functions as F
+
+    from tidemill.functions.text import offsets
+    from tidemill.operators.batch import running
+
+    rows = spark.range(500).select(F.col("id").alias("row_idx"), (F.col("id") % 7).alias("n")).repartition(5)
+    want = list(accumulate(i % 7 for i in range(500)))
+    assert [r[0] for r in running(rows, "n", 5).orderBy("row_idx").select("__end").collect()] == want
+    assert [r[0] for r in offsets(rows, "n", "row_idx", 6).orderBy("row_idx").select("end").collect()] == want

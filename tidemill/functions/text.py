@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.batch import before_runs
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -74,11 +76,10 @@ def unpadded(rows: DataFrame, ids: str, mask: str, key: str) -> DataFrame:
     return long.where("x.m <> 0").select(key, "place", F.col("x.i").alias("id"))
 
 
-def offsets(rows: DataFrame, length: str, key: str) -> DataFrame:
+def offsets(rows: DataFrame, length: str, key: str, run: int = 4096) -> DataFrame:
     """rows with start and end of their tokens in one running order of key: sums over runs of keys first, then within them."""
-    runs = rows.withColumn("__run", F.floor(F.col(key) / 4096))
-    totals = runs.groupBy("__run").agg(F.sum(length).alias("__s"))
-    before = totals.select("__run", (F.sum("__s").over(Window.orderBy("__run")) - F.col("__s")).alias("__b"))
+    runs = rows.withColumn("__run", F.floor(F.col(key) / run))
+    before = before_runs(runs.groupBy("__run").agg(F.sum(length).alias("__s")), run)
     w = Window.partitionBy("__run").orderBy(key)
     out = runs.join(before, "__run").withColumn("end", F.col("__b") + F.sum(length).over(w))
     return out.withColumn("start", F.col("end") - F.col(length)).drop("__run", "__b")

@@ -213,11 +213,20 @@ class Batch:
         return cls(spark.read.parquet(f"{path}/rows"), json.loads(meta[0]) if meta else {})
 
 
+def before_runs(totals: DataFrame, run: int) -> DataFrame:
+    """__run, __b: of each run of rows (its sum in __s) the sum of all runs before it. Runs are summed up in runs of `run` again, so the one task that sees sums of all
+    has a row for run * run rows."""
+    t = totals.withColumn("__big", F.floor(F.col("__run") / run))
+    bigs = t.groupBy("__big").agg(F.sum("__s").alias("__t"))
+    first = bigs.select("__big", (F.sum("__t").over(Window.orderBy("__big")) - F.col("__t")).alias("__f"))
+    inside = F.sum("__s").over(Window.partitionBy("__big").orderBy("__run")) - F.col("__s")
+    return t.withColumn("__i", inside).join(first, "__big").select("__run", (F.col("__f") + F.col("__i")).alias("__b"))
+
+
 def running(rows: DataFrame, value: str, run: int = 4096) -> DataFrame:
     """rows with __end: the sum of value up to this row. Sums of runs of rows first, then within runs, so that no task sees all rows."""
     r = rows.withColumn("__run", F.floor(F.col(ROW) / run))
-    totals = r.groupBy("__run").agg(F.sum(value).alias("__s"))
-    before = totals.select("__run", (F.sum("__s").over(Window.orderBy("__run")) - F.col("__s")).alias("__b"))
+    before = before_runs(r.groupBy("__run").agg(F.sum(value).alias("__s")), run)
     out = r.join(before, "__run").withColumn("__end", F.col("__b") + F.sum(value).over(Window.partitionBy("__run").orderBy(ROW)))
     return out.drop("__run", "__b")
 
