@@ -628,3 +628,25 @@ def test_running_sums_in_runs_of_runs(spark):
     want = list(accumulate(i % 7 for i in range(500)))
     assert [r[0] for r in running(rows, "n", 5).orderBy("row_idx").select("__end").collect()] == want
     assert [r[0] for r in offsets(rows, "n", "row_idx", 6).orderBy("row_idx").select("end").collect()] == want
+
+
+def test_scorers_that_fail(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tidemill.functions.extensions import guarded
+
+    def slow(text, truth):
+        if text == "slow":
+            time.sleep(5)
+        return float(text)
+
+    df = spark.createDataFrame([(0, "1.5", "x"), (1, "slow", "x"), (2, "no", "x")], "i int, text string, truth string")
+    got = {r.i: (r.score, (r.error or "").split(":")[0]) for r in df.select("i", guarded(slow, 0.5, timeout_score=-1.0)("text", "truth").alias("r")).select("i", "r.*").collect()}
+    assert got == {0: (1.5, ""), 1: (-1.0, "TimeoutError"), 2: (0.0, "ValueError")}
+    with pytest.raises(Exception, match="no score for 'no' against 'x'"):
+        df.where("i <> 1").select(S.as_udf(slow)(F.col("text"), F.col("truth"))).collect()
+    nulls = spark.createDataFrame([(None, "1"), ("1", None), (None, None)], "text string, truth string")
+    for f in (S.math_score, S.answer_match, S.geo3k):
+        assert [r[0] for r in nulls.select(S.as_udf(f)("text", "truth")).collect()] == [0.0, 0.0, 0.0]

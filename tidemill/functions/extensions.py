@@ -66,8 +66,8 @@ def limited(seconds: float) -> Callable[[Callable[..., Any]], Callable[..., Any]
     return wrap
 
 
-def guarded(f: Callable[[str, str], Any], seconds: float | None = None) -> Callable[[Column, Column], Column]:
-    """A column function to struct<score, error>: a row that fails or takes too long scores 0 and says why."""
+def guarded(f: Callable[[str, str], Any], seconds: float | None = None, timeout_score: float = 0.0) -> Callable[[Column, Column], Column]:
+    """A column function to struct<score, error>: a row that fails scores 0, one that takes more than so many seconds timeout_score, and each says why."""
 
     @F.pandas_udf("score double, error string")
     def run(text: pd.Series, truth: pd.Series) -> pd.DataFrame:
@@ -78,7 +78,7 @@ def guarded(f: Callable[[str, str], Any], seconds: float | None = None) -> Calla
                 got = once(a, b)
                 rows.append((float(got["score"] if isinstance(got, dict) else got), None))
             except Exception as e:
-                rows.append((0.0, f"{type(e).__name__}: {e}"))
+                rows.append((timeout_score if isinstance(e, TimeoutError) else 0.0, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=["score", "error"])
 
     return run

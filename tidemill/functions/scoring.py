@@ -270,7 +270,9 @@ def tool_reward(text: str, truth: str, markers: tuple[str, str] = ("<|im_start|>
     return {"score": layout + calls, "format_reward": layout, "accuracy_reward": calls}
 
 
-def geo3k(text: str, truth: str) -> float:
+def geo3k(text: str | None, truth: str | None) -> float:
+    if text is None or truth is None:
+        return 0.0
     shape = bool(re.fullmatch(r"(?s)<think>.*</think>.*\\boxed\{.*\}.*", text))
     answer = last_boxed(text)
     return 0.9 * float(answer is not None and math_equal(answer, truth)) + 0.1 * shape
@@ -285,15 +287,16 @@ def passed(results: Column, continuous: bool = False) -> Column:
 
 
 def as_udf(f: Callable[..., float], kind: str = "double") -> Callable[..., Column]:
-    """A row function over Arrow batches; an error in a row gives null there."""
+    """A row function over Arrow batches. An error in a row is an error of the query, which names the row's beginning: rows that may fail go through `extensions.guarded`,
+    which says of each what went wrong."""
 
     @F.pandas_udf(kind)
     def run(text: pd.Series, truth: pd.Series) -> pd.Series:
         def one(a, b):
             try:
                 return f(a, b)
-            except Exception:
-                return None
+            except Exception as e:
+                raise ValueError(f"no score for {a!r:.80} against {b!r:.80}: {type(e).__name__}: {e}") from e
 
         return pd.Series([one(a, b) for a, b in zip(text, truth, strict=True)])
 

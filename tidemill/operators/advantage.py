@@ -273,10 +273,20 @@ def advantage(name: str, seqs: DataFrame, tokens: DataFrame | None = None, resam
     return out.join(resample(seqs, resampled).select("seq_id", "draw"), "seq_id") if resampled else out
 
 
+def batch_kl(tokens: DataFrame) -> DataFrame:
+    """kl: one row, the mean over sequences of the masked mean of their tokens' kl; 0 of none."""
+    by_seq = tokens.groupBy("seq_id").agg((F.sum("kl") / (F.sum("mask") + EPS)).alias("k"))
+    return by_seq.agg(F.coalesce(F.avg("k"), F.lit(0.0)).alias("kl"))
+
+
+def adapted(beta: Column, current: Column, target: float, horizon: float, steps: int) -> Column:
+    """The adaptive weight of the KL penalty after so many steps at the current divergence."""
+    return beta * (1 + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), current / target - 1)) * steps / horizon)
+
+
 def kl_step(tokens: DataFrame, penalty: Column, controller: KLController, steps: int) -> tuple[DataFrame, float]:
     """kl_rewards with the controller's weight, and the batch's KL (the mean over sequences of their masked means), by which the weight then moves."""
     out = kl_rewards(tokens, penalty, controller.beta)
-    by_seq = out.groupBy("seq_id").agg((F.sum("kl") / (F.sum("mask") + EPS)).alias("k"))
-    current = float(by_seq.agg(F.avg("k")).first()[0] or 0.0)
+    current = float(batch_kl(out).first()[0])
     controller.update(current, steps)
     return out, current

@@ -117,9 +117,8 @@ def dispatched(s: SparkSession, d: str) -> DataFrame:
 @put("adv_kl_step", f"{VIEWS}, q AS (SELECT seq_id, sum((old_lp - ref_lp) * mask) / (sum(mask) + {E8}) AS k FROM tok GROUP BY seq_id), c AS (SELECT avg(k) AS k FROM q) SELECT {r6('k', 'kl')}, {r6('CAST(0.2 AS DOUBLE) * (1 + greatest(-CAST(0.2 AS DOUBLE), least(CAST(0.2 AS DOUBLE), k / CAST(0.1 AS DOUBLE) - 1)) * CAST(0.5 AS DOUBLE))', 'beta')} FROM c")
 def kl_step(s: SparkSession, d: str) -> DataFrame:
     """The batch's divergence, and the adaptive weight after it."""
-    control = A.KLController(0.2, target=0.1, horizon=100)
-    _, current = A.kl_step(tokens(s, d), F.col("old_lp") - F.col("ref_lp"), control, 50)
-    return rounded(s.range(1), kl=F.lit(current), beta=F.lit(control.beta))
+    out = A.batch_kl(A.kl_rewards(tokens(s, d), F.col("old_lp") - F.col("ref_lp"), 0.2))
+    return rounded(out, kl="kl", beta=A.adapted(F.lit(0.2), F.col("kl"), 0.1, 100, 50))
 
 
 # losses

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import scoring as S
 from tidemill.functions import text as T
 from tidemill.functions.chat import TEMPLATES, decoded, sft_tokens
-from tidemill.functions.extensions import Tool
+from tidemill.functions.extensions import Tool, guarded
 from tidemill.functions.tables import called, rows_function, sessions
 from tidemill.operators import balance as L
 from tidemill.operators.batch import Batch, concat, numbered
@@ -70,6 +70,23 @@ def symbolic(s: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", S.as_udf(S.answer_match)(F.concat(F.coalesce("text", F.lit("")), F.lit(" \\boxed{"), said, F.lit("}")), truth).alias("score"))
 
 
+def _strict(text: str, truth: str) -> float:
+    """As answer_match, of answers that say so; others are errors."""
+    if "Answer:" not in text:
+        raise LookupError("no answer")
+    return S.answer_match(text.rsplit("Answer:", 1)[1], truth)
+
+
+@put("score_guarded", "SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 2) THEN 1.0 ELSE 0.0 END::DOUBLE AS score, CASE WHEN doc_id % 4 = 0 THEN 'LookupError: no answer' END AS error FROM documents")
+def guarded_scores(s: SparkSession, d: str) -> DataFrame:
+    """A scorer that fails on some rows: they score 0 and say why. Right answers are written in two ways."""
+    docs = table(s, d, "documents")
+    n = F.col("n_chars").cast("string")
+    answer = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("2x+"), n)).when(F.col("doc_id") % 4 == 2, F.concat(n, F.lit("+x+x"))).otherwise(F.concat(F.lit("2x-1-"), n))
+    said = F.concat(F.translate(F.coalesce("text", F.lit("")), ":", ";"), F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("\nAnswer: "), answer)).otherwise(F.lit("")))
+    return docs.select("doc_id", guarded(_strict, seconds=30)(said, F.concat(F.lit("2x+"), n)).alias("r")).select("doc_id", "r.score", "r.error")
+
+
 # datasets
 _TURNS = "conv_id bigint, turn bigint, role string, text string"
 

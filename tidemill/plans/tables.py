@@ -152,13 +152,18 @@ def prefixes(s: SparkSession, d: str) -> DataFrame:
     return L.shared_prefixes(lengths(s, d), length="seqlen")
 
 
+def texts(s: SparkSession, d: str, name: str) -> DataFrame:
+    """A table whose null texts are empty ones."""
+    return table(s, d, name).withColumn("text", F.coalesce("text", F.lit("")))
+
+
 # texts
-@put("text_truncate_pad", "WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda t: length(t)) AS l FROM documents) SELECT doc_id, CAST(list_sum(l[1:16]) AS BIGINT) AS right_sum, CAST(list_sum(CASE WHEN len(l) <= 16 THEN l ELSE l[len(l) - 15 : len(l)] END) AS BIGINT) AS left_sum, CAST(list_sum(CASE WHEN len(l) <= 16 THEN l ELSE list_concat(l[1:8], l[len(l) - 7 : len(l)]) END) AS BIGINT) AS middle_sum, CAST(greatest(16, 16) AS BIGINT) AS width FROM w WHERE l IS NOT NULL")
+@put("text_truncate_pad", "WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda t: length(t)) AS l FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)) SELECT doc_id, CAST(list_sum(l[1:16]) AS BIGINT) AS right_sum, CAST(list_sum(CASE WHEN len(l) <= 16 THEN l ELSE l[len(l) - 15 : len(l)] END) AS BIGINT) AS left_sum, CAST(list_sum(CASE WHEN len(l) <= 16 THEN l ELSE list_concat(l[1:8], l[len(l) - 7 : len(l)]) END) AS BIGINT) AS middle_sum, CAST(greatest(16, 16) AS BIGINT) AS width FROM w")
 def truncate_pad(s: SparkSession, d: str) -> DataFrame:
     """Word lengths as tokens, cut to 16 on either side or in the middle, and padded."""
     ids = F.transform(F.split("text", " "), F.length)
     add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y).cast("long")
-    docs = table(s, d, "documents").where("text is not null").select("doc_id", ids.alias("ids"))
+    docs = texts(s, d, "documents").select("doc_id", ids.alias("ids"))
     return docs.select("doc_id", *(add(T.truncate("ids", 16, how)).alias(f"{how}_sum") for how in ("right", "left", "middle")), F.size(T.fitted("ids", 16, 0, how="right")).cast("long").alias("width"))
 
 
@@ -184,12 +189,12 @@ def conversations(s: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", F.size("messages").cast("long").alias("n"), F.array_join("messages.role", ",").alias("roles"), chars.cast("long").alias("chars"))
 
 
-@put("text_sft_mask", "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n, CAST(coalesce(sum(greatest(length(text) - 1, 0)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_tokens FROM conversations GROUP BY conv_id")
+@put("text_sft_mask", "SELECT conv_id, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n, CAST(coalesce(sum(greatest(length(text) - 1, 0)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_tokens FROM conversations GROUP BY conv_id")
 def sft_mask(s: SparkSession, d: str) -> DataFrame:
     """A character is a token; loss on what assistants say but for the first one."""
     one = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: i)
     ids = F.when(F.length("text") > 0, one).otherwise(F.array().cast("array<int>"))
-    x = T.sft_rows(table(s, d, "conversations").where("text is not null"), ids, lead=1)
+    x = T.sft_rows(texts(s, d, "conversations"), ids, lead=1)
     return x.select("conv_id", F.size("input_ids").cast("long").alias("n"), F.aggregate("loss_mask", F.lit(0), lambda a, m: a + m).cast("long").alias("loss_tokens"))
 
 
@@ -221,13 +226,13 @@ def running_offsets(s: SparkSession, d: str) -> DataFrame:
 
 
 # scores
-_D = "(SELECT doc_id, text, n_chars, lang FROM documents WHERE text IS NOT NULL)"
+_D = "(SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)"
 
 
 @put("score_gsm8k", f"SELECT doc_id, {r6('CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 3 = 1 THEN CAST(0.1 AS DOUBLE) ELSE 0 END', 'score')} FROM {_D}")
 def score_gsm8k(s: SparkSession, d: str) -> DataFrame:
     """Right, wrong and missing answers after documents."""
-    x = table(s, d, "documents").where("text is not null")
+    x = texts(s, d, "documents")
     n = F.col("n_chars").cast("string")
     end = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n#### "), F.format_number("n_chars", 0))).when(F.col("doc_id") % 3 == 1, F.lit("\n#### -77")).otherwise("")
     plain = F.regexp_replace("text", "#### ", "")
@@ -240,14 +245,14 @@ def score_qa(s: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 4
     said = F.when(k == 0, F.concat(F.lit("<answer> The Code of "), F.col("source"), F.lit(".</answer>"))).when(k == 1, F.concat(F.lit("<answer>it is code of "), F.col("source"), F.lit(" indeed</answer>"))).when(k == 2, F.lit("<answer>none</answer>")).otherwise("no answer")
     golden = F.array(F.lit("other one"), F.concat(F.lit("code of "), F.col("source")))
-    x = table(s, d, "documents").where("text is not null").withColumns({"said": F.concat(F.lit("<answer>first</answer> "), said), "golden": golden})
+    x = texts(s, d, "documents").withColumns({"said": F.concat(F.lit("<answer>first</answer> "), said), "golden": golden})
     said = F.when(k == 3, F.lit("no answer")).otherwise(F.col("said"))
     return rounded(x, "doc_id", em=S.qa_score(said, F.col("golden")), sub_em=S.qa_score(said, F.col("golden"), sub=True))
 
 
 @put("score_answer_line", f"SELECT doc_id, doc_id % 2 = 0 AS acc, {r6('CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END', 'score')}, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS VARCHAR) ELSE 'nothing' END AS pred FROM {_D}")
 def score_answer_line(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "documents").where("text is not null")
+    x = texts(s, d, "documents")
     n = F.col("n_chars").cast("string")
     said = F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\nanswer : $x = "), n, F.lit(" \\text{m}$\n"))).otherwise("\nAnswer: nothing"))
     return rounded(x.withColumn("r", S.answer_line(said, n)), "doc_id", F.col("r.acc").alias("acc"), F.col("r.pred").alias("pred"), score=F.col("r.score"))
@@ -255,7 +260,7 @@ def score_answer_line(s: SparkSession, d: str) -> DataFrame:
 
 @put("score_boxed", f"SELECT doc_id, {r6('CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END', 'score')} FROM {_D}")
 def score_boxed(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "documents").where("text is not null")
+    x = texts(s, d, "documents")
     said = F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.lit(" \\boxed{\\dfrac12}")).otherwise(" \\boxed{2}"))
     return rounded(x, "doc_id", score=S.as_udf(S.math_score)(said, F.lit("1/2")))
 
@@ -263,7 +268,7 @@ def score_boxed(s: SparkSession, d: str) -> DataFrame:
 @put("score_routed", f"SELECT doc_id, {r6('CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END', 'score')} FROM {_D}")
 def score_routed(s: SparkSession, d: str) -> DataFrame:
     """By the row's source, whichever scorer that is."""
-    x = table(s, d, "documents").where("text is not null")
+    x = texts(s, d, "documents")
     source = F.when(F.col("doc_id") % 3 == 0, "openai/gsm8k").otherwise("searchR1_nq")
     right = F.when(F.col("doc_id") % 2 == 0, F.lit("12")).otherwise("13")
     said = F.concat(F.lit("x #### "), right, F.lit(" <answer>"), right, F.lit("</answer>"))
