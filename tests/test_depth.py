@@ -650,3 +650,24 @@ def test_scorers_that_fail(spark):
     nulls = spark.createDataFrame([(None, "1"), ("1", None), (None, None)], "text string, truth string")
     for f in (S.math_score, S.answer_match, S.geo3k):
         assert [r[0] for r in nulls.select(S.as_udf(f)("text", "truth")).collect()] == [0.0, 0.0, 0.0]
+
+
+def test_labels_that_read_as_numbers(spark):
+    from tidemill.functions.masked import dense_index
+
+    index = lambda rows, kind: [r[1] for r in dense_index(spark.createDataFrame([(i, x) for i, x in enumerate(rows)], f"i int, x {kind}"), "x", "g").select("i", "g").orderBy("i").collect()]
+    assert index(["0042", " 42 ", "-7", "+7"], "string") == [42, 42, -7, 7] and index(["0042", "42", "a"], "string") == [0, 1, 2]
+    assert index([2.0, 3.0000001, -1.0], "double") == [2, 3, -1] and index([0.5, 2.0, 0.5], "double") == [0, 1, 0] and index([1.0, float("nan")], "double") == [0, 1]
+    assert index([None, "5", "5"], "string") == [0, 1, 1] and index([True, False], "boolean") == [1, 0] and index([], "string") == []
+
+
+def test_a_response_back_at_full_width(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.functions import text as T
+
+    df = spark.createDataFrame([([float(i) for i in range(8)], 3, 4), ([1.0, 2.0], 1, 1)], "v array<double>, p int, n int")
+    part = T.response_part("v", F.col("p"), F.col("n"))
+    assert [r[0] for r in df.select(T.full_width(part, "p", 8, -1.0)).collect()] == [[-1.0, -1.0, 2.0, 3.0, 4.0, 5.0, -1.0, -1.0], [1.0] + [-1.0] * 7]
+    with pytest.raises(Exception, match="does not fit"):
+        df.select(T.full_width("v", "p", 8)).collect()

@@ -126,12 +126,18 @@ def probability_gap(old: str, rollout: str, m: str) -> list[Column]:
 
 
 def dense_index(df: DataFrame, label: str, out: str = "group_index") -> DataFrame:
-    """Groups numbered from 0 in order of their labels; labels that are all whole numbers keep their values. Only the distinct labels
-    are put in order, in ranges."""
+    """Groups numbered from 0 in order of their labels. Labels that are all whole numbers keep their values: whole numbers and booleans by
+    type, fractions all within 1e-6 of one, texts that all read as one ("0042" is 42 then). Null is a label like others, and no number. Only the
+    distinct labels are put in order, in ranges."""
     from tidemill.operators.batch import ROW, numbered
 
-    if dict(df.dtypes)[label] in ("tinyint", "smallint", "int", "bigint"):
-        return df.withColumn(out, F.col(label).cast("long"))
+    c, kind = F.col(label), dict(df.dtypes)[label]
+    if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
+        return df.withColumn(out, c.cast("long"))
+    if kind in ("float", "double", "string"):
+        whole = F.trim(c).rlike(r"^[+-]?\d{1,18}$") if kind == "string" else F.abs(c - F.rint(c)) <= 1e-6
+        if df.agg(F.coalesce(F.bool_and(F.coalesce(whole, F.lit(False))), F.lit(False))).first()[0]:
+            return df.withColumn(out, F.trim(c).cast("long") if kind == "string" else F.rint(c).cast("long"))
     labels = numbered(df.select(F.col(label).alias("__label")).distinct(), "__label").withColumnRenamed(ROW, out)
     return df.join(labels, F.col(label).eqNullSafe(F.col("__label"))).drop("__label")
 

@@ -64,6 +64,15 @@ def response_part(values: Column | str, prompt: Column | str, response: Column |
     return F.slice(_c(values), F.when(_c(prompt) > 0, _c(prompt)).otherwise(F.raise_error(F.lit("a prompt is empty")).cast("int")), _c(response))
 
 
+def full_width(part: Column | str, prompt: Column | str, width: int, fill: float = 0.0) -> Column:
+    """The way back of response_part: an array of `width` values with the part where it was, one place before the response, and `fill` elsewhere. A part that does not fit
+    is an error."""
+    start, n = _c(prompt) - 1, F.size(_c(part))
+    blank = lambda k: F.array_repeat(F.lit(fill), k)
+    room = F.when((start >= 0) & (start + n <= width), start).otherwise(F.raise_error(F.lit("the response does not fit")).cast("int"))
+    return F.concat(blank(room), _c(part).cast("array<double>"), blank(F.lit(width) - start - n))
+
+
 def placed(score: Column | str, length: Column | str, width: int) -> Column:
     """The score at the last valid token, zeros elsewhere."""
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == _c(length) - 1, _c(score).cast("double")).otherwise(0.0))

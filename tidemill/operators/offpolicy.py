@@ -170,6 +170,22 @@ def correct(rows: DataFrame, level: str | None = None, threshold: float | str =
     return reject(rows, options, rejection).drop("mask").withColumnRenamed("kept_mask", "mask") if options else rows
 
 
+def corrected(rows: DataFrame, level: str | None = None, threshold: float | str = 2.0, options: str | None = None, rejection: float | str | None = None, normalise: bool = False, prefix: str = "rollout_corr/") -> tuple[DataFrame, DataFrame]:
+    """What correct gives, and the metrics (name, value) of all its steps: of the weights, of each rejection and all of them, and of how far the policies are apart; the last
+    over the mask as it was."""
+    tall = lambda df, names, label: df.select(F.explode(F.array(*(F.struct(F.concat(F.lit(prefix), label(k)).alias("name"), F.col(k).cast("double").alias("value")) for k in names))).alias("x")).select("x.*")
+    wide = off_policy_metrics(rows)
+    out = tall(wide, wide.columns, F.lit)
+    if level:
+        weights = weight_metrics(importance_weights(rows, level, threshold, normalise), level, threshold)
+        out = out.unionByName(tall(weights, weights.columns, lambda k: F.lit(f"rollout_is_{'ratio_' if k.startswith('fraction') else ''}{k}")))
+    if options:
+        gone = rejection_metrics(rows, options, rejection)
+        named = lambda k: F.concat(F.lit("rollout_rs_"), F.when(F.col("option") == "all", F.lit(k)).otherwise(F.concat("option", F.lit(f"_{k}"))))
+        out = out.unionByName(tall(gone, [c for c in gone.columns if c != "option"], named).where("value IS NOT NULL"))
+    return correct(rows, level, threshold, options, rejection, normalise), out
+
+
 def bypass(rows: DataFrame) -> DataFrame:
     """The rollout's log probabilities stand for the old policy's."""
     if "rollout_lp" not in rows.columns:

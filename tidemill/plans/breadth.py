@@ -53,6 +53,16 @@ def dense_index(s: SparkSession, d: str) -> DataFrame:
     return K.dense_index(K.dense_index(sequences(s, d), "data_source", "i"), "uid", "j").select("seq_id", "i", "j")
 
 
+@put("stat_index_kinds", f"{VIEWS} SELECT seq_id, seq_id AS text, seq_id * 2 AS near, dense_rank() OVER (ORDER BY seq_id / 4.0) - 1 AS fraction, dense_rank() OVER (ORDER BY CASE WHEN seq_id % 9 = 0 THEN NULL ELSE CAST(seq_id % 9 AS VARCHAR) END NULLS FIRST) - 1 AS holes FROM seq")
+def index_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Labels that are whole numbers as text, or nearly, keep their values; fractions, and texts with a null among them, are numbered."""
+    k = F.col("seq_id")
+    rows = sequences(s, d).select("seq_id", F.lpad(k.cast("string"), 9, "0").alias("a"), (k * 2 + 1e-7).alias("b"), (k / 4).alias("c"), F.when(k % 9 > 0, (k % 9).cast("string")).alias("d"))
+    for label, out in (("a", "text"), ("b", "near"), ("c", "fraction"), ("d", "holes")):
+        rows = K.dense_index(rows, label, out)
+    return rows.select("seq_id", "text", "near", "fraction", "holes")
+
+
 @put("stat_pearson", f"{VIEWS} SELECT uid % 50 AS part, {r6('corr(old_lp, rollout_lp + new_lp) FILTER (WHERE mask <> 0)', 'r')} FROM tok GROUP BY 1")
 def pearson(s: SparkSession, d: str) -> DataFrame:
     t = tokens(s, d).join(sequences(s, d), "seq_id").groupBy((F.col("uid") % 50).alias("part"))
@@ -417,6 +427,14 @@ def response_part(s: SparkSession, d: str) -> DataFrame:
     return rounded(x, "vec_id", F.aggregate("m", F.lit(0), lambda a, v: a + v).cast("long").alias("ones"), total=F.aggregate(F.col("t").cast("array<double>"), F.lit(0.0), lambda a, v: a + v))
 
 
+@put("text_full_width", "SELECT vec_id, " + r6("list_sum(list_transform(embedding[5:11], lambda v: CAST(v AS DOUBLE)))", "total") + ", " + r6("CAST(embedding[5 + vec_id % 3] AS DOUBLE)", "first") + ", CAST(12 AS BIGINT) AS width FROM embeddings")
+def full_width(s: SparkSession, d: str) -> DataFrame:
+    """Responses of 7 tokens after prompts of 5 to 7, back where they were among 12 and more."""
+    prompt = (F.col("vec_id") % 3 + 5).cast("int")
+    x = table(s, d, "embeddings").withColumn("t", T.full_width(T.response_part("embedding", F.lit(5), F.lit(7)), F.lit(5), 12)).withColumn("u", T.full_width(T.response_part("embedding", prompt, F.lit(3)), prompt, 12))
+    return rounded(x, "vec_id", F.size("u").cast("long").alias("width"), total=F.aggregate("t", F.lit(0.0), lambda a, v: a + v), first=F.element_at("u", prompt))
+
+
 @put("text_preference_tokens", "SELECT doc_id, CAST(12 AS BIGINT) AS width, CAST(CASE WHEN text IS NULL THEN NULL WHEN len(string_split(text, ' ')) < 12 THEN 1 ELSE 0 END AS BIGINT) AS ended FROM documents")
 def preference_tokens(s: SparkSession, d: str) -> DataFrame:
     """Word lengths as tokens, an end of -1 and a fill of -2; a null text has none."""

@@ -80,3 +80,18 @@ _METRICS = {
 QUERIES["offpolicy_metrics"] = lambda spark, d: rounded(O.off_policy_metrics(tokens(spark, d)), **{k: k for k in _METRICS})
 SQL["offpolicy_metrics"] = f"""{X}, q AS (SELECT seq_id, sum(mask) AS k, {mean('old_lp')} AS t, {mean('rollout_lp')} AS r, sum(-d * mask) AS kl, sum((exp(d) - d - 1) * mask) AS k3, sum(exp(2 * d) * mask) AS sq, sum(d * mask) AS s FROM x GROUP BY seq_id)
 SELECT {", ".join(r6(v, k) for k, v in _METRICS.items())} FROM q"""
+
+
+def is_driver(spark: SparkSession, d: str) -> DataFrame:
+    """All metrics of one correction, by weights of tokens and two rejections."""
+    return rounded(O.corrected(tokens(spark, d), "token", 1.2, _BOTH, "0.8_1.25,0.02")[1], "name", value="value")
+
+
+QUERIES["is_driver"] = is_driver
+_TALL = lambda sql, name: f"SELECT {name} AS name, value FROM (UNPIVOT ({sql}) ON COLUMNS(* EXCLUDE (option)) INTO NAME k VALUE value)"
+_PRE = "'rollout_corr/' || "
+SQL["is_driver"] = " UNION ALL ".join([
+    _TALL(f"SELECT *, 0 AS option FROM ({SQL['offpolicy_metrics']})", f"{_PRE}k"),
+    _TALL(f"SELECT *, 0 AS option FROM ({SQL['is_metrics_token']})", f"{_PRE}'rollout_is_' || CASE WHEN k LIKE 'fraction%' THEN 'ratio_' ELSE '' END || k"),
+    _TALL(SQL["reject_metrics"], f"{_PRE}'rollout_rs_' || CASE WHEN option = 'all' THEN '' ELSE option || '_' END || k"),
+])
