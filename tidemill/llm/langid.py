@@ -3,8 +3,8 @@
 Texts are read whole, as stretches of SPAN bytes; in each, one network of gated recurrent units runs forwards and one
 backwards, and both states label every byte with a distribution over languages. A document's distribution is the mean of its
 bytes'. The networks are trained in numpy by backpropagation through time, with Adam, on segments of SEGMENT bytes. The sample has two
-bounds, which are parameters: about PER_LANG segments a language, drawn by a hash from all places of all its texts, and the LANGS
-most frequent languages.
+bounds, which are parameters: about PER_LANG segments a language, drawn by a hash from all places of all its texts, and about SAMPLE
+segments of all languages, of which there may be any number: the more there are, the smaller is each one's share.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.runtime import columns, grouped, lean, texts
 
 SEGMENT, SPAN, UNITS = 64, 512, 8
-PER_LANG, LANGS = 20_000, 200
+PER_LANG, SAMPLE = 20_000, 90_000
 STEPS, BATCH, RATE = 350, 256, 0.02
 GROUP_BYTES = 1_000_000
 UNKNOWN = "und"
@@ -173,10 +173,11 @@ def sample(docs: DataFrame, usable: Column) -> tuple[list[bytes], list[str]]:
     """Training segments and their languages, in order of language, doc_id, place and text; a segment is SEGMENT characters."""
     known = docs.where(usable & F.col("lang").isNotNull() & (F.length("text") > 0))
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.ceil(F.length("text") / SEGMENT).alias("n"))
-    most = known.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(LANGS)
-    share = most.select(F.col("lang").alias("known"), F.least(F.lit(1.0), F.lit(float(PER_LANG)) / F.col("all")).alias("share"))
+    every = known.groupBy("lang").agg(F.sum("n").alias("all"))
+    part = F.least(F.lit(float(PER_LANG)), F.greatest(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*")))  # of a language
+    share = every.crossJoin(F.broadcast(every.agg(part.alias("part")))).select(F.col("lang").alias("known"), F.least(F.lit(1.0), F.col("part") / F.col("all")).alias("share"))
     chance = lambda i: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), i, F.col("n")), F.lit(1 << 30)) / float(1 << 30)
-    held = known.join(F.broadcast(share), F.col("lang") == F.col("known"))
+    held = known.join(share, F.col("lang") == F.col("known"))
     places = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: chance(i) < F.col("share"))
     cut = F.col("text").substr((F.col("i") * SEGMENT + 1).cast("int"), F.lit(SEGMENT))
     rows = held.withColumn("i", F.explode(places)).select("lang", "doc_id", "i", cut).collect()
