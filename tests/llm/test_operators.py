@@ -655,7 +655,11 @@ def test_notices_and_full_texts():
     assert all(table.match(s)[1] for s in licenses.SENTENCES.values())
     for text, want in {
         "This file is released under the MIT License.": ["MIT"], "The code is licensed under the Apache License, Version 2.0.": ["Apache-2.0"], "Everything else here is prose. These tables are made available under the terms of the GNU GPL v3.": ["GPL-3.0-only"],
-        "All of the code in this project is distributed under the Boost Software License 1.0": ["BSL-1.0"], "SPDX-License-Identifier: MIT": ["MIT"], "mit": [], "We like the MIT License.": [], "It is licensed under terms that nobody knows.": [],
+        "All of the code in this project is distributed under the Boost Software License 1.0": ["BSL-1.0"], "SPDX-License-Identifier: MIT": ["MIT"], "mit": [],
+        "SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"], "// SPDX-License-Identifier: BSL-1.0\n#include <x>": ["BSL-1.0"], "SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) AND MIT": ["GPL-2.0-or-later", "MIT"], "SPDX-License-Identifier: LicenseRef-x": [],
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": ["Apache-2.0", "MIT"], "Dual licensed under the MIT and GPL v2 licenses.": ["GPL-2.0-only", "MIT"], "Licensed under MIT supervision.": [], "It is not licensed under the MIT License.": [],
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0.": ["EPL-2.0"], "This is distributed under the terms of the GPL version 3 or, at your option, any later version.": ["GPL-3.0-or-later"],
+        "The whole of the very large program that we and many other people have been writing for years is licensed under the MIT License.": ["MIT"], "We like the MIT License.": [], "It is licensed under terms that nobody knows.": [],
         licenses.SENTENCES["mit-grant"] + " " * 1800: ["MIT"], " " * 5000 + licenses.SENTENCES["mit-grant"].replace(" ", " " * 20): ["MIT"],
         "        GNU GENERAL PUBLIC LICENSE\n          Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n      Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n": ["GPL-3.0-only"],
     }.items():
@@ -776,12 +780,12 @@ def test_language_probabilities_are_those_of_plain_steps():
 
 def test_training_sample_is_of_whole_texts_and_bounded(spark, monkeypatch):
     monkeypatch.setattr(langid, "PER_LANG", 300)
-    monkeypatch.setattr(langid, "LANGS", 4)
+    monkeypatch.setattr(langid, "SAMPLE", 22 * 300)
     text = "".join(chr(97 + i // 1000) for i in range(20000))
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.when(F.col("id") < 40, F.concat(F.lit("l"), (F.col("id") % 2).cast("string"))).otherwise(F.concat(F.lit("m"), F.col("id").cast("string"))).alias("lang"))
     bodies, labels = langid.sample(docs, F.lit(True))
     n = collections.Counter(labels)
-    assert {"l0", "l1"} <= set(n) and len(n) <= 4 and all(200 < n[k] < 420 for k in ("l0", "l1"))
+    assert len(n) == 22 and all(200 < k < 420 for k in n.values())  # two languages of many texts and twenty of one
     assert {b[:1] for b in bodies} == {bytes([97 + i]) for i in range(20)}
 
 

@@ -167,12 +167,12 @@ SCHEMA = "doc_id long, n_sentences long, sentence_ids array<string>, licenses ar
 # holder's name ("Acme Inc. nor the names of ...")
 AFTER_HOLDER = r"(?i:nor\W+the\W+names\W+of|(?:and|or)\W+(?:its\W+|the\W+|other\W+)?contributors|and\W+any\W+express|[\"'`\u201c]+as\W+is\b|disclaims?\W+all|be\W+liable\W+for)"
 SHORT = "|".join(rf"(?<=\b{x}\.)" for x in ("inc", "ltd", "llc", "co", "corp", "jr"))
-END = re.compile(rf"(?<=[.!?;:])(?<!(?i:identifier):)(?!(?<=\.)[\s*#/]+{AFTER_HOLDER}|(?i:{SHORT})\s+(?:[\w&,]+\s+){{1,3}}{AFTER_HOLDER})\s+|\n\s*\n")
+END = re.compile(rf"(?<=[.!?;:])(?<!(?i:identifier):)(?<!\b[vV]\.)(?!(?<=\.)[\s*#/]+{AFTER_HOLDER}|(?i:{SHORT})\s+(?:[\w&,]+\s+){{1,3}}{AFTER_HOLDER})\s+|\n\s*\n")
 # a line that names holders ends a sentence, as does the line before it
 COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright\s+(?:\(c\)|\u00a9|\d{4})|\(c\)\s*\d{4}|\u00a9)[^\n]*$", re.I | re.M)
 HOLDER = re.compile(r"^(?:copyright (?:c )?|c (?=\d{4} ))(?:\d{4} )*.*?(?=(?:\ball rights reserved)?$)")
 # normalised sentences that name a holder, and what they become
-NAMED = [(re.compile(rf"^{a} .{{1,200}}? {b}"), f"{a} {holder} {b}") for a, holder, b in (
+NAMED = [(re.compile(rf"^{a} .+? {b}"), f"{a} {holder} {b}") for a, holder, b in (
     ("neither the name of", "the copyright holder", "nor the names of its contributors may"),
     ("this software is provided by", "the copyright holders and contributors", "as is and any express"),
     ("the software is provided as is and", "the author", "disclaims all warranties with regard"),
@@ -181,7 +181,7 @@ NAMED = [(re.compile(rf"^{a} .{{1,200}}? {b}"), f"{a} {holder} {b}") for a, hold
 )]
 
 # a notice: what is licensed, and by which words; then the licence's name, which is one of NAMES
-NOTICE = re.compile(r"^(?:(?:this|the|these|all|our|its)(?: \w+){1,9}? (?:is|are|may be used|has been|have been) |(?:it|they|and) (?:is|are) )?(?:now |also |dual |free software )?(?:released|licensed|distributed|available|made available|provided|published|offered|shared|open sourced|covered|governed) (?:to you )?(?:under|by|according to|subject to) (?:the )?(?:terms (?:and conditions )?of )?")
+NOTICE = re.compile(r"^(?:(?:this|the|these|all|our|its)(?: \w+)*? (?:is|are|may be used|has been|have been) |(?:it|they|and) (?:is|are) )?(?:now |also |dual |free software )?(?:released|licensed|distributed|available|made available|provided|published|offered|shared|open sourced|covered|governed) (?:to you )?(?:under|by|according to|subject to) (?:the )?(?:terms (?:and conditions )?of )?")
 HINT = re.compile(r"(?:licen[sc]ed|released|distributed|available|provided|published|offered|shared|sourced|covered|governed)\W+(?:to\W+you\W+)?(?:under|by|according|subject)\b", re.I)
 ARTICLE = re.compile(r"^(?:the |a |an )|(?: license)?(?: (?:agreement|for details|see license|see the license file))?$")
 # fixed values: names of licences, normalised, and the one under which each is known
@@ -216,16 +216,69 @@ NAMED_LICENSES = {
     "mit": "MIT", "isc": "ISC", "bsd 2 clause": "BSD-2-Clause", "bsd 3 clause": "BSD-3-Clause", "apache 2 0": "Apache-2.0", "gpl 2": "GPL-2.0-only", "gpl 3": "GPL-3.0-only", "lgpl 2 1": "LGPL-2.1-only", "lgpl 3": "LGPL-3.0-only", "agpl 3": "AGPL-3.0-only", "mpl 2": "MPL-2.0",
     "epl 2": "EPL-2.0", "cc by 4": "CC-BY-4.0", "cc by sa 4": "CC-BY-SA-4.0", "cc by nc 4": "CC-BY-NC-4.0", "cc by nd 4": "CC-BY-ND-4.0", "cc0": "CC0-1.0", "unlicense": "Unlicense", "boost 1": "BSL-1.0", "zlib": "Zlib", "wtfpl": "WTFPL",
 }
+LATER = ("gpl 2", "gpl 3", "lgpl 2 1", "lgpl 3", "agpl 3")
+NAMED_LICENSES |= {f"{one} or later": NAMED_LICENSES[one].replace("-only", "-or-later") for one in LATER}
 SENTENCES |= {f"{one.replace(' ', '-')}-notice-of": f"Licensed under {one}" for one in NAMED_LICENSES}
 RULES += [(name, [f"{one.replace(' ', '-')}-notice-of"]) for one, name in NAMED_LICENSES.items()]
 NAMES |= {one: one for one in NAMED_LICENSES}
+# identifiers of expressions, each a sentence of its own
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]*)", re.I)
+_NAMED_IDS = {s.split(": ")[1].lower() for s in SENTENCES.values() if s.startswith("SPDX-License-Identifier: ")}
+_OTHER_IDS = [x for x in NAMED_LICENSES.values() if x.lower() not in _NAMED_IDS]
+SENTENCES |= {f"{x.lower()}-spdx-of": f"SPDX-License-Identifier: {x}" for x in _OTHER_IDS}
+RULES += [(x, [f"{x.lower()}-spdx-of"]) for x in _OTHER_IDS]
+IDS = _NAMED_IDS | {x.lower() for x in _OTHER_IDS}
+# what may follow the last name of a notice
+TAIL = re.compile(r"(?:$|(?:which|that|as|see|a copy|copies|you may|available|found|at|in the|for|text|included|with)\b)")
+LIST = re.compile(r"^(?:either |both |any )?(?:of )?(?:the |a |an )?(?:terms of )?(?:the )?")
 
 
-def normalise(sentence: str) -> str:
+def identifiers(expression: str) -> list[tuple[int, str]]:
+    """Places and sentences of the known identifiers of an SPDX expression; what follows WITH is an exception, not a licence. `+` and no ending are the older spellings of `-or-later` and `-only`."""
+    out, skip = [], False
+    for m in re.finditer(r"[\w.+-]+", expression):
+        name = m[0].lower().rstrip(".-")
+        if name in ("and", "or", "with"):
+            skip = name == "with"
+            continue
+        spelled = next((x for x in (name, f"{name}-only", f"{name[:-1]}-or-later" if name.endswith("+") else "") if x in IDS), None)
+        if spelled and not skip:
+            out.append((m.start(), normalise(f"SPDX-License-Identifier: {spelled}")))
+        skip = False
+    return out
+
+
+def named(rest: str) -> list[str]:
+    """The licences that a notice names, in order: one, or several with and or or between; nothing if something else follows."""
+    out, words = [], LIST.sub("", rest).split()
+    while True:
+        k = next((k for k in range(min(len(words), 12), 0, -1) if " ".join(words[:k]) in NAMES), 0)
+        if not k:
+            return []
+        one, words = NAMES[" ".join(words[:k])], words[k:]
+        words = words[1:] if words and words[0] in ("license", "licenses") else words
+        after = " ".join(words)
+        if m := re.match(r"(?:or (?:at your option )?(?:any )?later(?: versions?)?|or newer)\b ?", after):
+            one, after = (f"{one} or later" if f"{one} or later" in NAMES else one), after[m.end() :]
+        out.append(one)
+        if m := re.match(r"(?:and|or)(?: at your option)? (?:the |a |an )?", after):
+            words = after[m.end() :].split()
+            if any(" ".join(words[:k]) in NAMES for k in range(1, 13)):
+                continue
+        return out if TAIL.match(after) else []
+
+
+def plain(sentence: str) -> str:
+    """Lower case, one spelling of licence, single spaces, no numbering, holders or years."""
     s = " ".join(re.sub(r"[^a-z0-9]+", " ", sentence.lower().replace("licence", "license")).split())
     s = HOLDER.sub("", re.sub(r"^(?:\d{1,2}|[abd-z]|c(?! \d{4} )) (?=\w{3})", "", s))
-    for named, plain in NAMED:
-        s = named.sub(plain, s)
+    for holder, usual in NAMED:
+        s = holder.sub(usual, s)
+    return s
+
+
+def normalise(sentence: str) -> str:
+    s = plain(sentence)
     if m := NOTICE.match(s):
         name = ARTICLE.sub("", s[m.end() :])
         s = "licensed under " + NAMES.get(name, name) if name in NAMES else s
@@ -262,10 +315,14 @@ class Rules:
         self.starts = {k[:4] for k in self.known} | {"copy"}
 
     def units(self, text: str) -> Iterator[tuple[int, int, str]]:
-        """Number, place and normalised form of the text's sentences; one over several lines that is not known: its lines, if one of them is known."""
+        """Number, place and normalised form of the text's sentences; one that names several licences: each; one over several lines that is not known: its lines, if one of them is known."""
         n = 0
         for place, piece in sentences_of(text):
             whole = self.key(piece)
+            if whole is None and (several := self.several(piece)):
+                yield from ((n, place + at, s) for at, s in several)
+                n += 1
+                continue
             if whole is None and "\n" in piece:
                 inner = place
                 for line in piece.split("\n"):
@@ -276,6 +333,14 @@ class Rules:
                 yield n, place, whole or ""
                 n += 1
 
+    def several(self, piece: str) -> list[tuple[int, str]]:
+        """Places and normalised forms of the known sentences that an expression of identifiers, or a notice of several licences or with more words, stands for."""
+        if m := SPDX.search(piece):
+            return [(m.start(1) + at, s) for at, s in identifiers(m[1]) if s in self.known]
+        if HINT.search(piece) and (m := NOTICE.match(s := plain(piece))):
+            return [(0, k) for x in named(s[m.end() :]) if (k := f"licensed under {x}") in self.known]
+        return []
+
     def key(self, piece: str) -> str | None:
         """The normalised form of a known sentence."""
         head = piece.lstrip(" \t\r\n*#/\"'-(.0123456789)>")[:8].lower().replace("licence", "license")[:4]
