@@ -167,7 +167,7 @@ SCHEMA = "doc_id long, n_sentences long, sentence_ids array<string>, licenses ar
 # holder's name ("Acme Inc. nor the names of ...")
 AFTER_HOLDER = r"(?i:nor\W+the\W+names\W+of|(?:and|or)\W+(?:its\W+|the\W+|other\W+)?contributors|and\W+any\W+express|[\"'`\u201c]+as\W+is\b|disclaims?\W+all|be\W+liable\W+for)"
 SHORT = "|".join(rf"(?<=\b{x}\.)" for x in ("inc", "ltd", "llc", "co", "corp", "jr"))
-END = re.compile(rf"(?<=[.!?;:])(?<!(?i:identifier):)(?<!\b[vV]\.)(?!(?<=\.)[\s*#/]+{AFTER_HOLDER}|(?i:{SHORT})\s+(?:[\w&,]+\s+){{1,3}}{AFTER_HOLDER})\s+|\n\s*\n")
+END = re.compile(rf"(?<=[.!?;:])(?<!(?i:identifier):)(?<![ (][vV]\.)(?!(?<=\.)[\s*#/]+{AFTER_HOLDER}|(?i:{SHORT})\s+(?:[\w&,]+\s+){{1,3}}{AFTER_HOLDER})\s+|\n\s*\n")
 # a line that names holders ends a sentence, as does the line before it
 COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright\s+(?:\(c\)|\u00a9|\d{4})|\(c\)\s*\d{4}|\u00a9)[^\n]*$", re.I | re.M)
 HOLDER = re.compile(r"^(?:copyright (?:c )?|c (?=\d{4} ))(?:\d{4} )*.*?(?=(?:\ball rights reserved)?$)")
@@ -183,6 +183,7 @@ NAMED = [(re.compile(rf"^{a} .+? {b}"), f"{a} {holder} {b}") for a, holder, b in
 # a notice: what is licensed, and by which words; then the licence's name, which is one of NAMES
 NOTICE = re.compile(r"^(?:(?:this|the|these|all|our|its)(?: \w+)*? (?:is|are|may be used|has been|have been) |(?:it|they|and) (?:is|are) )?(?:now |also |dual |free software )?(?:released|licensed|distributed|available|made available|provided|published|offered|shared|open sourced|covered|governed) (?:to you )?(?:under|by|according to|subject to) (?:the )?(?:terms (?:and conditions )?of )?")
 HINT = re.compile(r"(?:licen[sc]ed|released|distributed|available|provided|published|offered|shared|sourced|covered|governed)\W+(?:to\W+you\W+)?(?:under|by|according|subject)\b", re.I)
+VERBS = ("licensed", "licenced", "released", "distributed", "available", "provided", "published", "offered", "shared", "sourced", "covered", "governed")
 ARTICLE = re.compile(r"^(?:the |a |an )|(?: license)?(?: (?:agreement|for details|see license|see the license file))?$")
 # fixed values: names of licences, normalised, and the one under which each is known
 NAMES = {
@@ -316,17 +317,19 @@ class Rules:
 
     def units(self, text: str) -> Iterator[tuple[int, int, str]]:
         """Number, place and normalised form of the text's sentences; one that names several licences: each; one over several lines that is not known: its lines, if one of them is known."""
-        n = 0
+        n, low = 0, text.lower()
+        hint = any(v in low for v in VERBS) and bool(HINT.search(text))  # most texts have no notice, and their sentences need not be searched for one
+        more = hint or "spdx-license-identifier" in low
         for place, piece in sentences_of(text):
-            whole = self.key(piece)
-            if whole is None and (several := self.several(piece)):
+            whole = self.key(piece, hint)
+            if whole is None and more and (several := self.several(piece)):
                 yield from ((n, place + at, s) for at, s in several)
                 n += 1
                 continue
             if whole is None and "\n" in piece:
                 inner = place
                 for line in piece.split("\n"):
-                    yield n, inner, self.key(line) or ""
+                    yield n, inner, self.key(line, hint) or ""
                     inner += len(line) + 1
                     n += 1
             else:
@@ -341,10 +344,10 @@ class Rules:
             return [(0, k) for x in named(s[m.end() :]) if (k := f"licensed under {x}") in self.known]
         return []
 
-    def key(self, piece: str) -> str | None:
-        """The normalised form of a known sentence."""
+    def key(self, piece: str, hint: bool) -> str | None:
+        """The normalised form of a known sentence. hint: whether the text may have a notice."""
         head = piece.lstrip(" \t\r\n*#/\"'-(.0123456789)>")[:8].lower().replace("licence", "license")[:4]
-        if not (head and re.sub(r"[^a-z0-9]+", " ", head) in self.starts or len(head) < 4 or not head.isalnum() or HINT.search(piece)):
+        if not (head and re.sub(r"[^a-z0-9]+", " ", head) in self.starts or len(head) < 4 or not head.isalnum() or hint and HINT.search(piece)):
             return None
         s = normalise(piece)
         return s if s in self.known else None
