@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.runtime import columns, grouped, lean, texts
+from tidemill.llm.runtime import columns, cut, grouped, lean, texts
 
 SEGMENT, SPAN, UNITS = 64, 512, 8
-PER_LANG, SAMPLE = 20_000, 90_000
+PER_LANG, SAMPLE, SHARES_BYTES = 20_000, 90_000, 4_000_000
 STEPS, BATCH, RATE = 350, 256, 0.02
 GROUP_BYTES = 1_000_000
 UNKNOWN = "und"
@@ -173,14 +173,16 @@ def sample(docs: DataFrame, usable: Column) -> tuple[list[bytes], list[str]]:
     """Training segments and their languages, in order of language, doc_id, place and text; a segment is SEGMENT characters."""
     known = docs.where(usable & F.col("lang").isNotNull() & (F.length("text") > 0))
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.ceil(F.length("text") / SEGMENT).alias("n"))
-    every = known.groupBy("lang").agg(F.sum("n").alias("all"))
-    part = F.least(F.lit(float(PER_LANG)), F.greatest(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*")))  # of a language
-    share = every.crossJoin(F.broadcast(every.agg(part.alias("part")))).select(F.col("lang").alias("known"), F.least(F.lit(1.0), F.col("part") / F.col("all")).alias("share"))
+    every = cut(known.groupBy("lang").agg(F.sum("n").alias("all")))
+    count, size = every.agg(F.count("*"), F.coalesce(F.sum(F.length("lang") + 16), F.lit(0))).first()
+    part = float(min(PER_LANG, max(1.0, SAMPLE / max(1, count))))  # of a language
+    share = every.select(F.col("lang").alias("known"), F.least(F.lit(1.0), part / F.col("all")).alias("share"))
+    share = F.broadcast(share) if size <= SHARES_BYTES else share
     chance = lambda i: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), i, F.col("n")), F.lit(1 << 30)) / float(1 << 30)
     held = known.join(share, F.col("lang") == F.col("known"))
     places = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: chance(i) < F.col("share"))
-    cut = F.col("text").substr((F.col("i") * SEGMENT + 1).cast("int"), F.lit(SEGMENT))
-    rows = held.withColumn("i", F.explode(places)).select("lang", "doc_id", "i", cut).collect()
+    piece = F.col("text").substr((F.col("i") * SEGMENT + 1).cast("int"), F.lit(SEGMENT))
+    rows = held.withColumn("i", F.explode(places)).select("lang", "doc_id", "i", piece).collect()
     rows = sorted((r[0], r[1] is None, r[1] or 0, r[2], r[3]) for r in rows)
     return [r[4].encode() for r in rows], [r[0] for r in rows]
 
