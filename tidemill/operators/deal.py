@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators.balance import joined, micro_batches, start, state, workload
+from tidemill.operators.balance import differencing, joined, micro_batches, state, workload
 from tidemill.operators.batch import ROW, numbered
 from tidemill.session import cut
 
@@ -50,9 +50,9 @@ def dealt(rows: DataFrame, by: str, k: int, load: Column | None = None, key: str
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key").reset_index(drop=True)
         loads = pdf["load"].tolist()
-        sets = joined(start(loads, k, equal_size))
-        out = pdf.iloc[[i for s in sets for i in s[2]]]
-        return out.assign(part=[p for p, s in enumerate(sets) for _ in s[2]])
+        sets = differencing(loads, k, equal_size)
+        out = pdf.iloc[[i for s in sets for i in s]]
+        return out.assign(part=[p for p, s in enumerate(sets) for _ in s])
 
     schema = f"step {kinds['step']}, key {kinds['key']}, load {kinds['load']}, bucket long"
     placed = cut(_sorted_buckets(items, k, equal_size, bucket).groupBy("step", "bucket").applyInPandas(first, f"{schema}, part long"))
