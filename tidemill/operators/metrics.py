@@ -287,8 +287,8 @@ def component_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     return long.groupBy("key").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.max("v").alias("max"), F.min("v").alias("min"))
 
 
-def response_info(rows: DataFrame, mask: str = "attention_mask", width: int = 0) -> DataFrame:
-    """rows with prompt_length and response_length, from an attention mask whose last `width` places are the response."""
+def response_info(rows: DataFrame, mask: str = "attention_mask", width: Column | int = 0) -> DataFrame:
+    """rows with prompt_length and response_length, from an attention mask whose last `width` places are the response; a column: each row's own."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, v: x + v)
     n = F.size(mask) - width
     return rows.withColumns({"prompt_length": total(F.slice(mask, F.lit(1), n)), "response_length": total(F.slice(mask, n + 1, F.lit(width)))})
