@@ -20,20 +20,27 @@ from tidemill.operators.balance import differencing, joined, micro_batches, stat
 from tidemill.operators.batch import ROW, numbered
 from tidemill.session import cut
 
-BUCKET, FAN = 4096, 64
+BUCKET, FAN, RUN = 4096, 64, 65536
+
+
+def _with_steps(order: DataFrame, by: str, steps: DataFrame, run: int = RUN) -> DataFrame:
+    """Numbered rows, in order of `by`, with the columns of their step (steps: __step, __from, __n and others): joined by step and run of rows, of
+    which a step has as many rows as it touches runs, so no task sees a whole step."""
+    runs = F.sequence(F.floor(F.col("__from") / run), F.floor((F.col("__from") + F.col("__n") - 1) / run))
+    own = steps.withColumn("__run", F.explode(runs))
+    return order.withColumn("__in", F.floor(F.col(ROW) / run)).join(own, F.col(by).eqNullSafe(F.col("__step")) & (F.col("__in") == F.col("__run"))).drop("__in", "__run")
 
 
 def _sorted_buckets(items: DataFrame, k: int, equal_size: bool, bucket: int) -> DataFrame:
     """items (step, key, load) with bucket: runs of at most `bucket` items (a multiple of k, or k) of a step in order of load."""
     size = max(1, bucket // k) * k
     order = numbered(items, "step", "load", "key")
-    # a row for each step: joined by key, since there may be many
+    # a row for each step: joined, not broadcast, since there may be many
     steps = order.groupBy(F.col("step").alias("__step")).agg(F.min(ROW).alias("__from"), F.count("*").alias("__n"))
     wrong = F.col("__n") % k != 0 if equal_size else F.col("__n") < k
     if bad := steps.where(wrong).first():
         raise ValueError(f"{bad['__n']} items of step {bad['__step']!r} do not make {k} {'equal' if equal_size else 'filled'} parts")
-    found = order.join(steps, F.col("step").eqNullSafe(F.col("__step")))
-    return found.select("step", "key", "load", F.floor((F.col(ROW) - F.col("__from")) / size).alias("bucket"))
+    return _with_steps(order, "step", steps).select("step", "key", "load", F.floor((F.col(ROW) - F.col("__from")) / size).alias("bucket"))
 
 
 def dealt(rows: DataFrame, by: str, k: int, load: Column | None = None, key: str = "row_idx", equal_size: bool = False, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
@@ -91,11 +98,11 @@ def micro_dealt(rows: DataFrame, by: str, most_tokens: int, length: str = "seqle
         raise ValueError("a sequence is longer than a micro-batch may be")
     groups = items.groupBy(by, "__g").agg(F.sum(workload(F.col(length))).alias("__load"), F.count("*").alias("__rows"))
     order = numbered(groups.withColumn("__down", -F.col("__load")), by, "__down", "__g")
-    steps = order.groupBy(F.col(by).alias("__by")).agg(F.min(ROW).alias("__from"), F.ceil(F.sum("__rows") / bucket).alias("__shards"))
+    steps = order.groupBy(F.col(by).alias("__step")).agg(F.min(ROW).alias("__from"), F.count("*").alias("__n"), F.ceil(F.sum("__rows") / bucket).alias("__shards"))
     at = F.col(ROW) - F.col("__from")
     turn, place = F.floor(at / F.col("__shards")), at % F.col("__shards")
     shard = F.when(turn % 2 == 0, place).otherwise(F.col("__shards") - 1 - place)
-    sent = order.join(steps, F.col(by).eqNullSafe(F.col("__by"))).select(F.col(by).alias("__s"), F.col("__g").alias("__h"), shard.cast("long").alias("shard"))
+    sent = _with_steps(order, by, steps).select(F.col(by).alias("__s"), F.col("__g").alias("__h"), shard.cast("long").alias("shard"))
     placed = items.join(sent, F.col(by).eqNullSafe(F.col("__s")) & F.col("__g").eqNullSafe(F.col("__h"))).select(by, key, length, F.to_json("__g", {"ignoreNullFields": "false"}).alias("__g"), "shard")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
