@@ -97,7 +97,10 @@ class Observed(StreamingQueryListener):
 
 
 def observed_queues(counts: DataFrame, name: str = "queue") -> DataFrame:
-    """Rows of queues (with came and went: what a batch brought to a key's queue, and what had to go), observed."""
+    """Rows of queues, observed under the name: those of `state.queues` are already, under its `observed`; of others, with columns came and went,
+    what a batch brought to a key's queue, and what had to go."""
+    if not {"came", "went"} <= set(counts.columns):
+        return counts
     return counts.observe(name, F.sum("came").alias("produced"), F.sum("went").alias("dropped"), F.count("*").alias("touched"))
 
 
