@@ -174,20 +174,10 @@ def replay_state(events: DataFrame) -> DataFrame:
 
 def replay_stream(events: DataFrame) -> DataFrame:
     """In update mode: partition_id, key, status, step, removed as the stream leaves them: the state of a key is its latest tags, and a
-    later `at` wins over an earlier one whichever comes first."""
-
-    def step(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get if state.exists else (-1, "", "", -1)
-        for pdf in chunks:
-            for at, op, status, number in zip(pdf["at"], pdf["op"], pdf["status"], pdf["step"], strict=True):
-                if at >= seen[0]:
-                    seen = (int(at), op, status, int(number))
-        state.update(seen)
-        yield pd.DataFrame({"partition_id": [k[0]], "key": [k[1]], "status": [seen[2]], "step": [seen[3]], "removed": [seen[1] == "remove"]})
-
-    kind = events.schema["key"].dataType.simpleString()
-    return events.select("at", "partition_id", "key", "op", "status", "step").groupBy("partition_id", "key").applyInPandasWithState(
-        step, f"partition_id string, key {kind}, status string, step long, removed boolean", "at long, op string, status string, step long", "update", GroupStateTimeout.NoTimeout)
+    later `at` wins over an earlier one whichever comes first; of tags of one time the greatest by op, status and step. Tags without a time are left out."""
+    tags = events.where(F.col("at").isNotNull()).withColumns({"at": F.col("at").cast("long"), "step": F.col("step").cast("long")})
+    latest = tags.groupBy("partition_id", "key").agg(F.max(F.struct("at", "op", "status", "step")).alias("x"))
+    return latest.select("partition_id", "key", "x.status", "x.step", (F.col("x.op") == "remove").alias("removed"))
 
 
 def ready(state: DataFrame) -> DataFrame:
