@@ -93,21 +93,46 @@ def majority_values(values: np.ndarray, votes: np.ndarray, at: np.ndarray) -> np
     return values[at[rows[:, 0], counts[rows, drawn].argmax(axis=1)]]
 
 
+@lru_cache(maxsize=4096)
+def _pattern_counts(votes: bytes, times: int, seed: int) -> np.ndarray:
+    """For each subset size, how often each place is the one that stands for the majority of the places drawn. votes: numbers from 0, of 64 bits, by place."""
+    own = np.frombuffer(votes, np.int64)
+    at = np.arange(len(own))
+    return np.stack([np.bincount(majority_values(at, own, places(len(own), k, times, seed)), minlength=len(own)) for k in sizes(len(own))])
+
+
+def _patterns(votes: list) -> dict[bytes, list[int]]:
+    """Rows by which of their votes are equal: numbers from 0, in order of their first place."""
+    out: dict[bytes, list[int]] = {}
+    for row, own in enumerate(votes):
+        codes: dict = {}
+        out.setdefault(np.array([codes.setdefault(v, len(codes)) for v in own], np.int64).tobytes(), []).append(row)
+    return out
+
+
 def majorities(prompts: DataFrame, times: int = TIMES, seed: int = SEED) -> DataFrame:
-    """keys, k, maj_mean, maj_std of prompts (n, xs, votes and keys; xs and votes: of its samples, in order)."""
+    """keys, k, maj_mean, maj_std of prompts (n, xs, votes and keys; xs and votes: of its samples, in order).
+
+    Which place stands for a majority depends on the draws and on which votes are equal, so places are counted once for prompts with
+    equal votes at the same places, and a prompt's values are weighted by these counts."""
     keys = [c for c in prompts.columns if c not in ("n", "xs", "votes")]
     kinds = dict(prompts.dtypes)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for row, (xs, votes) in enumerate(zip(pdf["xs"], pdf["votes"], strict=True)):
-                x, own = np.asarray(xs, float), pd.factorize(pd.Series(list(votes), dtype=object), use_na_sentinel=False)[0]
-                for k in sizes(len(x)):
-                    got = majority_values(x, own, places(len(x), k, times, seed))
-                    rows.append((row, k, got.mean(), got.std()))
-            out = pdf[keys].iloc[[r[0] for r in rows]].reset_index(drop=True)
-            yield out.assign(k=[r[1] for r in rows], maj_mean=[r[2] for r in rows], maj_std=[r[3] for r in rows])
+            rows, ks, means, stds = [], [], [], []
+            values = pdf["xs"].tolist()
+            for pattern, alike in _patterns(pdf["votes"].tolist()).items():
+                weights = _pattern_counts(pattern, times, seed) / times
+                x = np.array([values[row] for row in alike], float)
+                mean = x @ weights.T
+                stds.append(np.sqrt(np.einsum("pkn,kn->pk", (x[:, None, :] - mean[:, :, None]) ** 2, weights)).ravel())
+                means.append(mean.ravel())
+                rows.append(np.repeat(alike, len(weights)))
+                ks.append(np.tile(sizes(x.shape[1]), len(alike)))
+            if rows:
+                out = pdf[keys].iloc[np.concatenate(rows)].reset_index(drop=True)
+                yield out.assign(k=np.concatenate(ks), maj_mean=np.concatenate(means), maj_std=np.concatenate(stds))
 
     return prompts.where("n > 1").mapInPandas(work, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", k long, maj_mean double, maj_std double")
 
