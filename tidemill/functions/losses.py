@@ -5,6 +5,7 @@ Token rows: seq_id, mask, new_lp, old_lp, advantage. A loss is a builder of colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -153,9 +154,10 @@ def _covariance(rows: DataFrame, out: str) -> DataFrame:
 def _with_first(rows: DataFrame, able: DataFrame, ratio: float) -> DataFrame:
     """rows with __s and __p, set in those of `able` with the greatest __by (ties by place): `ratio` times __n of them, 1 at least.
 
-    Most of `able` goes by an approximate quantile, whose error is far below the share; what is left is numbered in ranges."""
+    Most of `able` goes by an approximate quantile, whose error is below the share; what is left is numbered in ranges. One task meets the
+    quantile's sketches of all others, so they are no finer than the share needs."""
     share = F.greatest((F.col("__n") * ratio).cast("long"), F.lit(1))
-    accuracy = 1_000_000
+    accuracy = max(1000, min(1_000_000, math.ceil(8 / ratio))) if ratio > 0 else 1_000_000
     counted = able.agg(F.count("*").alias("__all"), F.max("__n").alias("__n"), F.percentile_approx("__by", F.lit([1 - min(1.0, 4 * ratio + 4 / accuracy), 0.0]), accuracy).alias("__q"))
     # of few rows, or more than the quantile is for, all stay
     low = F.when(share < 4 * ratio * F.col("__all"), F.col("__q")[0]).otherwise(F.col("__q")[1])
