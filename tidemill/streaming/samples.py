@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,34 +47,79 @@ class BoundedQueue:
         return {"size": len(self.items), "produced": self.produced, "consumed": self.consumed, "dropped": self.dropped, "most": self.most}
 
 
-def queue_counts(stream: DataFrame, key: str, item: str, most: int) -> DataFrame:
-    """In update mode: key, size, produced, dropped, oldest, newest of each key's bounded queue, to which a micro-batch's items come in ascending order."""
+SHARDS = 2048  # of a stream's keys: a state each
+HELD = "ids array<string>, sizes array<long>, items array<long>, counts array<long>"
 
-    def step(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, produced, dropped = state.get if state.exists else ([], 0, 0)
-        q = BoundedQueue(most, deque(items), produced, 0, dropped)
-        for x in sorted(x for pdf in chunks for x in pdf[item].tolist()):
-            q.put(int(x))
-        state.update((list(q.items), q.produced, q.dropped))
-        yield pd.DataFrame({key: [k[0]], "size": [len(q.items)], "produced": [q.produced], "dropped": [q.dropped], "oldest": [q.items[0]], "newest": [q.items[-1]]})
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, item).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, size long, produced long, dropped long, oldest long, newest long", "items array<long>, produced long, dropped long", "update", GroupStateTimeout.NoTimeout)
 
+def _merged(ids: list[str], sizes: list[int], items: list[int], counts: list[int], pdf: pd.DataFrame, item: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, counts, totals, and of all items (those held, then those that come in ascending order, key by key) the key's number, the place among the key's and the item; last, for each row of pdf its key's number."""
+    at = {k: i for i, k in enumerate(ids)}
+    codes, names = pd.factorize(pdf["__id"])
+    own = np.array([at.setdefault(k, len(at)) for k in names], np.int64)[codes]
+    come = pdf[item].to_numpy(np.int64)
+    up = np.argsort(come, kind="stable")
+    key = np.concatenate([np.repeat(np.arange(len(ids)), np.asarray(sizes, np.int64)), own[up]])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    totals = np.bincount(key, minlength=len(at))
+    place = np.arange(len(key)) - (np.cumsum(totals) - totals)[key]
+    counted = np.concatenate([np.asarray(counts, np.int64), np.zeros(len(at) - len(ids), np.int64)])
+    return list(at), counted, totals, key, place, np.concatenate([np.asarray(items, np.int64), come[up]])[order], own
 
-def count_batches(stream: DataFrame, key: str, item: str, size: int) -> DataFrame:
-    """In append mode: key, batch, item for every batch of exactly `size` items of a key; what does not fill one waits."""
-
-    def step(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, done = state.get if state.exists else ([], 0)
-        waiting = [*waiting, *sorted(int(x) for pdf in chunks for x in pdf[item].tolist())]
-        full = len(waiting) // size
-        state.update((waiting[full * size :], done + full))
-        if full:
-            yield pd.DataFrame({key: k[0], "batch": [done + i // size for i in range(full * size)], item: waiting[: full * size]})
 
+def _sharded(stream: DataFrame, key: str, item: str, step: Callable, out: str, mode: str, shards: int) -> DataFrame:
+    """A call of step for a shard of keys, not for each, which would cost more than what is done there. A null key is a shard of its own."""
     kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, item).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, batch long, {item} long", "waiting array<long>, done long", "append", GroupStateTimeout.NoTimeout)
+    name = F.col(key).cast("string") if kind in ("tinyint", "smallint", "int", "bigint", "string") else F.to_json(F.struct(key))
+    rows = stream.select(key, F.col(item).cast("long").alias(item), F.coalesce(name, F.lit("")).alias("__id")).na.drop(subset=[item])
+    rows = rows.withColumn("__shard", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64("__id"), F.lit(shards)).cast("int")))
+    return rows.groupBy("__shard").applyInPandasWithState(step, f"{key} {kind}, {out}", HELD, mode, GroupStateTimeout.NoTimeout)
+
+
+def _values(shard: tuple, keys: pd.Series, at: np.ndarray) -> Any:
+    return [None] * len(at) if shard[0] < 0 else keys.iloc[at].array
+
+
+def queue_counts(stream: DataFrame, key: str, item: str, most: int, shards: int = SHARDS) -> DataFrame:
+    """In update mode: key, size, produced, dropped, oldest, newest of each key's bounded queue, to which a micro-batch's items come in ascending order; rows
+    without an item are left out. The queues of a shard of keys are one state."""
+
+    def step(shard: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(chunks), ignore_index=True)
+        ids, produced, totals, key_of, place, items, own = _merged(*(state.get if state.exists else ([], [], [], [])), pdf, item)
+        touched, first = np.unique(own, return_index=True)
+        produced = produced + np.bincount(own, minlength=len(ids))
+        keep = place >= totals[key_of] - most
+        sizes, items = np.minimum(totals, most), items[keep]
+        ends = np.cumsum(sizes)
+        state.update((ids, sizes.tolist(), items.tolist(), produced.tolist()))
+        size, made, end = sizes[touched], produced[touched], ends[touched]
+        yield pd.DataFrame({key: _values(shard, pdf[key], first), "size": size, "produced": made, "dropped": made - size, "oldest": items[end - size], "newest": items[end - 1]})
+
+    if most < 1:
+        raise ValueError("a queue needs room for an item")
+    return _sharded(stream, key, item, step, "size long, produced long, dropped long, oldest long, newest long", "update", shards)
+
+
+def count_batches(stream: DataFrame, key: str, item: str, size: int, shards: int = SHARDS) -> DataFrame:
+    """In append mode: key, batch, item for every batch of exactly `size` items of a key; what does not fill one waits; rows without an item are left out.
+    What waits of a shard of keys is one state."""
+
+    def step(shard: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(chunks), ignore_index=True)
+        ids, done, totals, key_of, place, items, own = _merged(*(state.get if state.exists else ([], [], [], [])), pdf, item)
+        full = totals // size
+        out = place < (full * size)[key_of]
+        state.update((ids, (totals - full * size).tolist(), items[~out].tolist(), (done + full).tolist()))
+        if out.any():
+            first = np.zeros(len(ids), np.int64)
+            first[own[::-1]] = np.arange(len(own))[::-1]
+            whose = key_of[out]
+            yield pd.DataFrame({key: _values(shard, pdf[key], first[whose]), "batch": done[whose] + place[out] // size, item: items[out]})
+
+    if size < 1:
+        raise ValueError("a batch needs an item")
+    return _sharded(stream, key, item, step, f"batch long, {item} long", "append", shards)
 
 
 def counted(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
