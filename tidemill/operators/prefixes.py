@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.session import cut
+from tidemill.session import cut, sized_batches
 
 FIRST, LAST = 1, 2
 
@@ -68,7 +68,8 @@ def neighbours(rows: DataFrame, *order: str) -> DataFrame:
     by = ("g", "tokens", *order)
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id())
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    found = cut(dealt.mapInArrow(_neighbours, f"{kinds}, shared long, edge int"))
+    with sized_batches(rows.sparkSession):
+        found = cut(dealt.mapInArrow(_neighbours, f"{kinds}, shared long, edge int"))
     # the rows at the ends of ranges: two for each task
     ends = found.where("edge > 0")
     before = Window.orderBy("__p", F.col("edge").bitwiseAND(F.lit(LAST)), *by)
