@@ -8,11 +8,12 @@ from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.formulas import formula, identical
 from tidemill.functions.registry import Registry
+from tidemill.session import BATCH, BATCH_BYTES
 
 SCORERS = Registry("scorer")
 TAIL = 300
@@ -334,7 +335,10 @@ def scorer(source: str) -> Callable[[Column, Column], Column]:
 
 
 def route(source: Column, text: Column, truth: Column, sources: list[str] | None = None) -> Column:
-    """The score by each row's source, of those named, else of all that there are; a row of another source fails. A null text scores as an empty one."""
+    """The score by each row's source, of those named, else of all that there are; a row of another source fails. A null text scores as an empty one.
+    Batches go to Python by size, since texts differ in length: what a task holds of them is bounded in bytes."""
+    if spark := SparkSession.getActiveSession():
+        spark.conf.set(BATCH, BATCH_BYTES)
     text = F.coalesce(text, F.lit(""))
     out = F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce(source, F.lit("null")))).cast("double")
     by_rule: dict[int, tuple[Callable[[Column, Column], Column], list[str]]] = {}
