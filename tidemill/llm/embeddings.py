@@ -2,25 +2,27 @@
 
 Unit vectors of cosine c are at squared distance 2 - 2c, and a rotation keeps that. Cut into B blocks of coordinates, a pair within
 squared distance e has a block in which it is within e / B. So each block is range-joined under that budget: its first GRID coordinates
-are cut into cells of twice the budget's radius, a vector stands in its own cell as a host and in the neighbouring cells it comes near to
-as a guest, and each host is compared with all others of its cell, first in the block, then exactly, in double precision.
-A pair counts in the first of its blocks that is within budget, so the union needs no pairs sent anywhere: a cell gives
+are cut into cells of twice the budget's radius, a vector stands in its own cell as a host and, of the neighbouring cells it comes near
+to, in those before its own as a guest, so that a pair meets in one cell. There sets of vectors are halved along their widest coordinate, all of the block's
+in turn, and of two sets go on only the vectors within budget of the other's bounding box; what is left is compared, first in the block, then
+exactly, in double precision. A pair counts in the first of its blocks that is within budget, so the union needs no pairs sent anywhere: a cell gives
 for each vector the number of its links and a parent in a forest of them. The rotation is a Walsh-Hadamard transform after random
 signs: it works element by element, so that every cell sees the same coordinates of a vector.
 
 Equal vectors are one, with a multiplicity. A cell of more than CELL vectors is dealt out as a square of tasks. For isotropic
-vectors of many dimensions the budget's radius is near the coordinates' spread, and cells leave out little: then the work of this method
-grows with the square of the number of different vectors.
+vectors of many dimensions the budget's radius is near the coordinates' spread, so that one cut leaves out little; only many cuts one after another do, as
+many as there are vectors for.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from tidemill.llm.runtime import cut
 from tidemill.llm.simhash import _forest
 
 THRESHOLD, WIDTH, GRID, CELL = 0.95, 16, 2, 60_000
-STRIP = 2048
+LEAF, STRIP = 1 << 22, 1024  # pairs of two sets that are compared without further cuts, and rows compared at once
 ROUNDING = 1e-6
 
 
@@ -58,14 +60,17 @@ def blocks(size: int) -> list[slice]:
 
 
 def cells(y: np.ndarray, block: slice, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Rows of y, the cells they stand in, and whether as hosts. A cell is a number of two signed 31-bit coordinates."""
+    """Rows of y, the cells they stand in, and whether as hosts; guests come to cells before their own only. A cell is a number of two signed 31-bit coordinates."""
     g = y[:, block][:, :GRID] / (2 * radius)
     own, near = np.floor(g).astype(np.int64), g - np.floor(g)
     for shift in product((-1, 0, 1), repeat=g.shape[1]):
-        at = np.ones(len(y), bool)
+        if shift > (0,) * len(shift):
+            break
+        far = np.zeros(len(y))
         for k, s in enumerate(shift):
             if s:
-                at &= (near[:, k] <= 0.5 + ROUNDING) if s < 0 else (near[:, k] >= 0.5 - ROUNDING)
+                far += (near[:, k] if s < 0 else 1 - near[:, k]) ** 2
+        at = far <= (0.5 + ROUNDING) ** 2
         rows = np.flatnonzero(at)
         cell = np.zeros(len(rows), np.int64)
         for k, s in enumerate(shift):
@@ -73,33 +78,81 @@ def cells(y: np.ndarray, block: slice, radius: float) -> Iterator[tuple[np.ndarr
         yield rows, cell, not any(shift)
 
 
-def linked(host: np.ndarray, other: np.ndarray, block: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked hosts and others, for pairs whose first block within budget is `block`. Rows: the vectors in double precision."""
-    host, other = scaled(host), scaled(other)
-    a, b = rotated(host), rotated(other)
+def beside(x: np.ndarray, y: np.ndarray, budget: float) -> np.ndarray:
+    """Columns of x within budget of the box around y's."""
+    d = np.maximum(y.min(axis=1, keepdims=True) - x, x - y.max(axis=1, keepdims=True))
+    np.maximum(d, 0, out=d)
+    d *= d
+    return np.flatnonzero(d.sum(axis=0) <= budget)
+
+
+def near(u: np.ndarray, v: np.ndarray | None, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of columns of u and v (None: of u twice, the lesser place first) whose squared distance is within budget, each pair once."""
+    todo = [(u, np.arange(u.shape[1]), v, None if v is None else np.arange(v.shape[1]))]
+    while todo:
+        x, i, y, j = todo.pop()
+        if y is not None:
+            if not len(i) or not len(j):
+                continue
+            if len(at := beside(x, y, budget)) < len(i):
+                x, i = x[:, at], i[at]
+            if not len(i):
+                continue
+            if len(at := beside(y, x, budget)) < len(j):
+                y, j = y[:, at], j[at]
+        if len(i) * len(i if y is None else j) > LEAF:
+            larger = y is not None and len(j) > len(i)  # of two sets the larger is cut
+            z, k = (y, j) if larger else (x, i)
+            wide = z.max(axis=1) - z.min(axis=1)
+            c = z[wide.argmax()]
+            middle = np.partition(c, len(c) // 2)[len(c) // 2]
+            low = c < middle if c.min() < middle else c <= middle
+            if wide.max() ** 2 > budget and not low.all():  # a cut in a narrower set would leave nothing out
+                a, b = ((z[:, at], k[at]) for at in (np.flatnonzero(low), np.flatnonzero(~low)))
+                if y is None:
+                    todo += [(*a, None, None), (*b, None, None), (*a, *b)]
+                elif larger:
+                    todo += [(x, i, *a), (x, i, *b)]
+                else:
+                    todo += [(*a, y, j), (*b, y, j)]
+                continue
+        same = y is None
+        y, j = (x, i) if same else (y, j)
+        rows, xx, yy = np.ascontiguousarray(x.T), ((x * x).sum(axis=0) - budget) / 2, (y * y).sum(axis=0) / 2
+        for s in range(0, len(i), STRIP):
+            for t in range(s if same else 0, len(j), STRIP):
+                g = rows[s : s + STRIP] @ y[:, t : t + STRIP]
+                g -= yy[t : t + STRIP]
+                p, q = np.divmod(np.flatnonzero(g >= xx[s : s + STRIP, None]), g.shape[1])
+                p, q = i[p + s], j[q + t]
+                if same:
+                    p, q = p[p < q], q[p < q]
+                if len(p):
+                    yield p, q
+
+
+def linked(x: np.ndarray, hosts: int, own: bool, block: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked rows of x (the vectors in double precision), each pair once: the first `hosts` with the rows after them and, if `own`, with
+    one another, for pairs whose first block within budget is `block`."""
+    x = scaled(x)
+    a = rotated(x)
     parts = blocks(a.shape[1])
     budget = (2 - 2 * least + ROUNDING) / len(parts)
-    u, v = a[:, parts[block]].astype(np.float32), b[:, parts[block]].astype(np.float32)
-    vv = (v * v).sum(1)
-    left, right = [], []
-    for s in range(0, len(u), STRIP):
-        for t in range(0, len(v), STRIP):
-            p = u[s : s + STRIP]
-            near = (p * p).sum(1)[:, None] + vv[t : t + STRIP] - 2 * (p @ v[t : t + STRIP].T) <= budget + 10 * ROUNDING
-            i, j = np.nonzero(near)
-            i, j = i + s, j + t
-            for at in range(0, len(i), 200_000):
-                x, y = i[at : at + 200_000], j[at : at + 200_000]
-                square = (a[x] - b[y]) ** 2
-                dist = np.stack([np.add.accumulate(square[:, k], axis=1)[:, -1] for k in parts], axis=1)
-                first = (dist <= budget).argmax(1)
-                good = (dist[:, block] <= budget) & (first == block)
-                x, y = x[good], y[good]
-                p, q = host[x], other[y]
-                cosine = (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1))
-                left.append(x[cosine >= least])
-                right.append(y[cosine >= least])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+    u = np.ascontiguousarray(a[:, parts[block]].T, np.float32)
+    within = budget + 10 * ROUNDING
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in chain(near(u[:, :hosts], None, within) if own else (), ((i, j + hosts) for i, j in near(u[:, :hosts], u[:, hosts:], within))):
+        for at in range(0, len(i), 200_000):
+            p, q = i[at : at + 200_000], j[at : at + 200_000]
+            square = (a[p] - a[q]) ** 2
+            dist = np.stack([np.add.accumulate(square[:, k], axis=1)[:, -1] for k in parts], axis=1)
+            good = (dist[:, block] <= budget) & ((dist <= budget).argmax(1) == block)
+            p, q = p[good], q[good]
+            v, w = x[p], x[q]
+            cosine = (v * w).sum(1) / np.sqrt((v * v).sum(1) * (w * w).sum(1))
+            left.append(p[cosine >= least])
+            right.append(q[cosine >= least])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def vector_links(classes: DataFrame, least: float = THRESHOLD) -> DataFrame:
@@ -145,34 +198,24 @@ def vector_links(classes: DataFrame, least: float = THRESHOLD) -> DataFrame:
                     spot = (ids[rows[part]] % side).astype(np.int64)
                     for s in range(side):
                         own = part[spot == s]
-                        # hosts of strip s meet all others: (s, 0..side-1); as others they, and guests, stand in (0..side-1, s)
+                        # hosts of strip s meet those of later strips, and all guests: (s, 0..side-1); as others they stand in (0..s-1, s), guests in (0..side-1, s)
                         for t in range(side) if len(own) else ():
-                            for role, where in ((1, s * side + t), (0, t * side + s)) if host else ((0, t * side + s),):
+                            for role, where in ((1, s * side + t), *([(0, t * side + s)] if t < s else [])) if host else ((0, t * side + s),):
                                 out["d"].append(d), out["b"].append(b), out["cell"].append(k), out["side"].append(where), out["host"].append(role)
                                 out["ids"].append(ids[rows[own]].tobytes()), out["ms"].append(m[rows[own]].tobytes()), out["vectors"].append(x[own].astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("d", "b", "cell", "side", "host")), *(pa.array(out[k], pa.binary()) for k in ("ids", "ms", "vectors"))], names=list(out))
 
     def meet(key: tuple, held: pa.Table) -> pa.Table:
-        d, b = key[0].as_py(), key[1].as_py()
-        host = np.array(held.column("host").to_pylist(), bool)
-
-        def side(at: np.ndarray) -> tuple[np.ndarray, ...]:
-            t = held.filter(pa.array(at))
-            i, m, x = (np.frombuffer(b"".join(t.column(k).to_pylist()), of) for k, of in (("ids", np.int64), ("ms", np.int64), ("vectors", kind)))
-            return i, m, x.astype(np.float64).reshape(-1, d)
-
-        (hi, _, hx), (oi, om, ox) = side(host), side(~host)
-        left, right = linked(hx, ox, b, least) if len(hi) and len(oi) else (np.zeros(0, np.int64),) * 2
-        keep = hi[left] != oi[right]
-        left, right = left[keep], right[keep]
-        links = np.bincount(left, om[right], minlength=len(hi)).astype(np.int64)
-        node, at = np.unique(np.concatenate([hi[left], oi[right]]), return_inverse=True)
-        root = node[_forest(len(node), at[: len(left)], at[len(left) :])] if len(node) else node
-        with_links = np.flatnonzero(links)
-        tied = np.flatnonzero(root != node)
-        own = root[np.searchsorted(node, hi[with_links])] if len(with_links) else hi[:0]
-        guests = tied[~np.isin(node[tied], hi[with_links])]
-        return pa.table({"id": np.concatenate([hi[with_links], node[guests]]), "links": np.concatenate([links[with_links], np.zeros(len(guests), np.int64)]), "root": np.concatenate([own, root[guests]])})
+        d, b, cell, where = (k.as_py() for k in key)
+        strips = sides.get((d, b, cell), 1)
+        held = pa.concat_tables([held.filter(pc.equal(held.column("host"), role)) for role in (1, 0)])  # hosts first
+        ids, m, x = (np.frombuffer(b"".join(held.column(k).to_pylist()), of) for k, of in (("ids", np.int64), ("ms", np.int64), ("vectors", kind)))
+        hosts = sum(len(k) for k, role in zip(held.column("ids").to_pylist(), held.column("host").to_pylist(), strict=True) if role) // 8
+        left, right = linked(x.astype(np.float64).reshape(-1, d), hosts, where // strips == where % strips, b, least)
+        node, at = np.unique(np.concatenate([ids[left], ids[right]]), return_inverse=True)
+        one, other = at[: len(left)], at[len(left) :]
+        links = np.bincount(one, m[right], len(node)) + np.bincount(other, m[left], len(node))
+        return pa.table({"id": node, "links": links.astype(np.int64), "root": node[_forest(len(node), one, other)]})
 
     sent = classes.select("id", "m", "vector").mapInArrow(spread, "d long, b long, cell long, side long, host long, ids binary, ms binary, vectors binary")
     return sent.groupBy("d", "b", "cell", "side").applyInArrow(meet, "id long, links long, root long")
