@@ -30,8 +30,9 @@ from tidemill.llm.components import components
 from tidemill.llm.runtime import cut
 from tidemill.llm.simhash import _forest
 
-THRESHOLD, WIDTH, GRID, CELL = 0.95, 16, 2, 60_000
+THRESHOLD, WIDTH, GRID, CELL = 0.95, 16, 2, 200_000
 LEAF, STRIP = 1 << 22, 1024  # pairs of two sets that are compared without further cuts, and rows compared at once
+ROWS, PAIRS = 8192, 50_000  # rows rotated, and pairs checked exactly, at once
 ROUNDING = 1e-6
 
 
@@ -131,27 +132,41 @@ def near(u: np.ndarray, v: np.ndarray | None, budget: float) -> Iterator[tuple[n
                     yield p, q
 
 
+def gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, `most` at a time."""
+    left, right, n = [], [], 0
+    for i, j in pairs:
+        for at in range(0, len(i), most):
+            left.append(i[at : at + most]), right.append(j[at : at + most])
+            n += len(left[-1])
+            if n >= most:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, n = [], [], 0
+    if n:
+        yield np.concatenate(left), np.concatenate(right)
+
+
 def linked(x: np.ndarray, hosts: int, own: bool, block: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked rows of x (the vectors in double precision), each pair once: the first `hosts` with the rows after them and, if `own`, with
-    one another, for pairs whose first block within budget is `block`."""
-    x = scaled(x)
-    a = rotated(x)
-    parts = blocks(a.shape[1])
+    """Places of linked rows of x, each pair once: the first `hosts` with the rows after them and, if `own`, with one another, for pairs whose
+    first block within budget is `block`. Beside x only the block is held, in single precision; rows of pairs that are near there are taken in doubles."""
+    parts = blocks(1 << max(0, (x.shape[1] - 1).bit_length()))
     budget = (2 - 2 * least + ROUNDING) / len(parts)
-    u = np.ascontiguousarray(a[:, parts[block]].T, np.float32)
+    u = np.empty((parts[block].stop - parts[block].start, len(x)), np.float32)
+    for at in range(0, len(x), ROWS):
+        u[:, at : at + ROWS] = rotated(scaled(x[at : at + ROWS].astype(np.float64)))[:, parts[block]].T
     within = budget + 10 * ROUNDING
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j in chain(near(u[:, :hosts], None, within) if own else (), ((i, j + hosts) for i, j in near(u[:, :hosts], u[:, hosts:], within))):
-        for at in range(0, len(i), 200_000):
-            p, q = i[at : at + 200_000], j[at : at + 200_000]
-            square = (a[p] - a[q]) ** 2
-            dist = np.stack([np.add.accumulate(square[:, k], axis=1)[:, -1] for k in parts], axis=1)
-            good = (dist[:, block] <= budget) & ((dist <= budget).argmax(1) == block)
-            p, q = p[good], q[good]
-            v, w = x[p], x[q]
-            cosine = (v * w).sum(1) / np.sqrt((v * v).sum(1) * (w * w).sum(1))
-            left.append(p[cosine >= least])
-            right.append(q[cosine >= least])
+    for i, j in gathered(chain(near(u[:, :hosts], None, within) if own else (), ((i, j + hosts) for i, j in near(u[:, :hosts], u[:, hosts:], within))), PAIRS):
+        rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        v = scaled(x[rows].astype(np.float64))
+        a, p, q = rotated(v), at[: len(i)], at[len(i) :]
+        square = (a[p] - a[q]) ** 2
+        dist = np.stack([np.add.accumulate(square[:, k], axis=1)[:, -1] for k in parts], axis=1)
+        good = (dist[:, block] <= budget) & ((dist <= budget).argmax(1) == block)
+        i, j, p, q = i[good], j[good], v[p[good]], v[q[good]]
+        cosine = (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1))
+        left.append(i[cosine >= least])
+        right.append(j[cosine >= least])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -208,10 +223,16 @@ def vector_links(classes: DataFrame, least: float = THRESHOLD) -> DataFrame:
     def meet(key: tuple, held: pa.Table) -> pa.Table:
         d, b, cell, where = (k.as_py() for k in key)
         strips = sides.get((d, b, cell), 1)
-        held = pa.concat_tables([held.filter(pc.equal(held.column("host"), role)) for role in (1, 0)])  # hosts first
-        ids, m, x = (np.frombuffer(b"".join(held.column(k).to_pylist()), of) for k, of in (("ids", np.int64), ("ms", np.int64), ("vectors", kind)))
-        hosts = sum(len(k) for k, role in zip(held.column("ids").to_pylist(), held.column("host").to_pylist(), strict=True) if role) // 8
-        left, right = linked(x.astype(np.float64).reshape(-1, d), hosts, where // strips == where % strips, b, least)
+        role = held.column("host").to_numpy()
+        order = np.argsort(1 - role, kind="stable")  # hosts first
+
+        def column(name: str, of: type) -> np.ndarray:
+            pieces = held.column(name).to_pylist()
+            return np.frombuffer(b"".join(pieces[k] for k in order), of)
+
+        ids, m, x = column("ids", np.int64), column("ms", np.int64), column("vectors", kind).reshape(-1, d)
+        hosts = pc.sum(pc.binary_length(held.column("ids").filter(pc.equal(held.column("host"), 1)))).as_py() or 0
+        left, right = linked(x, hosts // 8, where // strips == where % strips, b, least)
         node, at = np.unique(np.concatenate([ids[left], ids[right]]), return_inverse=True)
         one, other = at[: len(left)], at[len(left) :]
         links = np.bincount(one, m[right], len(node)) + np.bincount(other, m[left], len(node))
